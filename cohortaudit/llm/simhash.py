@@ -1,10 +1,13 @@
 """SimHash near-duplicates: fingerprints, tiled exact comparison, components.
 
-Two fingerprints within `radius` bits agree in at least one of radius + 1 bit bands, so
-only fingerprints that share a band's value are laid in tiles and compared; this finds
-every pair that comparing all with all finds. In a band's bucket the fingerprints are
-tiled by population count, and tile pairs whose counts differ by more than the radius
-are never formed.
+Fingerprints that share a block are laid in tiles by population count and compared by
+exclusive-or and bit counts; tile pairs whose counts differ by more than the radius are
+never formed. Blocks come from the fingerprint or from the text:
+
+* bands (64 bits, small radius): two fingerprints within `radius` bits agree in at least
+  one of radius + 1 bands, so this finds every pair that comparing all with all finds;
+* least shingle hashes (wide fingerprints, similarity of shingle sets): texts of
+  similarity s share one of m with a chance of 1 - (1 - s) ** m.
 """
 
 from __future__ import annotations
@@ -24,17 +27,31 @@ SEED = 42
 #: Fingerprints in a tile at most (in expectation, as salts are hashes).
 TILE = 2048
 _BLANK = re.compile(rb"[\x20\x09-\x0D]+")
+_MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
-def fingerprint(text: str | None, width: int = 3) -> int:
-    """The SimHash of the text's word shingles: a bit is set if it is in over half the hashes."""
+def shingles(text: str | None, width: int) -> np.ndarray:
+    """Hashes of the runs of `width` words, A-Z lower-cased, repeats included; of all words where they are fewer."""
     words = [w for w in _BLANK.split((text or "").encode().translate(LOWER_TABLE)) if w]
     if not words:
-        return 0
-    if len(words) <= width:
-        return xxhash.xxh64_intdigest(b" ".join(words), SEED)
+        return np.zeros(0, np.uint64)
+    width = min(width, len(words))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(width)))), np.uint64)
+    return np.fromiter((digest(b" ".join(s), SEED) for s in zip(*(words[i:] for i in range(width)))), np.uint64)
+
+
+def _remix(hashes: np.ndarray, k: int) -> np.ndarray:
+    """The k-th further hash of each hash; the 0th is itself."""
+    if not k:
+        return hashes
+    x = hashes + np.uint64(_MIX[0] * k % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(_MIX[1])
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(_MIX[2])
+    return x ^ (x >> np.uint64(31))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """64 bits, each set if it is in over half the hashes."""
     ones = np.zeros(BITS, np.int64)
     for at in range(0, len(hashes), 65536):
         part = hashes[at : at + 65536].astype(">u8").view(np.uint8).reshape(-1, 8)
@@ -42,18 +59,39 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """The 64-bit SimHash of the text's word shingles; 0 where there are no words."""
+    return majority(shingles(text, width))
+
+
+def sketch(text: str | None, width: int, words: int, least: int) -> tuple[list[int], list[int]]:
+    """(fingerprint of 64 * words bits as signed longs, the `least` block keys as signed longs)."""
+    hashes = shingles(text, width)
+    prints = [_signed(majority(_remix(hashes, k))) for k in range(words)]
+    # a key's lowest bits tell which least hash it is
+    keys = [_signed(int(_remix(hashes, words + k).min()) // least * least + k if len(hashes) else k) for k in range(least)]
+    return prints, keys
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3) -> DataFrame:
-    """(doc_id long, fp long), a row for each row of docs; fp holds the 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1, least: int = 0) -> DataFrame:
+    """(doc_id long, sign long, fp array<long>, keys array<long>), a row for each row of docs; sign is the text's xxhash64."""
 
     def rows(batches):
-        for ids, texts in batches:
-            yield [ids, [_signed(fingerprint(t, width)) for t in texts]]
+        for ids, signs, texts in batches:
+            made = [sketch(t, width, words, least) for t in texts]
+            yield [ids, signs, [p for p, _ in made], [k for _, k in made]]
+
+    signed = project(docs, id_col, text_col).select("doc_id", F.xxhash64("text"), "text")
+    return map_rows(signed, rows, "doc_id long, sign long, fp array<long>, keys array<long>")
+
 
-    return map_rows(project(docs, id_col, text_col), rows, "doc_id long, fp long")
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Bits that differ; the last axis holds a fingerprint's words."""
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
 def _forest(fp: np.ndarray, near: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,9 +109,9 @@ def _forest(fp: np.ndarray, near: np.ndarray, radius: int) -> tuple[np.ndarray,
         while len(front) and len(left):
             found = np.zeros(len(left), bool)
             by = np.zeros(len(left), np.int64)
-            for at in range(0, len(front), 256):
-                part = front[at : at + 256]
-                close = np.bitwise_count(fp[part][:, None] ^ fp[left][None, :]) <= radius
+            for at in range(0, len(front), 64):
+                part = front[at : at + 64]
+                close = _far(fp[part][:, None], fp[left][None, :]) <= radius
                 if cross:
                     close &= near[part][:, None] != near[left][None, :]
                 hit = close.any(axis=0) & ~found
@@ -92,38 +130,35 @@ def _small(fp: np.ndarray, unit: np.ndarray, size: np.ndarray, radius: int) -> t
     child, parent = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for k in range(1, int(size.max(initial=1))):
         i = np.flatnonzero(unit[k:] == unit[:-k])
-        i = i[np.bitwise_count(fp[i] ^ fp[i + k]) <= radius]
+        i = i[_far(fp[i], fp[i + k]) <= radius]
         child.append(i + k)
         parent.append(i)
     return np.concatenate(child), np.concatenate(parent)
 
 
-def _compare(radius: int):
+def _compare(radius: int, words: int):
     few = 6
 
-    def solve(u1, u2, side, fp):
-        unit = np.flatnonzero(np.concatenate(([True], (u1[1:] != u1[:-1]) | (u2[1:] != u2[:-1])))) if len(fp) else np.zeros(0, np.int64)
-        size = np.diff(np.append(unit, len(fp)))
-        number, count = np.repeat(np.arange(len(unit)), size), np.repeat(size, size)
-        a, b = [], []
-        rows = np.flatnonzero((count <= few) & (side == 0))
-        # a tile pair may be small too, but then its side column is set and it goes below
+    def solve(u1, u2, side, node, fp):
+        unit = np.flatnonzero(np.concatenate(([True], (u1[1:] != u1[:-1]) | (u2[1:] != u2[:-1]))))
+        size = np.diff(np.append(unit, len(node)))
+        number = np.repeat(np.arange(len(unit)), size)
         pure = np.ones(len(unit), bool)
-        np.logical_and.at(pure, number, side == 0)
-        rows = rows[pure[number[rows]]]
-        c, p = _small(fp[rows], number[rows], size[number[rows]] if len(rows) else size[:0], radius)
-        a.append(fp[rows][c]), b.append(fp[rows][p])
+        pure[number[side > 0]] = False
+        child, parent = [], []
+        rows = np.flatnonzero((size <= few)[number] & pure[number])
+        c, p = _small(fp[rows], number[rows], size[number[rows]], radius)
+        child.append(node[rows][c]), parent.append(node[rows][p])
         for k in np.flatnonzero((size > few) | ~pure):
             part = slice(unit[k], unit[k] + size[k])
             c, p = _forest(fp[part], side[part], radius)
-            a.append(fp[part][c]), b.append(fp[part][p])
-        return [np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)]
+            child.append(node[part][c]), parent.append(node[part][p])
+        return [np.concatenate(child), np.concatenate(parent)]
 
     def rows(batches):
         held = None
-        for columns in batches:
-            u1, u2, side, fp = (np.array(c, np.int64) for c in columns)
-            now = [u1, u2, side, fp.view(np.uint64)]
+        for u1, u2, side, node, fp in batches:
+            now = [*(np.array(c, np.int64) for c in (u1, u2, side, node)), np.array(fp, np.int64).view(np.uint64).reshape(-1, words)]
             held = now if held is None else [np.concatenate(x) for x in zip(held, now)]
             last = np.flatnonzero((held[0] != held[0][-1]) | (held[1] != held[1][-1]))
             if len(last) and len(held[0]) >= 20_000:  # what may go on in the next batch stays
@@ -136,45 +171,77 @@ def _compare(radius: int):
     return rows
 
 
-def links(prints: DataFrame, radius: int = 2, tile: int = TILE) -> DataFrame:
-    """(fp long, ...) distinct fingerprints -> (a long, b long), edges that connect all within radius.
-
-    Not every pair is returned, but whatever pairs connect, the edges connect.
-    """
+def band_keys(fp: F.Column, radius: int) -> F.Column:
+    """Block keys of a 64-bit fingerprint: radius + 1 bands' values, each with its band."""
     bands = radius + 1
     at = [BITS * i // bands for i in range(bands + 1)]
-    keys = F.array(*(F.struct(F.lit(i).alias("band"), F.shiftright("fp", at[i]).bitwiseAND(F.lit((1 << (at[i + 1] - at[i])) - 1)).alias("value")) for i in range(bands)))
-    rows = prints.select("fp", F.bit_count("fp").alias("pop"), F.explode(keys).alias("k")).select("fp", "pop", ((F.col("k.value") * bands) + F.col("k.band")).alias("bucket"))
+    return F.array(*(F.shiftright(fp, at[i]).bitwiseAND(F.lit((1 << (at[i + 1] - at[i])) - 1)) * bands + i for i in range(bands)))
+
+
+def links(prints: DataFrame, radius: int = 2, words: int = 1, tile: int = TILE) -> DataFrame:
+    """(node long, fp array<long>, keys array<long>) -> (a long, b long), edges between nodes within radius.
+
+    Not every pair that shares a key is returned, but whatever such pairs connect, the
+    edges connect, and no unit gives more edges than it has rows.
+    """
+    pop = F.aggregate("fp", F.lit(0), lambda a, x: a + F.bit_count(x))
+    rows = prints.select("node", "fp", pop.alias("pop"), F.explode("keys").alias("bucket"))
     sizes = rows.groupBy("bucket", "pop").agg(F.count("*").alias("n"))
+    # a bucket has at most a row for each population count, so its list stays short
     totals = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.collect_list(F.struct("pop", "n")).alias("pops")).where("n > 1")
-    # a bucket has at most 65 population counts, so its list stays short
-    salts = F.ceil(F.col("n") / F.lit(float(tile))).cast("int")
-    small = rows.join(totals.where(F.col("n") <= tile).select("bucket"), "bucket").select("bucket", F.lit(0).cast("long").alias("pair"), F.lit(0).cast("long").alias("side"), "fp")
-    tiles = totals.where(F.col("n") > tile).select("bucket", F.explode("pops").alias("p")).select("bucket", F.col("p.pop").alias("pop"), F.when(F.col("p.n") > tile, F.ceil(F.col("p.n") / F.lit(float(tile)))).otherwise(1).cast("int").alias("salts"))
+    zero = F.lit(0).cast("long")
+    small = rows.join(totals.where(F.col("n") <= tile).select("bucket"), "bucket").select("bucket", zero.alias("pair"), zero.alias("side"), "node", "fp")
+    split = F.ceil(F.col("p.n") / F.lit(float(tile))).cast("int")
+    tiles = totals.where(F.col("n") > tile).select("bucket", F.explode("pops").alias("p")).select("bucket", F.col("p.pop").alias("pop"), split.alias("salts"))
     other = tiles.select("bucket", F.col("pop").alias("pop2"), F.col("salts").alias("salts2"))
-    pairs = tiles.join(other, "bucket").where((F.col("pop2") >= F.col("pop")) & (F.col("pop2") - F.col("pop") <= radius))
-    first = pairs.select("bucket", "pop", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "pop2", "salts2").select("bucket", "pop", "salt", "pop2", F.explode(F.sequence(F.lit(0), F.col("salts2") - 1)).alias("salt2")).where((F.col("pop") < F.col("pop2")) | (F.col("salt") <= F.col("salt2")))
-    number = F.xxhash64("pop", "salt", "pop2", "salt2")
-    same = (F.col("pop") == F.col("pop2")) & (F.col("salt") == F.col("salt2"))
-    parts = first.select("bucket", number.alias("pair"), F.lit(0).cast("long").alias("side"), "pop", "salt").union(first.where(~same).select("bucket", number, F.lit(1).cast("long"), "pop2", "salt2"))
-    salted = rows.join(tiles, ["bucket", "pop"]).withColumn("salt", F.pmod(F.xxhash64("fp"), F.col("salts")).cast("int"))
-    large = salted.join(parts, ["bucket", "pop", "salt"]).select("bucket", "pair", "side", "fp")
-    units = small.union(large).repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "side", "fp")
-    return map_rows(units, _compare(radius), "a long, b long")
+    near = tiles.join(other, "bucket").where((F.col("pop2") >= F.col("pop")) & (F.col("pop2") - F.col("pop") <= radius))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    pairs = near.select("bucket", "pop", every("salts").alias("salt"), "pop2", "salts2").select("bucket", "pop", "salt", "pop2", every("salts2").alias("salt2"))
+    pairs = pairs.where((F.col("pop") < F.col("pop2")) | (F.col("salt") <= F.col("salt2"))).withColumn("pair", F.xxhash64("pop", "salt", "pop2", "salt2"))
+    second = pairs.where((F.col("pop") < F.col("pop2")) | (F.col("salt") < F.col("salt2"))).select("bucket", "pair", F.lit(1).cast("long").alias("side"), F.col("pop2").alias("pop"), F.col("salt2").alias("salt"))
+    parts = pairs.select("bucket", "pair", zero.alias("side"), "pop", "salt").union(second)
+    salted = rows.join(tiles, ["bucket", "pop"]).withColumn("salt", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int"))
+    large = salted.join(parts, ["bucket", "pop", "salt"]).select("bucket", "pair", "side", "node", "fp")
+    units = small.union(large).repartition("bucket", "pair").sortWithinPartitions("bucket", "pair", "side", "node")
+    return map_rows(units, _compare(radius, words), "a long, b long")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, words: int = 1, least: int = 0) -> DataFrame:
+    """(doc_id long, sign long, fp array<long>, component_id long), a row for each row of docs.
+
+    With least = 0 (and one word) blocks are bands, and every pair within radius is
+    found; else blocks are `least` least shingle hashes. component_id is the smallest
+    doc_id reachable over links of at most radius bits. Null, empty and blank texts have
+    fingerprint zero and link like any other. Repeated rows stay repeated. A null doc_id
+    can't be a component's name: component_id is null only if no row of the component
+    has a doc_id. Other columns are not read.
+    """
+    if not least and words != 1:
+        raise ValueError("bands need fingerprints of one word")
+    prints, _ = stage(fingerprints(docs, id_col, text_col, width, words, least), "fingerprints")
+    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys"))
+    if not least:
+        groups = groups.withColumn("keys", band_keys(F.col("fp")[0], radius))
+    groups, _ = stage(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
+    roots = connected_components(links(groups.select("node", "fp", "keys"), radius, words))
+    joined = groups.select("fp", "least", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "own").alias("root"))
+    names = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    of, _ = stage(joined.join(names, "root").select("fp", "component_id"), "members")
+    return prints.select("doc_id", "sign", "fp").join(of, "fp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
-    """(doc_id long, fingerprint string, component_id long), a row for each row of docs.
+    """(doc_id long, fingerprint string, component_id long): components() of 64-bit fingerprints linked within radius."""
+    found = components(docs, id_col, text_col, width, radius)
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
 
-    component_id is the smallest doc_id reachable over links of at most radius bits.
-    Null, empty and blank texts have fingerprint zero and link like any other. Repeated
-    rows stay repeated. A null doc_id can't be a component's name: component_id is null
-    only if no row of the component has a doc_id. Other columns are not read.
-    """
-    prints, _ = stage(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    groups, _ = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "groups")
-    nodes = connected_components(links(groups.select("fp"), radius))
-    joined = groups.join(nodes, groups.fp == nodes.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of, _ = stage(joined.join(least, "root").select("fp", "component_id"), "members")
-    return prints.join(of, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+#: For texts whose sets of five-word shingles have a similarity of 0.8 or more: bits in
+#: a wide fingerprint, and the radius that such pairs keep within nine times in ten
+#: (256 * acos(2 s / (1 + s)) / pi is 39 bits at 0.8, with a deviation of 6).
+COPIES = {"width": 5, "words": 4, "radius": 46, "least": 6}
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, sign, fp, component_id): components() of near copies under COPIES."""
+    return components(docs, id_col, text_col, **COPIES)
