@@ -26,3 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
         return f
 
     return add
+
+
+# Each module registers its queries when it is imported.
+from cohortaudit.plans import audit_queries  # noqa: E402, F401
