@@ -146,7 +146,9 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found, _ = stage(map_rows(numbered, rows, ddl), "secrets")
     joined = found.select("row", "doc_id", "sign", "base").join(_linked(found), "row", "left")
     every = F.when(F.col("linked").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "linked")))
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
+    # a second parameter of the function would be the position, so the kind comes from a closure
+    of_kind = lambda k: F.filter("base", lambda s: s["kind"] == k)
+    counts = [F.size(of_kind(k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(3)]
     return joined.select("doc_id", *counts, F.sha2(_named("base"), 256).alias("base_sha256"), _named(every).alias("spans"), every.alias("found"), *["sign"] * with_sign)
 
 
