@@ -150,7 +150,7 @@ def _hits(texts: list, tests: Tests) -> tuple[list[int], list[list[dict]], list[
     for x in seen.tolist():
         d, w = divmod(x, len(tests.starts))
         items[d].update(tests.owners[w])
-    return (shard.end - shard.first).tolist(), spans, [sorted(tests.items[k] for k in s if tests.items[k] is not None) for s in items]
+    return (shard.end - shard.first).tolist(), spans, [sorted({tests.items[k] for k in s} - {None}) for s in items]
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_chars: int):
@@ -169,7 +169,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     A window is `window` consecutive words of an item, or a shorter item whole; spans
     are the stretches [first, last) of a document's words inside windows' occurrences.
     Null and empty texts have no words; items without words and null item ids count for
-    nothing in items; repeated rows stay; other columns are not read.
+    nothing in items, and rows that share an item id are one item; repeated rows stay; other columns are not read.
     """
     docs, spark = project(docs, id_col, text_col), docs.sparkSession
     ddl = "doc_id long, n_words long, spans array<struct<first: long, last: long>>, items array<long>"
