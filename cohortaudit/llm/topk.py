@@ -44,7 +44,7 @@ def _matrices(batches, dim: int):
         flat = v.flatten().to_numpy(zero_copy_only=False)
         ids = b.column(0).to_numpy(zero_copy_only=False)
         if own.any():
-            yield ids[own], (flat if own.all() else flat[np.repeat(own, sizes)]).reshape(-1, dim).astype(np.int64)
+            yield ids[own], (flat if own.all() else flat[np.repeat(own, sizes)]).reshape(int(own.sum()), dim).astype(np.int64)
 
 
 def _product(c: np.ndarray, q: np.ndarray) -> np.ndarray:
