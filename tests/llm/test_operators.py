@@ -1,0 +1,419 @@
+"""Operators against brute force and on odd inputs: nulls, empty, long and repeated rows, clashing columns."""
+
+import collections
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from cohortaudit.llm import decontaminate, langid, licenses, packing, secrets, simhash, token_store, tokens, topk, toxicity, urls
+from cohortaudit.llm.components import connected_components
+
+ODD = [None, "", " \n ", "a", "ß", "the cat", "é" * 3000, "x " * 4000]
+
+
+def frame(spark, texts, first=0):
+    """Documents with repeated rows and with extra columns whose names the operators use themselves."""
+    rows = [(first + i, t, "keep", 1, "s", 2) for i, t in enumerate(texts)]
+    rows.append(rows[0])
+    rows.append((None, "no id here", "keep", 1, "s", 2))
+    return spark.createDataFrame(rows, "doc_id long, text string, row string, part int, fp string, n long")
+
+
+def empty(spark):
+    return spark.createDataFrame([], "doc_id long, text string")
+
+
+# secrets -----------------------------------------------------------------------------
+def brute_secrets(text):
+    text = text or ""
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    found = [(m.start(), 0, m.end()) for m in assign.finditer(text) if len(m.group(2)) >= 6]
+    found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 20]
+    found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 24]
+    return sorted(found)
+
+
+SECRETS = [
+    *ODD,
+    "é token = \"" + "0a" * 20 + "\" ü",
+    "PassWord: abc, passwd=token:abcdefg secret=token=ab api_key='A+/_.=-' paſſword=abcdefgh toKen=abcdefgh",
+    "AKIA" + "A" * 16 + " AKIAB AKIA" + "AKIA" * 6,
+    "f" * 23 + " " + "f" * 24 + "g" + "0" * 30,
+    "token=" * 50,
+]
+
+
+def test_secret_base(spark):
+    got = secrets.find_secrets(frame(spark, SECRETS)).collect()
+    assert len(got) == len(SECRETS) + 2
+    for r in got:
+        want = brute_secrets("no id here" if r.doc_id is None else SECRETS[r.doc_id])
+        text = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in want)
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == j for _, k, _ in want) for j in range(3))
+        assert r.base_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert set(text.split(",")) <= set(r.spans.split(",")) or not text
+    assert secrets.find_secrets(empty(spark)).count() == 0
+
+
+def test_weak_parts_need_each_other(spark):
+    weak = "Qx7fT2mLr9Kd4WvB8nZs1HcJ5pYg3"
+    texts = [f"user=alice key {weak}", f"key {weak} alone", "user=alice alone", f"user=alice\n\n{weak}", f"user=alice {'word ' * 200}{weak}", f"é https://db.internal/x {weak}"]
+    got = {r.doc_id: r for r in secrets.find_secrets(frame(spark, texts)).collect()}
+    assert [bool(got[i].spans) for i in range(6)] == [True, False, False, False, False, True]
+    spans = [s.split(":") for s in got[5].spans.split(",")]
+    assert [texts[5][int(a) : int(b)] for _, a, b in spans] == ["https://db.internal/x", weak]
+
+
+def test_redact_keeps_rows(spark):
+    docs = frame(spark, SECRETS)
+    got = secrets.redact(docs)
+    assert got.columns == docs.columns and got.count() == docs.count()
+    texts = {r.doc_id: r.text for r in got.collect()}
+    assert texts[8] == 'é [secret]" ü' and texts[0] is None and texts[5] == "the cat"
+    assert secrets.mask("abcdef", [(0, 2), (1, 3), (5, 6)]) == "[secret]de[secret]"
+
+
+# urls --------------------------------------------------------------------------------
+def test_url_rules_and_parts(spark):
+    rows = [None, "", "no scheme", "HTTP://WWW.Example.COM/en/A?q#f", "http://a.com", "http://a.com/x", "x://b.net/es/1", "x://b.net/ES/1", "x://net/fr/", "x://notexample.com/en/", "y://u:p@h.org:8/p://q", "z://" + "ü" * 5000 + "/en"]
+    pages = spark.createDataFrame([(i, u, "g") for i, u in enumerate(rows)], "page_id long, url string, grams string")
+    got = {r.page_id: r for r in urls.judge(pages, urls.train(urls.labelled_urls(spark))).collect()}
+    assert len(got) == len(rows)
+    assert [(got[i].host, got[i].path) for i in (0, 1, 2)] == [("", "")] * 3
+    assert (got[3].host, got[3].path, got[3].rule, got[3].verdict) == ("www.example.com", "/en/A", "www.example.com/en/", "allow")
+    assert [got[i].rule for i in range(4, 11)] == [None, "com/", "net/es/", None, "net/fr/", "com/", None]
+    assert (got[10].host, got[10].path) == ("u:p@h.org:8", "/p://q")
+    assert all(r.verdict in ("allow", "block") and 0 <= r.score <= 1 for r in got.values())
+
+
+def test_url_model_knows_its_table(spark):
+    table = urls.labelled_urls(spark)
+    model = urls.train(table)
+    held = spark.createDataFrame([(0, "http://lucky-casino-bonus.org/x"), (1, "http://cheap-viagra-pills.net/en"), (2, "http://city-library-books.org/x"), (3, "http://science-museum.net/en")], "page_id long, url string")
+    assert [r.verdict for r in urls.judge(held, model).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
+
+
+def test_url_plan_is_native(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/b")], "page_id long, url string")
+    plan = urls.judge(pages, urls.train(urls.labelled_urls(spark)))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# tokens ------------------------------------------------------------------------------
+TEXTS = [*ODD, "It's WE'LL don't 12 3/4 ÀÉß ñ", "smart ’quotes’ — 中文 ①", "<|endoftext|> mark", "a\tb\u00a0c\u2028d", "\x00\x1c odd", "word" * 300]
+
+
+def whole_ids(text):
+    return tokens.encoder(tokens.vocabulary()).whole.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("text", TEXTS)
+def test_encoder_gives_the_librarys_ids(text):
+    assert tokens.encoder(tokens.vocabulary()).encode(text).tolist() == whole_ids(text)
+
+
+def test_token_store_round_trip(spark, tmp_path):
+    docs = frame(spark, TEXTS * 3)
+    token_store.write_store(docs, f"file://{tmp_path}/store", parts=3)
+    got = token_store.read_store(spark, f"file://{tmp_path}/store").orderBy("start").collect()
+    assert len(got) == docs.count()
+    assert [r.doc_id is None for r in got] == [True] + [False] * (len(got) - 1)
+    assert [r.doc_id for r in got[1:]] == sorted(r.doc_id for r in got[1:])
+    at = 0
+    for r in got:
+        want = whole_ids("no id here" if r.doc_id is None else (TEXTS * 3)[r.doc_id]) + [1]
+        assert (r.start, r.ids, r.n_tokens) == (at, want, len(want))
+        assert r.ids_crc32 == zlib.crc32(np.array(want, "<u4").tobytes())
+        at += len(want)
+    few = token_store.read_store(spark, f"file://{tmp_path}/store", [3, 9, 777]).collect()
+    assert sorted(r.doc_id for r in few) == [3, 9]
+    assert token_store.offset_index(spark, f"file://{tmp_path}/store").count() == len(got)
+    assert token_store.digests(spark, f"file://{tmp_path}/store").columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
+
+
+def test_token_store_empty(spark, tmp_path):
+    token_store.write_store(empty(spark), f"file://{tmp_path}/store")
+    assert token_store.digests(spark, f"file://{tmp_path}/store").count() == 0
+
+
+def test_serialized_widths():
+    for ids in ([], [1], [65535], [65536, 3]):
+        assert token_store.deserialize(token_store.serialize(np.array(ids, np.uint32))).tolist() == ids
+
+
+# decontamination ---------------------------------------------------------------------
+def brute_windows(docs, items, window=10):
+    wins = collections.defaultdict(set)
+    for i, t in items:
+        w = decontaminate.words_of(t)
+        n = min(window, len(w))
+        for j in range(len(w) - n + 1 if n else 0):
+            wins[tuple(w[j : j + n])].add(i)
+    out = []
+    for d, t in docs:
+        w = decontaminate.words_of(t)
+        hit, found = set(), set()
+        for size in {len(k) for k in wins}:
+            for j in range(len(w) - size + 1):
+                if (key := tuple(w[j : j + size])) in wins:
+                    hit |= set(range(j, j + size))
+                    found |= wins[key]
+        out.append((d, len(w), len(hit), sorted(x for x in found if x is not None)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("block", [10**6, 120])
+def test_decontamination(spark, block):
+    rng = random.Random(3)
+    vocabulary = ["the", "cat", "é", "b2", "zz", "of", "no"]
+    items = [(i, " ".join(rng.choices(vocabulary, k=rng.choice([3, 9, 10, 11, 30])))) for i in range(12)] + [(20, None), (21, "--"), (22, "The-CAT!"), (22, "the cat"), (None, "zz zz zz")]
+    texts = list(ODD)
+    for _ in range(12):
+        text = " ".join(rng.choices(vocabulary, k=60))
+        texts.append(text + "," + rng.choice(items[:12])[1].upper() if rng.random() < 0.6 else text)
+    docs = frame(spark, texts)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.hits(docs, bench, block_chars=block).collect()
+    mine = sorted(((r.doc_id, r.n_words, sum(s.last - s.first for s in r.spans), sorted(r["items"])) for r in got), key=str)
+    assert mine == brute_windows([(r.doc_id, r.text) for r in docs.collect()], items)
+    one = {r.doc_id: r for r in decontaminate.contamination(docs, bench, block_chars=block).collect()}
+    assert one[0].n_words == 0 and not one[0].contaminated
+    assert decontaminate.items_digest([]) == one[0].items_sha256
+
+
+def test_longest_matches(spark):
+    docs = spark.createDataFrame([(1, "a b c d x a b c d e"), (2, "q a b c d e f"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, "a b c d e f"), (8, "none")], "item_id long, text string")
+    got = {(r.item_id, r.position): (r.length, r.doc_id, r.start) for r in decontaminate.longest_matches(docs, bench, least=2).collect()}
+    assert got == {(7, k): (6 - k, 2, 1 + k) for k in range(5)}
+
+
+def test_decontamination_of_nothing(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert [r.n_hit for r in decontaminate.contamination(frame(spark, ["a b"]), none).collect()] == [0, 0, 0]
+    assert decontaminate.contamination(empty(spark), none).count() == 0
+
+
+# toxicity ----------------------------------------------------------------------------
+def test_ordinal_fit_recovers_order():
+    rng = np.random.default_rng(0)
+    x = rng.poisson(0.5, (600, 3)).astype(float)
+    latent = x @ np.array([2.0, 1.0, 0.0]) + rng.logistic(size=600)
+    grade = np.searchsorted([1.0, 2.5, 4.0], latent)
+    w, t = toxicity.fit_ordinal(x, grade, 4)
+    assert w[0] > w[1] > 0.4 and abs(w[2]) < 0.5 and (np.diff(t) > 0).all()
+
+
+def test_toxicity_held_out(spark):
+    rng = random.Random(5)
+    plain = [f"w{i}" for i in range(300)]
+    bad = ["vile", "rot", "foul", "scab"]
+    make = lambda toxic: " ".join(rng.choices(plain, k=rng.randrange(20, 300)) + (rng.choices(bad, k=rng.randrange(2, 9)) if toxic else []))
+    kinds = [rng.random() < 0.3 for _ in range(700)]
+    docs = spark.createDataFrame([(i, make(t)) for i, t in enumerate(kinds)] + [(900, None), (901, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(t)) for i, t in enumerate(kinds) if i < 400] + [(None, 1), (5000, 1), (3, None)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in toxicity.grade(docs, toxicity.train(docs, labels)).collect()}
+    assert len(got) == 702
+    wrong = sum(got[i].toxic != kinds[i] for i in range(400, 700))
+    assert wrong <= 6
+    assert not got[900].toxic and 0 <= got[900].expected_severity <= 3
+    blank = toxicity.train(docs, labels.where("toxic = 0"))
+    assert not any(r.toxic for r in toxicity.grade(docs, blank).collect())
+
+
+# simhash -----------------------------------------------------------------------------
+def brute_components(prints, radius):
+    root = dict.fromkeys(prints)
+    for k in root:
+        root[k] = k
+    keys = sorted(prints)
+    for i, a in enumerate(keys):
+        for b in keys[:i]:
+            if (prints[a] ^ prints[b]).bit_count() <= radius and root[a] != root[b]:
+                x, y = root[a], root[b]
+                for k in keys:
+                    if root[k] == x:
+                        root[k] = y
+    low = {}
+    for k in keys:
+        low.setdefault(root[k], k)
+    return {k: low[root[k]] for k in keys}
+
+
+def slow_fingerprint(text, width=3):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in text or "")) if w]
+    if not words:
+        return 0
+    n = min(width, len(words))
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + n]).encode(), 42) for i in range(len(words) - n + 1)]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def test_fingerprints_and_components(spark):
+    rng = random.Random(1)
+    base = " ".join(rng.choices(["a", "bc", "D", "é\u00a0x"], k=400))
+    texts = [*ODD, base, base, base + " a", base.upper(), *(" ".join(rng.choices("abcdef", k=5)) for _ in range(30))]
+    got = simhash.near_duplicates(frame(spark, texts)).collect()
+    assert len(got) == len(texts) + 2
+    prints = {i: slow_fingerprint(t) for i, t in enumerate(texts)}
+    want = brute_components(prints, 2)
+    for r in got:
+        if r.doc_id is not None:
+            assert r.fingerprint == f"{prints[r.doc_id]:016x}"
+            assert r.component_id == want[r.doc_id]
+        else:
+            assert r.component_id is None
+    assert simhash.near_duplicates(empty(spark)).count() == 0
+
+
+def test_tiles_of_hot_buckets(spark):
+    rng = np.random.default_rng(1)
+    found = {int(x) for x in rng.integers(0, 1 << 62, 60)}
+    for b in sorted(found)[:3]:
+        for _ in range(150):
+            v = b
+            for k in rng.integers(0, 62, rng.integers(1, 4)):
+                v ^= 1 << int(k)
+            found.add(v)
+    xs = sorted(found)
+    rows = spark.createDataFrame([(x, [x]) for x in xs], "node long, fp array<long>").withColumn("keys", simhash.band_keys(F.col("fp")[0], 2))
+    got = {r.node: r.root for r in connected_components(simhash.links(rows, 2, tile=16)).collect()}
+    want = brute_components({x: x for x in xs}, 2)
+    assert {k: got.get(k, k) for k in xs} == want
+
+
+def test_components_of_a_chain(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (7, 6)], "a long, b long")
+    assert {r.node: r.root for r in connected_components(chain).collect()} == dict.fromkeys(range(61), 0)
+    assert connected_components(chain.where("a < 0")).count() == 0
+
+
+def test_near_copies_at_five_words(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(30):
+        words = [f"w{rng.randrange(4000)}" for _ in range(400)]
+        near = list(words)
+        for _ in range(4):
+            near[rng.randrange(400)] = "changed"
+        texts += [" ".join(words), " ".join(near)]
+    got = {r.doc_id: r.component_id for r in simhash.copies(frame(spark, texts)).collect()}
+    assert sum(got[i] == got[i + 1] for i in range(0, 60, 2)) >= 29
+    assert len({got[i] for i in range(0, 60, 2)}) == 30
+
+
+# licences ----------------------------------------------------------------------------
+def test_license_base(spark):
+    texts = [*ODD, "CC-BY, cc by all rights  RESERVED cc\nby-nc", "ccby acc by cc byé", "GNU General Public License general public license all rights reserved", "SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND Apache-2.0 ) junk"]
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        words = [w.decode() for w in decontaminate.words_of(t)]
+        places = [(j, label) for phrase, label in licenses.BASE.items() for j in range(len(words)) if words[j : j + len(phrase.split())] == phrase.split()]
+        r = got[i]
+        assert (r.n_words, r.n_base, r.base_labels) == (len(words), len(places), ",".join(sorted({p for _, p in places})))
+        assert (r.first_word, r.last_word) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert 0 <= r.score <= 1 and set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(","))
+    assert got[len(texts) - 1].labels == "apache-2.0,gpl-2.0-only-with-classpath-exception-2.0,mit"
+    assert got[len(texts) - 1].terms == "permissive"
+    assert licenses.scan_licenses(empty(spark)).count() == 0
+
+
+def test_license_expressions():
+    run = lambda s: licenses.evaluate(licenses.postfix(licenses._TOKEN.findall(s)))
+    assert run("MIT OR GPL-3.0 AND AGPL-3.0") == (["agpl-3.0", "gpl-3.0", "mit"], 0)
+    assert run("(MIT OR GPL-3.0) AND AGPL-3.0")[1] == 3
+    assert run("GPL-2.0+ WITH x") == (["gpl-2.0+-with-x"], 1)
+    assert run("MIT and then some")[0] == ["mit", "then"]
+    for bad in ("", "AND MIT", "(MIT", ")"):
+        with pytest.raises(ValueError):
+            run(bad)
+
+
+# top-k -------------------------------------------------------------------------------
+def brute_topk(rows, k, every):
+    out = []
+    usable = [(i, [int(np.floor(256 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    for q, v in usable:
+        if q % every == 0:
+            best = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in usable if i != q and len(w) == len(v)))[:k]
+            out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block", [2048, 3])
+def test_topk(spark, block):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in np.round(rng.normal(size=9), 1)]) for i in range(150)]
+    rows += [(i, rows[3][1]) for i in range(150, 180)]
+    rows += [(200, None), (201, [1.0, None] + [0.0] * 7), (202, [float("nan")] * 9), (203, [float("inf")] * 9), (250, [1.0, 2.0]), (251, [2.0, 1.0]), (300, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    v = topk.quantize(table)
+    got = topk.top_k(v.where("vec_id % 50 = 0"), v, 5, block=block)
+    assert sorted(map(tuple, got.collect())) == brute_topk(rows, 5, 50)
+
+
+def test_topk_of_nothing(spark):
+    v = topk.quantize(spark.createDataFrame([], "vec_id long, embedding array<float>"))
+    assert topk.top_k(v, v).count() == 0
+
+
+# packing -----------------------------------------------------------------------------
+def test_packing(spark):
+    texts = [*TEXTS, *("pack me " * n for n in (5, 700, 3000))]
+    got = packing.pack(frame(spark, texts).coalesce(1), length=256, window=4).collect()
+    sequences, documents = collections.defaultdict(list), collections.defaultdict(list)
+    for r in got:
+        sequences[r.sequence_id].append(r)
+        documents[r.doc_id].append(r)
+    for pieces in sequences.values():
+        at = 0
+        for r in sorted(pieces, key=lambda r: r.offset):
+            assert r.offset == at
+            at += r.length
+        assert at == 256 or at.bit_count() == 1
+    for d, pieces in documents.items():
+        want = whole_ids("no id here" if d is None else texts[d]) + [2]
+        copies = 2 if d == 0 else 1
+        assert sum(r.length for r in pieces) == copies * len(want)
+        for r in pieces:
+            assert r.doc_tokens == len(want)
+            assert r.ids_crc32 == zlib.crc32(np.array(want[r.start : r.start + r.length], "<u4").tobytes())
+    assert packing.pack(empty(spark)).count() == 0
+
+
+def test_assignment_balances_cost():
+    laid = packing.assign([60, 50, 40, 30, 20], [100, 100])
+    load = [sum(packing.cost(n) for _, _, n, s in laid if s == k) for k in (0, 1)]
+    assert sum(n for _, _, n, _ in laid) == 200 and abs(load[0] - load[1]) < 25
+    assert packing.powers(1234) == [1024, 128, 64, 16, 2]
+
+
+# language ----------------------------------------------------------------------------
+def test_language(spark):
+    rng = random.Random(4)
+    words = {"aa": ["kalo", "mirat", "ulen", "tosk"], "bb": ["çeuf", "brign", "stroh", "wexi"], "cc": ["niiha", "yoyu", "quopp", "zazz"]}
+    rows = [(i, " ".join(rng.choices(words[k], k=rng.randrange(3, 60))), k) for i in range(400) for k in [rng.choice(list(words))]]
+    rows += [(1000, None, "aa"), (1001, "", None), (1002, "12 !", "bb"), (1003, "a", None), (None, "kalo mirat", "aa")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs, langid.train(docs)).collect()}
+    assert len(got) == len(rows)
+    for i in range(400):
+        assert got[i].held_out == (zlib.crc32(str(i).encode()) % 4 == 2)
+        assert got[i].lang_pred == rows[i][2] and 0.5 < got[i].score <= 1
+    assert [got[i].lang_pred for i in (1000, 1001, 1002)] == ["und"] * 3
+    assert got[1003].lang_pred in words and not got[None].held_out
+    nothing = langid.train(docs.where("lang is null"))
+    assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
+
+
+def test_language_filters_of_many():
+    f = langid.Filters([f"l{i:03}" for i in range(130)], "l000")
+    for i in range(130):
+        f.add(i, langid.grams(f"zq{i:03}x wer{chr(97 + i % 26)}{chr(97 + i // 26)}ty{chr(97 + i // 26)}"))
+    assert f.predict("werafty werafty wer" + chr(97 + 129 % 26) + chr(97 + 129 // 26) + "ty" + chr(97 + 129 // 26))[0] == "l129"
