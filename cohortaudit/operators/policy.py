@@ -44,15 +44,15 @@ def grid_thresholds(df: DataFrame, by: list[str], p: str = "p", y: str = "y", we
 def exact_thresholds(df: DataFrame, by: list[str], p: str = "p", y: str = "y") -> DataFrame:
     """K2: as K1 over the candidates 0, every value of p, and one above 1; ties go to the nearest to 0.5, then the smaller."""
     rows = df.where(F.col(y).isNotNull())
-    hist = rows.groupBy(*by, F.col(p).alias("t")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"))
-    ends = hist.select(*by).distinct().withColumn("t", F.explode(F.array(F.lit(0.0), F.lit(math.nextafter(1.0, 2.0))))).withColumns({"pos": F.lit(0).cast("long"), "neg": F.lit(0).cast("long")})
-    every = hist.unionByName(ends).groupBy(*by, "t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    above = Window.partitionBy(*by).orderBy(F.desc("t"))
+    hist = rows.groupBy(*by, F.col(p).alias("_t")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"))
+    ends = hist.select(*by).distinct().withColumn("_t", F.explode(F.array(F.lit(0.0), F.lit(math.nextafter(1.0, 2.0))))).withColumns({"pos": F.lit(0).cast("long"), "neg": F.lit(0).cast("long")})
+    every = hist.unionByName(ends).groupBy(*by, "_t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    above = Window.partitionBy(*by).orderBy(F.desc("_t"))
     total = Window.partitionBy(*by)
     got = every.withColumns({"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above), "all_pos": F.sum("pos").over(total), "all_neg": F.sum("neg").over(total)})
     score = (F.try_divide(F.col("tp").cast("double"), F.col("all_pos")) + F.try_divide((F.col("all_neg") - F.col("fp")).cast("double"), F.col("all_neg"))) / 2
-    best = got.withColumn("s", score).groupBy(*by).agg(F.max("s").alias("balanced_accuracy"), F.min_by("t", F.struct(-F.col("s"), F.abs(F.col("t") - 0.5), "t")).alias("t"))
-    return best.select(*by, F.when(F.col("balanced_accuracy").isNull(), 0.5).otherwise(F.col("t")).alias("threshold"), F.round("balanced_accuracy", DIGITS).alias("balanced_accuracy"))
+    best = got.withColumn("_s", score).groupBy(*by).agg(F.max("_s").alias("balanced_accuracy"), F.min_by("_t", F.struct(-F.col("_s"), F.abs(F.col("_t") - 0.5), "_t")).alias("_b"))
+    return best.select(*by, F.when(F.col("balanced_accuracy").isNull(), 0.5).otherwise(F.col("_b")).alias("threshold"), F.round("balanced_accuracy", DIGITS).alias("balanced_accuracy"))
 
 
 def study_confidence(df: DataFrame, keys: list[str], mode: str = "min", p: str = "p") -> DataFrame:
