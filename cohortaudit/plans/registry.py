@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 # Each module registers its queries when it is imported.
-from cohortaudit.plans import audit_queries, cohort_queries, join_queries, risk_queries, section_queries  # noqa: E402, F401
+from cohortaudit.plans import audit_queries, cohort_queries, join_queries, risk_queries, section_queries, store_queries  # noqa: E402, F401
