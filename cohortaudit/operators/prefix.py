@@ -14,10 +14,10 @@ def _place(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("double")
 
 
-def _part(df: DataFrame, name: str, descending: bool, parts: int) -> Column:
+def _part(df: DataFrame, name: str, descending: bool, parts: int, edges: list[float] | None) -> Column:
     """The part of a row by its first order column: a plain function of the value, so that every use of it agrees."""
     v = _place(df, name)
-    found = df.agg(F.percentile_approx(v, F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(10_000))).first()[0] if parts > 1 else None
+    found = edges if edges is not None else df.agg(F.percentile_approx(v, F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(10_000))).first()[0] if parts > 1 else None
     edges = sorted(set(found or []))
     # null is the smallest value
     above = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= v)) if edges else F.lit(0)
@@ -25,15 +25,16 @@ def _part(df: DataFrame, name: str, descending: bool, parts: int) -> Column:
     return -at if descending else at
 
 
-def running_sums(df: DataFrame, by: list[str], order: list[tuple[str, bool]], values: list[str], parts: int | None = None) -> DataFrame:
+def running_sums(df: DataFrame, by: list[str], order: list[tuple[str, bool]], values: list[str], parts: int | None = None, edges: list[float] | None = None) -> DataFrame:
     """df with cum_<value> for each value: its sum over the rows up to each one, in groups and in the order given.
 
     order is (column, descending), and is to be total in each group; nulls are smallest.
-    Rows are cut into parts by the first column's quantiles, summed inside each part, and
-    the parts' totals (one a part and group) are carried over.
+    Rows are cut into parts by the first column's quantiles (found by a pass over df, or
+    given as edges where its range is known), summed inside each part, and the parts'
+    totals (one a part and group) are carried over.
     """
     n = parts or min(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    laid = df.withColumn("_part", _part(df, *order[0], n))
+    laid = df.withColumn("_part", _part(df, *order[0], n, edges))
     columns = [F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in order]
     inside = Window.partitionBy("_part", *by).orderBy(*columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = laid.withColumns({f"cum_{v}": F.sum(v).over(inside) for v in values})

@@ -15,6 +15,8 @@ from cohortaudit.functions import values as V
 from cohortaudit.operators.audit import DIGITS, count_if, ratio
 from cohortaudit.operators.prefix import running_sums
 
+#: Edges of 32 equal parts of [0, 1].
+UNIT = [i / 32 for i in range(1, 32)]
 ESTIMATORS = ("original", "evaluable_study", "cell_micro", "pathology_macro")
 
 
@@ -104,11 +106,14 @@ def contrasts(levels: DataFrame, model: str, site: str, condition: str, value: s
     return got.select(model, d("e0", "s0").alias("gap"), d("s1", "s0").alias("penalty_source"), d("e1", "e0").alias("penalty_external"), F.round((F.col("e1") - F.col("e0")) - (F.col("s1") - F.col("s0")), DIGITS).alias("interaction"))
 
 
-def curve(df: DataFrame, by: list[str], confidence: str, error: str, key: str, weight: str | None = None) -> DataFrame:
-    """Rows with an error, most confident first (ties by key), with cumulative weight, weighted error, coverage and risk."""
+def curve(df: DataFrame, by: list[str], confidence: str, error: str, key: str, weight: str | None = None, edges: list[float] | None = None) -> DataFrame:
+    """Rows with an error, most confident first (ties by key), with cumulative weight, weighted error, coverage and risk.
+
+    edges: see running_sums(); UNIT suits confidences between 0 and 1.
+    """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.where(F.col(error).isNotNull()).select(*by, key, F.col(confidence).alias("_c"), w.alias("w"), (w * F.col(error)).alias("we"))
-    run = running_sums(rows, by, [("_c", True), (key, False)], ["w", "we"])
+    run = running_sums(rows, by, [("_c", True), (key, False)], ["w", "we"], edges=edges)
     totals = rows.groupBy(*by).agg(F.sum("w").alias("total"))
     return run.join(F.broadcast(totals), by).withColumns({"coverage": F.col("cum_w") / F.col("total"), "risk": F.coalesce(F.try_divide("cum_we", "cum_w"), F.lit(0.0))})
 
@@ -126,24 +131,24 @@ def areas(points: DataFrame, by: list[str]) -> DataFrame:
     return points.groupBy(*by).agg(F.round(F.sum(F.col("w") * F.col("risk")) / F.max("total"), DIGITS).alias("aurc"), F.round(F.sum(F.col("w") * F.col("cum_we") / F.col("total")) / F.max("total"), DIGITS).alias("augrc"))
 
 
-def _by_score(df: DataFrame, by: list[str], score: str, positive: Column, weight: str | None, descending: bool) -> DataFrame:
+def _by_score(df: DataFrame, by: list[str], score: str, positive: Column, weight: str | None, descending: bool, edges: list[float] | None = None) -> DataFrame:
     """Distinct scores with their positive and negative weight and running sums of both."""
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     rows = df.where(positive.isNotNull() & F.col(score).isNotNull()).select(*by, F.col(score).alias("_s"), F.when(positive, w).otherwise(0.0).alias("pos"), F.when(positive, 0.0).otherwise(w).alias("neg"))
     per = rows.groupBy(*by, "_s").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    return running_sums(per, by, [("_s", descending)], ["pos", "neg"])
+    return running_sums(per, by, [("_s", descending)], ["pos", "neg"], edges=edges)
 
 
-def auroc(df: DataFrame, by: list[str], score: str, positive: Column, weight: str | None = None) -> DataFrame:
+def auroc(df: DataFrame, by: list[str], score: str, positive: Column, weight: str | None = None, edges: list[float] | None = None) -> DataFrame:
     """(by, n_pos, n_neg, auroc): the chance that a positive scores above a negative, ties half; null with one class."""
-    run = _by_score(df, by, score, positive, weight, False)
+    run = _by_score(df, by, score, positive, weight, False, edges)
     u = F.sum(F.col("pos") * (F.col("cum_neg") - F.col("neg") / 2))
     return run.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.round(F.try_divide(u, F.sum("pos") * F.sum("neg")), DIGITS).alias("auroc"))
 
 
-def average_precision(df: DataFrame, by: list[str], score: str, positive: Column) -> DataFrame:
+def average_precision(df: DataFrame, by: list[str], score: str, positive: Column, edges: list[float] | None = None) -> DataFrame:
     """(by, average_precision): the sum of recall steps times precision, scores descending; null without positives."""
-    run = _by_score(df, by, score, positive, None, True)
+    run = _by_score(df, by, score, positive, None, True, edges)
     area = F.sum(F.col("pos") * F.try_divide("cum_pos", F.col("cum_pos") + F.col("cum_neg")))
     return run.groupBy(*by).agg(F.round(F.try_divide(area, F.sum("pos")), DIGITS).alias("average_precision"))
 

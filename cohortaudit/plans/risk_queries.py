@@ -439,17 +439,17 @@ curve as (select *, cum_w / total as coverage, cum_we / cum_w as risk from pts)"
 
 @query("w5_curve", f"with {CURVE} select site, model, study, round(coverage, 12) as coverage, round(risk, 12) as risk from curve")
 def w5(spark, sf):
-    return R.curve(_c0(spark, sf), ["site", "model"], "confidence", "error", "study").select("site", "model", "study", F.round("coverage", 12).alias("coverage"), F.round("risk", 12).alias("risk"))
+    return R.curve(_c0(spark, sf), ["site", "model"], "confidence", "error", "study", edges=R.UNIT).select("site", "model", "study", F.round("coverage", 12).alias("coverage"), F.round("risk", 12).alias("risk"))
 
 
 @query("w5_curve_at", f"with {CURVE} select site, model, grid, round(coalesce(min_by(risk, coverage) filter (coverage >= grid), max_by(risk, coverage)), 6) as risk from curve cross join (select unnest([0.25::double, 0.5, 0.75, 1.0]) as grid) group by 1, 2, 3")
 def w5b(spark, sf):
-    return R.curve_at(R.curve(_c0(spark, sf), ["site", "model"], "confidence", "error", "study"), ["site", "model"], [0.25, 0.5, 0.75, 1.0])
+    return R.curve_at(R.curve(_c0(spark, sf), ["site", "model"], "confidence", "error", "study", edges=R.UNIT), ["site", "model"], [0.25, 0.5, 0.75, 1.0])
 
 
 @query("r10_areas", f"with {CURVE} select site, model, round(sum(risk) / max(total), 6) as aurc, round(sum(cum_we / total) / max(total), 6) as augrc from curve group by 1, 2")
 def r10(spark, sf):
-    return R.areas(R.curve(_c0(spark, sf), ["site", "model"], "confidence", "error", "study"), ["site", "model"])
+    return R.areas(R.curve(_c0(spark, sf), ["site", "model"], "confidence", "error", "study", edges=R.UNIT), ["site", "model"])
 
 
 def _auc(by: str, score: str, positive: str, source: str) -> str:
@@ -458,22 +458,22 @@ def _auc(by: str, score: str, positive: str, source: str) -> str:
 
 @query("w6_auroc", f"with {PREDICTIONS}, {_auc('site, model, target', 'p', 'y = 1', 'predictions')} select * from auc")
 def w6(spark, sf):
-    return R.auroc(predictions(spark, sf), ["site", "model", "target"], "p", F.col("y") == 1)
+    return R.auroc(predictions(spark, sf), ["site", "model", "target"], "p", F.col("y") == 1, edges=R.UNIT)
 
 
 @query("r11_failure_detection", f"with {C0}, {_auc('site, model', '-confidence', 'error > 0', 'c0')} select site, model, n_pos, n_neg, auroc from auc")
 def r11(spark, sf):
-    return R.auroc(_c0(spark, sf).withColumn("s", -F.col("confidence")), ["site", "model"], "s", F.col("error") > 0)
+    return R.auroc(_c0(spark, sf).withColumn("s", -F.col("confidence")), ["site", "model"], "s", F.col("error") > 0, edges=[x - 1 for x in R.UNIT])
 
 
 @query("r12_macro_auroc", f"with {PREDICTIONS}, {_auc('site, model, target', 'p', 'y = 1', 'predictions')} select site, model, round(avg(auroc), 6) as macro from auc group by 1, 2")
 def r12(spark, sf):
-    return R.macro(R.auroc(predictions(spark, sf), ["site", "model", "target"], "p", F.col("y") == 1), ["site", "model"], "auroc")
+    return R.macro(R.auroc(predictions(spark, sf), ["site", "model", "target"], "p", F.col("y") == 1, edges=R.UNIT), ["site", "model"], "auroc")
 
 
 @query("r13_average_precision", f"with {PREDICTIONS}, g as (select site, model, target, p, count(*) filter (y = 1) as pos, count(*) as n from predictions where y is not null group by 1, 2, 3, 4), r as (select *, sum(pos) over w as cp, sum(n) over w as cn from g window w as (partition by site, model, target order by p desc)) select site, model, target, round(sum(pos * cp / cn::double) / nullif(sum(pos), 0), 6) as average_precision from r group by 1, 2, 3")
 def r13(spark, sf):
-    return R.average_precision(predictions(spark, sf), ["site", "model", "target"], "p", F.col("y") == 1)
+    return R.average_precision(predictions(spark, sf), ["site", "model", "target"], "p", F.col("y") == 1, edges=R.UNIT)
 
 
 @query("r14_brier", f"with {PREDICTIONS} select site, model, target, round(avg((p - y) ** 2), 6) as brier from predictions group by 1, 2, 3")
@@ -544,7 +544,7 @@ def r25(spark, sf):
 def r27(spark, sf):
     rows = _passes(spark, sf)
     by = ["site", "condition", "target"]
-    return R.auroc(rows, by, "p", F.col("y") == 1).select(*by, "auroc").join(R.brier(rows, by), by)
+    return R.auroc(rows, by, "p", F.col("y") == 1, edges=R.UNIT).select(*by, "auroc").join(R.brier(rows, by), by)
 
 
 @query("w8_run_segments", "with e as (select user_id, event_type, event_id, ts, event_id % 13 as epoch, value from events), n as (select *, case when epoch > lag(epoch) over (partition by user_id order by ts, event_id) then 0 else 1 end as new from e), r as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from n) select user_id, run::bigint as run, count(*) as epochs, max_by(epoch, {'v': value, 'e': -epoch}) as best_epoch, max(value) as best from r group by 1, 2")
@@ -572,21 +572,22 @@ reps as (select rep, site, model, condition, """
 )
 
 
-def _counts(spark, sf, terms):
-    return B.patient_counts(terms, "site", "patient", REPS, "b")
+def _counts(spark, sf):
+    patients = studies(spark, sf).where("split = 'evaluation'").select("site", "patient")
+    return B.patient_counts(patients, "site", "patient", REPS, "b")
 
 
 def _replicates(spark, sf):
     terms = _terms(spark, sf)
     per = R.accepted_sums(terms, ["site", "patient", "model", "condition"], T)
     cols = [f"{a}_{c}" for a in ("a", "all") for c in TERMS]
-    sums = B.replicate_sums(per, _counts(spark, sf, terms), "site", "patient", ["model", "condition"], cols)
+    sums = B.replicate_sums(per, _counts(spark, sf), "site", "patient", ["model", "condition"], cols)
     return sums.select("rep", "site", "model", "condition", *(c.alias(k) for k, c in R.estimators(T).items()))
 
 
 @query("b1_patient_counts", f"with {BOOT} select site, patient, rep, n from counts")
 def b1(spark, sf):
-    return _counts(spark, sf, _terms(spark, sf))
+    return _counts(spark, sf)
 
 
 @query("b2_single_site", f"with {BOOT} select rep, model, condition, round(cell_micro, 6) as cell_micro, round(original, 6) as original from rlev where site = 'source'")
@@ -687,11 +688,11 @@ pa as (select site, model, round(sum(risk) / max(total), 6) as aurc from curve g
 select model, round(point, 6) as point, round(low, 6) as low, round(high, 6) as high from pd join ci using (model)""".replace(CELLS, BOOT))
 def r16(spark, sf):
     c0 = _c0(spark, sf)
-    counts = _counts(spark, sf, _terms(spark, sf))
+    counts = _counts(spark, sf)
     by = ["site", "model", "rep"]
     weighted = c0.join(counts, ["site", "patient"])
-    draws = R.areas(R.curve(weighted, by, "confidence", "error", "study", "n"), by)
-    points = R.areas(R.curve(c0, ["site", "model"], "confidence", "error", "study"), ["site", "model"])
+    draws = R.areas(R.curve(weighted, by, "confidence", "error", "study", "n", R.UNIT), by)
+    points = R.areas(R.curve(c0, ["site", "model"], "confidence", "error", "study", edges=R.UNIT), ["site", "model"])
     gap = lambda df, keys: R.wide(df, keys, "site", ["source", "external"], "aurc").select(*keys, (F.col("external") - F.col("source")).alias("d"))
     ci = B.percentile_interval(gap(draws, ["model", "rep"]), ["model"], "d")
     return gap(points, ["model"]).join(ci, "model").select("model", F.round("d", 6).alias("point"), "low", "high")
