@@ -65,6 +65,19 @@ def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+#: Rows of a keyed side that may be sent to every task: some tens of MB.
+SMALL_SIDE = 500_000
+
+
+def small_side(df: DataFrame, name: str, limit: int = SMALL_SIDE) -> DataFrame:
+    """df as a written table, marked for broadcast if it proves to have at most `limit` rows.
+
+    A larger one is joined by a shuffle; the result is the same.
+    """
+    df, _ = stage(df, name)
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a scratch table that nothing reads any more."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortaudit.llm.common import LOWER_TABLE, map_rows, project, stage
+from cohortaudit.llm.common import LOWER_TABLE, map_rows, project, small_side, stage
 
 #: All kinds in the order in which spans that start together are listed; the first three are strong.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -170,6 +170,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     found = find_secrets(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), with_sign=True).where(F.size("found") > 0)
     found = found.select(F.col("doc_id").alias("_id"), F.col("sign").alias("_sign"), "found").groupBy("_id", "_sign").agg(F.first("found").alias("_found"))
+    found = small_side(found, "spans", 100_000)
     joined = docs.join(found, docs[id_col].cast("long").eqNullSafe(found._id) & (F.xxhash64(docs[text_col]) == found._sign), "left").select(*(docs[c] for c in docs.columns), "_found")
     at, names = docs.columns.index(text_col), docs.columns
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortaudit.llm import decontaminate, langid, packing, secrets, simhash
-from cohortaudit.llm.common import stage
+from cohortaudit.llm.common import small_side, stage
 
 #: The least share of a document's n-grams that its language must hold.
 MIN_LANGUAGE_SCORE = 0.3
@@ -27,8 +27,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """docs without the rows whose key is in drop(key); Spark broadcasts drop where it is small."""
-    return docs.join(drop.distinct(), _key() == F.col("key"), "left_anti")
+    """docs without the rows whose key is in drop(key)."""
+    return docs.join(small_side(drop.distinct(), "drop"), _key() == F.col("key"), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,6 +46,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found, _ = stage(simhash.copies(docs).select("doc_id", "sign", "component_id"), "copies")
     ids = lambda t: docs["doc_id"].cast("long").eqNullSafe(t["doc_id"]) & (F.xxhash64(docs["text"]) == t["sign"])
     drop = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "sign").distinct()
+    drop = small_side(drop, "drop")
     kept = docs.join(drop, ids(drop), "left_anti")
     again = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "sign").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", "sign")
     if again.isEmpty():
