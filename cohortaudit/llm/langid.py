@@ -11,10 +11,10 @@ from __future__ import annotations
 import re
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortaudit.llm.common import map_rows
+from cohortaudit.llm.common import map_rows, stage
 
 #: Training documents for each language (in expectation), and n-grams kept of each at most.
 PER_LANGUAGE, GRAMS = 1500, 40_000
@@ -86,8 +86,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     The sample holds about `per_language` documents of each language, those of the
     smallest hashes of (id, text length); an n-gram counts for a language if at least
-    two of its sample's documents, or a thousandth of per_language, hold it, and of
-    these the `keep` in most documents are taken.
+    two of its sample's documents, or a thousandth of per_language, hold it; where over
+    `keep` n-grams do, the bar is raised to the first number of documents at which at
+    most `keep` are left.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -113,9 +114,18 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                 yield [[i] * len(code), code.tolist(), n.tolist()]
 
     counts = map_rows(sample, count, "language int, code long, n long").groupBy("language", "code").agg(F.sum("n").alias("n"))
-    place = F.row_number().over(Window.partitionBy("language").orderBy(F.desc("n"), "code"))
-    least = max(2, per_language // 1000)
-    found = counts.where(F.col("n") >= least).withColumn("place", place).where(F.col("place") <= keep).select("language", "code").toPandas()
+    counts, _ = stage(counts, "grams")
+    least = dict.fromkeys(range(len(languages)), max(2, per_language // 1000))
+    held = dict.fromkeys(least, 0)
+    # how many n-grams have each count: a row for each language and count
+    for r in counts.groupBy("language", "n").agg(F.count("*").alias("grams")).orderBy(F.desc("n")).collect():
+        held[r.language] += r.grams
+        if held[r.language] > keep:
+            least[r.language] = max(least[r.language], r.n + 1)
+    bar = F.lit(0)
+    for i, n in least.items():
+        bar = F.when(F.col("language") == i, n).otherwise(bar)
+    found = counts.where(F.col("n") >= bar).select("language", "code").toPandas()
     for i, own in found.groupby("language"):
         filters.add(int(i), own.code.to_numpy(np.uint32))
     return filters
