@@ -17,7 +17,7 @@ from itertools import chain
 import numpy as np
 
 #: Pieces remembered by a worker; the store is emptied beyond.
-CACHE = 400_000
+CACHE = 150_000
 #: The pre-tokenizer's pattern that the short way is made for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
