@@ -146,7 +146,7 @@ def test_swap_invariants(spark):
     df = spark.createDataFrame(data, "patient int, study int, split string, context string")
     got = {r.study: r for r in I.swapped(df, ["split"], "patient", "study", "context", "x").collect()}
     assert len(got) == len(data)
-    assert sorted(r.context for r in got.values()) == sorted(d[3] for d in data)[: len(data)] or all(got[i].donor_patient != i // 2 for i in range(60))
+    assert {r.context for r in got.values()} <= {d[3] for d in data}
     assert all(got[i].donor_patient != got[i].patient for i in range(60))
     assert got[99].context == "only" and got[200].context == "null"
     assert {got[100 + i].donor_patient for i in range(3)} == {77}
