@@ -7,7 +7,8 @@ never formed. Blocks come from the fingerprint or from the text:
 * bands (64 bits, small radius): two fingerprints within `radius` bits agree in at least
   one of radius + 1 bands, so this finds every pair that comparing all with all finds;
 * least shingle hashes (wide fingerprints, similarity of shingle sets): texts of
-  similarity s share one of m with a chance of 1 - (1 - s) ** m.
+  similarity s share one of m with a chance of 1 - (1 - s) ** m. Such links only say what
+  is to be compared: the shingle sets of what they connect are, exactly.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortaudit.llm.common import LOWER_TABLE, map_rows, project, stage
+from cohortaudit.llm.common import LOWER_TABLE, map_rows, project, small_side, stage
 from cohortaudit.llm.components import connected_components
 
 BITS = 64
@@ -64,13 +65,18 @@ def fingerprint(text: str | None, width: int = 3) -> int:
     return majority(shingles(text, width))
 
 
-def sketch(text: str | None, width: int, words: int, least: int) -> tuple[list[int], list[int]]:
-    """(fingerprint of 64 * words bits as signed longs, the `least` block keys as signed longs)."""
+def sketch(text: str | None, width: int, words: int, least: int) -> tuple[list[int], list[int], int, int]:
+    """(fingerprint of 64 * words bits as signed longs, the `least` block keys as signed longs, digest of the hashes, their number).
+
+    With block keys repeats don't count.
+    """
     hashes = shingles(text, width)
+    if least:
+        hashes = np.unique(hashes)
     prints = [_signed(majority(_remix(hashes, k))) for k in range(words)]
     # a key's lowest bits tell which least hash it is
     keys = [_signed(int(_remix(hashes, words + k).min()) // least * least + k if len(hashes) else k) for k in range(least)]
-    return prints, keys
+    return prints, keys, _signed(xxhash.xxh64_intdigest(hashes.tobytes())) if least else 0, len(hashes)
 
 
 def _signed(x: int) -> int:
@@ -78,15 +84,18 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, words: int = 1, least: int = 0) -> DataFrame:
-    """(doc_id long, sign long, fp array<long>, keys array<long>), a row for each row of docs; sign is the text's xxhash64."""
+    """(doc_id long, sign long, fp array<long>, keys array<long>), a row for each row of docs; sign is the text's xxhash64.
+
+    With least > 0 also body long and size long, the digest and size of the set of shingles.
+    """
 
     def rows(batches):
         for ids, signs, texts in batches:
-            made = [sketch(t, width, words, least) for t in texts]
-            yield [ids, signs, [p for p, _ in made], [k for _, k in made]]
+            made = [list(c) for c in zip(*(sketch(t, width, words, least) for t in texts))]
+            yield [ids, signs, *made[: 4 if least else 2]]
 
     signed = project(docs, id_col, text_col).select("doc_id", F.xxhash64("text"), "text")
-    return map_rows(signed, rows, "doc_id long, sign long, fp array<long>, keys array<long>")
+    return map_rows(signed, rows, "doc_id long, sign long, fp array<long>, keys array<long>" + ", body long, size long" * (least > 0))
 
 
 def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -206,28 +215,27 @@ def links(prints: DataFrame, radius: int = 2, words: int = 1, tile: int = TILE)
     return map_rows(units, _compare(radius, words), "a long, b long")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2, words: int = 1, least: int = 0) -> DataFrame:
+def _named(prints: DataFrame, groups: DataFrame, roots: DataFrame, by: list[str]) -> DataFrame:
+    """prints (doc_id, sign, fp) with the smallest doc_id of the groups, known by the columns `by`, that a root joins."""
+    joined = groups.select(*by, "least", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left").select(*by, "least", F.coalesce("root", "own").alias("root"))
+    names = joined.groupBy("root").agg(F.min("least").alias("component_id"))
+    of, _ = stage(joined.join(names, "root").select(*by, "component_id"), "members")
+    return prints.join(of, by).select("doc_id", "sign", "fp", "component_id")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id long, sign long, fp array<long>, component_id long), a row for each row of docs.
 
-    With least = 0 (and one word) blocks are bands, and every pair within radius is
-    found; else blocks are `least` least shingle hashes. component_id is the smallest
-    doc_id reachable over links of at most radius bits. Null, empty and blank texts have
-    fingerprint zero and link like any other. Repeated rows stay repeated. A null doc_id
-    can't be a component's name: component_id is null only if no row of the component
-    has a doc_id. Other columns are not read.
+    Blocks are bands of one word, so every pair within radius is found. component_id is
+    the smallest doc_id reachable over links of at most radius bits. Null, empty and
+    blank texts have fingerprint zero and link like any other. Repeated rows stay
+    repeated. A null doc_id can't be a component's name: component_id is null only if no
+    row of the component has a doc_id. Other columns are not read.
     """
-    if not least and words != 1:
-        raise ValueError("bands need fingerprints of one word")
-    prints, _ = stage(fingerprints(docs, id_col, text_col, width, words, least), "fingerprints")
-    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys"))
-    if not least:
-        groups = groups.withColumn("keys", band_keys(F.col("fp")[0], radius))
+    prints, _ = stage(fingerprints(docs, id_col, text_col, width), "fingerprints")
+    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("keys", band_keys(F.col("fp")[0], radius))
     groups, _ = stage(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
-    roots = connected_components(links(groups.select("node", "fp", "keys"), radius, words))
-    joined = groups.select("fp", "least", F.col("node").alias("own")).join(roots, F.col("own") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "own").alias("root"))
-    names = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    of, _ = stage(joined.join(names, "root").select("fp", "component_id"), "members")
-    return prints.select("doc_id", "sign", "fp").join(of, "fp")
+    return _named(prints, groups, connected_components(links(groups.select("node", "fp", "keys"), radius)), ["fp"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
@@ -236,12 +244,99 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return found.select("doc_id", F.lpad(F.lower(F.hex(F.col("fp")[0])), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: For texts whose sets of five-word shingles have a similarity of 0.8 or more: bits in
-#: a wide fingerprint, and the radius that such pairs keep within nine times in ten
-#: (256 * acos(2 s / (1 + s)) / pi is 39 bits at 0.8, with a deviation of 6).
-COPIES = {"width": 5, "words": 4, "radius": 46, "least": 6}
+#: Copies have sets of five-word shingles with a similarity of SHARE or more. Bits and
+#: radius only choose what is compared: at 0.8, 256 * acos(2 s / (1 + s)) / pi is 39 bits
+#: with a deviation of 6, so the radius is over five deviations beyond; one of 8 least
+#: hashes is shared but for 3 in a million of such pairs.
+COPIES = {"width": 5, "words": 4, "radius": 72, "least": 8}
+SHARE = (4, 5)
+#: Shingles in a tile of sets at most (in expectation), each set counting SET more.
+SHINGLES, SET = 1 << 20, 512
+
+
+def _alike(sets: list[np.ndarray], side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(member, first of its component) for the components that pairs of SHARE or more make among sets of distinct hashes.
 
+    side: as near in _forest.
+    """
+    over, of = SHARE
+    cross = side.any() and not side.all()
+    size = np.array([len(s) for s in sets], np.int64)
+    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(size)[:-1])
+    mark = np.zeros(int(size.sum()), bool)
+    left = np.arange(len(sets))
+    child, parent = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(left):
+        first, front, left = left[0], [left[0]], left[1:]
+        while front and len(left):
+            x = front.pop()
+            at = left[of * np.minimum(size[left], size[x]) >= over * np.maximum(size[left], size[x])]
+            if cross:
+                at = at[side[at] != side[x]]
+            mark[ids[x]] = True
+            both = np.array([np.count_nonzero(mark[ids[i]]) for i in at], np.int64)
+            mark[ids[x]] = False
+            hit = at[(over + of) * both >= over * (size[x] + size[at])]
+            child.append(hit)
+            parent.append(np.full(len(hit), first))
+            front += hit.tolist()
+            left = left[~np.isin(left, hit, assume_unique=True)]
+    return np.concatenate(child), np.concatenate(parent)
+
+
+def confirmed(docs: DataFrame, members: DataFrame, width: int, tile: int = SHINGLES) -> DataFrame:
+    """(a long, b long), edges that connect the members of a root whose sets of shingles have a similarity of SHARE or more.
 
-def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, sign, fp, component_id): components() of near copies under COPIES."""
-    return components(docs, id_col, text_col, **COPIES)
+    docs: (doc_id, text); members: (root, node, size, row (doc_id, sign) of a text with
+    the node's set). All pairs of a root's members are compared, in tiles; a set is in
+    one unit unless its root fills several tiles.
+    """
+
+    def sets(batches):
+        for root, salts, salt, node, texts in batches:
+            yield [root, salts, salt, node, [np.unique(shingles(t, width)).tobytes() for t in texts]]
+
+    def solve(rows):
+        nodes = np.array([r[0] for r in rows], np.int64)
+        child, parent = _alike([np.frombuffer(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows], bool))
+        return nodes[child], nodes[parent]
+
+    def compare(batches):
+        unit, held = None, []
+        for root, low, high, side, node, body in batches:
+            a, b = [], []
+            for *now, s, n, hashes in zip(root, low, high, side, node, body):
+                if now != unit:
+                    for out, more in zip((a, b), solve(held) if len(held) > 1 else ()):
+                        out += more.tolist()
+                    unit, held = now, []
+                if not held or held[-1][:2] != (n, s):  # rows repeat
+                    held.append((n, s, hashes))
+            yield [a, b]
+        if len(held) > 1:
+            yield [x.tolist() for x in solve(held)]
+
+    tiles = members.groupBy("root").agg(F.ceil(F.sum(F.col("size") + SET) / F.lit(float(tile))).cast("long").alias("salts"))
+    rows = members.join(tiles, "root").select("root", "salts", F.pmod(F.xxhash64("node"), F.col("salts")).alias("salt"), "node", F.col("row.doc_id").alias("_id"), F.col("row.sign").alias("_sign"))
+    rows = small_side(rows, "rows")
+    texts = docs.join(rows, docs["doc_id"].eqNullSafe(rows["_id"]) & (F.xxhash64(docs["text"]) == rows["_sign"])).select("root", "salts", "salt", "node", "text")
+    found = map_rows(texts, sets, "root long, salts long, salt long, node long, body binary")
+    units = found.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    units = units.select("root", F.least("salt", "other").alias("low"), F.greatest("salt", "other").alias("high"), (F.col("salt") > F.col("other")).alias("side"), "node", "body")
+    units = units.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "side", "node")
+    return map_rows(units, compare, "a long, b long")
+
+
+def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tile: int = SHINGLES) -> DataFrame:
+    """(doc_id long, sign long, fp array<long>, component_id long): as components(), but links are similarities of SHARE or more.
+
+    Texts with the same set of shingles are one node; texts without words are alike.
+    """
+    width, words, radius, least = (COPIES[k] for k in ("width", "words", "radius", "least"))
+    prints, _ = stage(fingerprints(docs, id_col, text_col, width, words, least), "fingerprints")
+    row = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "sign")).alias("row")
+    groups = prints.groupBy("body", "size", "fp").agg(F.min("doc_id").alias("least"), F.min("keys").alias("keys"), row)
+    groups, _ = stage(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
+    near = connected_components(links(groups.select("node", "fp", "keys"), radius, words))
+    edges = confirmed(project(docs, id_col, text_col), groups.join(near, "node").select("root", "node", "size", "row"), width, tile)
+    return _named(prints, groups, connected_components(edges), ["body", "size", "fp"])

@@ -308,6 +308,44 @@ def test_near_copies_at_five_words(spark):
     assert len({got[i] for i in range(0, 60, 2)}) == 30
 
 
+@pytest.mark.parametrize("tile", [simhash.SHINGLES, 4000])
+def test_copies_are_exact_at_the_threshold(spark, tile):
+    rng = random.Random(5)
+    texts = [None, "", "one two", "ONE two"]
+    for i in range(240):
+        words = [f"w{rng.randrange(9000)}" for _ in range(84)]  # 80 shingles, n changes at the end give (80 - n) / (80 + n)
+        n = (8, 9)[i % 2]
+        texts += [" ".join(words), " ".join([*words[:-n], *(f"x{rng.randrange(9000)}" for _ in range(n))])]
+    texts.append(" ".join([texts[4]] * 60))  # repeats
+    sets = [set(simhash.shingles(t, 5).tolist()) for t in texts]
+    exact = lambda a, b: len(a & b) * 5 >= len(a | b) * 4
+    got = {r.doc_id: r.component_id for r in simhash.copies(frame(spark, texts), tile=tile).collect()}
+    assert len(got) == len(texts) + 1 and got[None] is None
+    for i in range(4, 484, 2):
+        assert (got[i] == got[i + 1]) == exact(sets[i], sets[i + 1]) == (i % 4 == 0)
+    assert got[0] == got[1] == 0 and got[2] == got[3] == 2
+    assert (got[len(texts) - 1] == got[4]) == (exact(sets[-1], sets[4]) or exact(sets[-1], sets[5]))
+    assert len({got[i] for i in range(4, 484, 2)}) == 240
+
+
+def test_sets_alike():
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 1 << 60, 50, np.uint64) for _ in range(4)]
+    sets = [np.unique(np.concatenate([base[i % 4][: rng.integers(36, 51)], rng.integers(0, 1 << 60, rng.integers(0, 8), np.uint64)])) for i in range(60)]
+    for side in (np.zeros(60, bool), np.arange(60) % 3 > 0):
+        edges = [(i, j) for i in range(60) for j in range(i) if len(set(sets[i]) & set(sets[j])) * 5 >= len(set(sets[i]) | set(sets[j])) * 4 and (not side.any() or side[i] != side[j])]
+        assert edges
+
+        def parts(pairs):
+            root = list(range(60))
+            for a, b in pairs:
+                x, y = root[a], root[b]
+                root = [y if r == x else r for r in root]
+            return {frozenset(i for i in range(60) if root[i] == r) for r in root}
+
+        assert parts(zip(*simhash._alike(sets, side))) == parts(edges)
+
+
 # licences ----------------------------------------------------------------------------
 def test_license_base(spark):
     texts = [*ODD, "CC-BY, cc by all rights  RESERVED cc\nby-nc", "ccby acc by cc byé", "GNU General Public License general public license all rights reserved", "SPDX-License-Identifier: (MIT OR GPL-2.0-only WITH Classpath-exception-2.0) AND Apache-2.0 ) junk"]
