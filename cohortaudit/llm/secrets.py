@@ -34,7 +34,7 @@ _HEX = re.compile(rb"[0-9a-f]{24,}")
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]{16,}")
 _IDENTIFIER = re.compile(rb"(?:user(?:name)?|login|account|client_?id|key_?id)[\"']?\x20*[:=]\x20*[\"']?[a-z0-9_.@+-]{3,}")
 _ENDPOINT = re.compile(rb"[a-z][a-z0-9+.-]{1,20}://[^\s\"'<>]+")
-_RANDOM = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,200}={0,2}")
+_RANDOM = re.compile(rb"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}")
 _BREAK = re.compile(rb"\n[\x20\t\r]*\n")
 
 
@@ -113,16 +113,18 @@ def _named(column) -> F.Column:
 def _linked(found: DataFrame) -> DataFrame:
     """(row, linked): the weak parts in scopes where complementary parts meet.
 
-    A scope covers few bins of BIN code points and a partner starts in one, so the join
-    is by (row, bin). Parts of a kind don't overlap and have a least length, which
-    bounds the partners of a scope whatever the document's length.
+    A scope and a partner meet where they overlap. Both lie in the bins of BIN code points
+    that they cover, and a pair counts in the first bin that it shares, so the join is by
+    (row, bin). Parts of a kind don't overlap and have a least length, which bounds the
+    partners of a scope by its length, whatever the document's.
     """
     parts = found.where(F.size("parts") > 0).select("row", F.explode("parts").alias("p")).select("row", "p.*")
     kinds = {k: i for i, k in enumerate(KINDS)}
     is_secret = F.col("kind").isin([kinds[k] for k in sorted(SECRETS)])
     scopes = parts.where(is_secret).select("row", F.struct("start", "kind", "end").alias("anchor"), "low", "high", F.explode(F.sequence(F.floor(F.col("low") / BIN), F.floor(F.col("high") / BIN))).alias("bin"))
-    partners = parts.where(~is_secret).select("row", F.struct("start", "kind", "end").alias("part"), F.floor(F.col("start") / BIN).alias("bin"))
-    met = scopes.join(partners, ["row", "bin"]).where((F.col("part.start") >= F.col("low")) & (F.col("part.end") <= F.col("high")))
+    partners = parts.where(~is_secret).select("row", F.struct("start", "kind", "end").alias("part"), F.explode(F.sequence(F.floor(F.col("start") / BIN), F.floor((F.col("end") - 1) / BIN))).alias("bin"))
+    first = F.floor(F.greatest("low", "part.start") / BIN)
+    met = scopes.join(partners, ["row", "bin"]).where((F.col("part.start") < F.col("high")) & (F.col("part.end") > F.col("low")) & (F.col("bin") == first))
     both = met.select("row", F.explode(F.array("anchor", "part")).alias("s")).where(F.col("s.kind") > 2).distinct()
     return both.groupBy("row").agg(F.collect_list("s").alias("linked"))
 

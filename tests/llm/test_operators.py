@@ -70,6 +70,20 @@ def test_weak_parts_need_each_other(spark):
     assert [texts[5][int(a) : int(b)] for _, a, b in spans] == ["https://db.internal/x", weak]
 
 
+def test_long_secrets_and_partners(spark):
+    weak = "Qx7fT2mLr9Kd4WvB8nZs1HcJ5pYg3"
+    long = (weak * 12)[:340]
+    url = "https://db.internal/" + "x/" * 2000
+    texts = [f"key {long} user=alice", f"{url} {weak}", f"{weak} {url}", f"{weak} {'word ' * 80}{url}"]
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(frame(spark, texts)).collect()}
+    assert got[0] == "secret:4:344,identifier:345:355"
+    assert got[1] == f"endpoint:0:{len(url)},secret:{len(url) + 1}:{len(texts[1])}"
+    assert got[2] == f"secret:0:29,endpoint:30:{len(texts[2])}"
+    assert got[3] == ""
+    masked = {r.doc_id: r.text for r in secrets.redact(frame(spark, texts)).collect()}
+    assert masked[0] == "key [secret] [secret]" and masked[1] == masked[2] == "[secret] [secret]"
+
+
 def test_redact_keeps_rows(spark):
     docs = frame(spark, SECRETS)
     got = secrets.redact(docs)
