@@ -5,6 +5,8 @@ shunting-yard parser evaluates the licence expressions that follow the tags.
 from __future__ import annotations
 
 import re
+from collections import deque
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 from pyspark.sql import DataFrame
@@ -37,15 +39,25 @@ BASE_WEIGHT, TAG_WEIGHT = 0.6, 1.0
 #: Licences by how much they ask of one who shares the work; others count as unknown.
 RANKS = {"mit": 0, "bsd-2-clause": 0, "bsd-3-clause": 0, "isc": 0, "apache-2.0": 0, "unlicense": 0, "cc0-1.0": 0, "cc-by-4.0": 0, "mpl-2.0": 1, "epl-2.0": 1, "lgpl-2.1": 1, "lgpl-3.0": 1, "gpl-2.0": 2, "gpl-3.0": 2, "agpl-3.0": 3, "cc-by-sa-4.0": 2, "cc-by-nc-4.0": 3}
 CLASSES = ("permissive", "weak-copyleft", "copyleft", "restricted", "unknown")
-_TAG = re.compile(r"(?:spdx[- ])?license[- ](?:identifier|expression)[ \t]*:[ \t]*([^\r\n]{0,400})", re.ASCII | re.IGNORECASE)
+_TAG = re.compile(r"(?:spdx[- ])?license[- ](?:identifier|expression)[ \t]*:", re.ASCII | re.IGNORECASE)
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*", re.ASCII)
+_STEP = re.compile(r"[\r\n]|" + _TOKEN.pattern, re.ASCII)
 _POWER = {"or": 1, "and": 2, "with": 3}
 
 
-def postfix(tokens: list[str]) -> list[str]:
+def _line(text: str, at: int) -> Iterator[str]:
+    """The tokens from `at` to the end of the line, found as they are asked for."""
+    for m in _STEP.finditer(text, at):
+        if m.group() in "\r\n":
+            return
+        yield m.group()
+
+
+def postfix(tokens: Iterable[str]) -> list[str]:
     """Shunting-yard: `with` binds tighter than `and`, and that tighter than `or`; all from the left.
 
-    The longest well-formed beginning is taken; raises ValueError where there is none.
+    The longest well-formed beginning is taken, and no token is asked for after the first
+    that can't go on; raises ValueError where there is none.
     """
     out, held, want_name = [], [], True
     depth, sound = 0, None
@@ -76,10 +88,10 @@ def postfix(tokens: list[str]) -> list[str]:
             out.append(low)
             want_name = False
         if not want_name and not depth:
-            sound = out + held[::-1]
+            sound = len(out), held[::-1]  # out only grows, and outside of brackets held is short
     if sound is None:
         raise ValueError("no licence expression")
-    return sound
+    return out[: sound[0]] + sound[1]
 
 
 def evaluate(steps: list[str]) -> tuple[list[str], int]:
@@ -87,17 +99,22 @@ def evaluate(steps: list[str]) -> tuple[list[str], int]:
 
     `with` keeps its licence under the name licence-with-exception and eases it by a class.
     """
-    stack: list[tuple[list[str], int]] = []
+    stack: list[tuple[deque[str], int]] = []
     for t in steps:
         if t not in _POWER:
             name = t.removesuffix("-only").removesuffix("-or-later").removesuffix("+")
-            stack.append(([t], RANKS.get(name, len(CLASSES) - 1)))
+            stack.append((deque([t]), RANKS.get(name, len(CLASSES) - 1)))
             continue
         (right, b), (left, a) = stack.pop(), stack.pop()
         if t == "with":
-            stack.append(([f"{left[-1]}-with-{right[0]}"] if len(left) == 1 else left, max(0, a - 1) if a < len(CLASSES) - 1 else a))
+            stack.append((deque([f"{left[-1]}-with-{right[0]}"]) if len(left) == 1 else left, max(0, a - 1) if a < len(CLASSES) - 1 else a))
         else:
-            stack.append((left + right, min(a, b) if t == "or" else max(a, b)))
+            if len(left) < len(right):  # the shorter side moves
+                right.extendleft(reversed(left))
+                left = right
+            else:
+                left.extend(right)
+            stack.append((left, min(a, b) if t == "or" else max(a, b)))
     names, rank = stack[0]
     return sorted(set(names)), rank
 
@@ -143,7 +160,7 @@ class Scanner:
         if tagged:
             for m in _TAG.finditer(text):
                 try:
-                    names, asked = evaluate(postfix(_TOKEN.findall(m.group(1))))
+                    names, asked = evaluate(postfix(_line(text, m.end())))
                 except ValueError:
                     continue
                 labels.update(names)

@@ -387,6 +387,15 @@ def test_license_expressions():
             run(bad)
 
 
+def test_long_license_expressions():
+    scan = licenses.Scanner().scan
+    assert scan("SPDX-License-Identifier: " + "MIT AND " * 60 + "AGPL-3.0\nAND isc")[5:] == ["agpl-3.0,mit", 1.0, "restricted"]
+    names = [f"name{i}" for i in range(20_000)]
+    assert scan("License-Expression:\t" + " OR ".join(names) + " OR Apache-2.0 some more")[5] == ",".join(sorted([*names, "apache-2.0"]))
+    assert scan("License-Expression: " + "(MIT AND " * 20_000 + "GPL-3.0" + ")" * 20_000)[5:] == ["gpl-3.0,mit", 1.0, "copyleft"]
+    assert scan("License-Identifier:\nMIT")[5:] == ["", 0.0, None]
+
+
 # top-k -------------------------------------------------------------------------------
 def brute_topk(rows, k, every):
     out = []
