@@ -1,9 +1,9 @@
 """Token ids of whole texts by the tokenizers library.
 
 The library is slow on running text, as it tracks alignments. Where a text holds only
-characters for which lower-casing and composition are plain, it is cut here into the
-pieces that the tokenizer's own pre-tokenizer would cut, and the library's model
-encodes each distinct piece once. Any other text, and any tokenizer of another make,
+characters for which lower-casing and composition are plain, it is cut here at blanks,
+its words into the pieces that the tokenizer's own pre-tokenizer would cut, and the
+library's model encodes each distinct piece once. Any other text, and any tokenizer of another make,
 goes through the library whole. Both ways give the same ids.
 """
 
@@ -12,15 +12,19 @@ from __future__ import annotations
 import json
 import os
 import re
-from itertools import chain
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
-#: Pieces remembered by a worker; the store is emptied beyond.
-CACHE = 150_000
+#: Words and pieces in each of a worker's two stores, and the longest that is remembered.
+CACHE, LONGEST = 250_000, 64
 #: The pre-tokenizer's pattern that the short way is made for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_PLAIN = re.compile("[\x00-\x7fÀ-ÖØ-öø-ÿ]*")
+#: The normalizers that it is made for.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+#: Latin letters and ASCII without the four characters that Python alone counts as blank.
+_PLAIN = re.compile("[\x00-\x1b\x20-\x7fÀ-ÖØ-öø-ÿ]*")
 _LETTERS = "a-zß-öø-ÿ"
 _PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[0-9]|[^\t-\r {_LETTERS}0-9]+")
 _ENCODERS: dict[str, Encoder] = {}
@@ -33,10 +37,32 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+class _Store(dict):
+    """Ids of words and pieces as bytes. When it is full it becomes the old store, from which those that come again move on."""
+
+    def __init__(self, tokenize: Callable[[str], bytes], limit: int):
+        super().__init__()
+        self.tokenize, self.limit = tokenize, limit
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            pieces = _PIECES.findall(word)
+            ids = self.tokenize(word) if len(pieces) == 1 else b"".join(map(self.__getitem__, pieces))
+            if len(word) > LONGEST:
+                return ids
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
+
 class Encoder:
     """encode(text) -> uint32 ids, without special tokens added."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = CACHE):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -46,30 +72,21 @@ class Encoder:
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-        norms = [x.get("type") for x in (made.get("normalizer") or {}).get("normalizers", [])]
-        self.short = norms == ["NFC", "Replace", "Lowercase"] and steps[0].get("pattern") == {"Regex": PATTERN} and [x["type"] for x in steps] == ["Split", "ByteLevel"]
+        self.short = (made.get("normalizer") or {}).get("normalizers") == NORMALIZERS and steps[0].get("pattern") == {"Regex": PATTERN} and [x["type"] for x in steps] == ["Split", "ByteLevel"]
         self.marks = [x["content"] for x in made.get("added_tokens", [])]
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.width = "H" if self.whole.get_vocab_size() <= 1 << 16 else "I"
+        self.known = _Store(self._tokenize, limit)
 
-    def _learn(self, pieces: set[str]) -> None:
-        for p in pieces:
-            mapped = p if p.isascii() and p.isprintable() else self.bytes.pre_tokenize_str(p)[0][0]
-            self.known[p] = tuple(t.id for t in self.model.tokenize(mapped))
+    def _tokenize(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() and piece.isprintable() else self.bytes.pre_tokenize_str(piece)[0][0]
+        return array(self.width, [t.id for t in self.model.tokenize(mapped)]).tobytes()
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, np.uint32)
         if not self.short or not _PLAIN.fullmatch(text) or any(m in text for m in self.marks):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
-        pieces = _PIECES.findall(text.lower())
-        known = self.known
-        try:
-            return np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.uint32)
-        except KeyError:
-            if len(known) > CACHE:
-                known.clear()
-            self._learn({p for p in pieces if p not in known})
-            return np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.uint32)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, text.lower().split())), self.width).astype(np.uint32)
 
 
 def encoder(path: str) -> Encoder:
