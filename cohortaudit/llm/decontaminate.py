@@ -4,7 +4,9 @@ Each shard (a few MB of documents in a Spark task) gets a suffix array over its
 A match can only hold words that the benchmark has, so the array is sparse: it keeps the
 suffixes whose first words, as many as the shortest window, are all benchmark words, and
 a suffix ends at the first other word or at its document's end. Every test suffix is
-looked up by binary search, all at once. The benchmark is bounded before it is sent to
+looked up by binary search, all at once; its neighbours there tell its longest match, and
+where that holds a window, the stretch of the array that begins with the window has all
+places. The benchmark is bounded before it is sent to
 the tasks, and goes in blocks where it is larger.
 """
 
@@ -16,39 +18,38 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortaudit.llm.common import WORD_TABLE, buffered, map_rows, project, stage, text_size, words_of
+from cohortaudit.llm.common import WORD_TABLE, buffered, map_rows, project, run_starts, stage, text_size, words_of
 
 WINDOW = 10
 #: Characters of training text in a shard, and of benchmark text in a block.
-SHARD_CHARS, BLOCK_CHARS = 4_000_000, 16_000_000
+SHARD_CHARS, BLOCK_CHARS = 4_000_000, 4_000_000
 _MARK = b"\xff"
 
 
 class Tests:
-    """The benchmark's words as numbers, its suffixes, and its windows by content."""
+    """The benchmark's words as numbers and its suffixes.
+
+    owner is a suffix's item, left its length, need the length of the window that begins
+    there (0 for none): `window` words, or all of a shorter item.
+    """
 
     def __init__(self, items: list[tuple[int | None, str | None]], window: int):
-        words = [(i, words_of(t)) for i, t in items]
-        self.items = [i for i, w in words if w]
+        words = [(i, words_of(t)) for i, t in sorted(items, key=lambda x: (x[0] is None, x[0] or 0, x[1] or ""))]
+        words = [(i, w) for i, w in words if w]
+        self.items = [i for i, _ in words]
         self.number = {w: n for n, w in enumerate(sorted({x for _, w in words for x in w}), 1)}
+        sizes = np.array([len(w) for _, w in words], np.int64)
+        self.ids = np.fromiter((self.number[x] for _, w in words for x in w), np.int32)
         self.number[_MARK] = -1
-        ids, owner, left = [], [], []
-        found: dict[tuple, list[int]] = {}
-        at = 0
-        for k, w in enumerate(w for _, w in words if w):
-            own = [self.number[x] for x in w]
-            length = min(window, len(own))
-            for j in range(len(own) - length + 1):
-                found.setdefault(tuple(own[j : j + length]), [at + j]).append(k)
-            ids += own
-            owner += [k] * len(own)
-            left += range(len(own), 0, -1)
-            at += len(own)
-        self.ids, self.owner, self.left = np.array(ids, np.int32), np.array(owner, np.int64), np.array(left, np.int64)
-        self.starts = np.array([v[0] for v in found.values()], np.int64)
-        self.lengths = np.array([len(k) for k in found], np.int64)
-        self.owners = [sorted(set(v[1:])) for v in found.values()]
-        self.shortest = int(self.lengths.min()) if len(found) else 1
+        self.owner = np.repeat(np.arange(len(words)), sizes)
+        self.position = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        self.left = np.repeat(sizes, sizes) - self.position
+        need = np.minimum(window, np.repeat(sizes, sizes))
+        self.need = np.where(self.left >= need, need, 0)
+        self.shortest = int(sizes.min(initial=window))
+
+    def suffixes(self) -> np.ndarray:
+        return np.arange(len(self.ids))
 
 
 class Shard:
@@ -129,28 +130,48 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[owner], owner
 
 
-def _hits(texts: list, tests: Tests) -> tuple[list[int], list[list[dict]], list[list[int]]]:
-    """For each document: its words, its hit stretches of words, and the items with windows in it."""
+def _longest(shard: Shard, tests: Tests) -> np.ndarray:
+    """The length of each test suffix's longest match in the shard: that with a neighbour of its place in the array."""
+    every = tests.suffixes()
+    if not len(shard.order) or not len(every):
+        return np.zeros(len(every), np.int64)
+    rank = shard.search(tests, every, tests.left)
+    sides = (shard.compare(tests, every, np.clip(rank + k, 0, len(shard.order) - 1), tests.left)[0] for k in (-1, 0))
+    return np.maximum(*sides)
+
+
+def _places(shard: Shard, tests: Tests, suffix: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All ranks at which the suffixes' first `length` words lie, and the number of the suffix in `suffix`."""
+    return _spread(shard.search(tests, suffix, length), shard.search(tests, suffix, length, after=True))
+
+
+def _hits(texts: list, tests: Tests) -> tuple[list[int], list[list[dict]], list[list[int]], list[dict | None]]:
+    """For each document: its words, its hit stretches of words, the items with windows in it, and its longest match."""
     shard = Shard(texts, tests)
-    low = shard.search(tests, tests.starts, tests.lengths)
-    high = shard.search(tests, tests.starts, tests.lengths, after=True)
-    rank, window = _spread(low, high)
-    at = shard.order[rank]
+    found = _longest(shard, tests)
+    suffix = np.flatnonzero((tests.need > 0) & (found >= tests.need))
+    rank, which = _places(shard, tests, suffix, tests.need[suffix])
+    at, suffix = shard.order[rank], suffix[which]
     doc = np.searchsorted(shard.first, at, "right") - 1
     cover = np.zeros(len(shard.ids) + 1, np.int64)
     np.add.at(cover, at, 1)
-    np.add.at(cover, at + tests.lengths[window], -1)
+    np.add.at(cover, at + tests.need[suffix], -1)
     edge = np.diff(np.concatenate(([False], np.cumsum(cover)[:-1] > 0, [False])).astype(np.int8))
     begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     spans: list[list[dict]] = [[] for _ in texts]
     for d, b, e in zip(np.searchsorted(shard.first, begins, "right") - 1, begins, ends):
         spans[d].append({"first": int(b - shard.first[d]), "last": int(e - shard.first[d])})
     items: list[set] = [set() for _ in texts]
-    seen = np.unique(doc * max(1, len(tests.starts)) + window)
-    for x in seen.tolist():
-        d, w = divmod(x, len(tests.starts))
-        items[d].update(tests.owners[w])
-    return (shard.end - shard.first).tolist(), spans, [sorted({tests.items[k] for k in s} - {None}) for s in items]
+    for x in np.unique(doc * max(1, len(tests.items)) + tests.owner[suffix]).tolist():
+        d, k = divmod(x, len(tests.items))
+        items[d].add(tests.items[k])
+    length = shard.compare(tests, suffix, rank, tests.left[suffix])[0] if len(rank) else rank
+    longest: list[dict | None] = [None] * len(texts)
+    by = np.lexsort((suffix, at, -length, doc))
+    for k in by[run_starts(doc[by])].tolist():
+        d, s = int(doc[k]), suffix[k]
+        longest[d] = {"length": int(length[k]), "start": int(at[k] - shard.first[d]), "item": tests.items[tests.owner[s]], "position": int(tests.position[s])}
+    return (shard.end - shard.first).tolist(), spans, [sorted(s - {None}) for s in items], longest
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_chars: int):
@@ -164,23 +185,24 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, n_words, spans array<struct<first, last>>, items array<long>), a row for each row of docs.
+    """(doc_id, n_words, spans array<struct<first, last>>, items array<long>, longest struct<length, start, item, position>), a row for each row of docs.
 
     A window is `window` consecutive words of an item, or a shorter item whole; spans
     are the stretches [first, last) of a document's words inside windows' occurrences.
-    Null and empty texts have no words; items without words and null item ids count for
+    longest is the longest match that holds a window: words, its start in the document, the
+    item, and its start there; of equally long ones the first in the document, then in
+    the items. Null and empty texts have no words; items without words and null item ids count for
     nothing in items, and rows that share an item id are one item; repeated rows stay; other columns are not read.
     """
     docs, spark = project(docs, id_col, text_col), docs.sparkSession
-    ddl = "doc_id long, n_words long, spans array<struct<first: long, last: long>>, items array<long>"
+    ddl = "doc_id long, n_words long, spans array<struct<first: long, last: long>>, items array<long>, longest struct<length: long, start: long, item: long, position: long>"
     found = []
     for tests in _blocks(benchmark, item_col, item_text, window, block_chars):
         shared = spark.sparkContext.broadcast(tests)
 
         def rows(batches, shared=shared):
             for ids, texts in buffered(batches, SHARD_CHARS, text_size):
-                n, spans, items = _hits(texts, shared.value)
-                yield [ids, n, spans, items]
+                yield [ids, *_hits(texts, shared.value)]
 
         found.append(rows)
     if len(found) == 1:
@@ -198,8 +220,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     both = parts[0]
     for p in parts[1:]:
         both = both.union(p)
-    merged = both.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.select("doc_id", "n_words", _merge_spans("spans").alias("spans"), "items")
+    merged = both.groupBy("row", "doc_id", "n_words").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.min_by("longest", F.when(F.col("longest").isNotNull(), F.struct(-F.col("longest.length"), "longest.start", "longest.item", "longest.position"))).alias("longest"))
+    return merged.select("doc_id", "n_words", _merge_spans("spans").alias("spans"), "items", "longest")
 
 
 def _merge_spans(column: str):
@@ -213,18 +235,20 @@ def _merge_spans(column: str):
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated), a row for each row of docs; see hits()."""
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, longest, longest_start, longest_item, longest_position), a row for each row of docs; see hits()."""
     found = hits(docs, benchmark, **options)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["last"] - s["first"])
     names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    place = [F.col(f"longest.{c}").alias(f"longest_{c}") for c in ("start", "item", "position")]
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("longest.length", F.lit(0).cast("long")).alias("longest"), *place)
 
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(item_id, position, length, doc_id, start): each test suffix's longest verbatim match in all shards.
+    """(item_id, position, length, doc_id, start, places): each test suffix's longest verbatim match in all shards.
 
-    position and start count words; of equally long matches the smallest (doc_id,
-    start) of those met stays; suffixes whose match has fewer than `least` words are left out.
+    position and start count words. places is how many places hold the match, (doc_id,
+    start) the first of them in that order; suffixes whose match has fewer than `least`
+    words are left out, and rows that share an item id are one item.
     """
     docs, spark = project(docs, id_col, text_col), docs.sparkSession
     out = None
@@ -234,26 +258,28 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
         def rows(batches, shared=shared):
             t = shared.value
-            every = np.arange(len(t.ids))
-            begin = np.flatnonzero(np.concatenate(([True], t.owner[1:] != t.owner[:-1]))) if len(t.ids) else every
             for ids, texts in buffered(batches, SHARD_CHARS, text_size):
                 shard = Shard(texts, t)
-                if not len(shard.order) or not len(every):
-                    continue
-                rank = shard.search(t, every, t.left)
-                sides = [np.clip(rank + k, 0, len(shard.order) - 1) for k in (-1, 0)]
-                common = [shard.compare(t, every, r, t.left)[0] for r in sides]
-                best = np.where(common[0] > common[1], sides[0], sides[1])
-                length = np.maximum(*common)
-                k = np.flatnonzero(length >= least)
-                at = shard.order[best[k]]
+                length = _longest(shard, t)
+                suffix = np.flatnonzero(length >= least)
+                rank, which = _places(shard, t, suffix, length[suffix])
+                at = shard.order[rank]
                 doc = np.searchsorted(shard.first, at, "right") - 1
-                yield [[t.items[o] for o in t.owner[k]], (k - begin[t.owner[k]]).tolist(), length[k].tolist(), [ids[d] for d in doc], (at - shard.first[doc]).tolist()]
-
-        part = map_rows(docs, rows, "item_id long, position long, length long, doc_id long, start long")
+                start = at - shard.first[doc]
+                known = np.array([d is not None for d in ids], bool)[doc]
+                name = np.array([d or 0 for d in ids], np.int64)[doc]
+                by = np.lexsort((start, name, ~known, which))
+                first = by[run_starts(which[by])]
+                k = suffix[which[first]]
+                counts = np.bincount(which, minlength=len(suffix))[which[first]]
+                yield [[t.items[o] for o in t.owner[k]], t.position[k].tolist(), length[k].tolist(), [ids[d] for d in doc[first]], start[first].tolist(), counts.tolist()]
+
+        part = map_rows(docs, rows, "item_id long, position long, length long, doc_id long, start long, places long")
         out = part if out is None else out.union(part)
-    best = F.min_by(F.struct("length", "doc_id", "start"), F.struct(-F.col("length"), "doc_id", "start")).alias("m")
-    return out.groupBy("item_id", "position").agg(best).select("item_id", "position", "m.length", "m.doc_id", "m.start")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "start")
+    best = out.groupBy("item_id", "position", "length").agg(F.min(place).alias("m"), F.sum("places").alias("places"))
+    best = best.groupBy("item_id", "position").agg(F.max_by(F.struct("length", "m.doc_id", "m.start", "places"), "length").alias("b"))
+    return best.select("item_id", "position", "b.length", "b.doc_id", "b.start", "b.places")
 
 
 def items_digest(items: list[int]) -> str:
@@ -271,7 +297,7 @@ b as (
     select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as ws from benchmark)
   where len(ws) > 0),
 win as (
-  select distinct item_id, least(n, 10) as l, array_to_string(ws[i:i + least(n, 10) - 1], ' ') as s
+  select item_id, i - 1 as q, least(n, 10) as l, array_to_string(ws[i:i + least(n, 10) - 1], ' ') as s
   from (select item_id, ws, n, unnest(range(1, greatest(n - 10, 0) + 2)) as i from b)),
 lens as (select distinct l from win),
 grams as (
@@ -280,11 +306,16 @@ grams as (
       count(*) over (partition by w.doc_id, lens.l order by w.p rows between current row and 9 following) as c,
       array_to_string((list(w.word) over (partition by w.doc_id, lens.l order by w.p rows between current row and 9 following))[1:lens.l], ' ') as s
     from w cross join lens) where c >= l),
-m as (select g.doc_id, g.p, g.l, win.item_id from grams g join win on g.l = win.l and g.s = win.s),
+m as (select g.doc_id, g.p, g.l, win.item_id, win.q from grams g join win on g.l = win.l and g.s = win.s),
+chains as (
+  select doc_id, item_id, min(p) as start, min(q) as position, count(*) + any_value(l) - 1 as length
+  from (select *, p - row_number() over (partition by doc_id, item_id, p - q order by p) as chain from m) group by doc_id, item_id, p - q, chain),
+best as (select doc_id, arg_min({'n': length, 's': start, 'i': item_id, 'p': position}, [-length, start, item_id, position]) as b from chains group by doc_id),
 h as (select doc_id, count(distinct q) as n_hit from (select doc_id, unnest(range(p, p + l)) as q from m) group by doc_id),
 i as (select doc_id, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as names from (select distinct doc_id, item_id from m) group by doc_id),
 n as (select doc_id, count(*) as n_words from w group by doc_id)
 select d.doc_id, coalesce(n.n_words, 0)::bigint as n_words, coalesce(h.n_hit, 0)::bigint as n_hit, coalesce(i.n_items, 0)::bigint as n_items,
-  sha256(coalesce(i.names, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated
-from documents d left join n using (doc_id) left join h using (doc_id) left join i using (doc_id)
+  sha256(coalesce(i.names, '')) as items_sha256, coalesce(h.n_hit, 0) > 0 as contaminated,
+  coalesce(b.n, 0)::bigint as longest, b.s::bigint as longest_start, b.i::bigint as longest_item, b.p::bigint as longest_position
+from documents d left join n using (doc_id) left join h using (doc_id) left join i using (doc_id) left join best using (doc_id)
 """

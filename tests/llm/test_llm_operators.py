@@ -80,8 +80,10 @@ def test_long_secrets_and_partners(spark):
     assert got[1] == f"endpoint:0:{len(url)},secret:{len(url) + 1}:{len(texts[1])}"
     assert got[2] == f"secret:0:29,endpoint:30:{len(texts[2])}"
     assert got[3] == ""
-    masked = {r.doc_id: r.text for r in secrets.redact(frame(spark, texts)).collect()}
+    masked = {r.doc_id: r.text for r in secrets.redact(frame(spark, texts), kinds=secrets.KINDS).collect()}
     assert masked[0] == "key [secret] [secret]" and masked[1] == masked[2] == "[secret] [secret]"
+    masked = {r.doc_id: r.text for r in secrets.redact(frame(spark, texts)).collect()}
+    assert masked[0] == "key [secret] user=alice" and masked[1] == f"{url} [secret]"
 
 
 def test_redact_keeps_rows(spark):
@@ -204,8 +206,38 @@ def test_decontamination(spark, block):
 def test_longest_matches(spark):
     docs = spark.createDataFrame([(1, "a b c d x a b c d e"), (2, "q a b c d e f"), (3, None)], "doc_id long, text string")
     bench = spark.createDataFrame([(7, "a b c d e f"), (8, "none")], "item_id long, text string")
-    got = {(r.item_id, r.position): (r.length, r.doc_id, r.start) for r in decontaminate.longest_matches(docs, bench, least=2).collect()}
-    assert got == {(7, k): (6 - k, 2, 1 + k) for k in range(5)}
+    got = {(r.item_id, r.position): (r.length, r.doc_id, r.start, r.places) for r in decontaminate.longest_matches(docs, bench, least=2).collect()}
+    assert got == {(7, k): (6 - k, 2, 1 + k, 1) for k in range(5)}
+
+
+def test_longest_matches_with_ties(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("abc", k=rng.randrange(0, 30))) for _ in range(40)]
+    items = [(i, " ".join(rng.choices("abcd", k=rng.randrange(1, 14)))) for i in range(12)]
+    docs, bench = frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")
+    rows = sorted(((r.doc_id is None, r.doc_id, r.text.split()) for r in docs.collect()), key=str)
+    want, best = {}, {}
+    for i, t in items:
+        w = t.split()
+        for k in range(len(w)):
+            found = []
+            for none, d, words in rows:
+                for j in range(len(words)):
+                    n = 0
+                    while k + n < len(w) and j + n < len(words) and w[k + n] == words[j + n]:
+                        n += 1
+                    if n >= 3:
+                        found.append((-n, none, d, j))
+                    if n >= min(3, len(w)) and (len(w) >= 3 or k == 0):
+                        best[d] = min(best.get(d, (0,)), (-n, j, i, k))
+            if found:
+                top = min(found)
+                want[i, k] = (-top[0], top[2], top[3], sum(f[0] == top[0] for f in found))
+    for block in (10**6, 40):
+        got = {(r.item_id, r.position): (r.length, r.doc_id, r.start, r.places) for r in decontaminate.longest_matches(docs, bench, least=3, block_chars=block).collect()}
+        assert got == want
+        for r in decontaminate.contamination(docs, bench, window=3, block_chars=block).collect():
+            assert (-r.longest, r.longest_start, r.longest_item, r.longest_position) == best.get(r.doc_id, (0, None, None, None))
 
 
 def test_decontamination_of_nothing(spark):
@@ -286,7 +318,8 @@ def test_fingerprints_and_components(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
-def test_tiles_of_hot_buckets(spark):
+@pytest.mark.parametrize("tile", [16, 60])
+def test_tiles_of_hot_buckets(spark, tile):
     rng = np.random.default_rng(1)
     found = {int(x) for x in rng.integers(0, 1 << 62, 60)}
     for b in sorted(found)[:3]:
@@ -297,7 +330,7 @@ def test_tiles_of_hot_buckets(spark):
             found.add(v)
     xs = sorted(found)
     rows = spark.createDataFrame([(x, [x]) for x in xs], "node long, fp array<long>").withColumn("keys", simhash.band_keys(F.col("fp")[0], 2))
-    got = {r.node: r.root for r in connected_components(simhash.links(rows, 2, tile=16)).collect()}
+    got = {r.node: r.root for r in connected_components(simhash.links(rows, 2, tile=tile)[0]).collect()}
     want = brute_components({x: x for x in xs}, 2)
     assert {k: got.get(k, k) for k in xs} == want
 
