@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortaudit.llm.common import LOWER_TABLE, map_rows, project, small_side, stage
+from cohortaudit.llm.common import LOWER_TABLE, SMALL_SIDE, map_rows, project, stage
 
 #: All kinds in the order in which spans that start together are listed; the first three are strong.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -27,6 +27,8 @@ SECRETS, PARTNERS = {"assign", "hex", "secret"}, {"access", "identifier", "endpo
 RADIUS = 300
 BIN = 1024
 MASK = "[secret]"
+#: What is masked unless told otherwise: account names and endpoints stay in the text.
+MASKED = ("assign", "access", "hex", "secret")
 
 # on bytes with A-Z lower-cased
 _ASSIGN = re.compile(rb"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([a-z0-9+/_.=-]+)")
@@ -164,25 +166,32 @@ def mask(text: str, found: list[tuple[int, int]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with every secret that find_secrets reports masked in the text; all rows and columns stay.
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kinds: tuple[str, ...] = MASKED) -> DataFrame:
+    """docs with every span of the kinds that find_secrets reports masked in the text; all rows and columns stay.
 
     Rows are matched to their spans by id and a digest of the text, so repeated ids with
     different texts keep their own spans, and a null id is one like any other.
     """
-    found = find_secrets(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), with_sign=True).where(F.size("found") > 0)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("sign").alias("_sign"), "found").groupBy("_id", "_sign").agg(F.first("found").alias("_found"))
-    found = small_side(found, "spans", 100_000)
-    joined = docs.join(found, docs[id_col].cast("long").eqNullSafe(found._id) & (F.xxhash64(docs[text_col]) == found._sign), "left").select(*(docs[c] for c in docs.columns), "_found")
-    at, names = docs.columns.index(text_col), docs.columns
+    asked = [KINDS.index(k) for k in kinds]
+    found = find_secrets(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), with_sign=True)
+    found = found.withColumn("found", F.filter("found", lambda s: s["kind"].isin(asked))).where(F.size("found") > 0)
+    found = found.groupBy(F.col("doc_id").alias("id"), "sign").agg(F.first("found").alias("found"))
+    found, _ = stage(found, "spans")
+    # what is sent to every task is bounded by its spans, as a row may hold many
+    few = (found.agg(F.sum(F.size("found"))).first()[0] or 0) <= SMALL_SIDE
+    own = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(own, F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("sign"))
+    spans = (F.broadcast(found) if few else found).select(F.col("id").alias("span_id"), F.col("sign").alias("span_sign"), "found")
+    joined = rows.join(spans, F.col("id").eqNullSafe(F.col("span_id")) & (F.col("sign") == F.col("span_sign")), "left").select("row", "found")
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for b in batches:
-            hit = b.column(b.num_columns - 1)
-            columns = list(b.columns[:-1])
+            columns, hit = b.column(0).flatten(), b.column(1)
             if hit.null_count < len(hit):
                 spans, texts = hit.to_pylist(), columns[at].to_pylist()
                 columns[at] = pa.array([t if s is None else mask(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)], type=columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
+    names = docs.columns
     return joined.mapInArrow(run, docs.schema)
