@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that Spark hands to Python at once; long texts make larger batches costly.
+#: Rows that become Python values at once, of a batch that Spark bounds by bytes.
 BATCH_ROWS = 500
 
 
@@ -96,18 +96,23 @@ def map_rows(df: DataFrame, rows: Callable[..., Iterator[list]], ddl: str) -> Da
     rows gets an iterator of batches, each a list of columns as Python lists, and
     yields batches in the same form for the schema ddl.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
     schema = arrow_schema(ddl)
 
     def run(batches):
-        for columns in rows([c.to_pylist() for c in b.columns] for b in batches if b.num_rows):
+        for columns in rows([c.to_pylist() for c in b.columns] for b in sliced(batches, BATCH_ROWS)):
             if len(columns[0]):
                 yield pa.RecordBatch.from_arrays([_array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return df.mapInArrow(run, ddl)
 
 
+def sliced(batches, rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows, none empty."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _array(column, kind: pa.DataType) -> pa.Array:
     return column if isinstance(column, pa.Array) else pa.array(column, type=kind)
 

@@ -8,22 +8,20 @@ language's rate of false positives, and the highest decides.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortaudit.llm.common import map_rows, stage
 
-#: Training documents for each language (in expectation), and n-grams kept of each at most.
+#: The model's size: training documents for each language (in expectation), n-grams that a
+#: language's filter learns at most (the commonest), slots of the filter. Each 64 languages
+#: take 8 bytes a slot.
 PER_LANGUAGE, GRAMS = 1500, 40_000
 LOG_SLOTS = 20
-LANGUAGES = 4096
 UNKNOWN = "und"
 _CHUNK = 4 << 20
 _TABLE = bytes(b if b >= 128 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
-_LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIERS = (0x9E3779B1, 0x85EBCA6B)
 
 
@@ -61,7 +59,7 @@ class Filters:
         return self.bits[_slot(codes, 0)] & self.bits[_slot(codes, 1)]
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if not text or not _LETTER.search(text) or not self.languages:
+        if not text or not self.languages or not any(map(str.isalpha, text)):
             return UNKNOWN, 0.0
         counts, total = np.zeros(len(self.languages), np.int64), 0
         codes = grams(text)
@@ -92,16 +90,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
+    # a row for each language
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     filters = Filters(languages, min(sizes, key=lambda x: (-sizes[x], x)) if sizes else UNKNOWN)
     if not languages:
         return filters
     spark = docs.sparkSession
     rates = spark.createDataFrame([(x, i, int(min(1.0, per_language / sizes[x]) * 1_000_000)) for i, x in enumerate(languages)], "lang string, language int, rate long")
-    # a row for each language, of which there are at most LANGUAGES
     sample = rows.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < F.col("rate")).select("language", "text")
 
     def count(batches):
@@ -122,10 +118,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         held[r.language] += r.grams
         if held[r.language] > keep:
             least[r.language] = max(least[r.language], r.n + 1)
-    bar = F.lit(0)
-    for i, n in least.items():
-        bar = F.when(F.col("language") == i, n).otherwise(bar)
-    found = counts.where(F.col("n") >= bar).select("language", "code").toPandas()
+    bars = spark.createDataFrame(sorted(least.items()), "language int, least long")
+    found = counts.join(F.broadcast(bars), "language").where(F.col("n") >= F.col("least")).select("language", "code").toPandas()
     for i, own in found.groupby("language"):
         filters.add(int(i), own.code.to_numpy(np.uint32))
     return filters

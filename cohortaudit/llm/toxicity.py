@@ -80,7 +80,8 @@ def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, labe
         rate = F.when(F.col("toxic") == k, F.lit(int(min(1.0, per_label / n) * 1_000_000))).otherwise(rate)
     chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < rate)
     # at most about 2 * per_label rows, so the texts need no shuffle
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == chosen._id).select("toxic", F.col(text_col).alias("text")).where("text is not null")
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).where("text is not null")
+    rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("toxic", "text")
     return rows.groupBy(F.md5("text").alias("digest")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("digest", "toxic", "text")
 
 
