@@ -28,7 +28,8 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
     """docs without the rows whose key is in drop(key)."""
-    return docs.join(small_side(drop.distinct(), "drop"), _key() == F.col("key"), "left_anti")
+    drop = small_side(drop.distinct(), "drop")
+    return docs.join(drop, F.xxhash64(docs["doc_id"], docs["text"]) == drop["key"], "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
