@@ -39,7 +39,9 @@ BASE_WEIGHT, TAG_WEIGHT = 0.6, 1.0
 #: Licences by how much they ask of one who shares the work; others count as unknown.
 RANKS = {"mit": 0, "bsd-2-clause": 0, "bsd-3-clause": 0, "isc": 0, "apache-2.0": 0, "unlicense": 0, "cc0-1.0": 0, "cc-by-4.0": 0, "mpl-2.0": 1, "epl-2.0": 1, "lgpl-2.1": 1, "lgpl-3.0": 1, "gpl-2.0": 2, "gpl-3.0": 2, "agpl-3.0": 3, "cc-by-sa-4.0": 2, "cc-by-nc-4.0": 3}
 CLASSES = ("permissive", "weak-copyleft", "copyleft", "restricted", "unknown")
-_TAG = re.compile(r"(?:spdx[- ])?license[- ](?:identifier|expression)[ \t]*:", re.ASCII | re.IGNORECASE)
+#: What stands between a tag's last word and its expression.
+_COLON = re.compile(r"[\"']?[ \t]*[:=]", re.ASCII)
+_WORD = re.compile(rb"[^ ]+")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+-]*", re.ASCII)
 _STEP = re.compile(r"[\r\n]|" + _TOKEN.pattern, re.ASCII)
 _POWER = {"or": 1, "and": 2, "with": 3}
@@ -141,7 +143,7 @@ class Scanner:
         if not words:
             return [0, 0, None, None, "", "", 0.0, None]
         line = f" {b' '.join(words).decode()} "
-        places, base, labels, evidence, tagged = [], set(), set(), {}, False
+        places, base, labels, evidence, tags = [], set(), set(), {}, set()
         word = at = 0
         for end, (size, what) in sorted(self.machine.iter(line), key=lambda m: m[0] - m[1][0]):
             start = end - size + 1
@@ -154,13 +156,19 @@ class Scanner:
                 if label:
                     labels.add(label)
                     evidence[label] = max(evidence.get(label, 0.0), weight)
-                else:
-                    tagged = True
+                else:  # the number of the tag's last word
+                    tags.add(word + line.count(" ", start + 1, end))
         rank = None
-        if tagged:
-            for m in _TAG.finditer(text):
+        if tags:
+            raw = text.encode()
+            ends = [m.end() for m in _WORD.finditer(raw.translate(WORD_TABLE))]
+            byte = char = 0
+            for last in sorted(tags):
+                char += len(raw[byte : ends[last]].decode())
+                byte = ends[last]
+                colon = _COLON.match(text, char)
                 try:
-                    names, asked = evaluate(postfix(_line(text, m.end())))
+                    names, asked = evaluate(postfix(_line(text, colon.end()) if colon else ()))
                 except ValueError:
                     continue
                 labels.update(names)

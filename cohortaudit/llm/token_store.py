@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from cohortaudit.llm.common import map_rows, project
 from cohortaudit.llm.tokens import encoder, vocabulary
 
-#: Documents that the dictionary is trained on, and the longest text among them.
-SAMPLE, SAMPLE_CHARS = 400, 20_000
+#: The dictionary's sample: documents, and of each as many first ids.
+SAMPLE, SAMPLE_IDS = 400, 8192
+#: Characters of text in a part, about 256 MB, where that asks for more parts than shuffles have.
+PART_CHARS = 256_000_000
 DICTIONARY_BYTES = 64 << 10
 BLOCK_BYTES = 4 << 20
 LEVEL = 3
@@ -53,32 +55,38 @@ def _codec(dictionary: bytes) -> dict:
 
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, sample: int = SAMPLE) -> bytes:
-    """Train on the documents of the smallest id hashes, `sample` of them at most."""
-    short = docs.where(F.length("text") <= SAMPLE_CHARS)
-    chosen = [r.doc_id for r in short.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
+    """Train on the first SAMPLE_IDS ids of the documents of the smallest id hashes, `sample` of them at most."""
+    chosen = [r.doc_id for r in docs.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()]
 
     def rows(batches):
         encode = encoder(path).encode
         for _, texts in batches:
-            yield [[serialize(np.append(encode(t), np.uint32(end_id))) for t in texts]]
+            yield [[serialize(np.append(encode(t), np.uint32(end_id))[:SAMPLE_IDS]) for t in texts]]
 
-    few = map_rows(short.where(F.col("doc_id").isin(chosen)), rows, "data binary") if chosen else None
+    few = map_rows(docs.where(F.col("doc_id").isin(chosen)), rows, "data binary") if chosen else None
     return train(sorted(bytes(r.data) for r in few.limit(2 * sample).collect()) if few else [])
 
 
 def _bounds(docs: DataFrame, parts: int) -> list[int]:
-    """doc_ids that cut the documents into parts of about equal numbers."""
+    """doc_ids that cut the documents into parts of about equal numbers; one that many rows share repeats."""
     if parts < 2:
         return []
     found = docs.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(10_000))).first()[0]
-    return sorted(set(found or []))
+    return sorted(found or [])
+
+
+def _parts(ids: np.ndarray, ties: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The part of each row: ascending by id, and by tie (0 to 2**32 - 1) among the parts of a bound that repeats."""
+    first, last = np.searchsorted(bounds, ids, "left"), np.searchsorted(bounds, ids, "right")
+    return np.where(last > first, first + 1 + (ties * np.maximum(last - first, 1) >> 32), last)
 
 
 def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 1, parts: int | None = None, sample: int = SAMPLE) -> None:
     """Encode every whole text, append end_id, and write a store to folder.
 
-    Null and empty texts are the end id alone. Rows with a null doc_id come first, and
-    repeated ids stay, in the order of their frames' bytes. Other columns are not read.
+    Null and empty texts are the end id alone. Rows with a null doc_id come first.
+    Repeated ids stay, in an order that hashes of the rows' places in docs give, so that
+    they may fill several parts. Other columns are not read.
     """
     path = tokenizer or vocabulary()
     docs = project(docs, id_col, text_col)
@@ -87,19 +95,24 @@ def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
     digest = hashlib.sha256(dictionary).hexdigest()
     spark.createDataFrame([(digest, bytearray(dictionary))], "dictionary_sha256 string, dictionary binary").coalesce(1).write.parquet(f"{folder}/dictionary")
     shared = spark.sparkContext.broadcast(dictionary)
-    n = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds = _bounds(docs.select("doc_id"), n)
+    n = parts
+    if n is None:
+        chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
+    bounds = _bounds(docs.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc_id")), n)
     cuts = np.array(bounds, np.int64)
 
     def encode_rows(batches):
         encode, pack = encoder(path).encode, zstandard.ZstdCompressor(level=LEVEL, **_codec(shared.value)).compress
-        for ids, texts in batches:
+        for ids, ties, texts in batches:
             tokens = [np.append(encode(t), np.uint32(end_id)) for t in texts]
-            part = [0 if d is None else int(p) for d, p in zip(ids, np.searchsorted(cuts, [d or 0 for d in ids], "right"))]
-            yield [part, ids, [len(t) for t in tokens], [pack(serialize(t)) for t in tokens]]
+            part = _parts(np.array([-(1 << 63) if d is None else d for d in ids], np.int64), np.array(ties, np.int64), cuts)
+            yield [part.tolist(), ids, ties, [len(t) for t in tokens], [pack(serialize(t)) for t in tokens]]
 
-    frames = map_rows(docs, encode_rows, "part int, doc_id long, n_tokens long, frame binary")
-    ranged = frames.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "frame")
+    tie = F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 32) - 1))
+    frames = map_rows(docs.select("doc_id", tie.alias("tie"), "text"), encode_rows, "part int, doc_id long, tie long, n_tokens long, frame binary")
+    ranged = frames.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "tie")
+    ranged = ranged.select("part", "doc_id", "n_tokens", "frame")
 
     def block_rows(batches):
         held = ([], [], [])

@@ -5,22 +5,26 @@ dimensions. Phase 1 gathers each slice's highest partial scores for each query,
 them a lower bound of the k-th best score. Phase 2 sends that cutoff out: a vector can
 only reach it if one of its m partial scores, counted from the slice's lowest, is at
 least an m-th of it. Phase 3 computes the scores of the vectors that remain exactly.
-Queries go in blocks of bounded size; vectors are never paired by a join.
+Queries go in blocks of bounded size, each a round of two scans with a written result;
+vectors are never paired by a join.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortaudit.llm.common import arrow_schema, run_starts, stage
+from cohortaudit.llm.common import arrow_schema, discard, run_starts, scratch_root, sliced, stage
 
 SLICES = 4
-#: Queries in a block: what is broadcast at once.
-BLOCK = 2048
+#: Queries in a block, which one scan of the vectors serves, and those compared at once.
+BLOCK, AT_ONCE = 32_768, 2048
+#: Vectors compared at once.
 ROWS = 1024
 
 
@@ -37,7 +41,7 @@ def quantize(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
 
 def _matrices(batches, dim: int):
     """(ids, rows of dim integers) of the vectors of that length."""
-    for b in batches:
+    for b in sliced(batches, ROWS):
         v = b.column(1)
         sizes = np.diff(v.offsets.to_numpy())
         own = sizes == dim
@@ -77,18 +81,20 @@ def _local_lists(ids: np.ndarray, queries: np.ndarray, parts: list[slice], k: in
         count = 0
         base = TaskContext.get().partitionId() << 40
         for own, c in _matrices(batches, queries.shape[1]):
-            other = own[None, :] != ids[:, None]
             rows = base + count + np.arange(len(own))
             count += len(own)
             for j, part in enumerate(parts):
-                p = _product(queries[:, part], c[:, part])
-                low[j] = np.minimum(low[j], np.where(other, p, np.iinfo(np.int64).max).min(axis=1))
-                p[~other] = np.iinfo(np.int64).min
-                top = np.argpartition(-p, min(k, p.shape[1]) - 1, axis=1)[:, :k]
-                both = np.concatenate((best[j], np.take_along_axis(p, top, 1)), axis=1)
-                name = np.concatenate((who[j], np.where(np.take_along_axis(other, top, 1), rows[top], -1)), axis=1)
-                keep = np.argsort(-both, axis=1, kind="stable")[:, :k]
-                best[j], who[j] = np.take_along_axis(both, keep, 1), np.take_along_axis(name, keep, 1)
+                for at in range(0, n, AT_ONCE):
+                    few = slice(at, at + AT_ONCE)
+                    other = own[None, :] != ids[few, None]
+                    p = _product(queries[few, part], c[:, part])
+                    low[j, few] = np.minimum(low[j, few], np.where(other, p, np.iinfo(np.int64).max).min(axis=1))
+                    p[~other] = np.iinfo(np.int64).min
+                    top = np.argpartition(-p, min(k, p.shape[1]) - 1, axis=1)[:, :k]
+                    both = np.concatenate((best[j, few], np.take_along_axis(p, top, 1)), axis=1)
+                    name = np.concatenate((who[j, few], np.where(np.take_along_axis(other, top, 1), rows[top], -1)), axis=1)
+                    keep = np.argsort(-both, axis=1, kind="stable")[:, :k]
+                    best[j, few], who[j, few] = np.take_along_axis(both, keep, 1), np.take_along_axis(name, keep, 1)
         j, q, at = np.nonzero(who >= 0)
         if len(j):
             yield pa.RecordBatch.from_arrays([pa.array(q, pa.int32()), pa.array(j, pa.int32()), pa.array(who[j, q, at]), pa.array(best[j, q, at]), pa.array(low[j, q])], schema=schema)
@@ -104,19 +110,22 @@ def _resolve(ids: np.ndarray, queries: np.ndarray, parts: list[slice], k: int, l
         m = len(parts)
         found = [np.zeros(0, np.int64)] * 3
         for own, c in _matrices(batches, queries.shape[1]):
-            other = own[None, :] != ids[:, None]
-            # p is counted from the slice's lowest, so m * p >= cutoff in some slice of each entry that reaches it
-            upper = np.zeros(other.shape, np.int64)
-            some = np.zeros(other.shape, bool)
-            for j, part in enumerate(parts):
-                p = (_product(queries[:, part], c[:, part]) - low[j][:, None]) * m
-                high = p >= cutoff[:, None]
-                some |= high
-                upper += np.where(high, p, cutoff[:, None])
-            q, r = np.nonzero(some & other & (upper >= m * cutoff[:, None]))
-            score = np.concatenate([np.einsum("ij,ij->i", queries[q[a : a + 65536]], c[r[a : a + 65536]]) for a in range(0, len(q), 65536)] or [np.zeros(0, np.int64)])
-            keep = score - low.sum(axis=0)[q] >= cutoff[q]
-            found = [np.concatenate(x) for x in zip(found, (q[keep], own[r[keep]], score[keep]))]
+            for at in range(0, len(ids), AT_ONCE):
+                few = slice(at, at + AT_ONCE)
+                other = own[None, :] != ids[few, None]
+                # p is counted from the slice's lowest, so m * p >= cutoff in some slice of each entry that reaches it
+                upper = np.zeros(other.shape, np.int64)
+                some = np.zeros(other.shape, bool)
+                for j, part in enumerate(parts):
+                    p = (_product(queries[few, part], c[:, part]) - low[j, few][:, None]) * m
+                    high = p >= cutoff[few, None]
+                    some |= high
+                    upper += np.where(high, p, cutoff[few, None])
+                q, r = np.nonzero(some & other & (upper >= m * cutoff[few, None]))
+                q += at
+                score = np.concatenate([np.einsum("ij,ij->i", queries[q[a : a + 65536]], c[r[a : a + 65536]]) for a in range(0, len(q), 65536)] or [np.zeros(0, np.int64)])
+                keep = score - low.sum(axis=0)[q] >= cutoff[q]
+                found = [np.concatenate(x) for x in zip(found, (q[keep], own[r[keep]], score[keep]))]
             by = np.lexsort((found[1], -found[2], found[0]))
             found = [x[by] for x in found]
             first = run_starts(found[0])
@@ -152,20 +161,23 @@ def top_k(queries: DataFrame, vectors: DataFrame, k: int = 5, slices: int = SLIC
     rows that repeat each count. With fewer candidates than k all are returned.
     """
     spark = vectors.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
-    queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
-    total = queries.count()
-    blocks = max(1, -(-total // block))
-    out = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    schema = "query_id long, vec_id long, score long"
+    queries, path = stage(queries.groupBy("vec_id").agg(F.min("v").alias("v")), "queries")
+    blocks = max(1, -(-queries.count() // block))
+    found = f"{scratch_root(spark)}/found-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(f"{found}/block=-1")
     for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect() if total else []
+        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).collect()
         for dim in sorted({len(r.v) for r in rows}):
             own = sorted(((r.vec_id, r.v) for r in rows if len(r.v) == dim))
             ids, q = np.array([x for x, _ in own], np.int64), np.array([v for _, v in own], np.int64).reshape(len(own), dim)
             parts = _slices(dim, slices)
-            lists = vectors.mapInArrow(_local_lists(ids, q, parts, k), _LISTS)
-            low, cutoff = _cutoffs(stage(lists, "lists")[0], len(ids), len(parts), k)
-            out = out.union(vectors.mapInArrow(_resolve(ids, q, parts, k, low, cutoff), "query_id long, vec_id long, score long"))
+            lists, lists_path = stage(vectors.mapInArrow(_local_lists(ids, q, parts, k), _LISTS), "lists")
+            low, cutoff = _cutoffs(lists, len(ids), len(parts), k)
+            vectors.mapInArrow(_resolve(ids, q, parts, k, low, cutoff), schema).write.mode("append").parquet(f"{found}/block={b}")
+            discard(spark, lists_path)
+    discard(spark, path)
+    out = spark.read.schema(schema + ", block int").parquet(found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

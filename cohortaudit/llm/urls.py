@@ -6,6 +6,9 @@ and counted by ml.feature.HashingTF, and scored by ml.classification.
 
 from __future__ import annotations
 
+import csv
+from pathlib import Path
+
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
@@ -17,23 +20,22 @@ from cohortaudit.llm.common import LOWER, UPPER
 #: (rule, verdict); a rule is a host, then a path.
 RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 FEATURES = 1 << 16
-#: Words of the labelled table: hosts are made of pairs of them.
-BAD = ("casino", "bets", "poker", "jackpot", "lottery", "pills", "viagra", "pharma", "adult", "porn", "xxx", "escort", "spam", "phish", "malware", "warez", "crack", "torrent", "ads", "track", "click", "popup", "free", "cheap", "win", "bonus", "prize", "payday", "loan", "replica")
-GOOD = ("library", "museum", "school", "university", "garden", "recipes", "travel", "weather", "history", "science", "journal", "reader", "city", "council", "hospital", "music", "theatre", "books", "maths", "physics", "forum", "wiki", "docs", "support", "notes", "bakery", "sports", "cinema", "nature", "letters")
+#: (url, label, split): 90 urls that one would not crawl (1) and 90 that one would (0), written for this purpose.
+TABLE = Path(__file__).with_name("labelled_urls.csv")
 TOPS = ("org", "net", "com", "info")
 
 
-def labelled_urls(spark: SparkSession) -> DataFrame:
-    """(url, label): the small default training table, 1 for unwanted. Every word stands with three others."""
-    rows = []
-    for label, words in ((1.0, BAD), (0.0, GOOD)):
-        for i, w in enumerate(words):
-            for k in (1, 7, 13):
-                other = words[(i + k) % len(words)]
-                rows.append((f"https://{w}-{other}.site.{TOPS[(i + k) % 4]}/{('en', 'de', 'fr', 'es')[k % 4]}/{100 + 7 * i + k}", label))
-    # plain hosts of running syllables, so that an unknown host isn't taken for a bad one
+def labelled_urls(spark: SparkSession, split: str | None = None) -> DataFrame:
+    """(url, label): the small default training table, 1 for unwanted; split: only its `train` or its `test` rows.
+
+    To the table's urls come plain hosts of running syllables (train), so that an unknown
+    host isn't taken for a bad one.
+    """
+    with TABLE.open(encoding="utf-8", newline="") as f:
+        rows = [(r["url"], float(r["label"])) for r in csv.DictReader(f) if split in (None, r["split"])]
     sounds = ("th", "er", "in", "an", "re", "on", "st", "en", "la", "mi", "do", "ka", "lu", "so", "ter", "ing")
-    rows += [(f"http://{a}{b}{a if i % 2 else 'al'}.site.{TOPS[i % 4]}/page/{i}", 0.0) for i, (a, b) in enumerate((a, b) for a in sounds for b in sounds if a != b)]
+    if split != "test":
+        rows += [(f"http://{a}{b}{a if i % 2 else 'al'}.site.{TOPS[i % 4]}/page/{i}", 0.0) for i, (a, b) in enumerate((a, b) for a in sounds for b in sounds if a != b)]
     return spark.createDataFrame(rows, "url string, label double")
 
 
@@ -80,8 +82,9 @@ def judge(pages: DataFrame, model: LogisticRegressionModel, id_col: str = "page_
     """(page_id, host, path, rule, verdict, score), a row for each row of pages.
 
     verdict is the longest fitting rule's, else block where the model's probability of
-    an unwanted url is 0.5 or more. A url without host or path is judged by the model
-    from its empty parts. Repeated rows stay; other columns are not read.
+    an unwanted url is 0.5 or more (a tie blocks). A null or empty url, or one without
+    host or path, is judged by the model from its empty parts. Repeated rows stay, a null
+    page_id stays null, no rows give none; other columns are not read, whatever their names.
     """
     rows = _features(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), "url")
     scored = model.transform(rows).select("page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("r"), vector_to_array("probability")[1].alias("score"))

@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
 from cohortaudit.llm import decontaminate, langid, licenses, packing, secrets, simhash, token_store, tokens, topk, toxicity, urls
@@ -108,11 +109,34 @@ def test_url_rules_and_parts(spark):
     assert all(r.verdict in ("allow", "block") and 0 <= r.score <= 1 for r in got.values())
 
 
-def test_url_model_knows_its_table(spark):
-    table = urls.labelled_urls(spark)
-    model = urls.train(table)
-    held = spark.createDataFrame([(0, "http://lucky-casino-bonus.org/x"), (1, "http://cheap-viagra-pills.net/en"), (2, "http://city-library-books.org/x"), (3, "http://science-museum.net/en")], "page_id long, url string")
-    assert [r.verdict for r in urls.judge(held, model).orderBy("page_id").collect()] == ["block", "block", "allow", "allow"]
+def test_url_model_on_held_out_urls(spark):
+    test = urls.labelled_urls(spark, "test")
+    hosts = lambda df: {re.split("[/:.-]+", r.url)[1] for r in df.collect()}
+    train = urls.labelled_urls(spark, "train")
+    assert test.count() == 44 and not hosts(test) & (hosts(train) - {"www"}) - {"www"}
+    judged = urls.judge(test.select(F.col("url").alias("page_id"), "url"), urls.train(train), rules=())
+    got = {r.page_id: r.verdict for r in judged.collect()}
+    right = sum((got[r.url] == "block") == (r.label == 1) for r in test.collect())
+    print("held-out urls right:", right, "of 44")
+    assert right >= 36
+
+
+def test_url_probabilities(spark):
+    model = urls.train(urls.labelled_urls(spark))
+    rows = [(0, "https://poker.bet/x"), (1, "https://a.org/library"), (2, None), (3, "")]
+    pages = spark.createDataFrame([(i, u, "x", 1.0, 2) for i, u in [*rows, rows[0], (None, "http://q.q")]], "page_id long, url string, host string, probability double, r int")
+    got = urls.judge(pages, model, rules=()).collect()
+    assert len(got) == 6 and {r.page_id for r in got} == {0, 1, 2, 3, None}
+    hashing = HashingTF(numFeatures=urls.FEATURES, binary=True, inputCol="grams", outputCol="features")
+    for r in got:
+        host, path = r.host, r.path
+        site = f"^{host}$"
+        grams = [site[i : i + n] for n in (3, 4) for i in range(len(site) - n + 1)] + ["/" + path[i : i + 4] for i in range(len(path) - 3)]
+        at = {hashing.indexOf(g) for g in grams}
+        z = model.intercept + sum(model.coefficients[k] for k in at)
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
+        assert r.verdict == ("block" if r.score >= 0.5 else "allow")
+    assert urls.judge(pages.where("page_id > 99"), model).count() == 0
 
 
 def test_url_plan_is_native(spark):
@@ -158,6 +182,23 @@ def test_token_store_empty(spark, tmp_path):
     assert token_store.digests(spark, f"file://{tmp_path}/store").count() == 0
 
 
+def test_parts_of_hot_ids():
+    bounds = np.array([5, 9, 9, 9, 12])
+    ids = np.array([4, 5, 8, 9, 9, 9, 9, 10, 12, 99])
+    ties = np.array([0, 0, 0, 0, 1 << 31, (1 << 32) - 1, 0, 7, 0, 0])
+    assert token_store._parts(ids, ties, bounds).tolist() == [0, 1, 1, 2, 3, 4, 2, 4, 5, 5]
+
+
+def test_token_store_of_one_id(spark, tmp_path):
+    docs = spark.createDataFrame([(7, t) for t in TEXTS * 4] + [(3, "a"), (9, "b"), (None, "c")], "doc_id long, text string").repartition(3)
+    token_store.write_store(docs, f"file://{tmp_path}/store", parts=5)
+    assert spark.read.parquet(f"file://{tmp_path}/store/blocks").select("part").distinct().count() > 3
+    got = token_store.read_store(spark, f"file://{tmp_path}/store").orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, 3, *[7] * (4 * len(TEXTS)), 9]
+    assert [r.start for r in got] == np.cumsum([0, *(r.n_tokens for r in got[:-1])]).tolist()
+    assert sorted(map(tuple, (r.ids for r in got[2:-1]))) == sorted(tuple(whole_ids(t) + [1]) for t in TEXTS * 4)
+
+
 def test_serialized_widths():
     for ids in ([], [1], [65535], [65536, 3]):
         assert token_store.deserialize(token_store.serialize(np.array(ids, np.uint32))).tolist() == ids
@@ -273,6 +314,25 @@ def test_toxicity_held_out(spark):
     assert not any(r.toxic for r in toxicity.grade(docs, blank).collect())
 
 
+def test_toxicity_probabilities_and_odd_inputs(spark):
+    model = toxicity.OrdinalModel([b"vile", b"rot", "ß".encode()], np.array([1.5, 0.5, -1.0]), np.array([1.0, 2.0, 3.5]))
+    texts = [*ODD, "Vile vile ROT", "ß ß rot!", "vile " * 900]
+    docs = frame(spark, texts).withColumns({"toxic": F.lit(1), "_id": F.lit(2), "digest": F.lit("x"), "grade": F.lit(9)})
+    got = toxicity.grade(docs, model).collect()
+    assert len(got) == len(texts) + 2 and sum(r.doc_id == 0 for r in got) == 2
+    for r in got:
+        words = [w.decode() for w in decontaminate.words_of("no id here" if r.doc_id is None else texts[r.doc_id])]
+        z = sum(w * np.log1p(words.count(x)) for x, w in (("vile", 1.5), ("rot", 0.5), ("ß", -1.0)))
+        above = [1 / (1 + np.exp(-(z - t))) for t in (1.0, 2.0, 3.5)]
+        each = -np.diff([1.0, *above, 0.0])
+        assert abs(r.expected_severity - (each * np.arange(4)).sum()) < 1e-9 and abs(r.chance - above[0]) < 1e-12
+        assert r.grade == int(each.argmax()) and r.toxic == (above[0] >= 0.5)
+    labels = spark.createDataFrame([(i, i % 2, "t") for i in range(len(texts))], "doc_id long, toxic int, text string")
+    for some in (docs, docs.where("doc_id < 0")):
+        fitted = toxicity.train(some, labels)
+        assert toxicity.grade(some, fitted).count() == some.count()
+
+
 # simhash -----------------------------------------------------------------------------
 def brute_components(prints, radius):
     root = dict.fromkeys(prints)
@@ -429,6 +489,14 @@ def test_long_license_expressions():
     assert scan("License-Identifier:\nMIT")[5:] == ["", 0.0, None]
 
 
+def test_license_tags_by_the_automaton():
+    scan = licenses.Scanner().scan
+    for tag in ("SPDX_License_Identifier: MIT", "é SPDX-License-Identifier : MIT", '"license-expression": "MIT"', "ß license\nidentifier= MIT", "# SPDX  LICENSE expression:MIT"):
+        assert scan(f"no {tag}\nlicense")[5:] == ["mit", 1.0, "permissive"], tag
+    assert scan("the license identifier MIT")[5:] == ["", 0.0, None]
+    assert scan("license-identifier: MIT\né license-identifier: ISC\nlicense-identifier: zlib")[5] == "isc,mit,zlib"
+
+
 # top-k -------------------------------------------------------------------------------
 def brute_topk(rows, k, every):
     out = []
@@ -440,7 +508,7 @@ def brute_topk(rows, k, every):
     return sorted(out)
 
 
-@pytest.mark.parametrize("block", [2048, 3])
+@pytest.mark.parametrize("block", [32_768, 3])
 def test_topk(spark, block):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=9), 1)]) for i in range(150)]
@@ -506,6 +574,38 @@ def test_language(spark):
     assert {r.lang_pred for r in langid.identify(docs, nothing).collect()} == {"und"}
 
 
+def slow_scores(text, sets, rates):
+    codes = langid.grams(text).tolist()
+    return [((sum(c in s for c in codes) / len(codes)) - rate) / (1 - rate) if codes else 0.0 for s, rate in zip(sets, rates)]
+
+
+def test_language_against_exact_sets(spark):
+    rng = random.Random(6)
+    words = {k: ["".join(rng.choices(letters, k=rng.randrange(2, 7))) for _ in range(60)] for k, letters in (("aa", "abcdeé"), ("bb", "defghß"), ("cc", "ghijк"))}
+    rows = [(i, " ".join(rng.choices(words[k], k=rng.randrange(3, 40))), k) for i in range(240) for k in [rng.choice(list(words))]]
+    rows += [rows[0], (900, "² ½", "aa"), (901, "Ⅷ ①", None), (902, "", "bb"), (None, None, None), (903, "é" * 200_000, None)]
+    docs = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], "doc_id long, text string, lang string, language string, n int, held_out int")
+    filters = langid.train(docs)
+    got = langid.identify(docs, filters).collect()
+    assert len(got) == len(rows)
+    # exact membership: an n-gram is a language's if two of its training documents hold it
+    sets = []
+    for k in filters.languages:
+        counts = collections.Counter(c for d, t, x in rows if x == k and t and zlib.crc32(str(d).encode()) % 4 != 2 for c in set(langid.grams(t).tolist()))
+        sets.append({c for c, n in counts.items() if n >= 2})
+    texts = {d: t for d, t, _ in rows}
+    for r in got:
+        text = texts[r.doc_id]
+        if not text or not any(c.isalpha() for c in text):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        exact = slow_scores(text, sets, [0.0] * len(sets))
+        if max(exact) > 0.1:
+            assert r.lang_pred == filters.languages[int(np.argmax(exact))]
+            assert abs(r.score - max(exact)) < 0.02
+    assert langid.identify(docs.where("doc_id < 0"), langid.train(docs.where("doc_id < 0"))).count() == 0
+
+
 def test_language_filters_of_many():
     f = langid.Filters([f"l{i:03}" for i in range(130)], "l000")
     for i in range(130):
