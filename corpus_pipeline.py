@@ -2,7 +2,8 @@
 
 run(spark, sf_dir) applies STAGES to the documents. Each stage is written as Parquet in
 the folder that the executors share and read again as the next one's input. All but the
-last keep the columns of documents.
+last keep the columns of documents, whatever further ones there are and however they are
+called. A null text is an empty one; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -33,7 +34,10 @@ def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language that the labelled ones teach; those without letters or of other text go."""
+    """Keep documents in a language that the labelled ones teach; those without letters or of other text go.
+
+    Null and empty texts go. Repeated rows stay or go together; ids don't matter and may be null.
+    """
     found = langid.identify(_keyed(docs), langid.train(docs))
     return _without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE)).select(F.col("doc_id").alias("key")))
 
@@ -41,8 +45,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of copies, exact or near, keep the document with the smallest doc_id.
 
-    Rows that repeat with their id and text are one document. A row without an id stays
-    only if no copy has an id.
+    Rows that repeat with their id and text are one document, as are all texts without
+    words. Rows with the smallest id but other texts stay only if they are in its group:
+    then each text once. A row without an id stays only if no copy has an id.
     """
     found, _ = stage(simhash.copies(docs).select("doc_id", "sign", "component_id"), "copies")
     ids = lambda t: docs["doc_id"].cast("long").eqNullSafe(t["doc_id"]) & (F.xxhash64(docs["text"]) == t["sign"])
@@ -57,19 +62,30 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold a window of a benchmark item."""
+    """Drop documents that hold a window of a benchmark item.
+
+    Null and empty texts hold none and stay. Repeated rows stay or go together; ids may be
+    null. Without items all stay.
+    """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return _without(docs, decontaminate.contamination(_keyed(docs), benchmark).where("contaminated").select(F.col("doc_id").alias("key")))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask secrets in the texts; n_chars follows."""
+    """Mask secrets and access keys in the texts; n_chars follows.
+
+    All rows stay, repeated ones and those with null ids or texts too.
+    """
     masked = secrets.redact(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else masked
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of 4096 tokens."""
+    """Pieces of all documents in sequences of 4096 tokens.
+
+    A null or empty text is its end id alone; repeated rows are packed once each; a null
+    id stays null.
+    """
     return packing.pack(docs)
 
 
