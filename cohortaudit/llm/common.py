@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -61,10 +63,31 @@ def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if (made := _MADE.get()) is not None:
+        made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the scratch tables that operators write inside the block.
+
+    What an operator returns may still read them, so its result is to be written inside
+    the block too, to a place of one's own.
+    """
+    made: list[str] = []
+    token = _MADE.set(made)
+    try:
+        yield
+    finally:
+        _MADE.reset(token)
+        for path in made:
+            discard(spark, path)
+
+
+#: The scratch tables of the innermost temporary() block.
+_MADE: ContextVar[list[str] | None] = ContextVar("made", default=None)
 #: Rows of a keyed side that may be sent to every task: some tens of MB.
 SMALL_SIDE = 500_000
 

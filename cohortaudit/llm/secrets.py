@@ -83,25 +83,22 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple]]:
     taken = _united([(a, b) for a, _, b in spans + weak]) if random else []
     weak += [(m.start(), 4, m.end()) for m in random if not _meets(taken, m.start(), m.end())]
     parts = sorted(spans + weak)
-    sides = {KINDS[k] in SECRETS for _, k, _ in parts}
-    scopes: dict[tuple, tuple[int, int]] = {}
-    if len(sides) == 2:
-        breaks = np.array([m.end() for m in _BREAK.finditer(raw)], np.int64)
-        for p in parts:
-            if KINDS[p[1]] in SECRETS:
-                at = np.searchsorted(breaks, p[0], "right")
-                begin = int(breaks[at - 1]) if at else 0
-                end = int(breaks[at]) if at < len(breaks) else len(raw)
-                scopes[p] = (max(begin, p[0] - RADIUS), min(end, p[2] + RADIUS))
-    else:
+    if len({KINDS[k] in SECRETS for _, k, _ in parts}) < 2:
         parts = []
     if len(raw) != len(text) and (spans or parts):
         point = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))
     else:
         point = range(len(raw) + 1)
-    spans = [(int(point[a]), k, int(point[b])) for a, k, b in spans]
-    placed = [(int(point[a]), k, int(point[b]), *(int(point[x]) for x in scopes[(a, k, b)])) if (a, k, b) in scopes else (int(point[a]), k, int(point[b]), None, None) for a, k, b in parts]
-    return sorted(spans), placed
+    breaks = np.array([m.end() for m in _BREAK.finditer(raw)] if parts else [], np.int64)
+    placed = []
+    for a, k, b in parts:
+        start, end, low, high = int(point[a]), int(point[b]), None, None
+        if KINDS[k] in SECRETS:
+            at = np.searchsorted(breaks, a, "right")
+            low = max(int(point[breaks[at - 1]]) if at else 0, start - RADIUS)
+            high = min(int(point[breaks[at]]) if at < len(breaks) else len(text), end + RADIUS)
+        placed.append((start, k, end, low, high))
+    return sorted((int(point[a]), k, int(point[b])) for a, k, b in spans), placed
 
 
 _SPANS = "array<struct<start: long, kind: int, end: long>>"

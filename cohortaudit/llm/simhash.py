@@ -30,7 +30,7 @@ from cohortaudit.llm.components import connected_components
 BITS = 64
 SEED = 42
 #: Fingerprints in a tile at most (in expectation, as salts are hashes).
-TILE = 4096
+TILE = 1024
 #: How often a block of many rows is divided before its tiles are compared in pairs.
 ROUNDS = 3
 _BLANK = re.compile(rb"[\x20\x09-\x0D]+")

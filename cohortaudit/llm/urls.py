@@ -75,7 +75,10 @@ def _features(urls: DataFrame, url_col: str) -> DataFrame:
 def train(urls: DataFrame, url_col: str = "url", label_col: str = "label", reg: float = 0.001) -> LogisticRegressionModel:
     """Fit the regression; rows with a null url or label don't count, and there must be some of both labels."""
     rows = urls.select(F.col(url_col).alias("url"), F.col(label_col).cast("double").alias("label")).where("url is not null and label is not null")
-    return LogisticRegression(maxIter=50, regParam=reg, standardization=False, featuresCol="features", labelCol="label").fit(_features(rows, "url").repartition(1))
+    sizes = rows.groupBy("label").agg(F.count("*").alias("n"))  # both labels weigh the same together
+    weighted = rows.join(F.broadcast(sizes), "label").select("url", "label", (1.0 / F.col("n")).alias("weight"))
+    scaled = weighted.withColumn("weight", F.col("weight") * rows.count() / 2)
+    return LogisticRegression(maxIter=50, regParam=reg, standardization=False, featuresCol="features", labelCol="label", weightCol="weight").fit(_features(scaled, "url").repartition(1))
 
 
 def judge(pages: DataFrame, model: LogisticRegressionModel, id_col: str = "page_id", url_col: str = "url", rules=RULES) -> DataFrame:
