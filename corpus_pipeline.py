@@ -8,11 +8,13 @@ called. A null text is an empty one; an empty table gives an empty one.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortaudit.llm import decontaminate, langid, packing, secrets, simhash
-from cohortaudit.llm.common import small_side, stage
+from cohortaudit.llm.common import discard, scratch_root, small_side, stage, temporary
 
 #: The least share of a document's n-grams that its language must hold.
 MIN_LANGUAGE_SCORE = 0.3
@@ -97,7 +99,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over sf_dir's documents; the result of the last."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES[:-1]:
-        docs, _ = stage(step(spark, docs, sf_dir), name)
+        path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+        with temporary(spark):  # what the stage's operators wrote goes once its result is written
+            step(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.schema(docs.schema).parquet(path)
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
