@@ -122,13 +122,21 @@ def map_rows(df: DataFrame, rows: Callable[..., Iterator[list]], ddl: str) -> Da
     schema = arrow_schema(ddl)
 
     def run(batches):
-        for columns in rows([c.to_pylist() for c in b.columns] for b in sliced(batches, BATCH_ROWS)):
+        for columns in rows(_lists(batches, BATCH_ROWS)):
             if len(columns[0]):
                 yield pa.RecordBatch.from_arrays([_array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
     return df.mapInArrow(run, ddl)
 
 
+def _lists(batches, rows: int) -> Iterator[list]:
+    """The batches in parts of at most `rows` rows, as Python lists; a batch is let go before the next one is read."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield [c.slice(at, rows).to_pylist() for c in b.columns]
+        del b
+
+
 def sliced(batches, rows: int) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most `rows` rows, none empty."""
     for b in batches:

@@ -22,7 +22,7 @@ from cohortaudit.llm.common import WORD_TABLE, buffered, map_rows, project, run_
 
 WINDOW = 10
 #: Characters of training text in a shard, and of benchmark text in a block.
-SHARD_CHARS, BLOCK_CHARS = 4_000_000, 4_000_000
+SHARD_CHARS, BLOCK_CHARS = 2_000_000, 4_000_000
 _MARK = b"\xff"
 
 

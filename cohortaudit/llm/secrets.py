@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortaudit.llm.common import LOWER_TABLE, SMALL_SIDE, map_rows, project, stage
+from cohortaudit.llm.common import BATCH_ROWS, LOWER_TABLE, SMALL_SIDE, map_rows, project, sliced, stage
 
 #: All kinds in the order in which spans that start together are listed; the first three are strong.
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -183,7 +183,7 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kind
     at = docs.columns.index(text_col)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches, BATCH_ROWS):
             columns, hit = b.column(0).flatten(), b.column(1)
             if hit.null_count < len(hit):
                 spans, texts = hit.to_pylist(), columns[at].to_pylist()

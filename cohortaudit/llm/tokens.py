@@ -18,7 +18,7 @@ from collections.abc import Callable
 import numpy as np
 
 #: Words and pieces in each of a worker's two stores, and the longest that is remembered.
-CACHE, LONGEST = 250_000, 64
+CACHE, LONGEST = 200_000, 64
 #: The pre-tokenizer's pattern that the short way is made for.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The normalizers that it is made for.
