@@ -48,33 +48,23 @@ def mentions(text: Column | str, phrases: list[str]) -> Column:
     negation before speculation before neither. Cues are plain substrings.
     """
     s = normalize(text)
-    windows = F.flatten(F.array(*(_left_windows(s, p) for p in phrases)))
-    has = lambda w, cues: F.greatest(*(F.contains(w, F.lit(c)) for c in cues)) if len(cues) > 1 else F.contains(w, F.lit(cues[0]))
-    negated = lambda w: has(w, NEGATION_CUES)
-    guessed = lambda w: has(w, SPECULATION_CUES)
-    return F.struct(
-        (F.size(windows) > 0).alias("any"),
-        F.exists(windows, lambda w: ~negated(w) & ~guessed(w)).alias("affirmed"),
-        F.exists(windows, negated).alias("negated"),
-        F.exists(windows, lambda w: ~negated(w) & guessed(w)).alias("speculative"),
-    )
+    windows = F.concat(*(_left_windows(s, p) for p in phrases))
+    some = lambda cues: "|".join(map(literal, cues))
+    kind = lambda w: F.when(w.rlike(some(NEGATION_CUES)), "negated").when(w.rlike(some(SPECULATION_CUES)), "speculative").otherwise("affirmed")
+    # one element, so that the windows are made and classified once for the four answers
+    kinds = F.array(F.array_distinct(F.transform(windows, kind)))
+    names = ("affirmed", "negated", "speculative")
+    return F.transform(kinds, lambda k: F.struct((F.size(k) > 0).alias("any"), *(F.array_contains(k, n).alias(n) for n in names)))[0]
 
 
 def _left_windows(s: Column, phrase: str) -> Column:
-    """The CUE_WINDOW characters to the left of each occurrence of the phrase."""
-    parts = F.split(s, rf"(?U)\b{literal(phrase)}\b", -1)
-    # only the text's last characters matter, so what is carried along stays short
-    start = F.struct(F.lit("").alias("left"), F.array().cast("array<string>").alias("out"))
-    # the last part follows the last occurrence and opens no window
-    done = F.aggregate(
-        F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))),
-        start,
-        lambda a, p: F.struct(
-            F.concat(F.right(F.concat(a["left"], p), F.lit(CUE_WINDOW)), F.lit(phrase.lower())).alias("left"),
-            F.concat(a["out"], F.array(F.right(F.concat(a["left"], p), F.lit(CUE_WINDOW)))).alias("out"),
-        ),
-    )
-    return done["out"]
+    """The CUE_WINDOW characters to the left of each occurrence of the phrase, or what there are.
+
+    The phrase is found first; then a look-behind of two fixed shapes takes the window, so
+    windows may overlap and the work is in proportion to the text.
+    """
+    p = literal(phrase)
+    return F.regexp_extract_all(s, F.lit(rf"(?U)\b{p}\b(?<=(^.{{0,{CUE_WINDOW - 1}}}|.{{{CUE_WINDOW}}}){p})"), F.lit(1))
 
 
 def low_information(text: Column | str, least: int, generic: list[str]) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from cohortaudit.functions import text as X
 from cohortaudit.functions import values as V
 from cohortaudit.operators import audit as A
+from cohortaudit.operators.prefix import quantiles
 from cohortaudit.plans.inputs import IMAGES, LABELLED, LABELLED_LONG, LEXICON, STUDIES, images, labelled, sql_hash, studies, table
 from cohortaudit.plans.registry import query
 
@@ -39,14 +40,14 @@ CONTEXT = f"""context as (
   select *, norm <> '' as present, {tokens("norm")} as tokens, norm <> '' and low as low, norm <> '' and not low as usable,
     case when norm = '' then 'absent' when low then 'low_information' else 'usable' end as state
   from (select *, {norm("context")} as norm, {low("context")} as low from contexts))"""
-#: A context of every kind: null, empty, generic only, short and long.
-CONTEXTS = "contexts as (select *, case when doc_id % 5 = 0 then null when doc_id % 5 = 1 then substring(text, 1, 120) when doc_id % 5 = 2 then 'of the  that' else substring(text, 1, 400) end as context from labelled)"
+#: A context of every kind: null, short, generic only, and whole texts.
+CONTEXTS = "contexts as (select *, case when doc_id % 5 = 0 then null when doc_id % 5 = 1 then cluster || ' ' || site when doc_id % 5 = 2 then 'of the  that' else text end as context from labelled)"
 
 
 def _contexts(spark, sf):
     rows = labelled(spark, sf)
     h = F.col("doc_id") % 5
-    context = F.when(h == 0, F.lit(None)).when(h == 1, F.substring("text", 1, 120)).when(h == 2, "of the  that").otherwise(F.substring("text", 1, 400))
+    context = F.when(h == 0, F.lit(None)).when(h == 1, F.concat_ws(" ", "cluster", "site")).when(h == 2, "of the  that").otherwise(F.col("text"))
     return rows.withColumn("context", context).withColumn("f", X.context_features("context", LEAST, GENERIC)).select("*", "f.*").drop("f")
 
 
@@ -54,25 +55,29 @@ def _has(w: str, cues) -> str:
     return "(" + " or ".join(f"contains({w}, '{c}')" for c in cues) + ")"
 
 
-def sql_mentions(name: str, text: str, phrases: list[str]) -> str:
-    """Columns name_any, name_affirmed, name_negated, name_speculative of a text column."""
-    windows = " || ".join(f"[right(array_to_string(regexp_split_to_array({text}, '\\b{p}\\b')[1:i], '{p}'), 45) for i in range(1, len(regexp_split_to_array({text}, '\\b{p}\\b')))]" for p in phrases)
-    neg, spec = _has("w", X.NEGATION_CUES), _has("w", X.SPECULATION_CUES)
-    some = lambda c: f"len([w for w in {windows} if {c}]) > 0"
-    return f"len({windows}) > 0 as {name}_any, {some(f'not {neg} and not {spec}')} as {name}_affirmed, {some(neg)} as {name}_negated, {some(f'not {neg} and {spec}')} as {name}_speculative"
+#: The phrases of each label and side, by a short name.
+_SIDES = {"qd": LEXICON["quality"]["direct"], "qs": LEXICON["quality"]["synonym"], "td": LEXICON["toxic"]["direct"], "ts": LEXICON["toxic"]["synonym"]}
+
+
+def _parts(side: str, phrase: str) -> str:
+    """What precedes each occurrence of a phrase, with up to 45 parts before it, which hold 45 characters at least."""
+    return f"""select doc_id, '{side}' as side, i, k, right(string_agg(right(part, 45), '{phrase}') over (partition by doc_id order by i rows between 45 preceding and current row), 45) as w
+  from (select doc_id, unnest(ps) as part, generate_subscripts(ps, 1) as i, len(ps) as k from (select doc_id, regexp_split_to_array(s, '\\b{phrase}\\b') as ps from cued))"""
 
 
 # The texts get cues put before some words, as no text of the tables has any.
-MENTIONED = f"""cued as (select *, {norm("replace(replace(substring(text, 1, 1500), ' the ', ' no sign of the '), ' and ', ' possible and ')")} as s from labelled),
-mentioned as (select *, {sql_mentions("qd", "s", LEXICON["quality"]["direct"])}, {sql_mentions("qs", "s", LEXICON["quality"]["synonym"])},
-  {sql_mentions("td", "s", LEXICON["toxic"]["direct"])}, {sql_mentions("ts", "s", LEXICON["toxic"]["synonym"])} from cued),
+MENTIONED = f"""cued as (select *, {norm("replace(replace(text, ' the ', ' no sign of the '), ' and ', ' possible and ')")} as s from labelled),
+windows as (select doc_id, side, {_has("w", X.NEGATION_CUES)} as neg, {_has("w", X.SPECULATION_CUES)} as spec from ({" union all ".join(_parts(side, p) for side, ps in _SIDES.items() for p in ps)}) where i < k),
+kinds as (select doc_id, side, bool_or(not neg and not spec) as affirmed, bool_or(neg) as negated, bool_or(not neg and spec) as speculative from windows group by 1, 2),
+mentioned as (select c.*, {", ".join(f"{x}.doc_id is not null as {x}_any, coalesce({x}.affirmed, false) as {x}_affirmed, coalesce({x}.negated, false) as {x}_negated, coalesce({x}.speculative, false) as {x}_speculative" for x in _SIDES)}
+  from cued c {" ".join(f"left join kinds {x} on c.doc_id = {x}.doc_id and {x}.side = '{x}'" for x in _SIDES)}),
 mention_long as (
   select doc_id, 'quality' as label, quality as v, qd_any as d_any, qs_any as s_any, qd_affirmed or qs_affirmed as affirmed, qd_negated or qs_negated as negated, qd_speculative or qs_speculative as speculative from mentioned
   union all select doc_id, 'toxic', toxic, td_any, ts_any, td_affirmed or ts_affirmed, td_negated or ts_negated, td_speculative or ts_speculative from mentioned)"""
 
 
 def _cued(spark, sf):
-    s = F.replace(F.replace(F.substring("text", 1, 1500), F.lit(" the "), F.lit(" no sign of the ")), F.lit(" and "), F.lit(" possible and "))
+    s = F.replace(F.replace("text", F.lit(" the "), F.lit(" no sign of the ")), F.lit(" and "), F.lit(" possible and "))
     return labelled(spark, sf).withColumn("s", s)
 
 
@@ -125,12 +130,12 @@ def f5(spark, sf):
 
 
 EFFECTIVE = "len([w for w in regexp_split_to_array(trim(regexp_replace(coalesce({0}, ''), '_{{2,}}', ' ', 'g')), '\\s+') if regexp_matches(w, '[\\p{{L}}\\p{{N}}]')])::int"
-MARKED = "marked as (select doc_id, case doc_id % 4 when 0 then '___-year ' || substring(text, 1, 60) when 1 then '___ ____ _____' when 2 then null else 'a ' || substring(text, 1, 6 * (doc_id % 97)::int) end as t from documents)"
+MARKED = "marked as (select doc_id, case doc_id % 4 when 0 then '___-year ' || text when 1 then '___ ____ _____' when 2 then null else 'a ' || replace(text, ' ', case doc_id % 3 when 0 then ' ___ ' else ' ' end) end as t from documents)"
 
 
 def _marked(spark, sf):
     h = F.col("doc_id") % 4
-    t = F.when(h == 0, F.concat(F.lit("___-year "), F.substring("text", 1, 60))).when(h == 1, "___ ____ _____").when(h == 2, F.lit(None)).otherwise(F.concat(F.lit("a "), F.expr("substring(text, 1, cast(6 * (doc_id % 97) as int))")))
+    t = F.when(h == 0, F.concat(F.lit("___-year "), "text")).when(h == 1, "___ ____ _____").when(h == 2, F.lit(None)).otherwise(F.concat(F.lit("a "), F.replace("text", F.lit(" "), F.when(F.col("doc_id") % 3 == 0, " ___ ").otherwise(" "))))
     return table(spark, sf, "documents").select("doc_id", t.alias("t"))
 
 
@@ -365,7 +370,7 @@ def a8(spark, sf):
 @query("a9_summary", f"with {IMAGES}, {LABELLED}, {CONTEXTS}, {CONTEXT}, i as (select count(distinct study) as studies, count(distinct case when view = 'Frontal' then study end) as frontal_studies from images), t as (select median(tokens) as median_tokens from context) select studies, frontal_studies, median_tokens from i, t")
 def a9(spark, sf):
     i = images(spark, sf).agg(F.count_distinct("study").alias("studies"), F.count_distinct(F.when(F.col("view") == "Frontal", F.col("study"))).alias("frontal_studies"))
-    return i.join(F.broadcast(_contexts(spark, sf).agg(F.percentile("tokens", 0.5).alias("median_tokens"))))
+    return i.join(F.broadcast(quantiles(_contexts(spark, sf), [], "tokens", [0.5]).select(F.col("q")[0].alias("median_tokens"))))
 
 
 @query("a10_site_comparison", f"""with {LABELLED}, {CONTEXTS}, {CONTEXT}, s as (
@@ -383,14 +388,14 @@ def a11(spark, sf):
     return A.structure(images(spark, sf), F.col("view") == "Frontal")
 
 
-@query("a12_context_availability", f"""with {LABELLED}, two as (select doc_id, 1.0::double / count(*) over (partition by cluster) as weight, case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then ' ' else substring(text, 1, 300) end as history, substring(text, 1, (doc_id % 50)::int) as indication from labelled),
+@query("a12_context_availability", f"""with {LABELLED}, two as (select doc_id, 1.0::double / count(*) over (partition by cluster) as weight, case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then ' ' else text end as history, case when doc_id % 5 = 0 then '' else text end as indication from labelled),
 contexts as (select weight, 'history' as field, history as context from two union all select weight, 'indication', indication from two), {CONTEXT}
 select field, round(avg((context is null)::int), 6) as null_rate, round(avg((not present)::int), 6) as empty_rate, round(avg(usable::int), 6) as usable_rate, round(avg(low::int), 6) as low_rate, round(sum(case when present then weight else 0 end) / sum(weight), 6) as weighted_present,
   round(sum(case when usable then weight else 0 end) / sum(weight), 6) as weighted_usable, median(tokens) filter (present) as median_tokens, count(*) filter (tokens < 3) as below_3, count(*) filter (tokens < 5) as below_5, count(*) filter (tokens < 10) as below_10 from context group by field""")
 def a12(spark, sf):
     h = F.col("doc_id") % 3
     rows = A.study_weights(labelled(spark, sf), "cluster")
-    rows = rows.withColumn("history", F.when(h == 1, " ").when(h == 2, F.substring("text", 1, 300))).withColumn("indication", F.expr("substring(text, 1, cast(doc_id % 50 as int))"))
+    rows = rows.withColumn("history", F.when(h == 1, " ").when(h == 2, F.col("text"))).withColumn("indication", F.when(F.col("doc_id") % 5 == 0, "").otherwise(F.col("text")))
     return A.field_availability(rows, ["history", "indication"], LEAST, GENERIC, "weight")
 
 

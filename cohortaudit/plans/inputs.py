@@ -89,11 +89,14 @@ long as (
   union all select doc_id, text, site, cluster, 'toxic', toxic from labelled)"""
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each study, model and target: site, split, patient, study, model, target, p, raw (four states), y."""
+def predictions(spark: SparkSession, sf_dir: str, again: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each study, model and target: site, split, patient, study, model, target, p, raw (four states), y.
+
+    again: models that are trained once more, so that their predictions are others.
+    """
     keys = studies(spark, sf_dir).select("site", "split", "patient", "study", "segment")
     rows = keys.withColumn("model", F.explode(F.array(*map(F.lit, MODELS)))).withColumn("target", F.explode(F.array(*map(F.lit, TARGETS))))
-    noise = V.unit(F.lit("p"), "study", "model", "target")
+    noise = V.unit(F.when(F.col("model").isin(*again), "r").otherwise("p"), "study", "model", "target")
     truth = V.unit(F.lit("y"), "study", "target")
     state = V.portable_hash(F.lit("s"), "study", "target") % 20
     raw = F.when(state < 3, F.lit(None)).when(state == 3, -1.0).when(truth < 0.4, 1.0).otherwise(0.0)
@@ -117,34 +120,36 @@ predictions as (
 LEXICON = {"quality": {"direct": ["that"], "synonym": ["of the", "with"]}, "toxic": {"direct": ["the"], "synonym": ["and", "for"]}}
 
 
+#: Where the sections of a report end, in hundredths of the text, by doc_id % 7: an indication
+#: (absent in 0, without text in 1 and 2), an exam (3), findings, their second line, a history
+#: (4) and an impression (absent in 5); in 6 the rest is a second impression. Each text is
+#: dealt out whole.
+_CUTS = ("case when h <= 2 then 0 else 10 end", "case when h = 3 then 12 when h <= 2 then 0 else 10 end", "50", "case when h = 5 then 100 else 60 end", "case when h = 4 then 65 when h = 5 then 100 else 60 end", "case when h = 6 then 95 else 100 end")
+
+
+def _piece(k: int) -> str:
+    """SQL of the k-th piece of t, for both engines."""
+    cut = lambda i: "0" if i < 0 else "100" if i >= len(_CUTS) else f"({_CUTS[i]})"
+    at = lambda i: f"floor(length(t) * {cut(i)} / 100.0)"
+    return f"substring(t, cast({at(k - 1)} as int) + 1, cast({at(k)} - {at(k - 1)} as int))"
+
+
+_REPORT = (
+    "'                 FINAL REPORT' || chr(10)"
+    f" || case when h = 0 then '' else ' INDICATION:  ' || case when h = 1 then '___ ____' when h = 2 then '' else {_piece(0)} end || chr(10) end"
+    f" || case when h = 3 then ' EXAM 12: ' || {_piece(1)} || chr(10) else '' end"
+    f" || ' FINDINGS: ' || {_piece(2)} || chr(10) || ' second line ' || {_piece(3)}"
+    f" || case when h = 4 then chr(10) || ' HISTORY: ___ year old ' || {_piece(4)} else '' end"
+    f" || case when h = 5 then '' else chr(10) || ' IMPRESSION: ' || {_piece(5)} end"
+    f" || case when h = 6 then chr(10) || ' IMPRESSION:  ' || {_piece(6)} else '' end"
+)
+
+
 def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, patient, lang and a report with headers cut from the document's text."""
-    d = table(spark, sf_dir, "documents")
-    flat = F.regexp_replace("text", r"\n", " ")
-    piece = lambda a, n: F.substring(flat, a, n)
-    h = F.col("doc_id") % 7
-    body = F.concat(
-        F.lit("                 FINAL REPORT\n"),
-        F.when(h == 0, F.lit("")).otherwise(F.concat(F.lit(" INDICATION:  "), F.when(h == 1, F.lit("___ ____")).when(h == 2, F.lit("")).otherwise(piece(1, 40)), F.lit("\n"))),
-        F.when(h == 3, F.concat(F.lit(" EXAM 12: "), piece(41, 10), F.lit("\n"))).otherwise(F.lit("")),
-        F.lit(" FINDINGS: "),
-        piece(51, 60),
-        F.lit("\n second line "),
-        piece(111, 20),
-        F.when(h == 4, F.concat(F.lit("\n HISTORY: ___ year old "), piece(131, 15))).otherwise(F.lit("")),
-        F.when(h == 5, F.lit("")).otherwise(F.concat(F.lit("\n IMPRESSION: "), piece(146, 30))),
-        F.when(h == 6, F.concat(F.lit("\n IMPRESSION:  "), piece(176, 10))).otherwise(F.lit("")),
-    )
-    return d.select("doc_id", F.col("source").alias("patient"), "lang", body.alias("report"))
-
-
-REPORTS = """flat as (select doc_id, source as patient, lang, doc_id % 7 as h, regexp_replace(text, '\\n', ' ', 'g') as t from documents),
-reports as (
-  select doc_id, patient, lang, '                 FINAL REPORT' || chr(10)
-    || case when h = 0 then '' else ' INDICATION:  ' || case when h = 1 then '___ ____' when h = 2 then '' else substring(t, 1, 40) end || chr(10) end
-    || case when h = 3 then ' EXAM 12: ' || substring(t, 41, 10) || chr(10) else '' end
-    || ' FINDINGS: ' || substring(t, 51, 60) || chr(10) || ' second line ' || substring(t, 111, 20)
-    || case when h = 4 then chr(10) || ' HISTORY: ___ year old ' || substring(t, 131, 15) else '' end
-    || case when h = 5 then '' else chr(10) || ' IMPRESSION: ' || substring(t, 146, 30) end
-    || case when h = 6 then chr(10) || ' IMPRESSION:  ' || substring(t, 176, 10) else '' end as report
-  from flat)"""
+    """doc_id, patient, lang and a report whose sections hold the document's whole text."""
+    flat = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("patient"), "lang", (F.col("doc_id") % 7).alias("h"), F.regexp_replace("text", r"\n", " ").alias("t"))
+    return flat.select("doc_id", "patient", "lang", F.expr(_REPORT).alias("report"))
+
+
+REPORTS = f"""flat as (select doc_id, source as patient, lang, doc_id % 7 as h, regexp_replace(text, '\\n', ' ', 'g') as t from documents),
+reports as (select doc_id, patient, lang, {_REPORT} as report from flat)"""

@@ -102,10 +102,9 @@ def a30(spark, sf):
     return S.threshold_sweep(out, _GRID)
 
 
-@query("a31_swap_feasibility", f"with n as (select source as patient, {EFFECTIVE.format('substring(text, 1, 20 * (1 + doc_id % 30)::int)')} as n from documents), b as (select patient, {_EDGES} as bin from n), p as (select bin, patient, count(*) as n from b group by 1, 2) select bin, sum(n)::bigint as rows, count(*) as patients, max(n) as largest, count(*) >= 2 and max(n) <= sum(n) - max(n) as feasible from p group by bin")
+@query("a31_swap_feasibility", f"with n as (select source as patient, {EFFECTIVE.format('text')} as n from documents), b as (select patient, {_EDGES} as bin from n), p as (select bin, patient, count(*) as n from b group by 1, 2) select bin, sum(n)::bigint as rows, count(*) as patients, max(n) as largest, count(*) >= 2 and max(n) <= sum(n) - max(n) as feasible from p group by bin")
 def a31(spark, sf):
-    text = F.expr("substring(text, 1, cast(20 * (1 + doc_id % 30) as int))")
-    rows = table(spark, sf, "documents").select(F.col("source").alias("patient"), X.length_bin(X.effective_tokens(text)).alias("bin"))
+    rows = table(spark, sf, "documents").select(F.col("source").alias("patient"), X.length_bin(X.effective_tokens("text")).alias("bin"))
     return S.swap_feasibility(rows, "bin", "patient")
 
 
