@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortaudit.functions import text as X
 from cohortaudit.functions import values as V
+from cohortaudit.operators.prefix import quantiles, running_sums, with_totals
 
 DIGITS = 6
 
@@ -130,18 +131,19 @@ def field_availability(df: DataFrame, fields: list[str], least: int, generic: li
     rows = unpivot(df.select(weight, *fields), fields, "field", "value").withColumn("f", X.context_features("value", least, generic))
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), DIGITS)
     heavy = lambda c: ratio(F.sum(F.when(c, w).otherwise(0.0)), F.sum(w))
-    return rows.groupBy("field").agg(
+    shares = rows.groupBy("field").agg(
         share(F.col("value").isNull()).alias("null_rate"), share(~F.col("f.present")).alias("empty_rate"), share(F.col("f.usable")).alias("usable_rate"), share(F.col("f.low")).alias("low_rate"), heavy(F.col("f.present")).alias("weighted_present"), heavy(F.col("f.usable")).alias("weighted_usable"),
-        F.percentile(F.when(F.col("f.present"), F.col("f.tokens")), 0.5).alias("median_tokens"), *(count_if(F.col("f.tokens") < k).alias(f"below_{k}") for k in (3, 5, 10)),
+        *(count_if(F.col("f.tokens") < k).alias(f"below_{k}") for k in (3, 5, 10)),
     )
+    middle = quantiles(rows.where("f.present").select("field", F.col("f.tokens").alias("tokens")), ["field"], "tokens", [0.5])
+    return shares.join(middle.select("field", F.col("q")[0].alias("median_tokens")), "field", "left")
 
 
 def weighted_median(df: DataFrame, by: list[str], value: str, weight: str) -> DataFrame:
     """The first value at which the cumulative weight reaches half of the total."""
     sums = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.sum(weight).alias("w"))
-    group = Window.partitionBy(*by)
-    run = sums.withColumn("c", F.sum("w").over(group.orderBy(value))).withColumn("t", F.sum("w").over(group))
-    return run.where(F.col("c") >= F.col("t") / 2 - 1e-12).groupBy(*by).agg(F.min(value).alias("median"))
+    run = with_totals(running_sums(sums, by, [(value, False)], ["w"]), sums, by, {"t": "w"})
+    return run.where(F.col("cum_w") >= F.col("t") / 2 - 1e-9).groupBy(*by).agg(F.min(value).alias("median"))
 
 
 def label_distribution(long: DataFrame, strata: list[str], weight: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortaudit.operators.audit import DIGITS, count_if, ratio
+from cohortaudit.operators.prefix import positions
 
 
 def waterfall(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
@@ -101,7 +102,10 @@ def stratum_code(label: str, abstained: str, context: str) -> tuple[Column, Colu
 
 
 def proportional(sizes: dict[str, int], n: int) -> dict[str, int]:
-    """N shared by size with largest remainders (ties by name), never more than a size; what is cut is shared anew."""
+    """N shared by size with largest remainders, never more than a size; what is cut is shared anew.
+
+    Of equal remainders the larger stratum, then the later name, comes first.
+    """
     out = dict.fromkeys(sizes, 0)
     left = min(n, sum(sizes.values()))
     while left:
@@ -110,7 +114,7 @@ def proportional(sizes: dict[str, int], n: int) -> dict[str, int]:
         ideal = {k: left * sizes[k] / total for k in room}
         give = {k: min(int(ideal[k]), room[k]) for k in room}
         rest = left - sum(int(x) for x in ideal.values())
-        for k in sorted(room, key=lambda k: (int(ideal[k]) - ideal[k], k))[:rest]:
+        for k in sorted(room, key=lambda k: (ideal[k] - int(ideal[k]), sizes[k], k), reverse=True)[:rest]:
             give[k] = min(give[k] + 1, room[k])
         for k, g in give.items():
             out[k] += g
@@ -135,16 +139,18 @@ def draw(df: DataFrame, stratum: str, key: str, sizes: dict[str, int], seed: str
     spark = df.sparkSession
     wanted = spark.createDataFrame([(s, n) for s, n in sizes.items()], f"{stratum} string, _want int")
     totals = df.groupBy(stratum).agg(F.count("*").alias("_all"))
-    ranked = df.join(F.broadcast(wanted), stratum).withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy(*hashed_order(seed, key)))).where("_n <= _want")
+    ranked = df.join(F.broadcast(wanted), stratum).withColumn("_n", F.row_number().over(Window.partitionBy(stratum).orderBy(*hashed_order(seed, key))))
+    # the literal bound lets each task keep only that many rows of a stratum
+    ranked = ranked.where(F.col("_n") <= max(sizes.values(), default=0)).where("_n <= _want")
     return ranked.join(F.broadcast(totals), stratum).withColumn("probability", F.round(F.col("_want") / F.col("_all"), DIGITS)).drop("_n", "_want", "_all")
 
 
 def reading_order(items: DataFrame, readers: list[str], item: str, practice: str, seed: str) -> DataFrame:
     """(reader, item, position): each reader's own order, practice items first."""
     who = items.sparkSession.createDataFrame([(r,) for r in readers], "reader string")
-    key = F.md5(F.concat_ws(":", F.lit(seed), "reader", F.col(item).cast("string")))
-    order = Window.partitionBy("reader").orderBy(F.col(practice).desc(), key, item)
-    return items.join(F.broadcast(who)).withColumn("position", F.row_number().over(order)).select("reader", item, "position")
+    key = F.concat(F.when(F.col(practice), "0").otherwise("1"), F.md5(F.concat_ws(":", F.lit(seed), "reader", F.col(item).cast("string"))))
+    rows = items.join(F.broadcast(who)).withColumn("_key", key)  # a few readers
+    return positions(rows, ["reader"], ["_key", item]).select("reader", item, (F.col("position") + 1).alias("position"))
 
 
 def download_list(df: DataFrame, tier: str, path: str) -> DataFrame:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortaudit.functions import values as V
 from cohortaudit.operators.audit import DIGITS, count_if
+from cohortaudit.operators.prefix import quantiles, running_sums, with_totals
 
 GRID = 1000
+#: Edges of the parts in which probabilities are ordered.
+UNIT = [i / 32 for i in range(1, 32)]
 
 
 def _grid_bin(p: Column) -> Column:
@@ -47,10 +48,9 @@ def exact_thresholds(df: DataFrame, by: list[str], p: str = "p", y: str = "y") -
     hist = rows.groupBy(*by, F.col(p).alias("_t")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"))
     ends = hist.select(*by).distinct().withColumn("_t", F.explode(F.array(F.lit(0.0), F.lit(math.nextafter(1.0, 2.0))))).withColumns({"pos": F.lit(0).cast("long"), "neg": F.lit(0).cast("long")})
     every = hist.unionByName(ends).groupBy(*by, "_t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    above = Window.partitionBy(*by).orderBy(F.desc("_t"))
-    total = Window.partitionBy(*by)
-    got = every.withColumns({"tp": F.sum("pos").over(above), "fp": F.sum("neg").over(above), "all_pos": F.sum("pos").over(total), "all_neg": F.sum("neg").over(total)})
-    score = (F.try_divide(F.col("tp").cast("double"), F.col("all_pos")) + F.try_divide((F.col("all_neg") - F.col("fp")).cast("double"), F.col("all_neg"))) / 2
+    run = running_sums(every, by, [("_t", True)], ["pos", "neg"], edges=UNIT)
+    got = with_totals(run, every, by, {"all_pos": "pos", "all_neg": "neg"})
+    score = (F.try_divide(F.col("cum_pos").cast("double"), F.col("all_pos")) + F.try_divide((F.col("all_neg") - F.col("cum_neg")).cast("double"), F.col("all_neg"))) / 2
     best = got.withColumn("_s", score).groupBy(*by).agg(F.max("_s").alias("balanced_accuracy"), F.min_by("_t", F.struct(-F.col("_s"), F.abs(F.col("_t") - 0.5), "_t")).alias("_b"))
     return best.select(*by, F.when(F.col("balanced_accuracy").isNull(), 0.5).otherwise(F.col("_b")).alias("threshold"), F.round("balanced_accuracy", DIGITS).alias("balanced_accuracy"))
 
@@ -65,8 +65,7 @@ def study_confidence(df: DataFrame, keys: list[str], mode: str = "min", p: str =
 
 def cutoffs(confidences: DataFrame, by: list[str], coverages: list[float]) -> DataFrame:
     """(by, coverage, cutoff): the linear-interpolated quantile of confidence at 1 - coverage."""
-    q = F.percentile("confidence", F.array(*(F.lit(1 - c) for c in coverages)))
-    got = confidences.groupBy(*by).agg(q.alias("q"))
+    got = quantiles(confidences, by, "confidence", [1 - c for c in coverages], UNIT)
     pairs = F.explode(F.arrays_zip(F.array(*map(F.lit, coverages)).alias("coverage"), F.col("q").alias("cutoff")))
     return got.select(*by, pairs.alias("c")).select(*by, "c.coverage", "c.cutoff")
 
@@ -75,19 +74,17 @@ def rank_cutoffs(confidences: DataFrame, by: list[str], coverage: float) -> Data
     """(by, cutoff): the confidence at rank ceil(coverage * n) from above."""
     # distinct values with counts, so the order is over values and not over studies
     counts = confidences.groupBy(*by, "confidence").agg(F.count("*").alias("n"))
-    down, all_ = Window.partitionBy(*by).orderBy(F.desc("confidence")), Window.partitionBy(*by)
-    run = counts.withColumns({"upto": F.sum("n").over(down), "total": F.sum("n").over(all_)})
-    return run.where(F.col("upto") >= F.ceil(F.col("total") * coverage)).groupBy(*by).agg(F.max("confidence").alias("cutoff"))
+    run = with_totals(running_sums(counts, by, [("confidence", True)], ["n"], edges=UNIT), counts, by, {"total": "n"})
+    return run.where(F.col("cum_n") >= F.ceil(F.col("total") * coverage)).groupBy(*by).agg(F.max("confidence").alias("cutoff"))
 
 
 def conformal_quantile(df: DataFrame, by: list[str], alpha: float, p: str = "p", y: str = "y") -> DataFrame:
     """(by, q): the k-th smallest 1 - p of the true class, k = ceil((n + 1)(1 - alpha)); 1 if k > n."""
     s = F.when(F.col(y) == 1, 1 - F.col(p)).otherwise(F.col(p))
     counts = df.where(F.col(y).isNotNull()).select(*by, s.alias("s")).groupBy(*by, "s").agg(F.count("*").alias("n"))
-    up, all_ = Window.partitionBy(*by).orderBy("s"), Window.partitionBy(*by)
-    run = counts.withColumns({"upto": F.sum("n").over(up), "total": F.sum("n").over(all_)})
+    run = with_totals(running_sums(counts, by, [("s", False)], ["n"], edges=UNIT), counts, by, {"total": "n"})
     k = F.ceil((F.col("total") + 1) * F.lit(1 - alpha))
-    return run.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("upto") >= k, F.col("s"))), F.lit(1.0)).alias("q"))
+    return run.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("cum_n") >= k, F.col("s"))), F.lit(1.0)).alias("q"))
 
 
 def conformal_search(cal: DataFrame, by: list[str], target: str, study: str, alphas: list[float], coverage: float = 0.8, p: str = "p", y: str = "y") -> DataFrame:
@@ -98,11 +95,10 @@ def conformal_search(cal: DataFrame, by: list[str], target: str, study: str, alp
     spark = cal.sparkSession
     s = F.when(F.col(y) == 1, 1 - F.col(p)).otherwise(F.col(p))
     counts = cal.where(F.col(y).isNotNull()).select(*by, target, s.alias("s")).groupBy(*by, target, "s").agg(F.count("*").alias("n"))
-    up, all_ = Window.partitionBy(*by, target).orderBy("s"), Window.partitionBy(*by, target)
-    run = counts.withColumns({"upto": F.sum("n").over(up), "total": F.sum("n").over(all_)})
+    run = with_totals(running_sums(counts, [*by, target], [("s", False)], ["n"], edges=UNIT), counts, [*by, target], {"total": "n"})
     grid = F.broadcast(spark.createDataFrame([(a,) for a in alphas], "alpha double"))
     k = F.ceil((F.col("total") + 1) * (1 - F.col("alpha")))
-    q = run.join(grid).groupBy(*by, target, "alpha").agg(F.coalesce(F.min(F.when(F.col("upto") >= k, F.col("s"))), F.lit(1.0)).alias("q"))
+    q = run.join(grid).groupBy(*by, target, "alpha").agg(F.coalesce(F.min(F.when(F.col("cum_n") >= k, F.col("s"))), F.lit(1.0)).alias("q"))
     # a few quantiles for each target and alpha meet that target's cells
     cells = cal.select(*by, target, study, p).join(F.broadcast(q), [*by, target])
     single = ((1 - F.col(p)) <= F.col("q")) != (F.col(p) <= F.col("q"))
@@ -112,43 +108,70 @@ def conformal_search(cal: DataFrame, by: list[str], target: str, study: str, alp
     return rate.groupBy(*by).agg(best.alias("b")).select(*by, "b.alpha", F.round("b.acceptance", DIGITS).alias("acceptance"))
 
 
-def fit_scaling(df: DataFrame, target: str, intercept: bool, p: str = "p", y: str = "y") -> DataFrame:
-    """K5, K6: (target, a, b) of y ~ sigmoid(a * logit(p) + b); without intercept b is 0 and the temperature is 1 / a.
+#: Newton's steps at most, and the step at which a fit counts as done.
+STEPS, DONE = 50, 1e-12
+
+
+def fit_scaling(df: DataFrame, by: list[str], intercept: bool, p: str = "p", y: str = "y") -> DataFrame:
+    """K5, K6: (by, a, b) of y ~ sigmoid(a * logit(p) + b); without intercept b is 0 and the temperature is 1 / a.
 
-    One regression a target, fitted in Spark. A slope that isn't positive gives null (no temperature).
+    All groups are fitted together by Newton's method, one aggregation a step over the
+    counts of each p; only a row for each group comes to the driver. A slope that isn't
+    positive, or a fit that doesn't settle, gives null (no temperature).
     """
-    rows = df.where(F.col(y).isNotNull()).select(target, array_to_vector(F.array(V.logit(p))).alias("features"), F.col(y).alias("label"))
-    out = []
-    for (t,) in rows.select(target).distinct().orderBy(target).collect():
-        model = LogisticRegression(fitIntercept=intercept, regParam=0.0, standardization=False, maxIter=100, tol=1e-10).fit(rows.where(F.col(target) == t))
-        a = float(model.coefficients[0])
-        out.append((t, a if a > 0 else None, float(model.intercept)))
-    return df.sparkSession.createDataFrame(out, f"{target} string, a double, b double")
-
-
-def expected_loss(df: DataFrame, fits: DataFrame, thresholds: DataFrame, keys: list[str], target: str, p: str = "p") -> DataFrame:
-    """K7: (keys, score): minus the mean chance of error over targets, with calibrated probabilities and frozen decisions."""
-    rows = df.join(F.broadcast(fits.select(target, "a", "b")), target).join(F.broadcast(thresholds), [c for c in thresholds.columns if c in df.columns])
+    spark = df.sparkSession
+    one = F.when(F.col(y) == 1, 1).otherwise(0)
+    counts = df.where(F.col(y).isNotNull()).groupBy(*by, V.logit(p).alias("_x")).agg(F.sum(one).alias("_pos"), F.count("*").alias("_n")).cache()
+    fits = {tuple(r[c] for c in by): [1.0, 0.0, None] for r in counts.select(*by).distinct().collect()}
+    schema = ", ".join(f"{c} {counts.schema[c].dataType.simpleString()}" for c in by)
+    for _ in range(STEPS):
+        now = spark.createDataFrame([(*k, a, b) for k, (a, b, _) in fits.items()], f"{schema}, _a double, _b double")
+        s = 1 / (1 + F.exp(-(F.col("_a") * F.col("_x") + F.col("_b"))))
+        left, w = F.col("_pos") - F.col("_n") * s, F.col("_n") * s * (1 - s)
+        sums = {"ga": left * F.col("_x"), "gb": left, "haa": w * F.col("_x") * F.col("_x"), "hab": w * F.col("_x"), "hbb": w}
+        for r in counts.join(F.broadcast(now), by).groupBy(*by).agg(*(F.sum(c).alias(n) for n, c in sums.items())).collect():
+            fit = fits[tuple(r[c] for c in by)]
+            det = r.haa * r.hbb - r.hab * r.hab if intercept else r.haa
+            if not det > 0 or not math.isfinite(det):
+                fit[2] = None
+                continue
+            step = ((r.hbb * r.ga - r.hab * r.gb) / det, (r.haa * r.gb - r.hab * r.ga) / det) if intercept else (r.ga / det, 0.0)
+            fit[0], fit[1], fit[2] = fit[0] + step[0], fit[1] + step[1], max(map(abs, step))
+        if all(size is None or size < DONE for _, _, size in fits.values()):
+            break
+    counts.unpersist()
+    sound = lambda a, size: size is not None and size < 1e-6 and a > 0
+    return spark.createDataFrame([(*k, a if sound(a, size) else None, b if sound(a, size) else None) for k, (a, b, size) in fits.items()], f"{schema}, a double, b double")
+
+
+def expected_loss(df: DataFrame, fits: DataFrame, thresholds: DataFrame, keys: list[str], by: list[str], p: str = "p") -> DataFrame:
+    """K7: (keys, score): minus the mean chance of error over targets, with calibrated probabilities and frozen decisions. fits and thresholds have a row for each `by`."""
+    rows = df.join(F.broadcast(fits.select(*by, "a", "b")), by).join(F.broadcast(thresholds.select(*by, "threshold")), by)
     q = 1 / (1 + F.exp(-(F.col("a") * V.logit(p) + F.col("b"))))
     wrong = F.when(F.col(p) >= F.col("threshold"), 1 - q).otherwise(q)
     return rows.groupBy(*keys).agg((-F.avg(wrong)).alias("score"))
 
 
-def policies(cells: DataFrame, keys: list[str], target: str, thresholds: DataFrame, cutoff: float, temperatures: DataFrame, temperature_cutoff: float, losses: DataFrame, loss_cutoff: float, quantiles: DataFrame) -> DataFrame:
-    """K9: (policy, keys, target, decision, accepted, score) of five policies for one model: frozen, temp_margin, expected_loss, conformal, conformal_frozen."""
-    study = Window.partitionBy(*keys)
-    rows = cells.join(F.broadcast(thresholds), target).join(F.broadcast(temperatures.select(target, F.col("a").alias("_a"))), target).join(F.broadcast(quantiles), target).join(losses, keys)
+def policies(cells: DataFrame, model: str, study: str, target: str, thresholds: DataFrame, temperatures: DataFrame, quantiles: DataFrame, losses: DataFrame, cuts: DataFrame) -> DataFrame:
+    """K9: (policy, model, study, target, decision, accepted, score) of five policies: frozen, temp_margin, expected_loss, conformal, conformal_frozen.
+
+    thresholds, temperatures (a) and quantiles (q) have a row for each model and target,
+    losses (score) for each model and study, cuts (plain, cold, loss) for each model.
+    """
+    by, of_study = [model, target], Window.partitionBy(model, study)
+    rows = cells.join(F.broadcast(thresholds.select(*by, "threshold")), by).join(F.broadcast(temperatures.select(*by, F.col("a").alias("_a"))), by)
+    rows = rows.join(F.broadcast(quantiles), by).join(F.broadcast(cuts), model).join(losses, [model, study])
     cold = 1 / (1 + F.exp(-F.col("_a") * V.logit("p")))
     has1, has0 = (1 - F.col("p")) <= F.col("q"), F.col("p") <= F.col("q")
     rows = rows.withColumns({
-        "d": F.col("p") >= F.col("threshold"), "c": F.min(V.confidence("p")).over(study), "ct": F.min(F.abs(2 * cold - 1)).over(study), "all_single": F.min(F.when(has1 != has0, 1).otherwise(0)).over(study) == 1, "h1": has1,
+        "d": F.col("p") >= F.col("threshold"), "c": F.min(V.confidence("p")).over(of_study), "ct": F.min(F.abs(2 * cold - 1)).over(of_study), "all_single": F.min(F.when(has1 != has0, 1).otherwise(0)).over(of_study) == 1, "h1": has1,
     })
     kinds = [
-        ("frozen", F.col("d"), F.col("c") >= cutoff, F.col("c")), ("temp_margin", F.col("d"), F.col("ct") >= temperature_cutoff, F.col("ct")), ("expected_loss", F.col("d"), F.col("score") >= loss_cutoff, F.col("score")),
+        ("frozen", F.col("d"), F.col("c") >= F.col("plain"), F.col("c")), ("temp_margin", F.col("d"), F.col("ct") >= F.col("cold"), F.col("ct")), ("expected_loss", F.col("d"), F.col("score") >= F.col("loss"), F.col("score")),
         ("conformal", F.col("h1"), F.col("all_single"), F.col("c")), ("conformal_frozen", F.col("d"), F.col("all_single"), F.col("c")),
     ]
     every = F.array(*(F.struct(F.lit(n).alias("policy"), d.alias("decision"), a.alias("accepted"), s.alias("score")) for n, d, a, s in kinds))
-    return rows.select(*keys, target, F.explode(every).alias("x")).select("x.policy", *keys, target, "x.decision", "x.accepted", "x.score")
+    return rows.select(model, study, target, F.explode(every).alias("x")).select("x.policy", model, study, target, "x.decision", "x.accepted", "x.score")
 
 
 def replay_check(fitted: DataFrame, stored: DataFrame, by: list[str], column: str, within: float) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,3 +57,31 @@ def positions(df: DataFrame, by: list[str], order: list[str], name: str = "posit
     """df with each row's place in its group, from 0, in ascending order."""
     got = running_sums(df.withColumn("_one", F.lit(1).cast("long")), by, [(c, False) for c in order], ["_one"])
     return got.withColumn(name, F.col("cum__one") - 1).drop("_one", "cum__one")
+
+
+def with_totals(run: DataFrame, df: DataFrame, by: list[str], columns: dict[str, str]) -> DataFrame:
+    """run with, for each name: column of columns, df's sum of the column in the row's group."""
+    totals = df.groupBy(*by).agg(*(F.sum(c).alias(n) for n, c in columns.items()))
+    if not by:
+        return run.join(F.broadcast(totals))  # one row
+    same = reduce(and_, (F.col(b).eqNullSafe(F.col(f"_g_{b}")) for b in by))
+    return run.join(totals.withColumnsRenamed({b: f"_g_{b}" for b in by}), same).drop(*(f"_g_{b}" for b in by))
+
+
+def values_at(df: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]], edges: list[float] | None = None) -> DataFrame:
+    """(by, n, a column for each place): the values at the places, numbers from 0 in ascending order, given as functions of the group's count n.
+
+    Rows are counted by value first; null values don't count.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    run = with_totals(running_sums(counts, by, [("_v", False)], ["_c"], edges=edges), counts, by, {"n": "_c"})
+    return run.groupBy(*by).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("cum__c") > place(F.col("n")), F.col("_v"))).alias(name) for name, place in places.items()))
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], edges: list[float] | None = None) -> DataFrame:
+    """(by, q array<double>): exact quantiles, interpolated linearly between the two nearest values."""
+    place = lambda s, n: F.lit(s) * (n - 1)
+    places = {f"_{side}{i}": (lambda n, s=s, f=f: f(place(s, n))) for i, s in enumerate(shares) for side, f in (("a", F.floor), ("b", F.ceil))}
+    got = values_at(df, by, value, places, edges)
+    rest = lambda s: place(s, F.col("n")) - F.floor(place(s, F.col("n")))
+    return got.select(*by, F.array(*((1 - rest(s)) * F.col(f"_a{i}") + rest(s) * F.col(f"_b{i}") for i, s in enumerate(shares))).alias("q"))

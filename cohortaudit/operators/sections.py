@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortaudit.functions import text as X
 from cohortaudit.operators.audit import DIGITS, count_if
+from cohortaudit.operators.prefix import values_at
 
 # The first dialect's header and its section names.
 PLAIN_HEADER = r"(?m)^\s*([A-Z][A-Z /_-]{2,40})\s*:\s*"
@@ -17,8 +18,9 @@ PLAIN_SECTIONS = {
     "comparison": ["comparison", "comparisons"],
     "technique": ["technique", "procedure"],
 }
-# The second dialect's header, banner, and sections by class.
+# Fixed value: the second dialect's header.
 HEADER = r"(?m)^[ \t]*([A-Z][A-Z0-9 /&'()\.\,\-\*]{0,60}?)[ \t]*:"
+# Banners, words that describe views, and sections by class.
 BANNER = r"(?m)^\s*(FINAL REPORT|FINAL ADDENDUM|PRELIMINARY REPORT)\s*$"
 VIEW_WORDS = r"\b(?:AP|PA|LATERAL|FRONTAL|PORTABLE|UPRIGHT|SUPINE|SEMI-UPRIGHT|SEMI-ERECT|FILM|SINGLE|ONE|TWO)\b.*\b(?:CHEST|VIEW|VIEWS|RADIOGRAPH|RADIOGRAPHS)\b|\bCHEST\b.*\b(?:VIEW|VIEWS|AP|PA|LATERAL|PORTABLE|UPRIGHT)\b"
 SECTIONS = {
@@ -140,10 +142,10 @@ def unknown_headers(parsed: DataFrame, least: int = 100) -> DataFrame:
 
 def index_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """N, mean, whole median, 95th percentile as the value at index 0.95 (n - 1) cut to a whole, and extremes."""
-    w = Window.partitionBy(*by)
-    ranked = df.where(F.col(value).isNotNull()).select(*by, value).withColumn("i", F.row_number().over(w.orderBy(value)) - 1).withColumn("n", F.count("*").over(w))
-    at = F.floor(0.95 * (F.col("n") - 1))
-    return ranked.groupBy(*by).agg(F.max("n").alias("n"), F.round(F.avg(value), DIGITS).alias("mean"), F.floor(F.percentile(value, 0.5)).alias("median"), F.max(F.when(F.col("i") == at, F.col(value))).alias("p95"), F.min(value).alias("least"), F.max(value).alias("most"))
+    rows = df.where(F.col(value).isNotNull()).select(*by, value)
+    places = {"_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.ceil((n - 1) / 2), "p95": lambda n: F.floor(0.95 * (n - 1))}
+    at = values_at(rows, by, value, places).select(*by, "n", F.floor((F.col("_low") + F.col("_high")) / 2).alias("median"), "p95")
+    return rows.groupBy(*by).agg(F.round(F.avg(value), DIGITS).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most")).join(at, by)
 
 
 def threshold_sweep(tokens: DataFrame, thresholds: list[int]) -> DataFrame:

@@ -16,6 +16,7 @@ from cohortaudit.operators import prefix
 from cohortaudit.operators import resample as B
 from cohortaudit.operators import risk as R
 from cohortaudit.operators import sections as S
+from cohortaudit.operators.prefix import quantiles
 
 
 def rows(df, *columns):
@@ -127,7 +128,8 @@ def test_waterfall_counts_each_row_once(spark):
 
 
 def test_largest_remainders():
-    assert C.proportional({"a": 10, "b": 10, "c": 10}, 10) == {"a": 4, "b": 3, "c": 3}
+    assert C.proportional({"a": 10, "b": 10, "c": 10}, 10) == {"a": 3, "b": 3, "c": 4}
+    assert C.proportional({"a": 1, "b": 3}, 2) == {"a": 0, "b": 2}
     assert C.proportional({"a": 1, "b": 100}, 60) == {"a": 1, "b": 59}
     assert C.proportional({"a": 2, "b": 3}, 50) == {"a": 2, "b": 3}
     assert sum(C.proportional({"a": 7, "b": 13, "c": 29}, 20).values()) == 20
@@ -213,12 +215,71 @@ def test_scaling_recovers_the_truth(spark):
         z = rng.gauss(0, 2)
         data.append(("t", 1 / (1 + math.exp(-z)), float(rng.random() < 1 / (1 + math.exp(-(0.5 * z + 0.7))))))
     df = spark.createDataFrame(data, "target string, p double, y double")
-    r = K.fit_scaling(df, "target", True).first()
+    r = K.fit_scaling(df, ["target"], True).first()
     assert abs(r.a - 0.5) < 0.06 and abs(r.b - 0.7) < 0.1
-    flipped = K.fit_scaling(df.withColumn("y", 1 - F.col("y")), "target", True).first()
+    flipped = K.fit_scaling(df.withColumn("y", 1 - F.col("y")), ["target"], True).first()
     assert flipped.a is None
 
 
+def test_temperature_is_the_likelihood_optimum(spark):
+    rng = random.Random(12)
+    data = [(m, t, round(rng.uniform(0.02, 0.98), 3), float(rng.random() < 0.4)) for m in ("m", "n") for t in ("s", "t") for _ in range(60)]
+    df = spark.createDataFrame(data, "model string, target string, p double, y double")
+    logit = lambda p: math.log(p / (1 - p))
+    fits = {(r.model, r.target): r.a for r in K.fit_scaling(df, ["model", "target"], False).collect()}
+    assert len(fits) == 4
+    for key, a in fits.items():
+        own = [(logit(p), y) for *k, p, y in data if tuple(k) == key]
+        loss = lambda a: sum(math.log(1 + math.exp(-a * x)) if y else math.log(1 + math.exp(a * x)) for x, y in own)  # noqa: B023, E731
+        best = min((loss(i / 2000), i / 2000) for i in range(-4000, 4001))[1]
+        assert (a is None and best <= 0) or abs(a - best) < 1e-3
+
+
+def test_expected_loss_and_policies(spark):
+    rng = random.Random(13)
+    cells = [("m", s, t, round(rng.uniform(0.02, 0.98), 3)) for s in range(30) for t in ("a", "b")]
+    df = spark.createDataFrame(cells, "model string, study int, target string, p double")
+    th, fit, cold, q = {"a": 0.4, "b": 0.6}, {"a": (0.8, 0.1), "b": (1.5, -0.2)}, {"a": 1.2, "b": 0.7}, {"a": 0.7, "b": 0.45}
+    table = lambda d, name: spark.createDataFrame([("m", t, v) for t, v in d.items()], f"model string, target string, {name} double")
+    fits = spark.createDataFrame([("m", t, *v) for t, v in fit.items()], "model string, target string, a double, b double")
+    losses = K.expected_loss(df, fits, table(th, "threshold"), ["model", "study"], ["model", "target"])
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    logit = lambda p: math.log(p / (1 - p))
+    score = {}
+    for s in range(30):
+        wrong = []
+        for _, _, t, p in (c for c in cells if c[1] == s):
+            x = sig(fit[t][0] * logit(p) + fit[t][1])
+            wrong.append(1 - x if p >= th[t] else x)
+        score[s] = -sum(wrong) / 2
+    for r in losses.collect():
+        assert abs(r.score - score[r.study]) < 1e-12
+    cuts = spark.createDataFrame([("m", 0.3, 0.25, -0.3)], "model string, plain double, cold double, loss double")
+    got = K.policies(df, "model", "study", "target", table(th, "threshold"), table(cold, "a"), table(q, "q"), losses, cuts).collect()
+    assert len(got) == 5 * 60
+    for r in got:
+        own = [(t, p) for _, s, t, p in cells if s == r.study]
+        p = dict(own)[r.target]
+        margin = min(abs(2 * p - 1) for _, p in own)
+        single = all((1 - p <= q[t]) != (p <= q[t]) for t, p in own)
+        accepted = {"frozen": margin >= 0.3, "temp_margin": min(abs(2 * sig(cold[t] * logit(p)) - 1) for t, p in own) >= 0.25, "expected_loss": score[r.study] >= -0.3, "conformal": single, "conformal_frozen": single}
+        assert r.accepted == accepted[r.policy]
+        assert r.decision == (1 - p <= q[r.target] if r.policy == "conformal" else p >= th[r.target])
+
+
+def test_quantiles_and_places(spark):
+    rng = random.Random(14)
+    data = [(g, rng.choice([None, 0.1, 0.2, 0.35, rng.random()])) for g in ("x", "y", None) for _ in range(40)] + [("z", 0.5)]
+    df = spark.createDataFrame(data, "g string, v double")
+    shares = [0.0, 0.025, 0.5, 0.9, 1.0]
+    got = {r.g: r.q for r in quantiles(df, ["g"], "v", shares).collect()}
+    want = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("v", F.array(*map(F.lit, shares))).alias("q")).collect()}
+    for g in want:
+        assert all(abs(a - b) < 1e-12 for a, b in zip(got[g], want[g]))
+    assert abs(quantiles(df, [], "v", [0.5]).first().q[0] - df.agg(F.percentile("v", 0.5)).first()[0]) < 1e-12
+    assert quantiles(df.where("v > 2"), ["g"], "v", [0.5]).count() == 0
+
+
 # risks -------------------------------------------------------------------------------
 TARGETS = ["u", "v"]
 
@@ -297,7 +358,7 @@ def test_replicates_equal_row_level_sums(spark):
         for rep in range(6):
             assert sum(n for (a, b, _), n in own.items() if (a, b) == (s, rep)) == sizes[s]
     per = df.groupBy("site", "patient").agg(F.sum("x").alias("x"))
-    for r in B.replicate_sums(per, counts, "site", "patient", [], ["x"]).collect():
+    for r in B.replicate_sums(per, df, "site", "patient", [], ["x"], 6, "seed").collect():
         want = sum(d[3] * own.get((d[0], r.rep, d[1]), 0) for d in data if d[0] == r.site)
         assert abs(r.x - want) < 1e-12
 
