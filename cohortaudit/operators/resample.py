@@ -1,7 +1,7 @@
 """Patient-clustered bootstrap, intervals, p values, contrasts and verdicts.
 
 Draws come from a portable hash: replicate r's d-th draw of a site with n patients is
-patient hash(seed:site:r:d) mod n, so they are the same for every condition of a site,
+patient h mod n, h being the (d mod 4)-th 32 bits of md5(seed:site:r:(d div 4)), so they are the same for every condition of a site,
 independent between sites, and the same on any cluster. Sums are taken by patient first;
 a replicate then only weighs them.
 """
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from cohortaudit.functions import values as V
 from cohortaudit.operators.audit import DIGITS
 from cohortaudit.operators.prefix import positions
+from cohortaudit.sources.scratch import kept
 
 # The registered rules: direction and materiality of each hypothesis.
 RULES = {"H1": ("greater", 0.02), "H2": ("greater", 0.02), "H3": ("greater", 0.02), "H4": ("greater_or_equal", None)}
@@ -26,21 +27,43 @@ SHORT = {
 }
 
 
+#: Rows of patients' sums that are sent to every task; more are joined by a shuffle.
+SMALL = 500_000
+
+
+def _indexed(patients: DataFrame, site: str, patient: str) -> DataFrame:
+    """(site, patient, _i): the patients of each site numbered from 0."""
+    return positions(patients.select(site, patient).distinct(), [site], [patient], "_i")
+
+
+def _draws(indexed: DataFrame, site: str, replicates: int, seed: str) -> DataFrame:
+    """(site, rep, _i): the patients' numbers that each replicate draws, as many as the site has patients."""
+    sizes = indexed.groupBy(site).agg(F.count("*").alias("_n"))  # a row for each site
+    # a small table of patients makes many draws, so it is dealt out first
+    dealt = indexed.where("_i % 4 = 0").repartition(int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    fours = dealt.join(F.broadcast(sizes), site).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    digest = F.md5(F.concat_ws(":", F.lit(seed), site, "rep", F.floor(F.col("_i") / 4)))
+    each = fours.select(site, "rep", "_n", digest.alias("_d"), F.explode(F.slice(F.array(*map(F.lit, range(4))), F.lit(1), F.least(F.lit(4), F.col("_n") - F.col("_i")).cast("int"))).alias("_j"))
+    return each.select(site, "rep", F.pmod(F.conv(F.substring("_d", 1 + 8 * F.col("_j"), F.lit(8)), 16, 10).cast("long"), F.col("_n")).alias("_i"))
+
+
 def patient_counts(patients: DataFrame, site: str, patient: str, replicates: int, seed: str) -> DataFrame:
     """B1: (site, patient, rep, n): how often each patient is drawn in each replicate, as many draws as the site has patients; undrawn ones have no row."""
-    own = positions(patients.select(site, patient).distinct(), [site], [patient], "_i")
-    sizes = own.groupBy(site).agg(F.count("*").alias("_n"))
-    indexed = own.join(F.broadcast(sizes), site)  # a row for each site
-    draws = indexed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    hit = F.pmod(V.portable_hash(F.lit(seed), site, "rep", "_i"), F.col("_n"))
-    counts = draws.select(site, "rep", hit.alias("_i")).groupBy(site, "rep", "_i").agg(F.count("*").alias("n"))
+    own, _ = kept(_indexed(patients, site, patient), "patients")
+    counts = _draws(own, site, replicates, seed).groupBy(site, "rep", "_i").agg(F.count("*").alias("n"))
     return counts.join(own, [site, "_i"]).select(site, patient, "rep", "n")
 
 
-def replicate_sums(patient_sums: DataFrame, counts: DataFrame, site: str, patient: str, by: list[str], columns: list[str]) -> DataFrame:
-    """(rep, site, by, columns): weighted sums of each replicate. One draw of a site serves all its groups."""
-    joined = patient_sums.join(counts, [site, patient])
-    return joined.groupBy("rep", site, *by).agg(*(F.sum(F.col("n") * F.col(c)).alias(c) for c in columns))
+def replicate_sums(patient_sums: DataFrame, patients: DataFrame, site: str, patient: str, by: list[str], columns: list[str], replicates: int, seed: str) -> DataFrame:
+    """(rep, site, by, columns): sums over the patients that each replicate draws, as patient_counts draws them.
+
+    One draw of a site serves all its groups. Sums of up to SMALL patients and groups
+    meet the draws where these are made, so that only the replicates' sums are shuffled.
+    """
+    own, _ = kept(_indexed(patients, site, patient), "patients")
+    sums, n = kept(patient_sums.join(own, [site, patient]).select(site, "_i", *by, *columns), "sums")
+    joined = _draws(own, site, replicates, seed).join(F.broadcast(sums) if n <= SMALL else sums, [site, "_i"])
+    return joined.groupBy("rep", site, *by).agg(*(F.sum(c).alias(c) for c in columns))
 
 
 def percentile_interval(replicates: DataFrame, by: list[str], value: str, level: float = 0.95, strict: bool = True) -> DataFrame:

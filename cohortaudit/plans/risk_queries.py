@@ -56,28 +56,28 @@ def _est(prefix: str) -> dict[str, str]:
 LEVELS = SUMS + ", levels as (select site, model, condition, a_one / all_one as coverage, " + ", ".join(f"{e} as {k}" for k, e in _est("a_").items()) + " from sums)"
 
 
-def _passes(spark, sf):
-    rows = predictions(spark, sf).withColumn("condition", F.explode(F.array(*map(F.lit, CONDITIONS))))
+def _passes(spark, sf, again=()):
+    rows = predictions(spark, sf, again).withColumn("condition", F.explode(F.array(*map(F.lit, CONDITIONS))))
     noise = V.unit(F.lit("n"), "study", "target", "condition")
     return rows.withColumn("p", F.when(F.col("condition") == "C0", F.col("p")).otherwise(F.round(0.7 * F.col("p") + 0.3 * noise, 4)))
 
 
-def _cal(spark, sf):
-    return predictions(spark, sf).where("site = 'source' and split = 'calibration'")
+def _cal(spark, sf, again=()):
+    return predictions(spark, sf, again).where("site = 'source' and split = 'calibration'")
 
 
-def _policy(spark, sf):
-    cal = _cal(spark, sf)
+def _policy(spark, sf, again=()):
+    cal = _cal(spark, sf, again)
     thresholds = K.grid_thresholds(cal, ["model", "target"])
     cut = K.cutoffs(K.study_confidence(cal, ["model", "study"]), ["model"], [0.8]).select("model", "cutoff")
     return thresholds, cut
 
 
-def _cells(spark, sf):
+def _cells(spark, sf, again=()):
     from pyspark.sql import Window
 
-    thresholds, cut = _policy(spark, sf)
-    rows = _passes(spark, sf).where("split = 'evaluation'").join(F.broadcast(thresholds.select("model", "target", "threshold")), ["model", "target"]).join(F.broadcast(cut), "model")
+    thresholds, cut = _policy(spark, sf, again)
+    rows = _passes(spark, sf, again).where("split = 'evaluation'").join(F.broadcast(thresholds.select("model", "target", "threshold")), ["model", "target"]).join(F.broadcast(cut), "model")
     w = Window.partitionBy("model", "condition", "study")
     return rows.withColumns({"decision": V.decide("p", "threshold"), "confidence": F.min(V.confidence("p")).over(w)}).withColumn("accepted", F.col("confidence") >= F.col("cutoff"))
 
@@ -85,17 +85,17 @@ def _cells(spark, sf):
 KEYS = ["site", "model", "condition", "patient", "segment", "study", "confidence", "accepted"]
 
 
-def _terms(spark, sf):
-    return R.study_terms(_cells(spark, sf), KEYS, T)
+def _terms(spark, sf, again=()):
+    return R.study_terms(_cells(spark, sf, again), KEYS, T)
 
 
-def _sums(spark, sf):
-    return R.accepted_sums(_terms(spark, sf), ["site", "model", "condition"], T)
+def _sums(spark, sf, again=()):
+    return R.accepted_sums(_terms(spark, sf, again), ["site", "model", "condition"], T)
 
 
-def _levels(spark, sf):
+def _levels(spark, sf, again=()):
     e = R.estimators(T)
-    return _sums(spark, sf).select("site", "model", "condition", (F.col("a_one") / F.col("all_one")).alias("coverage"), *(c.alias(k) for k, c in e.items()))
+    return _sums(spark, sf, again).select("site", "model", "condition", (F.col("a_one") / F.col("all_one")).alias("coverage"), *(c.alias(k) for k, c in e.items()))
 
 
 def _c0(spark, sf):
@@ -208,11 +208,11 @@ def p18(spark, sf):
     return predictions(spark, sf).select("model", "target", "study", F.round(V.threshold_margin("p", F.lit(0.3)), 6).alias("margin"))
 
 
-@query("p19_late_fusion", f"with {PREDICTIONS} select a.study, a.target, round((a.p + b.p) / 2, 6) as p from predictions a join predictions b on a.study = b.study and a.target = b.target and a.model = 'm1' and b.model = 'm2'")
+@query("p19_late_fusion", f"with {PREDICTIONS} select study, target, round((max(p) filter (model = 'm1') + max(p) filter (model = 'm2')) / 2, 6) as p from predictions group by 1, 2")
 def p19(spark, sf):
     rows = predictions(spark, sf)
-    a, b = (rows.where(F.col("model") == m).select("study", "target", F.col("p").alias(m)) for m in MODELS)
-    return a.join(b, ["study", "target"]).select("study", "target", F.round(V.late_fusion("m1", "m2"), 6).alias("p"))
+    both = R.wide(rows, ["study", "target"], "model", list(MODELS), "p")
+    return both.select("study", "target", F.round(V.late_fusion("m1", "m2"), 6).alias("p"))
 
 
 @query("p21_permitted_tier", f"with {STUDIES} select study from studies where split = 'calibration'")
@@ -226,14 +226,15 @@ def k1(spark, sf):
     return K.grid_thresholds(_cal(spark, sf), ["model", "target"])
 
 
-_K2 = PREDICTIONS + """, c2 as (select model, target, p as t, y from predictions where site = 'source' and split = 'calibration' and y is not null and patient % 4 = 0),
-cand as (select distinct model, target, t from c2 union select distinct model, target, 0.0 from c2 union select distinct model, target, 1.0000000000000002 from c2),
-s2 as (select cand.model, cand.target, cand.t, ((count(*) filter (y = 1 and c2.t >= cand.t))::double / (count(*) filter (y = 1)) + (count(*) filter (y = 0 and c2.t < cand.t))::double / (count(*) filter (y = 0))) / 2 as s from cand join c2 on cand.model = c2.model and cand.target = c2.target group by 1, 2, 3)"""
+_K2 = PREDICTIONS + """, c2 as (select model, target, p as t, y from predictions where site = 'source' and split = 'calibration' and y is not null),
+cand as (select model, target, t, count(*) filter (y = 1) as pos, count(*) filter (y = 0) as neg from c2 group by 1, 2, 3 union all select distinct model, target, x, 0, 0 from c2 cross join (values (0.0), (1.0000000000000002)) e(x)),
+one as (select model, target, t, sum(pos) as pos, sum(neg) as neg from cand group by 1, 2, 3),
+s2 as (select model, target, t, (sum(pos) over down::double / nullif(sum(pos) over whole, 0) + (sum(neg) over whole - sum(neg) over down)::double / nullif(sum(neg) over whole, 0)) / 2 as s from one window down as (partition by model, target order by t desc), whole as (partition by model, target))"""
 
 
 @query("k2_exact_thresholds", f"with {_K2} select model, target, min_by(t, [-s, abs(t - 0.5), t]) as threshold, round(max(s), 6) as balanced_accuracy from s2 group by 1, 2")
 def k2(spark, sf):
-    return K.exact_thresholds(_cal(spark, sf).where("patient % 4 = 0"), ["model", "target"])
+    return K.exact_thresholds(_cal(spark, sf), ["model", "target"])
 
 
 @query("k3_cutoffs", f"with {PASSES}, c as (select model, unnest([0.9::double, 0.8, 0.5]) as coverage from cutoffs) select c.model, coverage, round(case coverage when 0.9 then quantile_cont(confidence, 0.1) when 0.8 then quantile_cont(confidence, 0.2) else quantile_cont(confidence, 0.5) end, 6) as cutoff from c join conf using (model) group by 1, 2")
@@ -242,9 +243,9 @@ def k3(spark, sf):
     return got.withColumn("cutoff", F.round("cutoff", 6))
 
 
-@query("k4_frozen_policy", f"with {_K2}, th as (select model, target, min_by(t, [-s, abs(t - 0.5), t]) as threshold from s2 group by 1, 2), cf as (select model, study, min(abs(2 * p - 1)) as confidence from predictions where site = 'source' and split = 'calibration' and patient % 4 = 0 group by 1, 2), rk as (select *, row_number() over (partition by model order by confidence desc) as r, count(*) over (partition by model) as n from cf), ct as (select model, max(case when r = ceil(0.8 * n) then confidence end) as cutoff from rk group by 1) select model, target, threshold, round(cutoff, 6) as cutoff from th join ct using (model)")
+@query("k4_frozen_policy", f"with {_K2}, th as (select model, target, min_by(t, [-s, abs(t - 0.5), t]) as threshold from s2 group by 1, 2), cf as (select model, study, min(abs(2 * p - 1)) as confidence from predictions where site = 'source' and split = 'calibration' group by 1, 2), rk as (select *, row_number() over (partition by model order by confidence desc) as r, count(*) over (partition by model) as n from cf), ct as (select model, max(case when r = ceil(0.8 * n) then confidence end) as cutoff from rk group by 1) select model, target, threshold, round(cutoff, 6) as cutoff from th join ct using (model)")
 def k4(spark, sf):
-    cal = require_source(_cal(spark, sf).where("patient % 4 = 0"), "site", "split", "source", "calibration")
+    cal = require_source(_cal(spark, sf), "site", "split", "source", "calibration")
     cut = K.rank_cutoffs(K.study_confidence(cal.where("site is not null"), ["model", "study"]), ["model"], 0.8)
     return K.exact_thresholds(cal, ["model", "target"]).join(cut, "model").select("model", "target", "threshold", F.round("cutoff", 6).alias("cutoff"))
 
@@ -270,45 +271,58 @@ def k8(spark, sf):
     return K.conformal_search(_cal(spark, sf), ["model"], "target", "study", _ALPHAS)
 
 
-@query("k5_temperature")
+def _newton(name: str, intercept: bool, steps: int = 14) -> str:
+    """Fits of y ~ sigmoid(a * logit(p) + b) by Newton's steps, each a table expression; the last one is called name."""
+    out = [f"{name}_0 as (select distinct model, target, 1.0::double as a, 0.0::double as b from fx)"]
+    for i in range(1, steps + 1):
+        before, now = f"{name}_{i - 1}", name if i == steps else f"{name}_{i}"
+        sums = f"select model, target, any_value(a) as a, any_value(b) as b, sum(r * x) as ga, sum(r) as gb, sum(w * x * x) as haa, sum(w * x) as hab, sum(w) as hbb from (select *, pos - n * s as r, n * s * (1 - s) as w from (select fx.*, a, b, 1 / (1 + exp(-(a * x + b))) as s from fx join {before} using (model, target))) group by 1, 2"
+        step = "a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab) as a, b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) as b" if intercept else "a + ga / haa as a, b"
+        out.append(f"{now} as materialized (select model, target, {step} from ({sums}))")
+    return ", ".join(out)
+
+
+_FX = f"fx as (select model, target, {_LOGIT.format('p::double')} as x, count(*) filter (y = 1) as pos, count(*) as n from cal where y is not null group by 1, 2, 3)"
+_PLATT, _COLD = _newton("platt", True), _newton("cold", False)
+
+
+@query("k5_temperature", f"with {PASSES}, {_FX}, {_COLD} select model, target, round(1 / a, 3) as temperature from cold")
 def k5(spark, sf):
-    """Fitted by iteration; the tests check the optimum."""
-    got = K.fit_scaling(_cal(spark, sf).where("model = 'm1'"), "target", False)
-    return got.select("target", F.round(1 / F.col("a"), 3).alias("temperature"))
+    return K.fit_scaling(_cal(spark, sf), ["model", "target"], False).select("model", "target", F.round(1 / F.col("a"), 3).alias("temperature"))
 
 
-@query("k6_platt")
+@query("k6_platt", f"with {PASSES}, {_FX}, {_PLATT} select model, target, round(a, 3) as a, round(b, 3) as b from platt")
 def k6(spark, sf):
-    """Fitted by iteration; the tests check the optimum."""
-    got = K.fit_scaling(_cal(spark, sf).where("model = 'm1'"), "target", True)
-    return got.select("target", F.round("a", 3).alias("a"), F.round("b", 3).alias("b"))
+    return K.fit_scaling(_cal(spark, sf), ["model", "target"], True).select("model", "target", F.round("a", 3).alias("a"), F.round("b", 3).alias("b"))
 
 
-def _m1(spark, sf):
-    return _cal(spark, sf).where("model = 'm1'")
+_LOSS = f"loss as (select model, study, -avg(case when p >= threshold then 1 - q else q end) as score from (select c.*, threshold, 1 / (1 + exp(-(a * {_LOGIT.format('p::double')} + b))) as q from cal c join platt using (model, target) join thresholds using (model, target)) group by 1, 2)"
 
 
-@query("k7_expected_loss")
+@query("k7_expected_loss", f"with {PASSES}, {_FX}, {_PLATT}, {_LOSS} select model, study, round(score, 6) as score from loss")
 def k7(spark, sf):
-    """Scores under fitted values, so without SQL; the tests hold it against a formula."""
-    m1 = _m1(spark, sf)
-    thresholds = K.grid_thresholds(m1, ["target"]).select("target", "threshold")
-    return K.expected_loss(m1, K.fit_scaling(m1, "target", True), thresholds, ["study"], "target").withColumn("score", F.round("score", 4))
-
-
-@query("k9_policies")
+    cal, by = _cal(spark, sf), ["model", "target"]
+    return K.expected_loss(cal, K.fit_scaling(cal, by, True), K.grid_thresholds(cal, by), ["model", "study"], by).withColumn("score", F.round("score", 6))
+
+
+@query("k9_policies", f"""with {PASSES}, {_FX}, {_PLATT}, {_COLD}, {_LOSS},
+s as (select model, target, case when y = 1 then 1 - p else p end as s from cal where y is not null), r as (select *, row_number() over (partition by model, target order by s) as r, count(*) over (partition by model, target) as n from s),
+q as (select model, target, coalesce(min(case when r >= ceil((n + 1) * (1 - 0.2)) then s end), 1.0) as q from r group by 1, 2),
+x as (select c.*, threshold, score, p >= threshold as d, abs(2 * p - 1) as c, abs(2 / (1 + exp(-cold.a * {_LOGIT.format('p::double')})) - 1) as ct, ((1 - p) <= q) <> (p <= q) as single, (1 - p) <= q as h1 from cal c join thresholds using (model, target) join cold using (model, target) join q using (model, target) join loss using (model, study)),
+st as (select model, study, min(c) as c, min(ct) as ct, any_value(score) as score, bool_and(single) as single, count(*) as n from x group by 1, 2),
+cu as (select model, quantile_cont(c, 0.2) as plain, quantile_cont(ct, 0.2) as cold, quantile_cont(score, 0.2) as loss from st group by 1),
+g as (select *, c >= plain as frozen, ct >= cold as temp, score >= loss as low from st join cu using (model))
+select model, policy, sum(n)::bigint as cells, coalesce(sum(n) filter (accepted), 0)::bigint as accepted from (select model, n, unnest(['frozen', 'temp_margin', 'expected_loss', 'conformal', 'conformal_frozen']) as policy, unnest([frozen, temp, low, single, single]) as accepted from g) group by 1, 2""")
 def k9(spark, sf):
-    """Acceptance of five policies under fitted values, so without SQL."""
-    m1 = _m1(spark, sf)
-    fits, temps = K.fit_scaling(m1, "target", True), K.fit_scaling(m1, "target", False)
-    thresholds = K.grid_thresholds(m1, ["target"]).select("target", "threshold")
-    losses = K.expected_loss(m1, fits, thresholds, ["study"], "target")
-    cut = lambda c: c.agg(F.percentile("confidence", 0.2)).first()[0]
-    plain = cut(K.study_confidence(m1, ["study"]))
-    cold = cut(m1.join(F.broadcast(temps.select("target", "a")), "target").withColumn("p", 1 / (1 + F.exp(-F.col("a") * V.logit("p")))).groupBy("study").agg(F.min(V.confidence("p")).alias("confidence")))
-    loss = cut(losses.withColumnRenamed("score", "confidence"))
-    got = K.policies(m1, ["study"], "target", thresholds, plain, temps, cold, losses, loss, K.conformal_quantile(m1, ["target"], 0.2))
-    return got.groupBy("policy").agg(F.count("*").alias("cells"), count_if(F.col("accepted")).alias("accepted"))
+    cal, by = _cal(spark, sf), ["model", "target"]
+    fits, temps, thresholds = K.fit_scaling(cal, by, True), K.fit_scaling(cal, by, False), K.grid_thresholds(cal, by)
+    losses = K.expected_loss(cal, fits, thresholds, ["model", "study"], by)
+    scaled = cal.join(F.broadcast(temps.select(*by, "a")), by).withColumn("p", 1 / (1 + F.exp(-F.col("a") * V.logit("p"))))
+    cut = lambda rows, name: K.cutoffs(rows, ["model"], [0.8]).select("model", F.col("cutoff").alias(name))
+    of = lambda rows: K.study_confidence(rows, ["model", "study"])
+    cuts = cut(of(cal), "plain").join(cut(of(scaled), "cold"), "model").join(cut(losses.withColumnRenamed("score", "confidence"), "loss"), "model")
+    got = K.policies(cal, "model", "study", "target", thresholds, temps, K.conformal_quantile(cal, by, 0.2), losses, cuts)
+    return got.groupBy("model", "policy").agg(F.count("*").alias("cells"), count_if(F.col("accepted")).alias("accepted"))
 
 
 @query("k11_replay_check", f"with {PASSES} select count(*) as compared, 0::bigint as missing, 0.0::double as difference, true as same from thresholds")
@@ -554,12 +568,13 @@ def w8(spark, sf):
 
 
 # resampling --------------------------------------------------------------------------
-REPS = 20
+#: Replicates of sums, and of curves.
+REPS, CURVE_REPS = 2000, 200
 BOOT = (
     CELLS
     + f""",
 pts0 as (select site, patient, row_number() over (partition by site order by patient) - 1 as i, count(*) over (partition by site) as n from (select distinct site, patient from terms)),
-draws as (select site, rep, {sql_hash("'b:' || site || ':' || rep || ':' || i")} % n as i from pts0 cross join (select unnest(range(0, {REPS})) as rep)),
+draws as (select site, rep, ('0x' || substr(md5('b:' || site || ':' || rep || ':' || (i // 4)), (1 + 8 * (i % 4))::int, 8))::bigint % n as i from pts0 cross join (select unnest(range(0, {REPS})) as rep)),
 counts as (select d.site, p.patient, d.rep::int as rep, count(*) as n from draws d join pts0 p on d.site = p.site and d.i = p.i group by 1, 2, 3),
 psums as (select site, patient, model, condition, """
     + ", ".join(f"sum(case when accepted then {c} else 0 end) as a_{c}, sum({c}) as all_{c}" for c in TERMS)
@@ -567,22 +582,25 @@ psums as (select site, patient, model, condition, """
 reps as (select rep, site, model, condition, """
     + ", ".join(f"sum(n * a_{c}) as a_{c}, sum(n * all_{c}) as all_{c}" for c in TERMS)
     + " from psums join counts using (site, patient) group by 1, 2, 3, 4), rlev as (select rep, site, model, condition, "
-    + ", ".join(f"{e} as {k}" for k, e in _est("a_").items())
+    + ", ".join(f"round({e}, 12) as {k}" for k, e in _est("a_").items())
     + " from reps)"
 )
 
 
-def _counts(spark, sf):
-    patients = studies(spark, sf).where("split = 'evaluation'").select("site", "patient")
-    return B.patient_counts(patients, "site", "patient", REPS, "b")
+def _patients(spark, sf):
+    return studies(spark, sf).where("split = 'evaluation'").select("site", "patient")
+
+
+def _counts(spark, sf, replicates=REPS):
+    return B.patient_counts(_patients(spark, sf), "site", "patient", replicates, "b")
 
 
-def _replicates(spark, sf):
-    terms = _terms(spark, sf)
-    per = R.accepted_sums(terms, ["site", "patient", "model", "condition"], T)
+def _replicates(spark, sf, again=()):
+    per = R.accepted_sums(_terms(spark, sf, again), ["site", "patient", "model", "condition"], T)
     cols = [f"{a}_{c}" for a in ("a", "all") for c in TERMS]
-    sums = B.replicate_sums(per, _counts(spark, sf), "site", "patient", ["model", "condition"], cols)
-    return sums.select("rep", "site", "model", "condition", *(c.alias(k) for k, c in R.estimators(T).items()))
+    sums = B.replicate_sums(per, _patients(spark, sf), "site", "patient", ["model", "condition"], cols, REPS, "b")
+    # so that equal estimates are equal whatever the order in which they were summed
+    return sums.select("rep", "site", "model", "condition", *(F.round(c, 12).alias(k) for k, c in R.estimators(T).items()))
 
 
 @query("b1_patient_counts", f"with {BOOT} select site, patient, rep, n from counts")
@@ -668,16 +686,22 @@ def b10(spark, sf):
     return B.holm(got, ["model"], "target", "p").select("target", "model", "point", "low", "high", "p", "verdict", "holm")
 
 
-@query("w9_holm", "with p as (select c_nationkey as family, c_custkey as name, (c_custkey * 37 % 1000) / 1000.0::double as p from customer where c_custkey % 20 = 0), k as (select *, row_number() over (partition by family order by p, name) - 1 as i, count(*) over (partition by family) as m from p) select family, name, p, round(max(least(1.0, (m - i) * p)) over (partition by family order by i), 6) as holm from k")
+@query("w9_holm", "with p as (select c_nationkey as family, c_custkey as name, (c_custkey * 37 % 1000) / 1000.0::double as p from customer), k as (select *, row_number() over (partition by family order by p, name) - 1 as i, count(*) over (partition by family) as m from p) select family, name, p, round(max(least(1.0, (m - i) * p)) over (partition by family order by i), 6) as holm from k")
 def w9(spark, sf):
-    rows = table(spark, sf, "customer").where("c_custkey % 20 = 0").select(F.col("c_nationkey").alias("family"), F.col("c_custkey").alias("name"), (F.col("c_custkey") * 37 % 1000 / F.lit(1000.0)).alias("p"))
+    rows = table(spark, sf, "customer").select(F.col("c_nationkey").alias("family"), F.col("c_custkey").alias("name"), (F.col("c_custkey") * 37 % 1000 / F.lit(1000.0)).alias("p"))
     return B.holm(rows, ["family"], "name", "p")
 
 
-@query("b11_replicate_family", f"with {_BOTH}, {_family('evaluable_study', False)} select model, hypothesis, site, contrast, {_FAM} from fam where model = 'm2'")
+def _again(sql: str) -> str:
+    """The SQL with m2 trained once more."""
+    return sql.replace("'p:' || study", "case when model = 'm2' then 'r:' else 'p:' end || study")
+
+
+@query("b11_replicate_family", _again(f"with {_BOTH}, {_family('evaluable_study', True)} select model, hypothesis, site, contrast, {_FAM} from fam"))
 def b11(spark, sf):
-    # the thresholds and cutoffs are selected anew for the model: see _policy
-    return B.contrast_family(_replicates(spark, sf).where("model = 'm2'"), _levels(spark, sf).where("model = 'm2'"), [], "evaluable_study")
+    """m2 is trained once more: its passes are others, its thresholds and cutoff are selected anew from them, and the family is run again with m1 as it was."""
+    again = ("m2",)
+    return B.contrast_family(_replicates(spark, sf, again), _levels(spark, sf, again), [], "evaluable_study", reference="m1")
 
 
 @query("r16_threshold_free", f"""with {CURVE}, cw as (select c.site, c.model, rep, c.study, n::double as w, x.error, x.confidence from curve c join c0 x on c.site = x.site and c.model = x.model and c.study = x.study join counts k on x.site = k.site and x.patient = k.patient),
@@ -685,10 +709,10 @@ rc as (select *, sum(w) over o as cw, sum(w * error) over o as ce, sum(w) over (
 ra as (select site, model, rep, round(sum(w * ce / cw) / max(tot), 6) as aurc from rc group by 1, 2, 3),
 d as (select e.model, e.aurc - s.aurc as d from ra e join ra s on e.model = s.model and e.rep = s.rep and e.site = 'external' and s.site = 'source'), ci as (select model, quantile_cont(d, 0.025) as low, quantile_cont(d, 0.975) as high from d group by 1),
 pa as (select site, model, round(sum(risk) / max(total), 6) as aurc from curve group by 1, 2), pd as (select e.model, e.aurc - s.aurc as point from pa e join pa s on e.model = s.model and e.site = 'external' and s.site = 'source')
-select model, round(point, 6) as point, round(low, 6) as low, round(high, 6) as high from pd join ci using (model)""".replace(CELLS, BOOT))
+select model, round(point, 6) as point, round(low, 6) as low, round(high, 6) as high from pd join ci using (model)""".replace(CELLS, BOOT).replace(f"range(0, {REPS})", f"range(0, {CURVE_REPS})"))
 def r16(spark, sf):
     c0 = _c0(spark, sf)
-    counts = _counts(spark, sf)
+    counts = _counts(spark, sf, CURVE_REPS)
     by = ["site", "model", "rep"]
     weighted = c0.join(counts, ["site", "patient"])
     draws = R.areas(R.curve(weighted, by, "confidence", "error", "study", "n", R.UNIT), by)

@@ -30,6 +30,13 @@ def s3(spark, sf):
     return T.read_labels(spark, path, "doc_id", ["quality", "toxic"])
 
 
+@query("s4_read_reports", "select doc_id as study_id, text from documents where text is not null")
+def s4(spark, sf):
+    folder = scratch(spark, "reports")
+    T.write_reports(table(spark, sf, "documents"), folder, "doc_id", "text")
+    return T.read_reports(spark, folder).select("study_id", "text")
+
+
 @query("s6_write_aggregate", "select lang, count(*) as n from documents group by 1")
 def s6(spark, sf):
     path = scratch(spark, "aggregate")

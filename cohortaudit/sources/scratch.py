@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -17,3 +17,11 @@ def scratch(spark: SparkSession, name: str) -> str:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """df as a written table, so that it is computed once, and its number of rows."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    return back, back.count()

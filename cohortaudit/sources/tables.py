@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,6 +41,30 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     return named.withColumn("_n", F.row_number().over(Window.partitionBy("study_id").orderBy("name"))).where("_n = 1").select("study_id", "name", "text")
 
 
+def write_reports(rows: DataFrame, folder: str, key: str, text: str) -> int:
+    """S4 the other way: a file s<key>.txt for each row with a key and a text, in folders of keys; returns how many.
+
+    folder is an address that every executor can write to. A file that is written again
+    by a task that is run anew has the same content.
+    """
+
+    def write(batches):
+        from pyarrow import fs
+
+        for batch in batches:
+            store, root = fs.FileSystem.from_uri(folder)
+            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for part in sorted({k % 100 for k in keys}):
+                store.create_dir(f"{root}/p{part}", recursive=True)
+            for k, t in zip(keys, texts):
+                with store.open_output_stream(f"{root}/p{k % 100}/s{k}.txt") as f:
+                    f.write(t.encode())
+            yield pa.RecordBatch.from_pydict({"n": [len(keys)]}, schema=pa.schema([("n", pa.int64())]))
+
+    named = rows.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).where("key is not null and text is not null")
+    return named.mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Only some columns, which the scan of a Parquet file then reads alone."""
     return read_table(spark, path).select(*columns)
