@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows that become Python values at once, of a batch that Spark bounds by bytes.
+#: Rows that become Python values at once. Spark bounds batches by bytes too.
 BATCH_ROWS = 500
 
 
@@ -65,10 +65,23 @@ def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     if (made := _MADE.get()) is not None:
         made.append(path)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Let Spark hand out Arrow batches of BATCH_ROWS rows to what is run inside; the session's setting comes back after it."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[None]:
     """Remove, at the end, the scratch tables that operators write inside the block.

@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortaudit.llm.common import map_rows, project
+from cohortaudit.llm.common import map_rows, project, small_batches
 from cohortaudit.llm.tokens import encoder, vocabulary
 
 #: The dictionary's sample: documents, and of each as many first ids.
@@ -136,7 +136,9 @@ def write_store(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
         if held[0]:
             yield block()
 
-    map_rows(ranged, block_rows, "part int, block int, dictionary_sha256 string, doc_ids array<long>, offsets array<long>, starts array<long>, n_tokens array<long>, blob binary").write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
+    blocks = map_rows(ranged, block_rows, "part int, block int, dictionary_sha256 string, doc_ids array<long>, offsets array<long>, starts array<long>, n_tokens array<long>, blob binary")
+    with small_batches(spark):
+        blocks.write.option("compression", "uncompressed").parquet(f"{folder}/blocks")
 
 
 def _dictionary(spark: SparkSession, folder: str) -> tuple[str, bytes]:

@@ -567,7 +567,7 @@ def test_topk(spark, block):
     rows += [(i, rows[3][1]) for i in range(150, 180)]
     rows += [(200, None), (201, [1.0, None] + [0.0] * 7), (202, [float("nan")] * 9), (203, [float("inf")] * 9), (250, [1.0, 2.0]), (251, [2.0, 1.0]), (300, [])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
-    v = topk.quantize(table)
+    v = topk.quantize(table.withColumns({c: F.lit(1) for c in ("v", "x", "q", "row", "score", "rank", "block", "query_id")}))
     got = topk.top_k(v.where("vec_id % 50 = 0"), v, 5, block=block)
     assert sorted(map(tuple, got.collect())) == brute_topk(rows, 5, 50)
 
