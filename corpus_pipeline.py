@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cohortaudit.llm import decontaminate, langid, packing, secrets, simhash
-from cohortaudit.llm.common import discard, scratch_root, small_side, stage, temporary
+from cohortaudit.llm.common import discard, scratch_root, small_batches, small_side, stage, temporary
 
 #: The least share of a document's n-grams that its language must hold.
 MIN_LANGUAGE_SCORE = 0.3
@@ -102,7 +102,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, step in STAGES[:-1]:
         path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-        with temporary(spark):  # what the stage's operators wrote goes once its result is written
+        # what the stage's operators wrote goes once its result is written
+        with temporary(spark), small_batches(spark):
             step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.schema(docs.schema).parquet(path)
         if before:
