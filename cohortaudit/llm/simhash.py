@@ -250,7 +250,8 @@ def links(prints: DataFrame, radius: int = 2, words: int = 1, tile: int = TILE)
         large = shared.where(F.col("n") > tile)
         done = large.isEmpty()
         if not done:
-            first = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("hash"), "node", "fp")).alias("first"))
+            # a row for each bucket of over `tile` rows, which meets them where they lie
+            first = small_side(large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node").alias("hash"), "node", "fp")).alias("first")), "first")
             apart = F.aggregate(F.zip_with("fp", "first.fp", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
             met, path = stage(large.join(first, "bucket").select("bucket", "node", "fp", *divide, F.col("first.node").alias("first"), (apart > radius).alias("late")), "met")
             paths.append(path)
