@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortaudit.llm import conversations, decontaminate, langid, licenses, packing, secrets, simhash, spelling, token_store, topk, toxicity, urls
+from cohortaudit.llm import conversations, decontaminate, langid, licenses, packing, pii, secrets, simhash, spelling, token_store, topk, toxicity, urls
 from cohortaudit.llm.common import scratch_root
 
 
@@ -69,6 +69,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op11_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: the base kinds, and what the trees select."""
+    return pii.find_private(_table(spark, sf_dir, "documents"), pii.train(pii.labelled_spans(spark))).drop("found")
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all documents, their near words, forms and roots."""
     return spelling.group_variants(spelling.count_words(_table(spark, sf_dir, "documents"))).select("word", "form", "root", "n", "n_near", "form_n")
@@ -79,5 +84,5 @@ def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.damage(_table(spark, sf_dir, "conversations")), copies_col="copies")
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_url_filter, op3_token_store, op4_decontamination, op5_toxicity, op6_simhash, op7_licenses, op8_topk, op9_packing, op10_language, op12_spelling, op13_conversations)}
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_url_filter, op3_token_store, op4_decontamination, op5_toxicity, op6_simhash, op7_licenses, op8_topk, op9_packing, op10_language, op11_private, op12_spelling, op13_conversations)}
 ORACLE_SQL = {"op4_decontamination": decontaminate.ORACLE, "op8_topk": topk.ORACLE}
