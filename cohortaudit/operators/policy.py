@@ -12,8 +12,6 @@ from cohortaudit.operators.audit import DIGITS, count_if
 from cohortaudit.operators.prefix import quantiles, running_sums, with_totals
 
 GRID = 1000
-#: Edges of the parts in which probabilities are ordered.
-UNIT = [i / 32 for i in range(1, 32)]
 
 
 def _grid_bin(p: Column) -> Column:
@@ -48,7 +46,7 @@ def exact_thresholds(df: DataFrame, by: list[str], p: str = "p", y: str = "y") -
     hist = rows.groupBy(*by, F.col(p).alias("_t")).agg(F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"))
     ends = hist.select(*by).distinct().withColumn("_t", F.explode(F.array(F.lit(0.0), F.lit(math.nextafter(1.0, 2.0))))).withColumns({"pos": F.lit(0).cast("long"), "neg": F.lit(0).cast("long")})
     every = hist.unionByName(ends).groupBy(*by, "_t").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    run = running_sums(every, by, [("_t", True)], ["pos", "neg"], edges=UNIT)
+    run = running_sums(every, by, [("_t", True)], ["pos", "neg"])
     got = with_totals(run, every, by, {"all_pos": "pos", "all_neg": "neg"})
     score = (F.try_divide(F.col("cum_pos").cast("double"), F.col("all_pos")) + F.try_divide((F.col("all_neg") - F.col("cum_neg")).cast("double"), F.col("all_neg"))) / 2
     best = got.withColumn("_s", score).groupBy(*by).agg(F.max("_s").alias("balanced_accuracy"), F.min_by("_t", F.struct(-F.col("_s"), F.abs(F.col("_t") - 0.5), "_t")).alias("_b"))
@@ -65,7 +63,7 @@ def study_confidence(df: DataFrame, keys: list[str], mode: str = "min", p: str =
 
 def cutoffs(confidences: DataFrame, by: list[str], coverages: list[float]) -> DataFrame:
     """(by, coverage, cutoff): the linear-interpolated quantile of confidence at 1 - coverage."""
-    got = quantiles(confidences, by, "confidence", [1 - c for c in coverages], UNIT)
+    got = quantiles(confidences, by, "confidence", [1 - c for c in coverages])
     pairs = F.explode(F.arrays_zip(F.array(*map(F.lit, coverages)).alias("coverage"), F.col("q").alias("cutoff")))
     return got.select(*by, pairs.alias("c")).select(*by, "c.coverage", "c.cutoff")
 
@@ -74,7 +72,7 @@ def rank_cutoffs(confidences: DataFrame, by: list[str], coverage: float) -> Data
     """(by, cutoff): the confidence at rank ceil(coverage * n) from above."""
     # distinct values with counts, so the order is over values and not over studies
     counts = confidences.groupBy(*by, "confidence").agg(F.count("*").alias("n"))
-    run = with_totals(running_sums(counts, by, [("confidence", True)], ["n"], edges=UNIT), counts, by, {"total": "n"})
+    run = with_totals(running_sums(counts, by, [("confidence", True)], ["n"]), counts, by, {"total": "n"})
     return run.where(F.col("cum_n") >= F.ceil(F.col("total") * coverage)).groupBy(*by).agg(F.max("confidence").alias("cutoff"))
 
 
@@ -82,7 +80,7 @@ def conformal_quantile(df: DataFrame, by: list[str], alpha: float, p: str = "p",
     """(by, q): the k-th smallest 1 - p of the true class, k = ceil((n + 1)(1 - alpha)); 1 if k > n."""
     s = F.when(F.col(y) == 1, 1 - F.col(p)).otherwise(F.col(p))
     counts = df.where(F.col(y).isNotNull()).select(*by, s.alias("s")).groupBy(*by, "s").agg(F.count("*").alias("n"))
-    run = with_totals(running_sums(counts, by, [("s", False)], ["n"], edges=UNIT), counts, by, {"total": "n"})
+    run = with_totals(running_sums(counts, by, [("s", False)], ["n"]), counts, by, {"total": "n"})
     k = F.ceil((F.col("total") + 1) * F.lit(1 - alpha))
     return run.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("cum_n") >= k, F.col("s"))), F.lit(1.0)).alias("q"))
 
@@ -95,7 +93,7 @@ def conformal_search(cal: DataFrame, by: list[str], target: str, study: str, alp
     spark = cal.sparkSession
     s = F.when(F.col(y) == 1, 1 - F.col(p)).otherwise(F.col(p))
     counts = cal.where(F.col(y).isNotNull()).select(*by, target, s.alias("s")).groupBy(*by, target, "s").agg(F.count("*").alias("n"))
-    run = with_totals(running_sums(counts, [*by, target], [("s", False)], ["n"], edges=UNIT), counts, [*by, target], {"total": "n"})
+    run = with_totals(running_sums(counts, [*by, target], [("s", False)], ["n"]), counts, [*by, target], {"total": "n"})
     grid = F.broadcast(spark.createDataFrame([(a,) for a in alphas], "alpha double"))
     k = F.ceil((F.col("total") + 1) * (1 - F.col("alpha")))
     q = run.join(grid).groupBy(*by, target, "alpha").agg(F.coalesce(F.min(F.when(F.col("cum_n") >= k, F.col("s"))), F.lit(1.0)).alias("q"))

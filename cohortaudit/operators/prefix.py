@@ -8,38 +8,33 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from cohortaudit.sources.scratch import kept
 
-def _place(df: DataFrame, name: str) -> Column:
-    """A number that rises with the column's values: itself, or a string's first six bytes."""
-    if isinstance(df.schema[name].dataType, T.StringType):
-        return F.conv(F.rpad(F.substring(F.hex(F.col(name)), 1, 12), 12, "0"), 16, 10).cast("double")
-    return F.col(name).cast("double")
 
+def _sorted(order: list[tuple[str, bool]]) -> list[Column]:
+    return [F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in order]
 
-def _part(df: DataFrame, name: str, descending: bool, parts: int, edges: list[float] | None) -> Column:
-    """The part of a row by its first order column: a plain function of the value, so that every use of it agrees."""
-    v = _place(df, name)
-    found = edges if edges is not None else df.agg(F.percentile_approx(v, F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(10_000))).first()[0] if parts > 1 else None
-    edges = sorted(set(found or []))
-    # null is the smallest value
-    above = F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e <= v)) if edges else F.lit(0)
-    at = F.when(v.isNull(), -1).otherwise(above)
-    return -at if descending else at
 
+def ranged(df: DataFrame, by: list[str], order: list[tuple[str, bool]], parts: int) -> DataFrame:
+    """df with _part: ranges of (by, order) whose numbers rise with the order in every group. To be written before it is used."""
+    keys = [*(F.asc_nulls_first(b) for b in by), *_sorted(order)]
+    return df.repartitionByRange(parts, *keys).withColumn("_part", F.spark_partition_id())
 
-def running_sums(df: DataFrame, by: list[str], order: list[tuple[str, bool]], values: list[str], parts: int | None = None, edges: list[float] | None = None) -> DataFrame:
+
+def running_sums(df: DataFrame, by: list[str], order: list[tuple[str, bool]], values: list[str], parts: int | None = None) -> DataFrame:
     """df with cum_<value> for each value: its sum over the rows up to each one, in groups and in the order given.
 
     order is (column, descending), and is to be total in each group; nulls are smallest.
-    Rows are cut into parts by the first column's quantiles (found by a pass over df, or
-    given as edges where its range is known), summed inside each part, and the parts'
-    totals (one a part and group) are carried over.
+    Rows are dealt into parts by ranges of the whole key, groups and all order columns of
+    whatever type: Spark samples the key for splitters and finds a row's part by binary
+    search, so parts follow the rows whatever values they share. The parts are written,
+    so that a row keeps its part; inside them sums run by a window, and the parts' totals
+    (one a part and group that meet) are carried over.
     """
-    n = parts or min(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    laid = df.withColumn("_part", _part(df, *order[0], n, edges))
-    columns = [F.desc_nulls_last(c) if down else F.asc_nulls_first(c) for c, down in order]
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    laid, _ = kept(ranged(df, by, order, n), "laid")
+    columns = _sorted(order)
     inside = Window.partitionBy("_part", *by).orderBy(*columns).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     run = laid.withColumns({f"cum_{v}": F.sum(v).over(inside) for v in values})
     totals = laid.groupBy("_part", *by).agg(*(F.sum(v).alias(f"_t_{v}") for v in values))
@@ -48,7 +43,6 @@ def running_sums(df: DataFrame, by: list[str], order: list[tuple[str, bool]], va
     same = F.col("_part") == F.col("_k__part")
     for b in by:
         same &= F.col(b).eqNullSafe(F.col(f"_k_{b}"))
-    # a row for each part and group, which the number of parts bounds
     joined = run.join(carried, same)
     return joined.select(*df.columns, *((F.col(f"cum_{v}") + F.col(f"_b_{v}")).alias(f"cum_{v}") for v in values))
 
@@ -68,20 +62,20 @@ def with_totals(run: DataFrame, df: DataFrame, by: list[str], columns: dict[str,
     return run.join(totals.withColumnsRenamed({b: f"_g_{b}" for b in by}), same).drop(*(f"_g_{b}" for b in by))
 
 
-def values_at(df: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]], edges: list[float] | None = None) -> DataFrame:
+def values_at(df: DataFrame, by: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
     """(by, n, a column for each place): the values at the places, numbers from 0 in ascending order, given as functions of the group's count n.
 
     Rows are counted by value first; null values don't count.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
-    run = with_totals(running_sums(counts, by, [("_v", False)], ["_c"], edges=edges), counts, by, {"n": "_c"})
+    run = with_totals(running_sums(counts, by, [("_v", False)], ["_c"]), counts, by, {"n": "_c"})
     return run.groupBy(*by).agg(F.max("n").alias("n"), *(F.min(F.when(F.col("cum__c") > place(F.col("n")), F.col("_v"))).alias(name) for name, place in places.items()))
 
 
-def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float], edges: list[float] | None = None) -> DataFrame:
+def quantiles(df: DataFrame, by: list[str], value: str, shares: list[float]) -> DataFrame:
     """(by, q array<double>): exact quantiles, interpolated linearly between the two nearest values."""
     place = lambda s, n: F.lit(s) * (n - 1)
     places = {f"_{side}{i}": (lambda n, s=s, f=f: f(place(s, n))) for i, s in enumerate(shares) for side, f in (("a", F.floor), ("b", F.ceil))}
-    got = values_at(df, by, value, places, edges)
+    got = values_at(df, by, value, places)
     rest = lambda s: place(s, F.col("n")) - F.floor(place(s, F.col("n")))
     return got.select(*by, F.array(*((1 - rest(s)) * F.col(f"_a{i}") + rest(s) * F.col(f"_b{i}") for i, s in enumerate(shares))).alias("q"))

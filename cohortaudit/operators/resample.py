@@ -1,17 +1,21 @@
 """Patient-clustered bootstrap, intervals, p values, contrasts and verdicts.
 
-Draws come from a portable hash: replicate r's d-th draw of a site with n patients is
-patient h mod n, h being the (d mod 4)-th 32 bits of md5(seed:site:r:(d div 4)), so they are the same for every condition of a site,
-independent between sites, and the same on any cluster. Sums are taken by patient first;
-a replicate then only weighs them.
+Draws come from the count tree of draws.py, so they are the same for every condition of
+a site, independent between sites, and made where the patients lie. Sums are taken by
+patient first; a task weighs the sums of its patients for all replicates at once, and
+only the replicates' sums are shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortaudit.functions import values as V
+from cohortaudit.operators import draws as D
 from cohortaudit.operators.audit import DIGITS
 from cohortaudit.operators.prefix import positions
 from cohortaudit.sources.scratch import kept
@@ -27,43 +31,95 @@ SHORT = {
 }
 
 
-#: Rows of patients' sums that are sent to every task; more are joined by a shuffle.
-SMALL = 500_000
+#: Patients, a number of whole leaves, whose counts a task makes at once.
+CHUNK = 16 * D.LEAF
+
+
+def _indexed(patients: DataFrame, site: str, patient: str) -> tuple[DataFrame, dict]:
+    """(site, patient, _i): the patients of each site numbered from 0, and the sites' sizes."""
+    own, _ = kept(positions(patients.select(site, patient).distinct(), [site], [patient], "_i"), "patients")
+    # a row for each site
+    return own, {r[0]: r[1] for r in own.groupBy(site).agg(F.count("*")).collect()}
+
+
+def _dealt(df: DataFrame, site: str) -> DataFrame:
+    """df(site, _i, ...) with each chunk of a site's patients together, for mapInPandas."""
+    chunked = df.withColumn("_chunk", F.floor(F.col("_i") / CHUNK).cast("int"))
+    return chunked.repartition(site, "_chunk").sortWithinPartitions(site, "_chunk")
+
+
+def _chunks(batches, site: str) -> Iterator[tuple[object, int, pd.DataFrame]]:
+    """(site, chunk, rows) of a sorted partition; a chunk may lie in several batches."""
+    held, at = [], None
+    for batch in batches:
+        for key, rows in batch.groupby([site, "_chunk"], sort=False):
+            if key != at and held:
+                yield *at, pd.concat(held)
+                held = []
+            at = key
+            held.append(rows)
+    if held:
+        yield *at, pd.concat(held)
 
 
-def _indexed(patients: DataFrame, site: str, patient: str) -> DataFrame:
-    """(site, patient, _i): the patients of each site numbered from 0."""
-    return positions(patients.select(site, patient).distinct(), [site], [patient], "_i")
+def _drawn(seed: str, site, n: int, replicates: int, chunk: int) -> np.ndarray:
+    leaves = CHUNK // D.LEAF
+    return D.counts(D.site_base(seed, site), n, replicates, chunk * leaves, (chunk + 1) * leaves)
 
 
-def _draws(indexed: DataFrame, site: str, replicates: int, seed: str) -> DataFrame:
-    """(site, rep, _i): the patients' numbers that each replicate draws, as many as the site has patients."""
-    sizes = indexed.groupBy(site).agg(F.count("*").alias("_n"))  # a row for each site
-    # a small table of patients makes many draws, so it is dealt out first
-    dealt = indexed.where("_i % 4 = 0").repartition(int(indexed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    fours = dealt.join(F.broadcast(sizes), site).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    digest = F.md5(F.concat_ws(":", F.lit(seed), site, "rep", F.floor(F.col("_i") / 4)))
-    each = fours.select(site, "rep", "_n", digest.alias("_d"), F.explode(F.slice(F.array(*map(F.lit, range(4))), F.lit(1), F.least(F.lit(4), F.col("_n") - F.col("_i")).cast("int"))).alias("_j"))
-    return each.select(site, "rep", F.pmod(F.conv(F.substring("_d", 1 + 8 * F.col("_j"), F.lit(8)), 16, 10).cast("long"), F.col("_n")).alias("_i"))
+def _kind(df: DataFrame, *columns: str) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
 
 
 def patient_counts(patients: DataFrame, site: str, patient: str, replicates: int, seed: str) -> DataFrame:
     """B1: (site, patient, rep, n): how often each patient is drawn in each replicate, as many draws as the site has patients; undrawn ones have no row."""
-    own, _ = kept(_indexed(patients, site, patient), "patients")
-    counts = _draws(own, site, replicates, seed).groupBy(site, "rep", "_i").agg(F.count("*").alias("n"))
-    return counts.join(own, [site, "_i"]).select(site, patient, "rep", "n")
+    own, sizes = _indexed(patients, site, patient)
+
+    def run(batches):
+        for s, chunk, rows in _chunks(batches, site):
+            w = _drawn(seed, s, sizes[s], replicates, chunk)[:, rows["_i"].to_numpy() - chunk * CHUNK]
+            rep, i = np.nonzero(w)
+            yield pd.DataFrame({site: s, patient: rows[patient].to_numpy()[i], "rep": rep, "n": w[rep, i]})
+
+    return _dealt(own, site).mapInPandas(run, f"{_kind(own, site, patient)}, rep int, n long")
+
+
+def patient_weights(patients: DataFrame, site: str, patient: str, replicates: int, seed: str) -> DataFrame:
+    """B1: (site, patient, weights array<double>): how often a patient is drawn in each replicate."""
+    own, sizes = _indexed(patients, site, patient)
+
+    def run(batches):
+        for s, chunk, rows in _chunks(batches, site):
+            w = _drawn(seed, s, sizes[s], replicates, chunk)[:, rows["_i"].to_numpy() - chunk * CHUNK]
+            yield pd.DataFrame({site: s, patient: rows[patient].to_numpy(), "weights": list(w.T.astype(float))})
+
+    return _dealt(own, site).mapInPandas(run, f"{_kind(own, site, patient)}, weights array<double>")
 
 
 def replicate_sums(patient_sums: DataFrame, patients: DataFrame, site: str, patient: str, by: list[str], columns: list[str], replicates: int, seed: str) -> DataFrame:
     """(rep, site, by, columns): sums over the patients that each replicate draws, as patient_counts draws them.
 
-    One draw of a site serves all its groups. Sums of up to SMALL patients and groups
-    meet the draws where these are made, so that only the replicates' sums are shuffled.
+    One draw of a site serves all its groups. A chunk of patients is a matrix of counts
+    that weighs the chunk's sums; a task holds replicates x groups sums of its chunks.
     """
-    own, _ = kept(_indexed(patients, site, patient), "patients")
-    sums, n = kept(patient_sums.join(own, [site, patient]).select(site, "_i", *by, *columns), "sums")
-    joined = _draws(own, site, replicates, seed).join(F.broadcast(sums) if n <= SMALL else sums, [site, "_i"])
-    return joined.groupBy("rep", site, *by).agg(*(F.sum(c).alias(c) for c in columns))
+    own, sizes = _indexed(patients, site, patient)
+    sums = patient_sums.join(own, [site, patient]).select(site, "_i", *by, *(F.col(c).cast("double").alias(c) for c in columns))
+
+    def run(batches):
+        held: dict[tuple, np.ndarray] = {}
+        for s, chunk, rows in _chunks(batches, site):
+            w = _drawn(seed, s, sizes[s], replicates, chunk).astype(float)
+            at, x = rows["_i"].to_numpy() - chunk * CHUNK, rows[columns].to_numpy(float)
+            groups = rows.groupby(by, sort=False, dropna=False).indices if by else {(): np.arange(len(rows))}
+            for g, own_rows in groups.items():
+                key = (s, *(g if isinstance(g, tuple) else (g,)))
+                made = w[:, at[own_rows]] @ x[own_rows]
+                held[key] = held[key] + made if key in held else made
+        for key, made in held.items():
+            yield pd.DataFrame({"rep": np.arange(replicates), **dict(zip([site, *by], key)), **{c: made[:, k] for k, c in enumerate(columns)}})
+
+    ddl = f"rep int, {_kind(sums, site, *by)}, " + ", ".join(f"`{c}` double" for c in columns)
+    return _dealt(sums, site).mapInPandas(run, ddl).groupBy("rep", site, *by).agg(*(F.sum(c).alias(c) for c in columns))
 
 
 def percentile_interval(replicates: DataFrame, by: list[str], value: str, level: float = 0.95, strict: bool = True) -> DataFrame:

@@ -3,6 +3,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from cohortaudit.operators import contracts as D
 from cohortaudit.operators import interventions as I
 from cohortaudit.operators import joins as J
 from cohortaudit.operators import policy as K
+from cohortaudit.operators import draws
 from cohortaudit.operators import prefix
 from cohortaudit.operators import resample as B
 from cohortaudit.operators import risk as R
@@ -173,6 +175,53 @@ def test_running_sums_over_parts(spark):
                 assert abs(got[d[2]] - total) < 1e-9
 
 
+@pytest.mark.parametrize("rows", [[("g", f"patient-with-a-long-name-{i:06d}", 0.5) for i in range(8000)], [("g", f"k{i:06d}", 0.5 if i % 10 else i / 8000) for i in range(8000)]])
+def test_parts_follow_the_rows(spark, rows):
+    """One long common prefix, and nine of ten first values the same: the largest part stays near the mean."""
+    df = spark.createDataFrame(rows, "g string, k string, v double")
+    laid = prefix.ranged(df, ["g"], [("v", True), ("k", False)], 8)
+    sizes = [r["count"] for r in laid.groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.5 * 1000
+    got = {r.k: r.cum_one for r in prefix.running_sums(df.withColumn("one", F.lit(1)), ["g"], [("v", True), ("k", False)], ["one"], 8).collect()}
+    assert got == {k: i + 1 for i, (_, k, _) in enumerate(sorted(rows, key=lambda r: (-r[2], r[1])))}
+
+
+# draws -------------------------------------------------------------------------------
+def test_hashed_binomials_are_quantiles():
+    rng = np.random.default_rng(1)
+    for c, p in ((0, 0.5), (1, 0.5), (7, 4 / 7), (40, 0.5), (300, 0.49)):
+        u = rng.random(300)
+        pmf = [math.comb(c, j) * p**j * (1 - p) ** (c - j) for j in range(c + 1)]
+        want = [int(np.searchsorted(np.cumsum(pmf), x, "right")) for x in u]
+        assert draws.binomials(np.full(300, c), p, u).tolist() == want
+
+
+def test_counts_are_multinomial():
+    """They add up to n, don't depend on who asks, and have the moments and the cells of n draws with replacement."""
+    n, reps = 200, 4000
+    w = draws.counts(12345, n, reps, 0, 4)
+    assert w.shape == (reps, n) and (w.sum(axis=1) == n).all()
+    assert (draws.counts(12345, n, reps, 2, 3) == w[:, 128:192]).all()
+    chi = ((w.sum(axis=0) - reps) ** 2 / reps).sum()
+    assert 130 < chi < 290  # 199 degrees of freedom
+    want = [math.comb(n, j) * (1 / n) ** j * (1 - 1 / n) ** (n - j) for j in range(6)]
+    seen = [(w == j).mean() for j in range(6)]
+    assert max(abs(a - b) for a, b in zip(seen, want)) < 0.003
+    pairs = np.cov(w.T)
+    assert abs(np.diag(pairs).mean() - (1 - 1 / n)) < 0.01
+    apart = [pairs[0, 1], pairs[0, 70], pairs[63, 64], pairs[100, 199]]
+    assert max(abs(x) for x in apart) < 0.08
+    far = draws.counts(99, 1_000_000, 3, 7000, 7002)
+    assert far.shape == (3, 128) and 60 < far.sum(axis=1).mean() < 200
+
+
+def test_replicates_need_no_draw_rows(spark):
+    """The plan sends replicates' sums through one exchange after the counts, and no rows of draws."""
+    df = spark.range(5000).selectExpr("if(id % 2 = 0, 's', 'e') site", "id patient", "cast(id as double) x")
+    plan = B.replicate_sums(df, df, "site", "patient", [], ["x"], 50, "seed")._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "explode" not in plan and plan.count("MapInPandas") == 1
+
+
 # policies ----------------------------------------------------------------------------
 def brute_grid(p, y):
     best = None
