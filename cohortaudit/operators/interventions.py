@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortaudit.functions import values as V
 from cohortaudit.operators.audit import DIGITS, count_if
 from cohortaudit.operators.prefix import positions
+from cohortaudit.sources.scratch import kept
 
 # Fixed value: what stands for a removed context.
 NO_CONTEXT = "[NO_CONTEXT]"
@@ -56,8 +60,27 @@ def swapped(df: DataFrame, strata: list[str], patient: str, tie: str, context: s
     target = placed.withColumn("_d", donor)
     giver = placed.select(*strata, F.col("_k").alias("_d"), F.col(patient).alias(f"donor_{patient}"), F.col(tie).alias(f"donor_{tie}"), F.col(context).alias("_given"))
     got = target.join(giver, [*strata, "_d"]).withColumn(context, F.col("_given")).select(*df.columns, f"donor_{patient}", f"donor_{tie}")
-    kept = df.where(~whole).select("*", F.col(patient).alias(f"donor_{patient}"), F.col(tie).alias(f"donor_{tie}"))
-    return got.unionByName(kept)
+    alone_rows = df.where(~whole).select("*", F.col(patient).alias(f"donor_{patient}"), F.col(tie).alias(f"donor_{tie}"))
+    return got.unionByName(alone_rows)
+
+
+def swaps(df: DataFrame, strata: list[str], patient: str, tie: str, seeds: list[str]) -> DataFrame:
+    """(seed, tie, donor): the donors of swapped() under several seeds.
+
+    Rows are placed once for all seeds; a seed is an offset in each stratum, and only
+    keys are permuted: texts and predictions join by donor where they are needed. Rows
+    with a null in the strata are their own donors.
+    """
+    whole = reduce(and_, (F.col(s).isNotNull() for s in strata))
+    placed, _ = kept(_blocks(df.where(whole).select(*strata, patient, tie), strata, patient, tie), "placed")
+    seeded = placed.withColumn("seed", F.explode(F.array(*map(F.lit, seeds))))
+    start = F.pmod(F.col("_k") + 1 + F.pmod(V.portable_hash("seed", *strata), F.greatest(F.col("_n") - 1, F.lit(1))), F.col("_n"))
+    start = F.when(F.col("_n") == 1, F.col("_k")).otherwise(start)
+    stays = (F.col("_m") == F.col("_n")) | ~start.between(F.col("_b"), F.col("_e"))
+    target = seeded.withColumn("_d", F.when(stays, start).otherwise(F.pmod(F.col("_e") + 1, F.col("_n"))))
+    giver = placed.select(*strata, F.col("_k").alias("_d"), F.col(tie).alias("donor"))
+    own = df.where(~whole).select(F.explode(F.array(*map(F.lit, seeds))).alias("seed"), tie, F.col(tie).alias("donor"))
+    return target.join(giver, [*strata, "_d"]).select("seed", tie, "donor").unionByName(own)
 
 
 def swapped_by_one_offset(df: DataFrame, strata: list[str], patient: str, tie: str, context: str, seed: str) -> DataFrame:

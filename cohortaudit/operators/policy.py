@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortaudit.functions import values as V
 from cohortaudit.operators.audit import DIGITS, count_if
 from cohortaudit.operators.prefix import quantiles, running_sums, with_totals
+from cohortaudit.sources.scratch import kept
 
 GRID = 1000
 
@@ -21,25 +22,35 @@ def _grid_bin(p: Column) -> Column:
     return F.least(F.when(up / F.lit(float(GRID)) > p, up - 1).otherwise(up), F.lit(GRID - 1))
 
 
-def grid_thresholds(df: DataFrame, by: list[str], p: str = "p", y: str = "y", weight: str | None = None) -> DataFrame:
-    """(by, threshold, balanced_accuracy): the first grid threshold of the highest balanced accuracy.
-
-    Only rows with a label count. With one class the threshold is 0.5 and the accuracy
-    null. Rows are counted in 1,000 bins; the grid meets only the counts.
-    """
+def grid_histogram(df: DataFrame, by: list[str], p: str = "p", y: str = "y", weight: str | None = None) -> DataFrame:
+    """(by, bin, pos, neg): labelled rows counted in 1,000 bins of p."""
     w = F.col(weight) if weight else F.lit(1)
     rows = df.where(F.col(y).isNotNull()).select(*by, _grid_bin(F.col(p)).alias("bin"), (w * F.when(F.col(y) == 1, 1).otherwise(0)).alias("pos"), (w * F.when(F.col(y) == 1, 0).otherwise(1)).alias("neg"))
-    hist = rows.groupBy(*by, "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    return rows.groupBy(*by, "bin").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def best_on_grid(hist: DataFrame, by: list[str]) -> DataFrame:
+    """(by, threshold, balanced_accuracy) of histograms: the grid meets only the counts."""
     totals = hist.groupBy(*by).agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     grid = totals.withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(GRID - 1))))
     full = grid.join(hist, [*by, "bin"], "left")
     above = Window.partitionBy(*by).orderBy(F.desc("bin"))  # 999 rows a group
     got = full.withColumns({"tp": F.sum(F.coalesce("pos", F.lit(0))).over(above), "fp": F.sum(F.coalesce("neg", F.lit(0))).over(above)})
-    score = (F.try_divide(F.col("tp").cast("double"), F.col("all_pos")) + F.try_divide((F.col("all_neg") - F.col("fp")).cast("double"), F.col("all_neg"))) / 2
+    part = lambda a, n: F.when(F.col(n) > 0, F.try_divide(a.cast("double"), F.col(n)))
+    score = (part(F.col("tp"), "all_pos") + part(F.col("all_neg") - F.col("fp"), "all_neg")) / 2
     best = got.withColumn("s", score).groupBy(*by).agg(F.max("s").alias("balanced_accuracy"), F.min_by("bin", F.struct(-F.col("s"), "bin")).alias("bin"))
     return best.select(*by, F.when(F.col("balanced_accuracy").isNull(), 0.5).otherwise(F.col("bin") / F.lit(float(GRID))).alias("threshold"), F.round("balanced_accuracy", DIGITS).alias("balanced_accuracy"))
 
 
+def grid_thresholds(df: DataFrame, by: list[str], p: str = "p", y: str = "y", weight: str | None = None) -> DataFrame:
+    """(by, threshold, balanced_accuracy): the first grid threshold of the highest balanced accuracy.
+
+    Only rows with a label count. With one class the threshold is 0.5 and the accuracy
+    null. Rows are counted in 1,000 bins; the grid meets only the counts.
+    """
+    return best_on_grid(grid_histogram(df, by, p, y, weight), by)
+
+
 def exact_thresholds(df: DataFrame, by: list[str], p: str = "p", y: str = "y") -> DataFrame:
     """K2: as K1 over the candidates 0, every value of p, and one above 1; ties go to the nearest to 0.5, then the smaller."""
     rows = df.where(F.col(y).isNotNull())
@@ -85,25 +96,36 @@ def conformal_quantile(df: DataFrame, by: list[str], alpha: float, p: str = "p",
     return run.groupBy(*by).agg(F.coalesce(F.min(F.when(F.col("cum_n") >= k, F.col("s"))), F.lit(1.0)).alias("q"))
 
 
-def conformal_search(cal: DataFrame, by: list[str], target: str, study: str, alphas: list[float], coverage: float = 0.8, p: str = "p", y: str = "y") -> DataFrame:
-    """K8: (by, alpha, acceptance): the alpha whose share of studies with a single label in every target is nearest to coverage; ties to the smaller.
+def conformal_fit(cal: DataFrame, by: list[str], target: str, study: str, alphas: list[float], coverage: float = 0.8, p: str = "p", y: str = "y") -> DataFrame:
+    """K8: (by, target, alpha, acceptance, q): the alpha of conformal_search() and each target's quantile at it.
 
-    Every alpha's quantiles come from one pass over counted scores.
+    A counted score answers the alphas whose rank falls on it, so no row is copied for
+    an alpha that it doesn't answer.
     """
-    spark = cal.sparkSession
     s = F.when(F.col(y) == 1, 1 - F.col(p)).otherwise(F.col(p))
     counts = cal.where(F.col(y).isNotNull()).select(*by, target, s.alias("s")).groupBy(*by, target, "s").agg(F.count("*").alias("n"))
     run = with_totals(running_sums(counts, [*by, target], [("s", False)], ["n"]), counts, [*by, target], {"total": "n"})
-    grid = F.broadcast(spark.createDataFrame([(a,) for a in alphas], "alpha double"))
-    k = F.ceil((F.col("total") + 1) * (1 - F.col("alpha")))
-    q = run.join(grid).groupBy(*by, target, "alpha").agg(F.coalesce(F.min(F.when(F.col("cum_n") >= k, F.col("s"))), F.lit(1.0)).alias("q"))
+    grid = F.array(*map(F.lit, alphas))
+    rank = lambda a: F.ceil((F.col("total") + 1) * (1 - a))
+    answered = run.select(*by, target, "s", F.explode(F.filter(grid, lambda a: (rank(a) > F.col("cum_n") - F.col("n")) & (rank(a) <= F.col("cum_n")))).alias("alpha"))
+    every = counts.select(*by, target).distinct().withColumn("alpha", F.explode(grid))
+    q, _ = kept(every.join(answered, [*by, target, "alpha"], "left").select(*by, target, "alpha", F.coalesce("s", F.lit(1.0)).alias("q")), "quantiles")
     # a few quantiles for each target and alpha meet that target's cells
-    cells = cal.select(*by, target, study, p).join(F.broadcast(q), [*by, target])
-    single = ((1 - F.col(p)) <= F.col("q")) != (F.col(p) <= F.col("q"))
-    studies = cells.groupBy(*by, "alpha", study).agg(F.bool_and(single).alias("ok"))
-    rate = studies.groupBy(*by, "alpha").agg(F.avg(F.when(F.col("ok"), 1.0).otherwise(0.0)).alias("acceptance"))
+    cells = cal.select(*by, target, study, p).join(F.broadcast(q.groupBy(*by, target).agg(F.array_sort(F.collect_list(F.struct("alpha", "q"))).alias("_q"))), [*by, target])
+    single = F.transform("_q", lambda x: F.when(((1 - F.col(p)) <= x["q"]) != (F.col(p) <= x["q"]), 1).otherwise(0))
+    least = cells.select(*by, study, F.posexplode(single).alias("_k", "_one")).groupBy(*by, "_k", study).agg(F.min("_one").alias("_one"))
+    rate = least.groupBy(*by, "_k").agg(F.avg(F.col("_one").cast("double")).alias("acceptance")).withColumn("alpha", F.element_at(F.array_sort(grid), F.col("_k") + 1))
     best = F.min_by(F.struct("alpha", "acceptance"), F.struct(F.round(F.abs(F.col("acceptance") - coverage), 9), "alpha"))
-    return rate.groupBy(*by).agg(best.alias("b")).select(*by, "b.alpha", F.round("b.acceptance", DIGITS).alias("acceptance"))
+    chosen = rate.groupBy(*by).agg(best.alias("b")).select(*by, "b.alpha", F.round("b.acceptance", DIGITS).alias("acceptance"))
+    return q.join(F.broadcast(chosen), [*by, "alpha"]).select(*by, target, "alpha", "acceptance", "q")
+
+
+def conformal_search(cal: DataFrame, by: list[str], target: str, study: str, alphas: list[float], coverage: float = 0.8, p: str = "p", y: str = "y") -> DataFrame:
+    """K8: (by, alpha, acceptance): the alpha whose share of studies with a single label in every target is nearest to coverage; ties to the smaller.
+
+    Every alpha's quantiles come from one pass over counted scores.
+    """
+    return conformal_fit(cal, by, target, study, alphas, coverage, p, y).select(*by, "alpha", "acceptance").distinct()
 
 
 #: Newton's steps at most, and the step at which a fit counts as done.
@@ -172,6 +194,44 @@ def policies(cells: DataFrame, model: str, study: str, target: str, thresholds:
     return rows.select(model, study, target, F.explode(every).alias("x")).select("x.policy", model, study, target, "x.decision", "x.accepted", "x.score")
 
 
+def fit_policies(cal: DataFrame, model: str, study: str, target: str, alphas: list[float], coverage: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """K9: (cells, cuts): what the five policies need, fitted on calibration rows: threshold, cold, a, b, q by model and target; plain, chill, loss by model."""
+    by = [model, target]
+    thresholds, fits = grid_thresholds(cal, by).select(*by, "threshold"), fit_scaling(cal, by, True)
+    cold = fit_scaling(cal, by, False).select(*by, F.col("a").alias("cold"))
+    q = conformal_fit(cal, [model], target, study, alphas, coverage).select(*by, "q")
+    cells, _ = kept(thresholds.join(cold, by).join(fits, by).join(q, by), "fits")
+    scores = _scored(cal, [model, study], model, target, cells).select(model, study, "c", "ct", "el").distinct()
+    cut = lambda c, name: cutoffs(scores.select(model, study, F.col(c).alias("confidence")), [model], [coverage]).select(model, F.col("cutoff").alias(name))
+    cuts, _ = kept(cut("c", "plain").join(cut("ct", "chill"), model).join(cut("el", "loss"), model), "cuts")
+    return cells, cuts
+
+
+def _scored(rows: DataFrame, keys: list[str], model: str, target: str, fits: DataFrame, p: str = "p") -> DataFrame:
+    """rows with each cell's decisions and each study's scores; keys name a study."""
+    of_study = Window.partitionBy(*keys)
+    known = rows.join(F.broadcast(fits), [model, target])
+    sigmoid = lambda z: 1 / (1 + F.exp(-z))
+    chance, d = sigmoid(F.col("a") * V.logit(p) + F.col("b")), F.col(p) >= F.col("threshold")
+    has1, has0 = (1 - F.col(p)) <= F.col("q"), F.col(p) <= F.col("q")
+    # rounded, so that a study at a cutoff is on the same side of it on every machine
+    least = lambda c: F.round(F.min(c).over(of_study), 12)
+    return known.withColumns({
+        "d": d, "h1": has1, "c": F.min(V.confidence(p)).over(of_study), "ct": least(F.abs(2 * sigmoid(F.col("cold") * V.logit(p)) - 1)),
+        "el": F.round(-F.avg(F.when(d, 1 - chance).otherwise(chance)).over(of_study), 12), "single": F.min(F.when(has1 != has0, 1).otherwise(0)).over(of_study) == 1,
+        "cs": least(F.abs(F.col(p) - 0.5) - F.abs(F.col("q") - 0.5)),
+    })
+
+
+def apply_policies(rows: DataFrame, keys: list[str], model: str, target: str, fits: tuple[DataFrame, DataFrame], p: str = "p") -> DataFrame:
+    """Rows once for each of the five policies, with policy, decision, accepted and score; keys name a study."""
+    cells, cuts = fits
+    scored = _scored(rows, keys, model, target, cells, p).join(F.broadcast(cuts), model)
+    kinds = [("frozen", "d", F.col("c") >= F.col("plain"), "c"), ("temp_margin", "d", F.col("ct") >= F.col("chill"), "ct"), ("expected_loss", "d", F.col("el") >= F.col("loss"), "el"), ("conformal", "h1", F.col("single"), "cs"), ("conformal_frozen", "d", F.col("single"), "cs")]
+    every = F.array(*(F.struct(F.lit(n).alias("policy"), F.col(d).alias("decision"), a.alias("accepted"), F.col(s).alias("score")) for n, d, a, s in kinds))
+    return scored.select(*rows.columns, F.explode(every).alias("_x")).select(*rows.columns, "_x.*")
+
+
 def replay_check(fitted: DataFrame, stored: DataFrame, by: list[str], column: str, within: float) -> DataFrame:
     """One row: settings compared, missing on either side, the largest difference, and whether all is within."""
     both = fitted.select(*by, F.col(column).alias("x")).join(stored.select(*by, F.col(column).alias("z")), by, "full_outer")
@@ -180,8 +240,18 @@ def replay_check(fitted: DataFrame, stored: DataFrame, by: list[str], column: st
     return both.agg(F.count("*").alias("compared"), lost.alias("missing"), F.round(F.max(d), 9).alias("difference"), ((lost == 0) & (F.max(d) <= within)).alias("same"))
 
 
-def calibration_uncertainty(replicates: DataFrame, by: list[str], value: str) -> DataFrame:
-    """Mean, sd (n - 1) and 2.5 % and 97.5 % quantiles of a gap over refits, by group."""
-    q = F.percentile(value, F.array(F.lit(0.025), F.lit(0.975)))
-    got = replicates.groupBy(*by).agg(F.round(F.avg(value), DIGITS).alias("mean"), F.round(F.stddev_samp(value), DIGITS).alias("sd"), q.alias("q"))
-    return got.select(*by, "mean", "sd", F.round(F.col("q")[0], DIGITS).alias("low"), F.round(F.col("q")[1], DIGITS).alias("high"))
+def calibration_uncertainty(gaps: DataFrame, points: DataFrame, settings: DataFrame, by: list[str], model: str) -> DataFrame:
+    """(model, by, replicates, point, mean, sd, low, high, cutoff_sd, threshold_sd_<target>): how gaps move when policies are refitted.
+
+    gaps(rep, model, by, value) are those under each replicate's policy, points(model, by,
+    value) under the frozen one; settings(rep, model, setting, value) are the refitted
+    `cutoff` and thresholds. sds divide by n - 1.
+    """
+    r, keys = lambda c: F.round(c, DIGITS), [model, *by]
+    q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.975)))
+    moved = gaps.groupBy(*keys).agg(F.count("value").alias("replicates"), r(F.avg("value")).alias("mean"), r(F.stddev_samp("value")).alias("sd"), q.alias("q"))
+    spread = settings.groupBy(model, "setting").agg(r(F.stddev_samp("value")).alias("sd"))
+    names = sorted(x.setting for x in spread.select("setting").distinct().collect())  # cutoff and targets
+    wide = spread.groupBy(model).agg(*(F.max(F.when(F.col("setting") == n, F.col("sd"))).alias("cutoff_sd" if n == "cutoff" else f"threshold_sd_{n}") for n in names))
+    frozen = points.select(*keys, r(F.col("value")).alias("point"))
+    return moved.join(frozen, keys).join(wide, model).select(*keys, "replicates", "point", "mean", "sd", r(F.col("q")[0]).alias("low"), r(F.col("q")[1]).alias("high"), *(c for c in wide.columns if c != model))

@@ -231,12 +231,12 @@ def label_agreement(a: DataFrame, b: DataFrame, keys: list[str], target: str, y:
     return both.groupBy(target).agg(count_if(n).alias("both"), ratio(count_if(F.col("x") == F.col("z")), count_if(n)).alias("agreement"), count_if((F.col("x") == 1) & (F.col("z") == 0)).alias("pos_neg"), count_if((F.col("x") == 0) & (F.col("z") == 1)).alias("neg_pos"), count_if(F.col("x").isNotNull() & F.col("z").isNull()).alias("only_a"), count_if(F.col("x").isNull() & F.col("z").isNotNull()).alias("only_b"))
 
 
-def decision_identity(a: DataFrame, b: DataFrame, keys: list[str], study: list[str]) -> DataFrame:
-    """One row: the largest difference of probabilities, changed decisions, studies whose acceptance changed. Inputs have p, decision, accepted."""
+def decision_identity(a: DataFrame, b: DataFrame, keys: list[str], study: list[str], by: list[str] | None = None) -> DataFrame:
+    """(by): the largest difference of probabilities, changed decisions, studies whose acceptance changed. Inputs have p, decision, accepted; keys and study hold by."""
+    by = by or []
     both = a.select(*keys, F.struct("p", "decision", "accepted").alias("x")).join(b.select(*keys, F.struct("p", "decision", "accepted").alias("z")), keys)
-    cells = both.agg(F.round(F.max(F.abs(F.col("x.p") - F.col("z.p"))), DIGITS).alias("difference"), count_if(F.col("x.decision") != F.col("z.decision")).alias("decisions"))
-    per = both.groupBy(*study).agg(F.bool_or(F.col("x.accepted") != F.col("z.accepted")).alias("c")).agg(count_if(F.col("c")).alias("acceptances"))
-    return cells.join(F.broadcast(per))
+    per = both.groupBy(*study).agg(F.max(F.abs(F.col("x.p") - F.col("z.p"))).alias("d"), F.count_if(F.col("x.decision") != F.col("z.decision")).alias("n"), F.bool_or(F.col("x.accepted") != F.col("z.accepted")).alias("c"))
+    return per.groupBy(*by).agg(F.round(F.max("d"), DIGITS).alias("difference"), F.coalesce(F.sum("n"), F.lit(0)).alias("decisions"), count_if(F.col("c")).alias("acceptances"))
 
 
 def category_positive_share(cells: DataFrame, target: str, raw: str, reference: str) -> DataFrame:

@@ -9,7 +9,7 @@ from cohortaudit.functions import values as V
 from cohortaudit.operators import audit as A
 from cohortaudit.operators.prefix import quantiles
 from cohortaudit.plans.inputs import IMAGES, LABELLED, LABELLED_LONG, LEXICON, STUDIES, images, labelled, sql_hash, studies, table
-from cohortaudit.plans.registry import query
+from cohortaudit.plans.book import query
 
 GENERIC = ["of the", "that"]
 NORM = "trim(regexp_replace(regexp_replace(lower(coalesce({0}, '')), '_+', ' ', 'g'), '\\s+', ' ', 'g'))"

@@ -11,7 +11,7 @@ from cohortaudit.operators import contracts as D
 from cohortaudit.operators import sections as S
 from cohortaudit.plans.audit_queries import EFFECTIVE
 from cohortaudit.plans.inputs import IMAGES, PREDICTIONS, STUDIES, images, predictions, reports, sql_hash, studies, table
-from cohortaudit.plans.registry import query
+from cohortaudit.plans.book import query
 from cohortaudit.plans.section_queries import PARSED
 
 

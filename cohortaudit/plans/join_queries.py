@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cohortaudit.operators import joins as J
 from cohortaudit.plans.inputs import IMAGES, LABELLED, STUDIES, images, labelled, studies, table
-from cohortaudit.plans.registry import query
+from cohortaudit.plans.book import query
 from cohortaudit.sources import tables as T
 
 

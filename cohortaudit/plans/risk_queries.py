@@ -14,7 +14,7 @@ from cohortaudit.operators.audit import count_if
 from cohortaudit.operators.contracts import require, require_source
 from cohortaudit.plans.draws_sql import counts_cte
 from cohortaudit.plans.inputs import MODELS, PREDICTIONS, STUDIES, TARGETS, predictions, sql_hash, sql_unit, studies, table
-from cohortaudit.plans.registry import query
+from cohortaudit.plans.book import query
 
 T = list(TARGETS)
 CONDITIONS = ("C0", "C1", "C2")
@@ -383,12 +383,6 @@ def a41(spark, sf):
     return R.study_label_summary(rows, ["split"], "study").join(audit, "split").select("split", "evaluable", "density", "positive_rate")
 
 
-@query("a42_decision_identity", f"with {CELLS}, c as (select a.study, a.site, abs(a.p - b.p) as d, a.decision <> b.decision as x, (a.confidence >= a.cutoff) <> (b.confidence >= b.cutoff) as z from cells a join cells b on a.model = 'm1' and b.model = 'm1' and a.study = b.study and a.target = b.target and a.condition = 'C0' and b.condition = 'C1') select round(max(d), 6) as difference, count(*) filter (x) as decisions, count(distinct case when z then study end) as acceptances from c")
-def a42(spark, sf):
-    rows = _cells(spark, sf).where("model = 'm1'")
-    return R.decision_identity(rows.where("condition = 'C0'"), rows.where("condition = 'C1'"), ["study", "target"], ["study"])
-
-
 @query("a46_category_share", f"with {PREDICTIONS} select target, case raw when 1 then 'pos' when 0 then 'neg' when -1 then 'unc' else 'unm' end as category, count(*) as cells, round(avg((p < 0.5)::int), 6) as expert_positive from predictions where model = 'm1' group by 1, 2")
 def a46(spark, sf):
     rows = predictions(spark, sf).where("model = 'm1'").withColumn("expert", F.when(F.col("p") < 0.5, 1).otherwise(0))
@@ -476,11 +470,6 @@ def w6(spark, sf):
     return R.auroc(predictions(spark, sf), ["site", "model", "target"], "p", F.col("y") == 1)
 
 
-@query("r11_failure_detection", f"with {C0}, {_auc('site, model', '-confidence', 'error > 0', 'c0')} select site, model, n_pos, n_neg, auroc from auc")
-def r11(spark, sf):
-    return R.auroc(_c0(spark, sf).withColumn("s", -F.col("confidence")), ["site", "model"], "s", F.col("error") > 0)
-
-
 @query("r12_macro_auroc", f"with {PREDICTIONS}, {_auc('site, model, target', 'p', 'y = 1', 'predictions')} select site, model, round(avg(auroc), 6) as macro from auc group by 1, 2")
 def r12(spark, sf):
     return R.macro(R.auroc(predictions(spark, sf), ["site", "model", "target"], "p", F.col("y") == 1), ["site", "model"], "auroc")
@@ -542,26 +531,11 @@ def r21(spark, sf):
     return R.coverage_drift(_levels(spark, sf), ["model", "condition"], "site", "coverage", "source", "external")
 
 
-@query("r23_expert_reference", f"with {CELLS}, e as (select study, target, max((p < 0.4)::int) as expert from predictions where model = 'm1' group by 1, 2), x as (select model, study, avg((decision::int <> expert)::int) as error, confidence >= any_value(cutoff) as accepted from cells join e using (study, target) where condition = 'C0' group by model, study, confidence) select model, {_SEL} from x group by 1")
-def r23(spark, sf):
-    rows = predictions(spark, sf).where("model = 'm1'").select(F.concat_ws("|", "study", "target").alias("k"), F.when(F.col("p") < 0.4, 1).otherwise(0).alias("expert"))
-    expert = J.expert_reference(rows, "k", ["expert"])
-    cells = _cells(spark, sf).where("condition = 'C0'").withColumn("k", F.concat_ws("|", "study", "target")).join(expert, "k").withColumn("y", F.col("expert").cast("double"))
-    return R.selective_risk(R.study_error(R.study_terms(cells, KEYS, T)), ["model"], "error", F.col("accepted"))
-
-
 @query("r25_masked_loss", f"with {PREDICTIONS}, q as (select site, model, target, least(greatest(p, 1e-6), 1 - 1e-6) as q, y from predictions) select site, model, target, round(coalesce(sum(-(y * ln(q) + (1 - y) * ln(1 - q))), 0) / greatest(count(y), 1), 6) as loss from q group by 1, 2, 3")
 def r25(spark, sf):
     return R.masked_loss(predictions(spark, sf), ["site", "model", "target"])
 
 
-@query("r27_condition_row", f"with {PASSES}, {_auc('site, condition, target', 'p', 'y = 1', 'passes')}, b as (select site, condition, target, round(avg((p - y) ** 2), 6) as brier from passes group by 1, 2, 3) select site, condition, target, auroc, brier from auc join b using (site, condition, target)")
-def r27(spark, sf):
-    rows = _passes(spark, sf)
-    by = ["site", "condition", "target"]
-    return R.auroc(rows, by, "p", F.col("y") == 1).select(*by, "auroc").join(R.brier(rows, by), by)
-
-
 @query("w8_run_segments", "with e as (select user_id, event_type, event_id, ts, event_id % 13 as epoch, value from events), n as (select *, case when epoch > lag(epoch) over (partition by user_id order by ts, event_id) then 0 else 1 end as new from e), r as (select *, sum(new) over (partition by user_id order by ts, event_id rows unbounded preceding) as run from n) select user_id, run::bigint as run, count(*) as epochs, max_by(epoch, {'v': value, 'e': -epoch}) as best_epoch, max(value) as best from r group by 1, 2")
 def w8(spark, sf):
     log = table(spark, sf, "events").withColumn("epoch", F.col("event_id") % 13)
@@ -704,49 +678,9 @@ def b11(spark, sf):
     return B.contrast_family(_replicates(spark, sf, again), _levels(spark, sf, again), [], "evaluable_study", reference="m1")
 
 
-@query("r16_threshold_free", f"""with {CURVE}, cw as (select c.site, c.model, rep, c.study, n::double as w, x.error, x.confidence from curve c join c0 x on c.site = x.site and c.model = x.model and c.study = x.study join counts k on x.site = k.site and x.patient = k.patient),
-rc as (select *, sum(w) over o as cw, sum(w * error) over o as ce, sum(w) over (partition by site, model, rep) as tot from cw window o as (partition by site, model, rep order by confidence desc, study rows unbounded preceding)),
-ra as (select site, model, rep, round(sum(w * ce / cw) / max(tot), 6) as aurc from rc group by 1, 2, 3),
-d as (select e.model, e.aurc - s.aurc as d from ra e join ra s on e.model = s.model and e.rep = s.rep and e.site = 'external' and s.site = 'source'), ci as (select model, quantile_cont(d, 0.025) as low, quantile_cont(d, 0.975) as high from d group by 1),
-pa as (select site, model, round(sum(risk) / max(total), 6) as aurc from curve group by 1, 2), pd as (select e.model, e.aurc - s.aurc as point from pa e join pa s on e.model = s.model and e.site = 'external' and s.site = 'source')
-select model, round(point, 6) as point, round(low, 6) as low, round(high, 6) as high from pd join ci using (model)""".replace(CELLS, BOOT).replace(f"range(0, {REPS})", f"range(0, {CURVE_REPS})"))
-def r16(spark, sf):
-    c0 = _c0(spark, sf)
-    counts = _counts(spark, sf, CURVE_REPS)
-    by = ["site", "model", "rep"]
-    weighted = c0.join(counts, ["site", "patient"])
-    draws = R.areas(R.curve(weighted, by, "confidence", "error", "study", "n"), by)
-    points = R.areas(R.curve(c0, ["site", "model"], "confidence", "error", "study"), ["site", "model"])
-    gap = lambda df, keys: R.wide(df, keys, "site", ["source", "external"], "aurc").select(*keys, (F.col("external") - F.col("source")).alias("d"))
-    ci = B.percentile_interval(gap(draws, ["model", "rep"]), ["model"], "d")
-    return gap(points, ["model"]).join(ci, "model").select("model", F.round("d", 6).alias("point"), "low", "high")
-
-
 @query("r22_comparators", f"with {_BOTH}, {_family('evaluable_study', False)} select model, l.risk_source, l.risk_external, round(point, 6) as gap, round(low, 6) as low, round(high, 6) as high from fam join (select model, round(max(evaluable_study) filter (site = 'source'), 6) as risk_source, round(max(evaluable_study) filter (site = 'external'), 6) as risk_external from levels where condition = 'C0' group by 1) l using (model) where hypothesis = 'H1'")
 def r22(spark, sf):
     levels = _levels(spark, sf)
     fam = B.contrast_family(_replicates(spark, sf), levels, [], "evaluable_study").where("hypothesis = 'H1'")
     at = R.wide(levels.where("condition = 'C0'"), ["model"], "site", ["source", "external"], "evaluable_study")
     return fam.join(at, "model").select("model", F.round("source", 6).alias("risk_source"), F.round("external", 6).alias("risk_external"), F.col("point").alias("gap"), "low", "high")
-
-
-@query("r24_swap_permutations", " union all ".join(f"select {s} as seed, count(*) as rows, count(*) filter (patient <> donor_patient) as others from (with {SWAPPED.replace(_OFF, _OFF.replace(chr(39) + 's:', chr(39) + str(s) + ':'))} select * from swapped)" for s in (1, 2, 3)))
-def r24(spark, sf):
-    out = None
-    for seed in (1, 2, 3):
-        got = I.swapped(_ctx(spark, sf), ["split", "bin"], "patient", "study", "context", str(seed))
-        part = got.agg(F.lit(seed).alias("seed"), F.count("*").alias("rows"), count_if(F.col("patient") != F.col("donor_patient")).alias("others"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-@query("k10_calibration_uncertainty", f"with {BOOT}, g as (select s.model, e.cell_micro - s.cell_micro as d from rlev s join rlev e on s.rep = e.rep and s.model = e.model and s.condition = 'C0' and e.condition = 'C0' and s.site = 'source' and e.site = 'external') select model, round(avg(d), 6) as mean, round(stddev_samp(d), 6) as sd, round(quantile_cont(d, 0.025), 6) as low, round(quantile_cont(d, 0.975), 6) as high from g group by 1")
-def k10(spark, sf):
-    rows = R.wide(_replicates(spark, sf).where("condition = 'C0'"), ["rep", "model"], "site", ["source", "external"], "cell_micro").withColumn("d", F.col("external") - F.col("source"))
-    return K.calibration_uncertainty(rows, ["model"], "d")
-
-
-@query("r28_uncertainty_ratio", f"with {BOOT}, c as (select site, model, round(quantile_cont(cell_micro, 0.025), 6) as low, round(quantile_cont(cell_micro, 0.975), 6) as high, round(stddev_samp(original), 6) as sd from rlev where condition = 'C0' group by 1, 2) select site, model, round((high - low) / 3.92, 6) as evaluation_sd, round(sd / nullif((high - low) / 3.92, 0), 6) as ratio from c")
-def r28(spark, sf):
-    rows = _replicates(spark, sf).where("condition = 'C0'")
-    return B.uncertainty_ratio(B.percentile_interval(rows, ["site", "model"], "cell_micro"), K.calibration_uncertainty(rows, ["site", "model"], "original"), ["site", "model"])

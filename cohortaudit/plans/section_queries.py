@@ -8,7 +8,7 @@ from cohortaudit.functions import text as X
 from cohortaudit.operators import sections as S
 from cohortaudit.plans.audit_queries import _EDGES, EFFECTIVE
 from cohortaudit.plans.inputs import REPORTS, reports, table
-from cohortaudit.plans.registry import query
+from cohortaudit.plans.book import query
 
 _HEAD = "(?m)^[ \\t]*([A-Z][A-Z0-9 /&''()\\.\\,\\-\\*]{0,60}?)[ \\t]*:"
 _MAP = "section_map(header, section, class) as (values " + ", ".join(f"('{h}', '{s}', '{c}')" for c, named in S.SECTIONS.items() for s, hs in named.items() for h in hs) + ")"

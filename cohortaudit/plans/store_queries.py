@@ -9,7 +9,7 @@ from cohortaudit.operators import audit as A
 from cohortaudit.operators import joins as J
 from cohortaudit.operators.audit import count_if
 from cohortaudit.plans.inputs import IMAGES, PREDICTIONS, images, predictions, table
-from cohortaudit.plans.registry import query
+from cohortaudit.plans.book import query
 from cohortaudit.plans.risk_queries import C0, _c0
 from cohortaudit.sources import tables as T
 from cohortaudit.sources.scratch import scratch
