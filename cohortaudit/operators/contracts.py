@@ -17,10 +17,17 @@ FORBIDDEN_COLUMNS = ("findings", "impression", "report", "label", "target")
 
 
 def profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """A row for each column: rows, nulls, blanks, distinct values, unique without nulls."""
-    flat = df.select(*(F.col(c).cast("string").alias(c) for c in columns)).unpivot([], columns, "column", "value")
-    per = flat.groupBy("column").agg(F.count("*").alias("rows"), count_if(F.col("value").isNull()).alias("nulls"), count_if(F.trim("value") == "").alias("blanks"), F.count_distinct("value").alias("distinct"))
-    return per.withColumn("unique", (F.col("distinct") == F.col("rows")) & (F.col("nulls") == 0))
+    """A row for each column: rows, nulls, blanks, distinct values, unique without nulls.
+
+    What is counted are digests of 16 bytes, not the values themselves.
+    """
+    text = lambda c: F.col(c).cast("string")
+    cell = lambda c: F.struct(F.lit(c).alias("column"), F.unhex(F.md5(text(c))).alias("digest"), (F.trim(text(c)) == "").alias("blank"))
+    flat = df.select(F.explode(F.array(*map(cell, columns))).alias("x")).select("x.*")
+    # equal digests meet where the rows lie before they are sent on
+    per = flat.groupBy("column", "digest").agg(F.count("*").alias("n"), F.bool_or("blank").alias("blank"))
+    got = per.groupBy("column").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("digest").isNull(), F.col("n"))), F.lit(0)).alias("nulls"), F.coalesce(F.sum(F.when(F.col("blank"), F.col("n"))), F.lit(0)).alias("blanks"), F.count("digest").alias("distinct"))
+    return got.withColumn("unique", (F.col("distinct") == F.col("rows")) & (F.col("nulls") == 0))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:

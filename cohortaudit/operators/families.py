@@ -96,18 +96,18 @@ def _over_parts(df: DataFrame, by: list[str], order: list[tuple[str, bool]], fin
                 made = np.stack((w.sum(axis=0), rows["error"].to_numpy(float) @ w))
                 held[key] = held[key] + made if key in held else made
         for key, made in held.items():
-            yield pd.DataFrame({**dict(zip(keys, key)), "rep": np.arange(made.shape[1]), "w": made[0], "e": made[1]})
+            yield pd.DataFrame({**dict(zip(keys, key)), "_rep": np.arange(made.shape[1]), "_w": made[0], "_e": made[1]})
 
     kinds = ", ".join(f"`{c}` {laid.schema[c].dataType.simpleString()}" for c in keys)
-    totals = laid.mapInPandas(total, f"{kinds}, rep int, w double, e double").groupBy(*keys, "rep").agg(F.sum("w").alias("w"), F.sum("e").alias("e"))
-    group = Window.partitionBy(*by, "rep")
+    totals = laid.mapInPandas(total, f"{kinds}, _rep int, _w double, _e double").groupBy(*keys, "_rep").agg(F.sum("_w").alias("_w"), F.sum("_e").alias("_e"))
+    group = Window.partitionBy(*by, "_rep")
     before = group.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(*keys, F.struct("rep", F.coalesce(F.sum("w").over(before), F.lit(0.0)).alias("w"), F.coalesce(F.sum("e").over(before), F.lit(0.0)).alias("e"), F.sum("w").over(group).alias("all")).alias("c"))
-    carried = carried.groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("c")).select(*keys, *(F.col(f"c.{k}").alias(k) for k in ("w", "e", "all")))
+    carried = totals.select(*keys, F.struct("_rep", F.coalesce(F.sum("_w").over(before), F.lit(0.0)).alias("w"), F.coalesce(F.sum("_e").over(before), F.lit(0.0)).alias("e"), F.sum("_w").over(group).alias("all")).alias("_c"))
+    carried = carried.groupBy(*keys).agg(F.array_sort(F.collect_list("_c")).alias("_c")).select(*keys, *(F.col(f"_c.{k}").alias(f"_{k}") for k in ("w", "e", "all")))
 
     def run(key, rows: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([c for c, _ in order], ascending=[not down for _, down in order], kind="stable")
-        made = finish(rows, _stacked(rows), *(np.asarray(carry[k].iloc[0]) for k in ("w", "e", "all")))
+        made = finish(rows, _stacked(rows), *(np.asarray(carry[f"_{k}"].iloc[0]) for k in ("w", "e", "all")))
         return pd.DataFrame({**dict(zip(by, key[1:])), **made})
 
     return laid.groupBy(*keys).cogroup(carried.groupBy(*keys)).applyInPandas(run, ", ".join(kinds.split(", ")[1:]) + ", " + ddl)
@@ -115,16 +115,16 @@ def _over_parts(df: DataFrame, by: list[str], order: list[tuple[str, bool]], fin
 
 def weighted_areas(df: DataFrame, by: list[str], confidence: str, error: str, key: str) -> DataFrame:
     """(by, rep, aurc, augrc) of rows with weights array<double>, one for each replicate; rows without an error don't count."""
-    rows = df.where(F.col(error).isNotNull()).select(*by, F.col(confidence).alias("_c"), key, F.col(error).cast("double").alias("error"), "weights")
+    rows = df.where(F.col(error).isNotNull()).select(*by, F.col(confidence).alias("_k"), key, F.col(error).cast("double").alias("error"), "weights")
 
     def finish(part, w, before, wrong, total):
         done = before + np.cumsum(w, axis=0)
         errors = wrong + np.cumsum(w * part["error"].to_numpy()[:, None], axis=0)
         risk = np.divide(errors, done, out=np.zeros_like(errors), where=done > 0)
-        return {"rep": np.arange(len(total)), "r": (w * risk).sum(axis=0), "g": (w * errors).sum(axis=0), "total": total}
+        return {"rep": np.arange(len(total)), "_r": (w * risk).sum(axis=0), "_g": (w * errors).sum(axis=0), "_total": total}
 
-    sums = _over_parts(rows, by, [("_c", True), (key, False)], finish, "rep int, r double, g double, total double")
-    return sums.groupBy(*by, "rep").agg(F.round(F.try_divide(F.sum("r"), F.max("total")), DIGITS).alias("aurc"), F.round(F.try_divide(F.sum("g"), F.max("total") * F.max("total")), DIGITS).alias("augrc"))
+    sums = _over_parts(rows, by, [("_k", True), (key, False)], finish, "rep int, _r double, _g double, _total double")
+    return sums.groupBy(*by, "rep").agg(F.round(F.try_divide(F.sum("_r"), F.max("_total")), DIGITS).alias("aurc"), F.round(F.try_divide(F.sum("_g"), F.max("_total") * F.max("_total")), DIGITS).alias("augrc"))
 
 
 def weighted_cutoffs(df: DataFrame, by: list[str], value: str, share: float) -> DataFrame:
@@ -139,11 +139,11 @@ def weighted_cutoffs(df: DataFrame, by: list[str], value: str, share: float) ->
             inside = (before <= k) & (k < done[-1])
             return np.where(inside, v[np.minimum((done <= k).sum(axis=0), len(v) - 1)], np.nan)
 
-        return {"rep": np.arange(len(total)), "low": at(np.floor(place)), "high": at(np.ceil(place)), "rest": place - np.floor(place)}
+        return {"rep": np.arange(len(total)), "_low": at(np.floor(place)), "_high": at(np.ceil(place)), "_rest": place - np.floor(place)}
 
-    found = _over_parts(rows, by, [("_v", False)], finish, "rep int, low double, high double, rest double")
+    found = _over_parts(rows, by, [("_v", False)], finish, "rep int, _low double, _high double, _rest double")
     one = lambda c: F.max(F.when(~F.isnan(c), F.col(c)))
-    return found.groupBy(*by, "rep").agg(one("low").alias("a"), one("high").alias("b"), F.max("rest").alias("r")).select(*by, "rep", (F.col("a") + F.col("r") * (F.col("b") - F.col("a"))).alias("cutoff"))
+    return found.groupBy(*by, "rep").agg(one("_low").alias("_a"), one("_high").alias("_b"), F.max("_rest").alias("_r")).select(*by, "rep", (F.col("_a") + F.col("_r") * (F.col("_b") - F.col("_a"))).alias("cutoff"))
 
 
 def policy_replicates(cells: DataFrame, thresholds: DataFrame, cutoffs: DataFrame, targets: list[str], site: str = "site", model: str = "model", study: str = "study") -> DataFrame:

@@ -53,13 +53,17 @@ def agreement(a: DataFrame, b: DataFrame, key: str, column: str) -> DataFrame:
 
 
 def reference_checks(pairs: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
-    """For each (name, child, key, parent, key): child keys and those without a parent."""
-    rows = []
-    for name, child, ck, parent, pk in pairs:
-        keys = child.select(F.col(ck).alias("k")).where("k is not null").distinct()
-        known = parent.select(F.col(pk).alias("k"), F.lit(True).alias("there")).where("k is not null").distinct()
-        rows.append(keys.join(known, "k", "left").agg(F.lit(name).alias("pair"), F.count("*").alias("keys"), count_if(F.col("there").isNull()).alias("unmatched")))
-    return reduce(DataFrame.unionByName, rows)
+    """For each (name, child, key, parent, key): child keys and those without a parent. Null keys don't count.
+
+    Keys of all pairs lie in one table with a bit for each side; one shuffle unites the
+    bits of a key, after they are united where the rows lie.
+    """
+    sides = [(name, df, key, bit) for name, child, ck, parent, pk in pairs for df, key, bit in ((child, ck, 1), (parent, pk, 2))]
+    rows = reduce(DataFrame.unionByName, (df.where(F.col(key).isNotNull()).select(F.lit(name).alias("pair"), F.col(key).cast("string").alias("k"), F.lit(bit).alias("bit")) for name, df, key, bit in sides))
+    masks = rows.groupBy("pair", "k").agg(F.bit_or("bit").alias("mask"))
+    found = masks.groupBy("pair").agg(count_if(F.col("mask") != 2).alias("keys"), count_if(F.col("mask") == 1).alias("unmatched"))
+    names = rows.sparkSession.createDataFrame([(n,) for n, *_ in pairs], "pair string")
+    return names.join(found, "pair", "left").select("pair", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("keys", "unmatched")))
 
 
 def hierarchy_checks(child: DataFrame, parent: DataFrame, key: str, grandparent: str) -> DataFrame:
@@ -100,15 +104,18 @@ def pair_tables(a: DataFrame, b: DataFrame, key: str, values: list[str]) -> Data
 
 
 def same_sets(named: list[tuple[str, DataFrame]], key: str) -> DataFrame:
-    """By pair of tables: keys only in one, only in the other, equality and containment."""
-    rows = []
-    for i, (n, a) in enumerate(named):
-        for m, b in named[i + 1 :]:
-            x, y = a.select(key).distinct().withColumn("x", F.lit(1)), b.select(key).distinct().withColumn("y", F.lit(1))
-            both = x.join(y, key, "full_outer")
-            only_a, only_b = count_if(F.col("y").isNull()), count_if(F.col("x").isNull())
-            rows.append(both.agg(F.lit(n).alias("a"), F.lit(m).alias("b"), only_a.alias("only_a"), only_b.alias("only_b"), (only_a + only_b == 0).alias("equal"), (only_a == 0).alias("a_in_b")))
-    return reduce(DataFrame.unionByName, rows)
+    """By pair of tables: keys only in one, only in the other, equality and containment. Null is a key like any other.
+
+    Each table is a bit (at most 31 tables), a key's bits are united in one shuffle, and
+    the pairs meet only the numbers of keys with each mask.
+    """
+    rows = reduce(DataFrame.unionByName, (df.select(F.col(key), F.lit(1 << i).alias("_bit")) for i, (_, df) in enumerate(named)))
+    masks = rows.groupBy(key).agg(F.bit_or("_bit").alias("_mask")).groupBy("_mask").agg(F.count("*").alias("_n"))
+    pairs = [(n, m, 1 << i, 1 << j) for i, (n, _) in enumerate(named) for j, (m, _) in enumerate(named) if i < j]
+    every = F.broadcast(rows.sparkSession.createDataFrame(pairs, "a string, b string, _a int, _b int"))
+    lone = lambda x, y: F.coalesce(F.sum(F.when((F.col("_mask").bitwiseAND(F.col(x)) > 0) & (F.col("_mask").bitwiseAND(F.col(y)) == 0), F.col("_n"))), F.lit(0))
+    got = every.join(masks, F.lit(True), "left").groupBy("a", "b").agg(lone("_a", "_b").alias("only_a"), lone("_b", "_a").alias("only_b"))
+    return got.select("a", "b", "only_a", "only_b", (F.col("only_a") + F.col("only_b") == 0).alias("equal"), (F.col("only_a") == 0).alias("a_in_b"))
 
 
 def expert_reference(expert: DataFrame, key: str, columns: list[str]) -> DataFrame:

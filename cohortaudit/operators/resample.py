@@ -149,6 +149,14 @@ def holm(df: DataFrame, family: list[str], name: str, p: str) -> DataFrame:
     return raised.withColumn("holm", F.round(F.max(F.least(F.lit(1.0), (F.col("_m") - F.col("_i")) * F.col(p))).over(run), DIGITS)).drop("_i", "_m")
 
 
+def benjamini_hochberg(df: DataFrame, family: list[str], name: str, p: str) -> DataFrame:
+    """Df with bh: the least of p_j m / j over j >= i for the i-th smallest p, capped at 1, in each family; ties by name."""
+    w = Window.partitionBy(*family)
+    ranked = df.withColumns({"_i": F.row_number().over(w.orderBy(p, name)), "_m": F.count("*").over(w)})
+    down = Window.partitionBy(*family).orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return ranked.withColumn("bh", F.round(F.min(F.least(F.lit(1.0), F.col(p) * F.col("_m") / F.col("_i"))).over(down), DIGITS)).drop("_i", "_m")
+
+
 def decide(point: Column, low: Column, high: Column, materiality: float = 0.02, direction: str = "greater_than_zero") -> Column:
     """The first rule: struct of excludes_zero, supports, material, confirmed, reversed."""
     outside = (low > 0) | (high < 0)

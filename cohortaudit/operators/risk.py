@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from cohortaudit.functions import values as V
 from cohortaudit.operators.audit import DIGITS, count_if, ratio
-from cohortaudit.operators.prefix import running_sums
+from cohortaudit.operators.prefix import ranged, running_sums
+from cohortaudit.sources.scratch import kept
 
 ESTIMATORS = ("original", "evaluable_study", "cell_micro", "pathology_macro")
 
@@ -249,10 +250,33 @@ def wide(df: DataFrame, by: list[str], name: str, values: list[str], value: str)
     return df.groupBy(*by).pivot(name, values).agg(F.first(value, ignorenulls=True))
 
 
-def run_segments(log: DataFrame, run_key: list[str], order: list[str], epoch: str, value: str) -> DataFrame:
-    """(run_key, run, epochs, best_epoch, best): a run begins where the epoch doesn't rise; the best epoch has the highest value (ties: the first)."""
-    w = Window.partitionBy(*run_key).orderBy(*order)
-    new = F.when(F.col(epoch) > F.lag(epoch).over(w), 0).otherwise(1)
-    rows = log.withColumn("_new", new).withColumn("run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    best = F.max_by(F.struct(epoch, value), F.struct(F.col(value), -F.col(epoch)))
-    return rows.groupBy(*run_key, "run").agg(F.count("*").alias("epochs"), best.alias("b")).select(*run_key, "run", "epochs", F.col(f"b.{epoch}").alias("best_epoch"), F.col(f"b.{value}").alias("best"))
+def run_segments(log: DataFrame, run_key: list[str], order: list[str], epoch: str, value: str, parts: int | None = None) -> DataFrame:
+    """(run_key, run, epochs, best_epoch, best): a run begins where the epoch doesn't rise; the best epoch has the highest value (ties: the first).
+
+    A segmented scan: the log is cut into parts by ranges of (run_key, order), so a long
+    run_key is several tasks' work. A part's rows look back inside it, its first row to
+    the last epoch of the part before; the runs that begin in a part are counted, and
+    what earlier parts counted is carried over.
+    """
+    laid, _ = kept(ranged(log, run_key, [(c, False) for c in order], parts or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "laid")
+    inside = Window.partitionBy("_part", *run_key).orderBy(*(F.asc_nulls_first(c) for c in order))
+    met = laid.groupBy("_part", *run_key).agg(F.max_by(F.struct(F.col(epoch)), F.struct(*order)).alias("_end"))
+    before = met.select("_part", *run_key, F.lag("_end").over(Window.partitionBy(*run_key).orderBy("_part")).alias("_before"))
+    same = ["_part", *run_key]
+    joined = _null_safe(laid, before, same)
+    last = F.when(F.row_number().over(inside) == 1, F.col(f"_before.{epoch}")).otherwise(F.lag(epoch).over(inside))
+    opened, _ = kept(joined.withColumn("_last", last).withColumn("_new", F.when(F.col(epoch) > F.col("_last"), 0).otherwise(1)).drop("_before", "_last"), "opened")
+    counted = opened.groupBy(*same).agg(F.sum("_new").alias("_runs"))
+    earlier = Window.partitionBy(*run_key).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = counted.select(*same, F.coalesce(F.sum("_runs").over(earlier), F.lit(0)).alias("_carry"))
+    local = F.sum("_new").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = _null_safe(opened.withColumn("_local", local), carried, same).withColumn("run", F.col("_local") + F.col("_carry"))
+    best = F.max_by(F.struct(F.col(epoch).alias("e"), F.col(value).alias("v")), F.struct(value, -F.col(epoch)))
+    return numbered.groupBy(*run_key, "run").agg(F.count("*").alias("epochs"), best.alias("b")).select(*run_key, "run", "epochs", F.col("b.e").alias("best_epoch"), F.col("b.v").alias("best"))
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """An inner join on keys in which null equals null."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys))
+    return left.join(named, same).drop(*(f"_r_{k}" for k in keys))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortaudit.functions import values as V
+from cohortaudit.operators import calibration as L
 from cohortaudit.operators import families as G
 from cohortaudit.operators import interventions as I
 from cohortaudit.operators import policy as K
@@ -13,9 +14,9 @@ from cohortaudit.operators import resample as B
 from cohortaudit.operators import risk as R
 from cohortaudit.operators.audit import count_if
 from cohortaudit.plans.draws_sql import counts_cte
-from cohortaudit.plans.inputs import predictions, sql_hash, sql_unit, studies
+from cohortaudit.plans.inputs import PREDICTIONS, predictions, sql_hash, sql_unit, studies, table
 from cohortaudit.plans.book import query
-from cohortaudit.plans.risk_queries import _ALPHAS, _COLD, _FX, _LOGIT, _PLATT, CELLS, CURVE, CURVE_REPS, PASSES, REPS, SWAP, TERMS, T, _auc, _c0, _cal, _cells, _ctx, _est, _passes, _patients, _policy, _terms
+from cohortaudit.plans.risk_queries import _ALPHAS, _COLD, _FX, _LOGIT, _PLATT, C0, CELLS, CURVE, CURVE_REPS, PASSES, REPS, SWAP, TERMS, T, _auc, _c0, _cal, _cells, _ctx, _est, _passes, _patients, _policy, _terms
 
 SITES = ("external", "source")
 EVALUATION = "(select site, patient from studies where split = 'evaluation')"
@@ -488,3 +489,34 @@ def r16(spark, sf):
     draws = long(G.weighted_areas(c0.join(weights, ["site", "patient"]), by, "confidence", "error", "study"), ["rep", *by])
     points = long(R.areas(R.curve(c0, by, "confidence", "error", "study"), by), by)
     return G.estimates(G.difference(points, "site", *SITES), G.difference(draws, "site", *SITES))
+
+
+# calibration error, coverage at a risk, false discovery --------------------------------
+_LEVELS = [0.05, 0.1, 0.2, 0.3]
+
+
+@query("r29_coverage_at_risk", f"""with {C0}, g as (select site, model, confidence, count(*) as n, sum(error) as e from c0 where error is not null group by 1, 2, 3), r as (select *, sum(n) over w as cn, sum(e) over w as ce, sum(n) over (partition by site, model) as total from g window w as (partition by site, model order by confidence desc)),
+l as (select distinct site, model, unnest({_LEVELS}::double[]) as level from g), m as (select site, model, level, max(cn / total::double) as s, min(confidence) as cutoff from r join l using (site, model) where round(ce / cn, 12) <= level group by 1, 2, 3)
+select site, model, level, round(coalesce(s, 0), 6) as coverage, cutoff from l left join m using (site, model, level)""")
+def r29(spark, sf):
+    return L.coverage_at_risk(_c0(spark, sf), ["site", "model"], "confidence", "error", _LEVELS)
+
+
+_MT = "site, model, target"
+_ECE = "sum(n)::bigint as cells, count(*) as bins, round(sum(abs(sp / n - sy / n) * n) / sum(n), 6) as ece, round(max(abs(sp / n - sy / n)), 6) as mce"
+
+
+@query("r30_calibration_error", f"with {PREDICTIONS}, b as (select {_MT}, least(floor(p * 15), 14) as bin, count(*)::double as n, sum(p) as sp, sum(y) as sy from predictions where y is not null group by all) select {_MT}, {_ECE} from b group by all")
+def r30(spark, sf):
+    return L.calibration_error(predictions(spark, sf), ["site", "model", "target"])
+
+
+@query("r30_equal_mass_error", f"with {PREDICTIONS}, g as (select {_MT}, p, count(*) as n, sum(y) as sy from predictions where y is not null group by all), r as (select *, sum(n) over (partition by {_MT} order by p) - n as before, sum(n) over (partition by {_MT}) as total from g), b as (select {_MT}, before * 15 // total as bin, sum(n)::double as n, sum(p * n) as sp, sum(sy) as sy from r group by all) select {_MT}, {_ECE} from b group by all")
+def r30_mass(spark, sf):
+    return L.equal_mass_error(predictions(spark, sf), ["site", "model", "target"])
+
+
+@query("w9_benjamini_hochberg", "with p as (select c_nationkey as family, c_custkey as name, (c_custkey * 37 % 1000) / 1000.0::double as p from customer), k as (select *, row_number() over (partition by family order by p, name) as i, count(*) over (partition by family) as m from p) select family, name, p, round(min(least(1.0, p * m / i)) over (partition by family order by i desc), 6) as bh from k")
+def w9_bh(spark, sf):
+    rows = table(spark, sf, "customer").select(F.col("c_nationkey").alias("family"), F.col("c_custkey").alias("name"), (F.col("c_custkey") * 37 % 1000 / F.lit(1000.0)).alias("p"))
+    return B.benjamini_hochberg(rows, ["family"], "name", "p")

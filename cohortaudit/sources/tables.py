@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -84,18 +86,32 @@ PASS_KEYS = ("site", "model", "condition", "label_source", "threshold", "seed")
 
 
 def save_predictions(df: DataFrame, path: str, digest: str) -> None:
-    """Append a pass to the store, partitioned by its keys, with the digest of the model's weights."""
-    df.withColumn("digest", F.lit(digest)).write.mode("append").partitionBy(*PASS_KEYS).parquet(path)
+    """Put passes into the store, partitioned by their keys, with the digest of the model's weights.
+
+    A pass replaces what the store holds under its keys, whatever its digest; other
+    passes stay. Rows are written aside and moved when all are there, so a save that
+    fails leaves the store as it was.
+    """
+    df.withColumn("digest", F.lit(digest)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PASS_KEYS).parquet(path)
+
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
-def load_predictions(spark: SparkSession, path: str, digest: str, **keys) -> DataFrame:
-    """The rows of a pass; none where the keys or the digest differ. Partitions are pruned by the keys."""
+
+def load_predictions(spark: SparkSession, path: str, digest: str, schema: str = "study long, target string, p double", **keys) -> DataFrame:
+    """The rows of a pass; none where the keys or the digest differ, or where there is no store (then with the columns of schema).
+
+    Partitions are pruned by the keys.
+    """
+    unknown = set(keys) - set(PASS_KEYS)
+    if unknown:
+        raise ValueError(f"no such keys: {sorted(unknown)}")
+    if not _exists(spark, path):
+        return spark.createDataFrame([], f"{schema}, digest string, " + ", ".join(f"{k} string" for k in PASS_KEYS))
     rows = spark.read.parquet(path).where(F.col("digest") == digest)
-    for k, v in keys.items():
-        if k not in PASS_KEYS:
-            raise ValueError(f"no such key: {k}")
-        rows = rows.where(F.col(k) == v)
-    return rows
+    return reduce(lambda df, k: df.where(F.col(k) == keys[k]), keys, rows)
 
 
 def classify(name: Column, patterns: list[tuple[str, str]], default: str = "other") -> Column:

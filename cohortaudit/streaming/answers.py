@@ -11,14 +11,16 @@ def read_log(spark: SparkSession, folder: str, schema: str, files_a_batch: int =
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_a_batch).parquet(folder)
 
 
-def latest_stream(log: DataFrame, keys: list[str], at: str, tie: str, delay: str) -> DataFrame:
-    """The last row of each key so far. State is a row for each key; rows later than `delay` behind are dropped.
+def latest_stream(log: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
+    """The last row of each key so far; a row that comes late still counts if it is the last.
 
-    Use with output mode update or complete; batch S11 on the same rows gives the same.
+    State is a row for each key and is never freed, as any key may be answered again; it
+    is bounded by the keys, not by the log. Use with output mode update or complete;
+    batch S11 on the same rows gives the same.
     """
     others = [c for c in log.columns if c not in keys]
     newest = F.max_by(F.struct(*others), F.struct(at, tie)).alias("_r")
-    return log.withWatermark(at, delay).groupBy(*keys).agg(newest).select(*keys, "_r.*")
+    return log.groupBy(*keys).agg(newest).select(*keys, "_r.*")
 
 
 def windowed_counts(log: DataFrame, at: str, kind: str, width: str, delay: str) -> DataFrame:

@@ -8,12 +8,14 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortaudit.operators import audit as A
+from cohortaudit.operators import calibration as L
 from cohortaudit.operators import cohort as C
 from cohortaudit.operators import contracts as D
 from cohortaudit.operators import interventions as I
 from cohortaudit.operators import joins as J
 from cohortaudit.operators import policy as K
 from cohortaudit.operators import draws
+from cohortaudit.operators import families as G
 from cohortaudit.operators import prefix
 from cohortaudit.operators import resample as B
 from cohortaudit.operators import risk as R
@@ -393,6 +395,76 @@ def test_run_segments(spark):
     assert rows(R.run_segments(log, ["k"], ["i"], "epoch", "v"), "run", "epochs", "best_epoch", "best") == [(1, 3, 2, 0.7), (2, 2, 2, 0.9)]
 
 
+def test_run_segments_of_a_long_key(spark):
+    """Nine tenths of the log under one key lie in several parts; the result is that of a plain loop."""
+    rng = random.Random(4)
+    data = [("long" if rng.random() < 0.9 else rng.choice(["a", None]), i, rng.choice([None, *range(1, 9)]), rng.choice([0.1, 0.2, 0.3])) for i in range(3000)]
+    log = spark.createDataFrame(data, "k string, i int, epoch int, v double").repartition(5)
+    sizes = [r["count"] for r in prefix.ranged(log, ["k"], [("i", False)], 8).groupBy("_part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.6 * 375
+    want = []
+    for k in ("long", "a", None):
+        last, run = None, 0
+        own = {}
+        for _, _, e, v in (d for d in data if d[0] == k):
+            run += not (e is not None and last is not None and e > last)
+            last = e
+            own.setdefault(run, []).append((e, v))
+        for run, members in own.items():
+            top = max(v for _, v in members)
+            want.append((k, run, len(members), top))
+    got = R.run_segments(log, ["k"], ["i"], "epoch", "v", 8).collect()
+    assert sorted(((r.k or "", r.run, r.epochs, r.best) for r in got)) == sorted((k or "", *x) for k, *x in want)
+
+
+def test_coverage_at_risk_ends_with_its_ties(spark):
+    df = spark.createDataFrame([("g", c, e) for c, e in ((0.9, 0.0), (0.8, 1.0), (0.8, 0.0), (0.5, 0.0), (0.4, 1.0), (0.3, None), (None, 0.0))], "g string, c double, e double")
+    got = rows(L.coverage_at_risk(df, ["g"], "c", "e", [0.0, 0.25, 0.26, 0.5]), "level", "coverage", "cutoff")
+    assert got == [(0.0, 0.2, 0.9), (0.25, 0.8, 0.5), (0.26, 0.8, 0.5), (0.5, 1.0, 0.4)]
+    none = df.where("c = 0.4")
+    assert rows(L.coverage_at_risk(none, ["g"], "c", "e", [0.1]), "coverage", "cutoff") == [(0.0, None)]
+
+
+def test_equal_mass_bins_keep_ties(spark):
+    df = spark.createDataFrame([("g", 0.1, 0.0)] * 6 + [("g", 0.9, 1.0), ("g", 0.8, 0.0)], "g string, p double, y double")
+    assert rows(L.equal_mass_error(df, ["g"], 4), "cells", "bins", "ece", "mce") == [(8, 2, 0.1625, 0.35)]
+    assert rows(L.calibration_error(df.withColumn("p", F.lit(1.0)), ["g"], 15), "bins", "ece") == [(1, 0.875)]
+
+
+def test_benjamini_hochberg(spark):
+    df = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.02), ("f", "c", 0.03), ("f", "d", 0.5)], "f string, n string, p double")
+    assert rows(B.benjamini_hochberg(df, ["f"], "n", "p"), "n", "bh") == [("a", 0.04), ("b", 0.04), ("c", 0.04), ("d", 0.5)]
+
+
+# families ----------------------------------------------------------------------------
+def test_orders_of_all_replicates_at_once(spark):
+    """Areas and cutoffs by weights equal those of every replicate's own repeated rows."""
+    rng, reps = np.random.default_rng(2), 7
+    n = 300
+    c, e, w = rng.integers(0, 40, n) / 40, rng.integers(0, 3, n) / 2, rng.integers(0, 4, (n, reps))
+    df = spark.createDataFrame([(f"g{i % 2}", i, float(c[i]), None if i % 11 == 0 else float(e[i]), [float(x) for x in w[i]]) for i in range(n)], "g string, k int, c double, e double, weights array<double>").repartition(5)
+    areas = {(r.g, r.rep): r for r in G.weighted_areas(df, ["g"], "c", "e", "k").collect()}
+    cuts = {(r.g, r.rep): r.cutoff for r in G.weighted_cutoffs(df, ["g"], "c", 0.2).collect()}
+    for g in (0, 1):
+        for rep in range(reps):
+            own = [i for i in range(n) if i % 2 == g]
+            assert abs(cuts[f"g{g}", rep] - np.quantile(np.repeat(c[own], w[own, rep]), 0.2)) < 1e-12
+            done = errors = area = general = 0.0
+            for i in sorted((i for i in own if i % 11), key=lambda i: (-c[i], i)):
+                done, errors = done + w[i, rep], errors + w[i, rep] * e[i]
+                area += w[i, rep] * (errors / done if done else 0)
+                general += w[i, rep] * errors
+            assert abs(areas[f"g{g}", rep].aurc - area / done) < 1e-6 and abs(areas[f"g{g}", rep].augrc - general / done**2) < 1e-6
+
+
+def test_swaps_of_several_seeds(spark):
+    df = spark.createDataFrame([(i % 13 if i % 5 else 1, i, f"s{i % 3}" if i % 17 else None, f"t{i}") for i in range(200)], "patient int, study int, stratum string, context string")
+    many = {(r.seed, r.study): r.donor for r in I.swaps(df, ["stratum"], "patient", "study", ["a", "b"]).collect()}
+    for seed in ("a", "b"):
+        want = {(seed, r.study): r.donor_study for r in I.swapped(df, ["stratum"], "patient", "study", "context", seed).collect()}
+        assert want == {k: v for k, v in many.items() if k[0] == seed}
+
+
 # resampling --------------------------------------------------------------------------
 def test_replicates_equal_row_level_sums(spark):
     rng = random.Random(6)

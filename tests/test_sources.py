@@ -64,6 +64,23 @@ def test_prediction_store(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(threshold" in plan
 
 
+def test_a_saved_pass_replaces_itself(spark, tmp_path):
+    path, keys = f"{tmp_path}/store", "site string, model string, condition string, label_source string, threshold int, seed int"
+    schema = f"study string, p double, {keys}"
+    one = lambda p, model: spark.createDataFrame([("s", p, "src", model, "C0", "p", 3, 1), ("t", p, "src", model, "C0", "p", 3, 1)], schema)
+    held = lambda digest="abc": sorted((r.model, r.p) for r in T.load_predictions(spark, path, digest).collect())
+    assert T.load_predictions(spark, path, "abc", "study string, p double", model="m").collect() == []
+    T.save_predictions(one(0.5, "m").union(one(0.6, "n")), path, "abc")
+    T.save_predictions(one(0.5, "m"), path, "abc")
+    assert held() == [("m", 0.5)] * 2 + [("n", 0.6)] * 2
+    T.save_predictions(one(0.7, "m"), path, "new")
+    assert held() == [("n", 0.6)] * 2 and held("new") == [("m", 0.7)] * 2
+    broken = one(0.9, "m").withColumn("p", F.when(F.col("study") == "t", F.raise_error(F.lit("half-written")).cast("double")).otherwise(F.col("p")))
+    with pytest.raises(Exception, match="half-written"):
+        T.save_predictions(broken.repartition(2), path, "new")
+    assert held("new") == [("m", 0.7)] * 2
+
+
 def test_shareable_output(spark, tmp_path):
     df = spark.createDataFrame([("a", 1)], "label string, n int")
     T.write_aggregate(df, f"{tmp_path}/out", ["label", "n"])
@@ -77,7 +94,7 @@ def test_answers_batch_and_stream(spark, tmp_path):
     want = {"a": 7.0, "b": 8.0}
     assert {r.item: r.v for r in T.latest_answers(log, ["item"], "at", "id").collect()} == want
     log.repartition(3).write.parquet(f"{tmp_path}/log")
-    stream = answers.latest_stream(answers.read_log(spark, f"{tmp_path}/log", "id int, item string, v double, at timestamp", 1), ["item"], "at", "id", "1 day")
+    stream = answers.latest_stream(answers.read_log(spark, f"{tmp_path}/log", "id int, item string, v double, at timestamp", 1), ["item"], "at", "id")
     q = stream.writeStream.outputMode("complete").format("memory").queryName("latest").option("checkpointLocation", f"{tmp_path}/cp").start()
     q.processAllAvailable()
     q.stop()
