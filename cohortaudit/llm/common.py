@@ -175,7 +175,13 @@ def buffered(batches, limit: int, weight: Callable[[list], int]) -> Iterator[lis
 
 
 def text_size(columns: list) -> int:
-    return sum(len(t) for t in columns[-1] if t) + len(columns[-1])
+    """Bytes of the texts in the last column."""
+    return sum(len(t.encode()) for t in columns[-1] if t) + len(columns[-1])
+
+
+def hash_bound(share: float) -> int:
+    """The signed 64-bit number that a share of all hashes is at most; the share may be as small as 1e-18."""
+    return min((1 << 63) - 1, int(min(1.0, share) * (1 << 64)) - (1 << 63))
 
 
 def run_starts(keys: np.ndarray) -> np.ndarray:

@@ -26,6 +26,41 @@ SHARD_CHARS, BLOCK_CHARS = 2_000_000, 4_000_000
 _MARK = b"\xff"
 
 
+class Ranks:
+    """Ranks of the stretches of 1, 2, 4, ... words at every place of a shard and of the tests, by doubling.
+
+    Equal ranks are equal stretches, whole or up to the same end, so two suffixes are
+    compared in as many steps as there are doublings, however long they agree.
+    """
+
+    def __init__(self, ids: np.ndarray, left: np.ndarray):
+        self.left, self.levels = left, []
+        live = np.flatnonzero(left > 0)
+        rank = np.zeros(len(ids), np.int64)
+        rank[live] = np.unique(ids[live], return_inverse=True)[1] + 1
+        width = 1
+        while True:
+            self.levels.append(rank.astype(np.int32))
+            if width >= left.max(initial=0) or rank.max(initial=0) == len(live):
+                break
+            rest = np.where(left[live] > width, rank[np.minimum(live + width, len(ids) - 1)], 0)
+            key = rank[live] * (len(ids) + 1) + rest
+            rank = np.zeros(len(ids), np.int64)
+            rank[live] = np.unique(key, return_inverse=True)[1] + 1
+            width *= 2
+
+    def common(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """The words that the suffixes at a and b have in common, up to limit."""
+        done = np.zeros(len(a), np.int64)
+        most = np.minimum(limit, np.minimum(self.left[a], self.left[b]))
+        for k in range(len(self.levels) - 1, -1, -1):
+            for _ in range(2 if k == len(self.levels) - 1 else 1):
+                fits = done + (1 << k) <= most
+                x, y = np.where(fits, a + done, 0), np.where(fits, b + done, 0)
+                done += np.where(fits & (self.levels[k][x] == self.levels[k][y]), 1 << k, 0)
+        return done
+
+
 class Tests:
     """The benchmark's words as numbers and its suffixes.
 
@@ -46,12 +81,17 @@ class Tests:
         self.left = np.repeat(sizes, sizes) - self.position
         need = np.minimum(window, np.repeat(sizes, sizes))
         self.need = np.where(self.left >= need, need, 0)
-        self.shortest = int(sizes.min(initial=window))
+        self.shortest, self.window = int(sizes.min(initial=window)), window
+        self.sorted = np.argsort(Ranks(self.ids, self.left).levels[-1], kind="stable")
 
     def suffixes(self) -> np.ndarray:
         return np.arange(len(self.ids))
 
 
+#: Words that suffixes may share before they are compared by ranks.
+NEAR = 48
+
+
 class Shard:
     """The sparse suffix array of some documents."""
 
@@ -65,8 +105,16 @@ class Shard:
         n = len(self.ids)
         stop = np.where(self.ids > 0, n, np.arange(n))
         self.left = (np.minimum.accumulate(stop[::-1])[::-1] - np.arange(n)) if n else stop
+        self.tests, self.made = tests, None
         self.order = self._sorted(np.flatnonzero(self.left >= tests.shortest), int(tests.ids.max(initial=1)))
 
+    @property
+    def ranks(self) -> Ranks:
+        """Made where a stretch of over NEAR words repeats or matches."""
+        if self.made is None:
+            self.made = Ranks(np.concatenate((self.ids, self.tests.ids)), np.concatenate((self.left, self.tests.left)))
+        return self.made
+
     def _keys(self, at: np.ndarray, depth: np.ndarray | int, bits: int, words: int) -> np.ndarray:
         """The words at depth, packed; 0 beyond a suffix's end."""
         key = np.zeros(len(at), np.uint64)
@@ -92,22 +140,27 @@ class Shard:
             same[:-1] |= ~new[1:]
             depth += words
             tied = tied[same & (self.left[at[tied]] >= depth)]
+            if depth >= NEAR and len(tied):
+                return at[np.argsort(self.ranks.levels[-1][at], kind="stable")]
         return at
 
     def compare(self, tests: Tests, suffix: np.ndarray, rank: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Words in common of the test suffixes and the suffixes at rank, up to limit, and whether the latter are smaller."""
-        common, smaller = np.zeros(len(suffix), np.int64), np.zeros(len(suffix), bool)
+        at, common = self.order[rank], np.zeros(len(suffix), np.int64)
         live, depth = np.arange(len(suffix)), 0
-        at = self.order[rank]
-        while len(live):
-            live = live[limit[live] > depth]
-            has = self.left[at[live]] > depth
-            ours = np.where(has, self.ids[np.where(has, at[live] + depth, 0)], 0)
-            theirs = tests.ids[suffix[live] + depth]
-            smaller[live] = ours < theirs
-            live = live[ours == theirs]
+        while len(live) and self.made is None:
+            live = live[(limit[live] > depth) & (self.left[at[live]] > depth)]
+            live = live[self.ids[at[live] + depth] == tests.ids[suffix[live] + depth]]
             depth += 1
             common[live] = depth
+            if depth == NEAR and len(live):
+                self.ranks  # noqa: B018
+        if len(live):
+            common[live] = self.ranks.common(at[live], len(self.ids) + suffix[live], limit[live])
+        open_ = common < limit
+        has = open_ & (self.left[at] > common)
+        ours = np.where(has, self.ids[np.where(has, at + common, 0)], 0)
+        smaller = open_ & (ours < tests.ids[np.where(open_, suffix + common, 0)]) if len(suffix) else open_
         return common, smaller
 
     def search(self, tests: Tests, suffix: np.ndarray, limit: np.ndarray, after: bool = False) -> np.ndarray:
@@ -130,48 +183,105 @@ def _spread(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + low[owner], owner
 
 
-def _longest(shard: Shard, tests: Tests) -> np.ndarray:
-    """The length of each test suffix's longest match in the shard: that with a neighbour of its place in the array."""
+def _longest(shard: Shard, tests: Tests) -> tuple[np.ndarray, np.ndarray]:
+    """The length of each test suffix's longest match in the shard, that with a neighbour of its place in the array, and that place."""
     every = tests.suffixes()
     if not len(shard.order) or not len(every):
-        return np.zeros(len(every), np.int64)
+        return np.zeros(len(every), np.int64), np.zeros(len(every), np.int64)
     rank = shard.search(tests, every, tests.left)
     sides = (shard.compare(tests, every, np.clip(rank + k, 0, len(shard.order) - 1), tests.left)[0] for k in (-1, 0))
-    return np.maximum(*sides)
+    return np.maximum(*sides), rank
 
 
-def _places(shard: Shard, tests: Tests, suffix: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All ranks at which the suffixes' first `length` words lie, and the number of the suffix in `suffix`."""
-    return _spread(shard.search(tests, suffix, length), shard.search(tests, suffix, length, after=True))
+def _least_between(value: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """The least value in each interval [low, high), none empty: the lesser of two stretches of a power of two that cover it."""
+    out, size = np.zeros(len(low), value.dtype), high - low
+    width, table = 1, value
+    while len(table):
+        now = np.flatnonzero((size >= width) & (size < 2 * width))
+        out[now] = np.minimum(table[low[now]], table[high[now] - width])
+        table = np.minimum(table[:-width], table[width:]) if len(table) > width else table[:0]
+        width *= 2
+    return out
 
 
 def _hits(texts: list, tests: Tests) -> tuple[list[int], list[list[dict]], list[list[int]], list[dict | None]]:
     """For each document: its words, its hit stretches of words, the items with windows in it, and its longest match."""
     shard = Shard(texts, tests)
-    found = _longest(shard, tests)
+    found, begins_at = _longest(shard, tests)
     suffix = np.flatnonzero((tests.need > 0) & (found >= tests.need))
-    rank, which = _places(shard, tests, suffix, tests.need[suffix])
-    at, suffix = shard.order[rank], suffix[which]
+    low = shard.search(tests, suffix, tests.need[suffix])
+    high = shard.search(tests, suffix, tests.need[suffix], after=True)
+    # windows of the same words are one stretch of the array; each is laid out once
+    keys = np.stack((low, high, tests.need[suffix]), axis=1)
+    stretches, which = np.unique(keys, axis=0, return_inverse=True) if len(keys) else (keys, low)
+    which = which.reshape(-1)
+    rank, of = _spread(stretches[:, 0], stretches[:, 1])
+    at = shard.order[rank]
     doc = np.searchsorted(shard.first, at, "right") - 1
     cover = np.zeros(len(shard.ids) + 1, np.int64)
     np.add.at(cover, at, 1)
-    np.add.at(cover, at + tests.need[suffix], -1)
+    np.add.at(cover, at + stretches[of, 2], -1)
     edge = np.diff(np.concatenate(([False], np.cumsum(cover)[:-1] > 0, [False])).astype(np.int8))
     begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     spans: list[list[dict]] = [[] for _ in texts]
     for d, b, e in zip(np.searchsorted(shard.first, begins, "right") - 1, begins, ends):
         spans[d].append({"first": int(b - shard.first[d]), "last": int(e - shard.first[d])})
+    # an item counts once for a stretch, and a stretch once for a document
+    owners = np.unique(np.stack((which, tests.owner[suffix]), axis=1), axis=0) if len(suffix) else np.zeros((0, 2), np.int64)
+    begin = np.searchsorted(owners[:, 0], np.arange(len(stretches) + 1))
     items: list[set] = [set() for _ in texts]
-    for x in np.unique(doc * max(1, len(tests.items)) + tests.owner[suffix]).tolist():
-        d, k = divmod(x, len(tests.items))
-        items[d].add(tests.items[k])
-    length = shard.compare(tests, suffix, rank, tests.left[suffix])[0] if len(rank) else rank
-    longest: list[dict | None] = [None] * len(texts)
-    by = np.lexsort((suffix, at, -length, doc))
-    for k in by[run_starts(doc[by])].tolist():
-        d, s = int(doc[k]), suffix[k]
-        longest[d] = {"length": int(length[k]), "start": int(at[k] - shard.first[d]), "item": tests.items[tests.owner[s]], "position": int(tests.position[s])}
-    return (shard.end - shard.first).tolist(), spans, [sorted(s - {None}) for s in items], longest
+    seen = np.unique(doc * max(1, len(stretches)) + of)
+    for x in seen.tolist():
+        d, k = divmod(x, len(stretches))
+        items[d].update(tests.items[i] for i in owners[begin[k] : begin[k + 1], 1].tolist())
+    return (shard.end - shard.first).tolist(), spans, [sorted(s - {None}) for s in items], _longest_places(shard, tests, begins_at, stretches, len(texts))
+
+
+def _longest_places(shard: Shard, tests: Tests, begins: np.ndarray, stretches: np.ndarray, n: int) -> list[dict | None]:
+    """Each document's longest match that holds a window: of equally long ones the first in the document, then in the items.
+
+    begins is where each test suffix belongs in the array. The longest match of a place
+    with any test is that with a neighbour among the sorted tests; where it is shorter
+    than a window, only whole short items that stand there count.
+    """
+    longest: list[dict | None] = [None] * n
+    edges = np.zeros(len(shard.order) + 1, np.int64)
+    whole = np.zeros(len(shard.order), np.int64)
+    for low, high, need in stretches[np.argsort(stretches[:, 2], kind="stable")].tolist():
+        edges[low] += 1
+        edges[high] -= 1
+        if need < tests.window:
+            whole[low:high] = need
+    held = np.flatnonzero(np.cumsum(edges)[:-1] > 0)
+    place = np.searchsorted(begins[tests.sorted], held, "right")
+    length = np.zeros(len(held), np.int64)
+    for k in (-1, 0):
+        near = tests.sorted[np.clip(place + k, 0, len(tests.sorted) - 1)]
+        length = np.maximum(length, shard.compare(tests, near, held, tests.left[near])[0])
+    length = np.where(length >= tests.window, length, whole[held])
+    at = shard.order[held]
+    doc = np.searchsorted(shard.first, at, "right") - 1
+    first = np.lexsort((at, -length, doc))
+    for k in first[run_starts(doc[first])].tolist():
+        d, start, size = int(doc[k]), int(at[k]), int(length[k])
+        s = _first_suffix(shard, tests, start, size)
+        longest[d] = {"length": size, "start": start - int(shard.first[d]), "item": tests.items[tests.owner[s]], "position": int(tests.position[s])}
+    return longest
+
+
+def _first_suffix(shard: Shard, tests: Tests, at: int, size: int) -> int:
+    """The first test suffix with a window whose first `size` words stand at a place of the shard, as is known of one."""
+    fits = (tests.ids == shard.ids[at]) & (tests.left >= size) & (tests.need > 0) & (tests.need <= size)
+    suffix = np.flatnonzero(fits)
+    if shard.made is not None:
+        same = shard.ranks.common(np.full(len(suffix), at), len(shard.ids) + suffix, np.full(len(suffix), size))
+        return int(suffix[np.flatnonzero(same >= size)[0]])
+    for k in range(1, size):
+        if len(suffix) == 1:
+            break
+        suffix = suffix[tests.ids[suffix + k] == shard.ids[at + k]]
+    return int(suffix[0])
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, block_chars: int):
@@ -260,19 +370,18 @@ def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
             t = shared.value
             for ids, texts in buffered(batches, SHARD_CHARS, text_size):
                 shard = Shard(texts, t)
-                length = _longest(shard, t)
-                suffix = np.flatnonzero(length >= least)
-                rank, which = _places(shard, t, suffix, length[suffix])
-                at = shard.order[rank]
-                doc = np.searchsorted(shard.first, at, "right") - 1
-                start = at - shard.first[doc]
+                length = _longest(shard, t)[0]
+                k = np.flatnonzero(length >= least)
+                low, high = shard.search(t, k, length[k]), shard.search(t, k, length[k], after=True)
+                doc = np.searchsorted(shard.first, shard.order, "right") - 1
+                start = shard.order - shard.first[doc]
                 known = np.array([d is not None for d in ids], bool)[doc]
                 name = np.array([d or 0 for d in ids], np.int64)[doc]
-                by = np.lexsort((start, name, ~known, which))
-                first = by[run_starts(which[by])]
-                k = suffix[which[first]]
-                counts = np.bincount(which, minlength=len(suffix))[which[first]]
-                yield [[t.items[o] for o in t.owner[k]], t.position[k].tolist(), length[k].tolist(), [ids[d] for d in doc[first]], start[first].tolist(), counts.tolist()]
+                by = np.lexsort((start, name, ~known))
+                place = np.empty(len(by), np.int64)
+                place[by] = np.arange(len(by))
+                first = by[_least_between(place, low, high)]
+                yield [[t.items[o] for o in t.owner[k]], t.position[k].tolist(), length[k].tolist(), [ids[d] for d in doc[first]], start[first].tolist(), (high - low).tolist()]
 
         part = map_rows(docs, rows, "item_id long, position long, length long, doc_id long, start long, places long")
         out = part if out is None else out.union(part)

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortaudit.llm.common import map_rows, stage
+from cohortaudit.llm.common import hash_bound, map_rows, stage
 
 #: The model's size: training documents for each language (in expectation), n-grams that a
 #: language's filter learns at most (the commonest), slots of the filter. Each 64 languages
@@ -97,8 +97,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     if not languages:
         return filters
     spark = docs.sparkSession
-    rates = spark.createDataFrame([(x, i, int(min(1.0, per_language / sizes[x]) * 1_000_000)) for i, x in enumerate(languages)], "lang string, language int, rate long")
-    sample = rows.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1_000_000)) < F.col("rate")).select("language", "text")
+    rates = spark.createDataFrame([(x, i, hash_bound(per_language / sizes[x])) for i, x in enumerate(languages)], "lang string, language int, bound long")
+    sample = rows.join(F.broadcast(rates), "lang").where(F.xxhash64("doc_id", F.length("text")) <= F.col("bound")).select("language", "text")
 
     def count(batches):
         for language, texts in batches:

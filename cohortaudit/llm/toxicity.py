@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortaudit.llm.common import map_rows, words_of
+from cohortaudit.llm.common import hash_bound, map_rows, words_of
 
 #: Labelled documents of each label in the sample (in expectation), features, grades.
 PER_LABEL, FEATURES, GRADES = 3000, 2000, 4
@@ -72,17 +72,20 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, grades: int, l2: float = 1e-4,
 
 
 def _sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int) -> DataFrame:
-    """(toxic int, text): about per_label documents of each label, each text once."""
+    """(digest, toxic int, text): about per_label documents of each label, twice as many at most, each text once."""
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("toxic")).where("_id is not null and toxic in (0, 1)").groupBy("_id").agg(F.max("toxic").alias("toxic"))
     sizes = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    rate = F.lit(0)
+    bound = F.lit(hash_bound(0.0))
     for k, n in sizes.items():
-        rate = F.when(F.col("toxic") == k, F.lit(int(min(1.0, per_label / n) * 1_000_000))).otherwise(rate)
-    chosen = known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < rate)
+        bound = F.when(F.col("toxic") == k, F.lit(hash_bound(per_label / n))).otherwise(bound)
+    chosen = known.where(F.xxhash64("_id") <= bound)
     # at most about 2 * per_label rows, so the texts need no shuffle
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text")).where("text is not null")
     rows = texts.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("toxic", "text")
-    return rows.groupBy(F.md5("text").alias("digest")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("digest", "toxic", "text")
+    distinct = rows.groupBy(F.md5("text").alias("digest")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select("digest", "toxic", "text")
+    # an id that many rows share may bring many texts; those of the smallest digests stay
+    first = [distinct.where(F.col("toxic") == k).orderBy("digest").limit(2 * per_label) for k in (0, 1)]
+    return first[0].unionByName(first[1])
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL, features: int = FEATURES, grades: int = GRADES) -> OrdinalModel:

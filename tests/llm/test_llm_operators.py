@@ -692,3 +692,82 @@ def test_language_filters_of_many():
     for i in range(130):
         f.add(i, langid.grams(f"zq{i:03}x wer{chr(97 + i % 26)}{chr(97 + i // 26)}ty{chr(97 + i // 26)}"))
     assert f.predict("werafty werafty wer" + chr(97 + 129 % 26) + chr(97 + 129 // 26) + "ty" + chr(97 + 129 // 26))[0] == "l129"
+
+
+# large tables and repetitive texts ---------------------------------------------------
+def test_sample_rates_hold_at_any_size():
+    """A sample of 1,500 of 10^11 rows is the intended share of all hashes, not none."""
+    from cohortaudit.llm.common import hash_bound
+
+    assert hash_bound(1.0) == hash_bound(7.0) == 2**63 - 1
+    for size in (10**6, 1_500_000_000, 10**11, 10**15):
+        share = (hash_bound(1500 / size) + 2**63) / 2**64
+        assert abs(share * size - 1500) < 1
+
+
+def test_toxicity_sample_is_bounded_where_rows_share_an_id(spark):
+    docs = spark.range(4000).selectExpr("if(id < 3000, 1, id) doc_id", "concat('text ', id) text")
+    labels = spark.range(4000).selectExpr("id doc_id", "cast(id % 2 as int) toxic")
+    sample = toxicity._sample(docs, labels, "doc_id", "text", "toxic", 50)
+    assert sample.groupBy("toxic").count().where("count > 100").count() == 0
+
+
+def brute_longest(texts, items, window=10):
+    out = []
+    for t in texts:
+        words, best = tokens_of(t), None
+        for i, item in items:
+            ws = tokens_of(item)
+            need = min(window, len(ws))
+            for q in range(len(ws) - need + 1 if ws else 0):
+                for p in range(len(words) - need + 1):
+                    if words[p : p + need] == ws[q : q + need]:
+                        n = need
+                        while p + n < len(words) and q + n < len(ws) and words[p + n] == ws[q + n]:
+                            n += 1
+                        best = min(best or (0,), (-n, p, i, q)) if best else (-n, p, i, q)
+        out.append(best)
+    return out
+
+
+def tokens_of(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+
+
+@pytest.mark.parametrize("near", [0, 1, 48])
+def test_longest_matches_in_repetitive_texts(near, monkeypatch):
+    """Against brute force, with few words that repeat, whether places are compared word by word or by ranks."""
+    monkeypatch.setattr(decontaminate, "NEAR", near)
+    rng = random.Random(near)
+    for _ in range(25):
+        make = lambda n: " ".join(rng.choice("ab" if rng.random() < 0.9 else "abcd") for _ in range(n))
+        items = [(i, make(rng.choice([1, 3, 9, 10, 14, 40]))) for i in range(5)]
+        texts = [make(rng.choice([0, 2, 30, 120])) for _ in range(4)]
+        got = decontaminate._hits(texts, decontaminate.Tests(items, 10))
+        want = brute_longest(texts, items)
+        assert [(-x["length"], x["start"], x["item"], x["position"]) if x else None for x in got[3]] == want
+        for t, spans, found in zip(texts, got[1], got[2]):
+            words, hit, met = tokens_of(t), set(), set()
+            for i, item in items:
+                ws = tokens_of(item)
+                need = min(10, len(ws))
+                for q in range(len(ws) - need + 1):
+                    for p in range(len(words) - need + 1):
+                        if words[p : p + need] == ws[q : q + need]:
+                            hit |= set(range(p, p + need))
+                            met.add(i)
+            assert {k for s in spans for k in range(s["first"], s["last"])} == hit and found == sorted(met)
+
+
+def test_one_word_repeated_and_a_long_item(spark):
+    """A megabyte of one benchmark word, and an item of 100,000 words that a document holds whole."""
+    rng = random.Random(8)
+    long = " ".join(f"w{rng.randrange(5000)}" for _ in range(100_000))
+    benchmark = spark.createDataFrame([(1, "the " * 100_000), (2, long)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "the " * 250_000), (2, f"before {long} after"), (3, "clean text")], "doc_id long, text string").repartition(1)
+    got = {r.doc_id: r for r in decontaminate.contamination(docs, benchmark).collect()}
+    assert (got[1].n_hit, got[1].longest, got[1].longest_start) == (250_000, 100_000, 0)
+    assert (got[2].n_hit, got[2].longest, got[2].longest_start, got[2].longest_item) == (100_000, 100_000, 1, 2)
+    assert not got[3].contaminated
+    places = {(r.item_id, r.position): r for r in decontaminate.longest_matches(docs, benchmark).where("position in (0, 50000)").collect()}
+    assert (places[1, 50_000].length, places[1, 50_000].places) == (50_000, 200_001) and places[2, 0].doc_id == 2
