@@ -45,10 +45,13 @@ def mentions(text: Column | str, phrases: list[str]) -> Column:
     """struct of any, affirmed, negated and speculative for the phrases' mentions.
 
     Each occurrence is of one kind, by the cues in the CUE_WINDOW characters before it:
-    negation before speculation before neither. Cues are plain substrings.
+    negation before speculation before neither. Cues are plain substrings. Phrases that
+    begin at one place have one window, so all are looked for in one pass.
     """
     s = normalize(text)
-    windows = F.concat(*(_left_windows(s, p) for p in phrases))
+    apart = [p for p in phrases if _overlaps_itself(p)]
+    once = [p for p in phrases if p not in apart]
+    windows = F.concat(*(_left_windows(s, ps) for ps in [once] * bool(once) + [[p] for p in apart]))
     some = lambda cues: "|".join(map(literal, cues))
     kind = lambda w: F.when(w.rlike(some(NEGATION_CUES)), "negated").when(w.rlike(some(SPECULATION_CUES)), "speculative").otherwise("affirmed")
     # one element, so that the windows are made and classified once for the four answers
@@ -57,14 +60,25 @@ def mentions(text: Column | str, phrases: list[str]) -> Column:
     return F.transform(kinds, lambda k: F.struct((F.size(k) > 0).alias("any"), *(F.array_contains(k, n).alias(n) for n in names)))[0]
 
 
-def _left_windows(s: Column, phrase: str) -> Column:
-    """The CUE_WINDOW characters to the left of each occurrence of the phrase, or what there are.
+def _overlaps_itself(phrase: str) -> bool:
+    """Whether a phrase may begin inside an occurrence of itself, where the second doesn't count."""
+    p = phrase.lower()
+    return any(p.startswith(p[m.start() :]) for m in re.finditer(r"\b", p) if 0 < m.start() < len(p))
 
-    The phrase is found first; then a look-behind of two fixed shapes takes the window, so
-    windows may overlap and the work is in proportion to the text.
+
+def _left_windows(s: Column, phrases: list[str]) -> Column:
+    """The CUE_WINDOW characters to the left of each occurrence of the phrases, or what there are.
+
+    One phrase is matched itself; of several only the places where any begins are matched,
+    so that they may overlap. A look-behind of two fixed shapes takes the window: windows
+    may overlap, and the work is in proportion to the text.
     """
-    p = literal(phrase)
-    return F.regexp_extract_all(s, F.lit(rf"(?U)\b{p}\b(?<=(^.{{0,{CUE_WINDOW - 1}}}|.{{{CUE_WINDOW}}}){p})"), F.lit(1))
+    window = rf"(^.{{0,{CUE_WINDOW - 1}}}|.{{{CUE_WINDOW}}})"
+    if len(phrases) == 1:
+        p = literal(phrases[0])
+        return F.regexp_extract_all(s, F.lit(rf"(?U)\b{p}\b(?<={window}{p})"), F.lit(1))
+    some = "|".join(map(literal, phrases))
+    return F.regexp_extract_all(s, F.lit(rf"(?U)\b(?=(?:{some})\b)(?<={window})"), F.lit(1))
 
 
 def low_information(text: Column | str, least: int, generic: list[str]) -> Column:

@@ -116,10 +116,14 @@ def curve(df: DataFrame, by: list[str], confidence: str, error: str, key: str, w
 
 def curve_at(points: DataFrame, by: list[str], grid: list[float]) -> DataFrame:
     """(by, grid, risk): the risk at the first coverage that reaches each grid value (the last one where none does)."""
-    g = F.broadcast(points.sparkSession.createDataFrame([(x,) for x in grid], "grid double"))
-    hit = points.join(g)  # as many copies of the curve as the grid has values, met by one aggregation
-    first = F.min_by("risk", F.when(F.col("coverage") >= F.col("grid"), F.col("coverage")))
-    return hit.groupBy(*by, "grid").agg(F.round(F.coalesce(first, F.max_by("risk", "coverage")), DIGITS).alias("risk"))
+    # a row answers the values between the coverage before it and its own, so the curve isn't copied;
+    # the margin lets a neighbour answer too where sums of weights round, and min_by picks
+    before = (F.col("cum_w") - F.col("w")) / F.col("total")
+    values = F.array(*map(F.lit, grid))
+    hits = points.select(*by, "coverage", "risk", F.explode(F.filter(values, lambda g: (g <= F.col("coverage")) & ((g > before - 1e-9) | (before <= 0)))).alias("grid"))
+    first = hits.groupBy(*by, "grid").agg(F.min_by("risk", "coverage").alias("risk"))
+    last = points.groupBy(*by).agg(F.max_by("risk", "coverage").alias("_last")).withColumn("grid", F.explode(values))
+    return last.join(first, [*by, "grid"], "left").select(*by, "grid", F.round(F.coalesce("risk", "_last"), DIGITS).alias("risk"))
 
 
 def areas(points: DataFrame, by: list[str]) -> DataFrame:

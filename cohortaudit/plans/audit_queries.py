@@ -40,15 +40,17 @@ CONTEXT = f"""context as (
   select *, norm <> '' as present, {tokens("norm")} as tokens, norm <> '' and low as low, norm <> '' and not low as usable,
     case when norm = '' then 'absent' when low then 'low_information' else 'usable' end as state
   from (select *, {norm("context")} as norm, {low("context")} as low from contexts))"""
-#: A context of every kind: null, short, generic only, and whole texts.
-CONTEXTS = "contexts as (select *, case when doc_id % 5 = 0 then null when doc_id % 5 = 1 then cluster || ' ' || site when doc_id % 5 = 2 then 'of the  that' else text end as context from labelled)"
+#: Every whole text is a context; contexts of the other kinds (null, short, generic only) are rows of their own with ids below zero.
+CONTEXTS = "contexts as (select *, text as context from labelled union all select * replace (-1 - doc_id as doc_id), case doc_id % 5 when 0 then null when 1 then cluster || ' ' || site else 'of the  that' end from labelled where doc_id % 5 < 3)"
 
 
 def _contexts(spark, sf):
     rows = labelled(spark, sf)
     h = F.col("doc_id") % 5
-    context = F.when(h == 0, F.lit(None)).when(h == 1, F.concat_ws(" ", "cluster", "site")).when(h == 2, "of the  that").otherwise(F.col("text"))
-    return rows.withColumn("context", context).withColumn("f", X.context_features("context", LEAST, GENERIC)).select("*", "f.*").drop("f")
+    other = F.when(h == 0, F.lit(None)).when(h == 1, F.concat_ws(" ", "cluster", "site")).otherwise("of the  that")
+    more = rows.where(h < 3).select("*", other.alias("context")).withColumn("doc_id", -1 - F.col("doc_id"))
+    rows = rows.withColumn("context", F.col("text")).unionByName(more)
+    return rows.withColumn("f", X.context_features("context", LEAST, GENERIC)).select("*", "f.*").drop("f")
 
 
 def _has(w: str, cues) -> str:
@@ -130,13 +132,15 @@ def f5(spark, sf):
 
 
 EFFECTIVE = "len([w for w in regexp_split_to_array(trim(regexp_replace(coalesce({0}, ''), '_{{2,}}', ' ', 'g')), '\\s+') if regexp_matches(w, '[\\p{{L}}\\p{{N}}]')])::int"
-MARKED = "marked as (select doc_id, case doc_id % 4 when 0 then '___-year ' || text when 1 then '___ ____ _____' when 2 then null else 'a ' || replace(text, ' ', case doc_id % 3 when 0 then ' ___ ' else ' ' end) end as t from documents)"
+#: Every whole text, with marks put in; texts of marks only and null ones are rows of their own with ids below zero.
+MARKED = "marked as (select doc_id, case when doc_id % 2 = 0 then '___-year ' || text else 'a ' || replace(text, ' ', case doc_id % 3 when 0 then ' ___ ' else ' ' end) end as t from documents union all select -1 - doc_id, case doc_id % 4 when 1 then '___ ____ _____' end from documents where doc_id % 4 in (1, 2))"
 
 
 def _marked(spark, sf):
-    h = F.col("doc_id") % 4
-    t = F.when(h == 0, F.concat(F.lit("___-year "), "text")).when(h == 1, "___ ____ _____").when(h == 2, F.lit(None)).otherwise(F.concat(F.lit("a "), F.replace("text", F.lit(" "), F.when(F.col("doc_id") % 3 == 0, " ___ ").otherwise(" "))))
-    return table(spark, sf, "documents").select("doc_id", t.alias("t"))
+    docs, id_ = table(spark, sf, "documents"), F.col("doc_id")
+    spaced = F.concat(F.lit("a "), F.replace("text", F.lit(" "), F.when(id_ % 3 == 0, " ___ ").otherwise(" ")))
+    marked = docs.select("doc_id", F.when(id_ % 2 == 0, F.concat(F.lit("___-year "), "text")).otherwise(spaced).alias("t"))
+    return marked.union(docs.where((id_ % 4).isin(1, 2)).select(-1 - id_, F.when(id_ % 4 == 1, "___ ____ _____")))
 
 
 @query("f6_effective_tokens", f"with {MARKED} select doc_id, {EFFECTIVE.format('t')} as n from marked")

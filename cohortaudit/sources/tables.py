@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -122,18 +124,50 @@ def classify(name: Column, patterns: list[tuple[str, str]], default: str = "othe
     return out
 
 
-def inventory(spark: SparkSession, folder: str, patterns: list[tuple[str, str]], counted: list[str]) -> DataFrame:
+#: Files of more bytes are digested in chunks; smaller ones are one value of a row.
+WHOLE, CHUNK = 64 << 20, 1 << 20
+
+
+def _input(path: str):
+    """An open stream of a path as Spark writes it."""
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+    system, name = fs.FileSystem.from_uri(path.replace("s3a:", "s3:", 1) if scheme == "s3a" else path)
+    return system.open_input_stream(name)
+
+
+def chunked_digests(files: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """files, with the sha256 of what the column `path` names, read `chunk` bytes at a time whatever its size."""
+
+    def digests(batches):
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                digest = hashlib.sha256()
+                with _input(path) as stream:
+                    while part := stream.read(chunk):
+                        digest.update(part)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "sha256"])
+
+    return files.mapInArrow(digests, T.StructType([*files.schema.fields, T.StructField("sha256", T.StringType())]))
+
+
+def inventory(spark: SparkSession, folder: str, patterns: list[tuple[str, str]], counted: list[str], whole: int = WHOLE) -> DataFrame:
     """(path, name, category, size, modified, sha256) of the files below folder.
 
-    Files of the `counted` categories are never opened: their digest is null.
+    Files of the `counted` categories are never opened: their digest is null. Files of
+    more than `whole` bytes are read in chunks, so neither memory nor a row's 2 GB bound them.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
     category = classify(F.regexp_extract("path", "([^/]+)$", 1), patterns)
     shape = ("path", F.regexp_extract("path", "([^/]+)$", 1).alias("name"), category.alias("category"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"))
-    # two scans: the one of counted files reads no contents
-    opened = files.where(~category.isin(counted)).select(*shape, F.sha2("content", 256).alias("sha256"))
+    # three scans: only the first reads contents
+    opened = files.where(~category.isin(counted) & (F.col("length") <= whole)).select(*shape, F.sha2("content", 256).alias("sha256"))
+    large = files.drop("content").where(~category.isin(counted) & (F.col("length") > whole)).select(*shape)
     closed = files.drop("content").where(category.isin(counted)).select(*shape, F.lit(None).cast("string").alias("sha256"))
-    return opened.unionByName(closed)
+    return opened.unionByName(chunked_digests(large)).unionByName(closed)
 
 
 def inventory_summary(files: DataFrame) -> DataFrame:

@@ -33,6 +33,18 @@ def test_mentions(spark):
     assert kinds(None) == (False,) * 4
 
 
+def test_mentions_of_many_phrases(spark):
+    kinds = lambda t, *ps: tuple(one(spark, X.mentions("v", list(ps)), t))
+    assert kinds("no lung edema. " + "x" * 45 + " edema of lung", "edema", "lung edema", "lung") == (True, True, True, False)
+    assert kinds("edemas lungs", "edema", "lung", "lung edema") == (False,) * 4
+    assert kinds("no pain pain", "pain pain", "edema") == (True, False, True, False)
+    # the second of two overlapping occurrences of one phrase doesn't count, and it alone would be affirmed
+    text = "no " + "x" * 41 + " pain pain pain"
+    assert kinds(text, "pain pain", "edema") == kinds(text, "pain pain")
+    assert kinds(text, "pain pain", "edema") == (True, False, True, False)
+    assert kinds(text, "pain", "edema") == (True, True, True, False)
+
+
 def test_low_information(spark):
     low = lambda t: one(spark, X.low_information("v", 3, ["chest pain"]), t)
     assert [low(t) for t in (None, "", "pain", "chest pain acute onset", "acute severe chest pain today")] == [False, False, True, True, False]

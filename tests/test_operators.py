@@ -388,6 +388,7 @@ def test_curve(spark):
     a = R.areas(points, ["g"]).first()
     assert (a.aurc, a.augrc) == (round((0 + 0.5 + 1 / 3) / 3, 6), round((0 + 1 / 3 + 1 / 3) / 3, 6))
     assert [r.risk for r in R.curve_at(points, ["g"], [0.5, 1.0]).orderBy("grid").collect()] == [0.5, round(1 / 3, 6)]
+    assert [r.risk for r in R.curve_at(points, ["g"], [0.0, 0.4, 2.0]).orderBy("grid").collect()] == [points.orderBy("coverage").first().risk, 0.5, round(1 / 3, 6)]
 
 
 def test_run_segments(spark):

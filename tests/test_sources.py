@@ -45,6 +45,23 @@ def test_reports_and_inventory(spark, tmp_path):
     assert T.access_gate(files, ["mask"]).first().status == "BLOCKED"
 
 
+def test_digests_in_chunks(spark, tmp_path):
+    (tmp_path / "b c%20d.bin").write_bytes(b"x" * 3_000)
+    (tmp_path / "small.bin").write_bytes(b"y")
+    (tmp_path / "x.dcm").write_bytes(b"z" * 3_000)
+    patterns = [("image", r"\.dcm$")]
+    digests = lambda **k: {r.name: (r.size, r.sha256) for r in T.inventory(spark, str(tmp_path), patterns, ["image"], **k).collect()}
+    assert digests(whole=1_000) == digests() == digests(whole=0)
+    assert digests()["x.dcm"] == (3_000, None) and digests(whole=0)["b c%20d.bin"] == (3_000, hashlib.sha256(b"x" * 3_000).hexdigest())
+    size = (1 << 31) + 5  # more than a value of a row can hold
+    with open(tmp_path / "large.bin", "wb") as f:
+        f.truncate(size)
+    want = hashlib.sha256()
+    for at in range(0, size, 1 << 20):
+        want.update(bytes(min(1 << 20, size - at)))
+    assert digests()["large.bin"] == (size, want.hexdigest())
+
+
 def test_checksums(spark):
     lines = spark.createDataFrame([("0" * 64 + "  a",), ("1" * 64 + " *b c",), ("junk",)], "value string")
     files = spark.createDataFrame([("a", "0" * 64), ("b c", "2" * 64), ("d", "3" * 64)], "name string, sha256 string")
