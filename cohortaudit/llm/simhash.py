@@ -4,8 +4,9 @@ Fingerprints that share a block are laid in tiles by population count and compar
 exclusive-or and bit counts; tile pairs whose counts differ by more than the radius are
 never formed. Blocks come from the fingerprint or from the text:
 
-* bands (64 bits, small radius): two fingerprints within `radius` bits agree in at least
-  one of radius + 1 bands, so this finds every pair that comparing all with all finds;
+* bits (64 bits, small radius): two fingerprints within `radius` bits agree in all but
+  `radius` of any blocks of bits, so keys of that many blocks find every pair that comparing
+  all with all finds; the more fingerprints there are, the more blocks and the wider the keys;
 * least shingle hashes (wide fingerprints, similarity of shingle sets): a block is three
   least hashes. Such links only say what is to be compared: the shingle sets of what they
   connect are, exactly.
@@ -18,6 +19,7 @@ hashes where they too are many. So the work stays in proportion to a block's row
 from __future__ import annotations
 
 import re
+from itertools import combinations
 
 import numpy as np
 import xxhash
@@ -202,11 +204,28 @@ def _compare(radius: int, words: int):
     return rows
 
 
-def band_keys(fp: F.Column, radius: int) -> F.Column:
-    """Block keys of a 64-bit fingerprint: radius + 1 bands' values, each with its band."""
-    bands = radius + 1
-    at = [BITS * i // bands for i in range(bands + 1)]
-    return F.array(*(F.shiftright(fp, at[i]).bitwiseAND(F.lit((1 << (at[i + 1] - at[i])) - 1)) * bands + i for i in range(bands)))
+#: Rows that chance alone may put into a bucket before fingerprints are cut into more blocks.
+CROWD = 64
+
+
+def block_count(n: int, radius: int) -> int:
+    """The fewest blocks whose keys are so wide that n evenly spread fingerprints leave at most CROWD to a bucket."""
+    blocks = radius + 1
+    while n >> (BITS * (blocks - radius) // blocks) > CROWD:
+        blocks += 1
+    return blocks
+
+
+def band_keys(fp: F.Column, radius: int, blocks: int | None = None) -> F.Column:
+    """Block keys of a 64-bit fingerprint: one for each choice of `blocks` - radius of its blocks of bits.
+
+    Fingerprints within radius differ in at most that many blocks, so they share a key. With
+    radius + 1 blocks (the default) each block is a key; more give more and wider keys.
+    """
+    blocks = blocks or radius + 1
+    at = [BITS * i // blocks for i in range(blocks + 1)]
+    masks = [sum((1 << at[i + 1]) - (1 << at[i]) for i in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+    return F.array(*(F.xxhash64(fp.bitwiseAND(F.lit(m - (m >> 63 << 64))), F.lit(i)) for i, m in enumerate(masks)))
 
 
 def _tiled(rows: DataFrame, radius: int, tile: int) -> DataFrame:
@@ -291,16 +310,17 @@ def _named(prints: DataFrame, groups: DataFrame, roots: DataFrame, by: list[str]
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:
     """(doc_id long, sign long, fp array<long>, component_id long), a row for each row of docs.
 
-    Blocks are bands of one word, so every pair within radius is found. component_id is
+    Keys are blocks of one word's bits (block_count), and every pair within radius shares one. component_id is
     the smallest doc_id reachable over links of at most radius bits. Null, empty and
     blank texts have fingerprint zero and link like any other. Repeated rows stay
     repeated. A null doc_id can't be a component's name: component_id is null only if no
     row of the component has a doc_id. Other columns are not read.
     """
     prints, _ = stage(fingerprints(docs, id_col, text_col, width), "fingerprints")
-    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("keys", band_keys(F.col("fp")[0], radius))
+    groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     groups, _ = stage(groups.withColumn("node", F.monotonically_increasing_id()), "groups")
-    return _named(prints, groups, _linked(groups.select("node", "fp", "keys"), radius), ["fp"])
+    keys = band_keys(F.col("fp")[0], radius, block_count(groups.count(), radius))
+    return _named(prints, groups, _linked(groups.select("node", "fp", keys.alias("keys")), radius), ["fp"])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, radius: int = 2) -> DataFrame:

@@ -415,6 +415,26 @@ def test_fingerprints_and_components(spark):
     assert simhash.near_duplicates(empty(spark)).count() == 0
 
 
+def test_block_count_grows_with_the_table():
+    assert [simhash.block_count(n, 2) for n in (0, 10**6, 10**8, 10**9, 10**11, 10**12, 10**14)] == [3, 3, 3, 4, 4, 5, 6]
+
+
+@pytest.mark.parametrize("blocks", [3, 4, 6])
+def test_components_by_more_blocks(spark, blocks, monkeypatch):
+    rng = random.Random(blocks)
+    centres = [rng.getrandbits(64) for _ in range(40)]
+    prints = {}
+    for i in range(400):
+        x = rng.choice(centres)
+        for _ in range(rng.randrange(4)):
+            x ^= 1 << rng.randrange(64)
+        prints[i] = x
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: spark.createDataFrame([(i, i, [x - (x >> 63 << 64)]) for i, x in prints.items()], "doc_id long, sign long, fp array<long>"))
+    monkeypatch.setattr(simhash, "block_count", lambda n, radius: blocks)
+    got = {r.doc_id: r.component_id for r in simhash.components(None).collect()}
+    assert got == brute_components(prints, 2)
+
+
 @pytest.mark.parametrize("tile", [16, 60])
 def test_tiles_of_hot_buckets(spark, tile):
     rng = np.random.default_rng(1)
