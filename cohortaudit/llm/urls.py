@@ -22,20 +22,12 @@ RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/"
 FEATURES = 1 << 16
 #: (url, label, split): 90 urls that one would not crawl (1) and 90 that one would (0), written for this purpose.
 TABLE = Path(__file__).with_name("labelled_urls.csv")
-TOPS = ("org", "net", "com", "info")
 
 
 def labelled_urls(spark: SparkSession, split: str | None = None) -> DataFrame:
-    """(url, label): the small default training table, 1 for unwanted; split: only its `train` or its `test` rows.
-
-    To the table's urls come plain hosts of running syllables (train), so that an unknown
-    host isn't taken for a bad one.
-    """
+    """(url, label): the small default training table, 1 for unwanted; split: only its `train` or its `test` rows."""
     with TABLE.open(encoding="utf-8", newline="") as f:
         rows = [(r["url"], float(r["label"])) for r in csv.DictReader(f) if split in (None, r["split"])]
-    sounds = ("th", "er", "in", "an", "re", "on", "st", "en", "la", "mi", "do", "ka", "lu", "so", "ter", "ing")
-    if split != "test":
-        rows += [(f"http://{a}{b}{a if i % 2 else 'al'}.site.{TOPS[i % 4]}/page/{i}", 0.0) for i, (a, b) in enumerate((a, b) for a in sounds for b in sounds if a != b)]
     return spark.createDataFrame(rows, "url string, label double")
 
 
