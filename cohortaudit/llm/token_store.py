@@ -71,7 +71,7 @@ def _bounds(docs: DataFrame, parts: int) -> list[int]:
     """doc_ids that cut the documents into parts of about equal numbers; one that many rows share repeats."""
     if parts < 2:
         return []
-    found = docs.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(10_000))).first()[0]
+    found = docs.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / parts) for i in range(1, parts))), F.lit(max(10_000, 10 * parts)))).first()[0]
     return sorted(found or [])
 
 
