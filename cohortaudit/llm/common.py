@@ -179,6 +179,26 @@ def text_size(columns: list) -> int:
     return sum(len(t.encode()) for t in columns[-1] if t) + len(columns[-1])
 
 
+def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[list], list], limit: int = 0) -> DataFrame:
+    """docs' rows for whose texts keep says True, with all their columns; rows stay where they lie.
+
+    keep gets the texts of at most BATCH_ROWS rows, or of as many as have `limit` bytes together.
+    """
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        parts = ([[b], b.column(at).to_pylist()] for b in sliced(batches, BATCH_ROWS))
+        for held, texts in buffered(parts, limit, text_size):
+            mask = pa.array(keep(texts), pa.bool_())
+            del texts
+            first = 0
+            for b in held:
+                yield b.filter(mask.slice(first, b.num_rows))
+                first += b.num_rows
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def hash_bound(share: float) -> int:
     """The signed 64-bit number that a share of all hashes is at most; the share may be as small as 1e-18."""
     return min((1 << 63) - 1, int(min(1.0, share) * (1 << 64)) - (1 << 63))

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortaudit.llm.common import WORD_TABLE, buffered, map_rows, project, run_starts, stage, text_size, words_of
+from cohortaudit.llm.common import WORD_TABLE, buffered, keep_rows, map_rows, project, run_starts, stage, text_size, words_of
 
 WINDOW = 10
 #: Characters of training text in a shard, and of benchmark text in a block.
@@ -353,6 +353,20 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
     return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), F.coalesce("longest.length", F.lit(0).cast("long")).alias("longest"), *place)
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs' rows, with all their columns, that hits() finds no window in.
+
+    Rows are searched where they lie, so nothing is joined and ids don't matter. A
+    benchmark of several blocks takes a written table between two of them. Null and empty
+    texts stay, as do all rows where no item has words.
+    """
+    for k, tests in enumerate(_blocks(benchmark, item_col, item_text, window, block_chars)):
+        shared = docs.sparkSession.sparkContext.broadcast(tests)
+        docs = stage(docs, "cleaned")[0] if k else docs
+        docs = keep_rows(docs, text_col, lambda texts, shared=shared: [not s for s in _hits(texts, shared.value)[1]], SHARD_CHARS)
+    return docs
+
+
 def longest_matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least: int = WINDOW, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(item_id, position, length, doc_id, start, places): each test suffix's longest verbatim match in all shards.
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortaudit.llm.common import hash_bound, map_rows, stage
+from cohortaudit.llm.common import hash_bound, keep_rows, map_rows, stage
 
 #: The model's size: training documents for each language (in expectation), n-grams that a
 #: language's filter learns at most (the commonest), slots of the filter. Each 64 languages
@@ -143,3 +143,13 @@ def identify(docs: DataFrame, filters: Filters, id_col: str = "doc_id", text_col
 
     held = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return map_rows(held, rows, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def in_language(docs: DataFrame, filters: Filters, least: float, text_col: str = "text") -> DataFrame:
+    """docs' rows, with all their columns, whose language identify() would know with a score of `least` or more.
+
+    The rows are judged where they lie, so nothing is joined and ids don't matter: they
+    may be null or repeat. Null and empty texts and those without letters go.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    return keep_rows(docs, text_col, lambda texts: [x != UNKNOWN and s >= least for x, s in map(shared.value.predict, texts)])
