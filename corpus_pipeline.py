@@ -20,28 +20,12 @@ from cohortaudit.llm.common import discard, scratch_root, small_batches, small_s
 MIN_LANGUAGE_SCORE = 0.3
 
 
-def _key() -> F.Column:
-    """What a row of documents is known by, as ids may repeat or be null."""
-    return F.xxhash64("doc_id", "text")
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(_key().alias("doc_id"), "text")
-
-
-def _without(docs: DataFrame, drop: DataFrame) -> DataFrame:
-    """docs without the rows whose key is in drop(key)."""
-    drop = small_side(drop.distinct(), "drop")
-    return docs.join(drop, F.xxhash64(docs["doc_id"], docs["text"]) == drop["key"], "left_anti")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents in a language that the labelled ones teach; those without letters or of other text go.
 
     Null and empty texts go. Repeated rows stay or go together; ids don't matter and may be null.
     """
-    found = langid.identify(_keyed(docs), langid.train(docs))
-    return _without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < MIN_LANGUAGE_SCORE)).select(F.col("doc_id").alias("key")))
+    return langid.in_language(docs, langid.train(docs), MIN_LANGUAGE_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +54,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     null. Without items all stay.
     """
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.contamination(_keyed(docs), benchmark).where("contaminated").select(F.col("doc_id").alias("key")))
+    return decontaminate.clean(docs, benchmark)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
