@@ -118,6 +118,43 @@ def test_answers_batch_and_stream(spark, tmp_path):
     assert {r.item: r.v for r in spark.table("latest").collect()} == want
 
 
+def test_answers_followed_without_state(spark, tmp_path):
+    schema, last = "id int, item string, v double, at timestamp", (["item"], "at", "id")
+    log = lambda *rows: spark.createDataFrame(rows, "id int, item string, t int, v double").select("id", "item", "v", F.timestamp_seconds("t").alias("at"))
+    store, now = f"{tmp_path}/store", lambda: {r.item: r.v for r in answers.stored(spark, store, schema, *last).collect()}
+    assert now() == {} and answers.position(spark, store) is None
+    answers.compact(spark, store, schema, *last)
+    first, second = log((1, "a", 10, 5.0), (2, "a", 12, 6.0)), log((3, "a", 12, 7.0), (4, "b", 1, 8.0), (5, None, 1, 9.0))
+    answers.save_batch(first, 0, store, *last)
+    for _ in range(2):
+        answers.save_batch(second, 1, store, *last)
+        assert now() == {"a": 7.0, "b": 8.0, None: 9.0} and answers.position(spark, store) == 1
+    # a batch that is not whole does not count
+    log((6, "a", 99, 1.0)).write.parquet(f"{store}/batch-{2:012d}")
+    (tmp_path / "store" / f"batch-{2:012d}" / "_SUCCESS").unlink()
+    assert now()["a"] == 7.0 and answers.position(spark, store) == 1
+    answers.compact(spark, store, schema, *last)
+    assert sorted(p.name for p in (tmp_path / "store").iterdir()) == [f"base-{1:012d}", f"batch-{2:012d}"]
+    # what is in the base may come again, and so may a late row
+    answers.save_batch(second, 1, store, *last)
+    answers.save_batch(log((7, "b", 0, 2.0), (8, "c", 0, 3.0)), 2, store, *last)
+    assert now() == {"a": 7.0, "b": 8.0, None: 9.0, "c": 3.0} and answers.position(spark, store) == 2
+
+
+def test_follow_goes_on_after_a_stop(spark, tmp_path):
+    schema, last = "id int, item string, v double, at timestamp", (["item"], "at", "id")
+    rows = spark.range(60).select(F.col("id").cast("int").alias("id"), F.concat(F.lit("i"), F.col("id") % 7).alias("item"), F.col("id").cast("double").alias("v"), F.timestamp_seconds(F.col("id") * 31 % 60).alias("at"))
+    for part in range(2):
+        rows.where(F.col("id") % 2 == part).repartition(3).write.mode("append").parquet(f"{tmp_path}/log")
+        q = answers.follow(answers.read_log(spark, f"{tmp_path}/log", schema, 1), f"{tmp_path}/store", schema, *last, f"{tmp_path}/cp", every=2).start()
+        q.processAllAvailable()
+        q.stop()
+    got = answers.stored(spark, f"{tmp_path}/store", schema, *last)
+    want = T.latest_answers(rows, *last)
+    assert sorted(map(tuple, got.select("item", "id", "v").collect())) == sorted(map(tuple, want.select("item", "id", "v").collect()))
+    assert answers.position(spark, f"{tmp_path}/store") == 5
+
+
 def test_next_position(spark):
     order = spark.createDataFrame([("r", "a", 1), ("r", "b", 2), ("q", "a", 1)], "reader string, item string, position int")
     done = spark.createDataFrame([("r", "a"), ("q", "a")], "reader string, item string")
