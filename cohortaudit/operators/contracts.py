@@ -59,13 +59,22 @@ def path_checks(df: DataFrame, path: str, pattern: str, columns: list[str]) -> D
 
 
 def role_coverage(df: DataFrame, roles: list[str]) -> DataFrame:
-    """A row for each role column: populated, null, coverage and distinct values; and role `any` for rows with some role and distinct values over all."""
-    flat = df.select(*(F.col(r).cast("string").alias(r) for r in roles)).unpivot([], roles, "role", "value")
-    per = flat.groupBy("role").agg(F.count("value").alias("populated"), count_if(F.col("value").isNull()).alias("null"), ratio(F.count("value"), F.count("*")).alias("coverage"), F.count_distinct("value").alias("distinct"))
+    """A row for each role column: populated, null, coverage and distinct values; and role `any` for rows with some role and distinct values over all.
+
+    Digests of 16 bytes are grouped, not values, and one grouping serves all roles. An
+    empty table has zeros and no coverage.
+    """
+    cells = F.array(*(F.struct(F.lit(i).alias("role"), F.unhex(F.md5(F.col(r).cast("string"))).alias("digest")) for i, r in enumerate(roles)))
+    per = df.select(F.explode(cells).alias("x")).groupBy("x.digest").agg(*(count_if(F.col("x.role") == i).alias(f"n{i}") for i in range(len(roles))))
+    there, zero = F.col("digest").isNotNull(), F.lit(0).cast("long")
+    rows = lambda i, ok: F.coalesce(F.sum(F.when(ok, F.col(f"n{i}"))), zero)
+    role = lambda i, r: F.struct(F.lit(r).alias("role"), rows(i, there).alias("populated"), rows(i, ~there).alias("null"), count_if(there & (F.col(f"n{i}") > 0)).alias("distinct"))
+    found = per.agg(F.array(*(role(i, r) for i, r in enumerate(roles))).alias("roles"), F.count("digest").alias("distinct"))
     some = F.coalesce(*(F.col(r).cast("string") for r in roles))
-    rows = df.agg(F.count(some).alias("populated"), count_if(some.isNull()).alias("null"), ratio(F.count(some), F.count("*")).alias("coverage"))
-    every = rows.join(F.broadcast(flat.agg(F.count_distinct("value").alias("distinct")))).select(F.lit("any").alias("role"), "populated", "null", "coverage", "distinct")
-    return per.unionByName(every)
+    both = found.join(F.broadcast(df.agg(F.count(some).alias("populated"), count_if(some.isNull()).alias("null"))))
+    every = F.struct(F.lit("any").alias("role"), "populated", "null", "distinct")
+    flat = both.select(F.explode(F.concat("roles", F.array(every))).alias("x")).select("x.*")
+    return flat.select("role", "populated", "null", ratio(F.col("populated"), F.col("populated") + F.col("null")).alias("coverage"), "distinct")
 
 
 def group_sizes(df: DataFrame, key: str) -> DataFrame:
