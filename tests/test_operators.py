@@ -521,3 +521,10 @@ def test_verdict_needs_sound_input(spark):
 def test_holm(spark):
     df = spark.createDataFrame([("f", "a", 0.01), ("f", "b", 0.04), ("f", "c", 0.03), ("g", "a", 0.9)], "f string, n string, p double")
     assert rows(B.holm(df, ["f"], "n", "p"), "f", "n", "holm") == [("f", "a", 0.03), ("f", "b", 0.06), ("f", "c", 0.06), ("g", "a", 0.9)]
+
+
+def test_role_coverage_of_odd_tables(spark):
+    rows = spark.createDataFrame([("x", 1), (None, 1), ("x", None), ("1", None), (None, None)], "a string, b int")
+    got = {r.role: tuple(r)[1:] for r in D.role_coverage(rows, ["a", "b"]).collect()}
+    assert got == {"a": (3, 2, 0.6, 2), "b": (2, 3, 0.4, 1), "any": (4, 1, 0.8, 2)}
+    assert [tuple(r) for r in D.role_coverage(rows.limit(0), ["a", "b"]).collect()] == [(k, 0, 0, None, 0) for k in ("a", "b", "any")]
