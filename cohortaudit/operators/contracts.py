@@ -68,10 +68,10 @@ def role_coverage(df: DataFrame, roles: list[str]) -> DataFrame:
     per = df.select(F.explode(cells).alias("x")).groupBy("x.digest").agg(*(count_if(F.col("x.role") == i).alias(f"n{i}") for i in range(len(roles))))
     there, zero = F.col("digest").isNotNull(), F.lit(0).cast("long")
     rows = lambda i, ok: F.coalesce(F.sum(F.when(ok, F.col(f"n{i}"))), zero)
-    role = lambda i, r: F.struct(F.lit(r).alias("role"), rows(i, there).alias("populated"), rows(i, ~there).alias("null"), count_if(there & (F.col(f"n{i}") > 0)).alias("distinct"))
+    role = lambda i, r: F.struct(F.lit(r).alias("role"), rows(i, there).alias("populated"), rows(i, ~there).alias("null"), F.coalesce(count_if(there & (F.col(f"n{i}") > 0)), zero).alias("distinct"))
     found = per.agg(F.array(*(role(i, r) for i, r in enumerate(roles))).alias("roles"), F.count("digest").alias("distinct"))
     some = F.coalesce(*(F.col(r).cast("string") for r in roles))
-    both = found.join(F.broadcast(df.agg(F.count(some).alias("populated"), count_if(some.isNull()).alias("null"))))
+    both = found.join(F.broadcast(df.agg(F.count(some).alias("populated"), F.coalesce(count_if(some.isNull()), zero).alias("null"))))
     every = F.struct(F.lit("any").alias("role"), "populated", "null", "distinct")
     flat = both.select(F.explode(F.concat("roles", F.array(every))).alias("x")).select("x.*")
     return flat.select("role", "populated", "null", ratio(F.col("populated"), F.col("populated") + F.col("null")).alias("coverage"), "distinct")
