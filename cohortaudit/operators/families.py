@@ -74,7 +74,7 @@ def worst_group(points: DataFrame, group: str) -> DataFrame:
 
 # weighted orders for all replicates at once -------------------------------------------
 def _stacked(rows: pd.DataFrame) -> np.ndarray:
-    return np.stack(rows["weights"].to_numpy()) if len(rows) else np.zeros((0, 0))
+    return np.stack(rows["weights"].to_numpy()).astype(float) if len(rows) else np.zeros((0, 0))
 
 
 def _over_parts(df: DataFrame, by: list[str], order: list[tuple[str, bool]], finish, ddl: str, parts: int | None = None) -> DataFrame:
@@ -114,7 +114,7 @@ def _over_parts(df: DataFrame, by: list[str], order: list[tuple[str, bool]], fin
 
 
 def weighted_areas(df: DataFrame, by: list[str], confidence: str, error: str, key: str) -> DataFrame:
-    """(by, rep, aurc, augrc) of rows with weights array<double>, one for each replicate; rows without an error don't count."""
+    """(by, rep, aurc, augrc) of rows with an array of weights, one for each replicate; rows without an error don't count."""
     rows = df.where(F.col(error).isNotNull()).select(*by, F.col(confidence).alias("_k"), key, F.col(error).cast("double").alias("error"), "weights")
 
     def finish(part, w, before, wrong, total):

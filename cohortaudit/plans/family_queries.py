@@ -381,8 +381,7 @@ def _refits(spark, sf):
     hist = K.grid_histogram(cal, ["site", "patient", "model", "target"])
     weighed = B.replicate_sums(hist, patients, "site", "patient", ["model", "target", "bin"], ["pos", "neg"], CURVE_REPS, "k").drop("site")
     thresholds = K.best_on_grid(weighed, ["rep", "model", "target"]).select("rep", "model", "target", "threshold")
-    weights = B.patient_weights(patients, "site", "patient", CURVE_REPS, "k")
-    confidence = K.study_confidence(cal, ["site", "patient", "model", "study"]).join(weights, ["site", "patient"])
+    confidence = B.with_weights(K.study_confidence(cal, ["site", "patient", "model", "study"]), patients, "site", "patient", CURVE_REPS, "k")
     cutoffs = G.weighted_cutoffs(confidence, ["model"], "confidence", 0.2)
     cells = predictions(spark, sf).where("split = 'evaluation'").select("site", "model", "study", "target", "p", "y")
     moved = G.difference(G.measures(G.policy_replicates(cells, thresholds, cutoffs, T), ["rep", "site", "model"], T, _RISKS), "site", *SITES)
@@ -484,9 +483,9 @@ pa as (select site, model, unnest(['aurc', 'augrc']) as measure, unnest([round(s
 {_estimates(_difference("pa", "model", "site", *SITES), _difference("ra", "rep, model", "site", *SITES), "model")}""")
 def r16(spark, sf):
     c0, by = _c0(spark, sf), ["site", "model"]
-    weights = B.patient_weights(_patients(spark, sf), "site", "patient", CURVE_REPS, "b")
+    weighed = B.with_weights(c0, _patients(spark, sf), "site", "patient", CURVE_REPS, "b")
     long = lambda df, keys: df.select(*keys, F.explode(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in ("aurc", "augrc")))).alias("x")).select(*keys, "x.*")
-    draws = long(G.weighted_areas(c0.join(weights, ["site", "patient"]), by, "confidence", "error", "study"), ["rep", *by])
+    draws = long(G.weighted_areas(weighed, by, "confidence", "error", "study"), ["rep", *by])
     points = long(R.areas(R.curve(c0, by, "confidence", "error", "study"), by), by)
     return G.estimates(G.difference(points, "site", *SITES), G.difference(draws, "site", *SITES))
 

@@ -224,6 +224,38 @@ def test_replicates_need_no_draw_rows(spark):
     assert "Generate" not in plan and "explode" not in plan and plan.count("MapInPandas") == 1
 
 
+def test_a_tree_is_walked_once(monkeypatch):
+    """Chunks read in order from one tree split each of its ranges once, and give the counts of chunks read alone."""
+    n, calls = 20 * draws.LEAF - 5, []
+    plain = draws.binomials
+    monkeypatch.setattr(draws, "binomials", lambda *a: calls.append(1) or plain(*a))
+    tree = draws.Leaves(7, n, 5)
+    parts = [tree.counts(k, k + 4) for k in range(0, 20, 4)]
+    assert len(calls) == 19
+    assert (np.concatenate(parts, axis=1) == draws.counts(7, n, 5, 0, 20)).all() and (parts[3] == draws.counts(7, n, 5, 12, 16)).all()
+
+
+def test_weights_are_not_broadcast(spark):
+    """A patient's weights are an array that Spark takes for one number; a broadcast of them would fill the driver."""
+    df = spark.range(300).selectExpr("if(id % 2 = 0, 's', 'e') site", "id patient")
+    got = B.with_weights(df, df, "site", "patient", 20, "seed")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    counts = {(r.site, r.patient, r.rep): r.n for r in B.patient_counts(df, "site", "patient", 20, "seed").collect()}
+    assert {(r.site, r.patient, k): n for r in got.collect() for k, n in enumerate(r.weights) if n} == counts
+
+
+def test_groups_side_by_side_or_apart(spark):
+    """Sums are the same whether most patients have most groups or each has its own."""
+    df = spark.range(200).selectExpr("'s' site", "id patient", "cast(id % 7 as double) x")
+    counts = {(r.patient, r.rep): r.n for r in B.patient_counts(df, "site", "patient", 4, "seed").collect()}
+    for group, many in (("id % 2", 2), ("id % 50", 50)):
+        per = spark.range(200).selectExpr("'s' site", "id patient", f"{group} g", "cast(id % 7 as double) x")
+        per = per.unionByName(per.where("patient < 20"))
+        want = {(g, rep): sum((i % 7) * (2 if i < 20 else 1) * counts.get((i, rep), 0) for i in range(200) if i % many == g) for g in range(many) for rep in range(4)}
+        assert {(r.g, r.rep): r.x for r in B.replicate_sums(per, df, "site", "patient", ["g"], ["x"], 4, "seed").collect()} == want
+
+
 # policies ----------------------------------------------------------------------------
 def brute_grid(p, y):
     best = None
