@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortaudit.functions import values as V
+from cohortaudit.operators import policy as K
 from cohortaudit.operators import resample as B
 from cohortaudit.operators import risk as R
 from cohortaudit.operators.audit import DIGITS, count_if
@@ -32,10 +33,18 @@ def measures(sums: DataFrame, keys: list[str], targets: list[str], names: tuple[
     return sums.select(*keys, each.alias("m")).select(*keys, "m.*")
 
 
+def _needed(targets: list[str], names: tuple[str, ...]) -> list[str]:
+    """The sums that the measures are ratios of."""
+    per = {t: [f"a_wrong_{t}", f"a_obs_{t}"] for t in targets}
+    parts = {"coverage_all": ["a_one", "all_one"], "coverage_evaluable": ["a_evaluable", "all_evaluable"], "original": ["a_e_orig", "a_one"], "evaluable_study": ["a_e_orig", "a_evaluable"], "cell_micro": ["a_n_wrong", "a_n_obs"], "pathology_macro": sum(per.values(), [])}
+    parts |= {f"pathology_{t}": c for t, c in per.items()}
+    return sorted({c for n in names for c in parts[n]})
+
+
 def items(terms: DataFrame, patients: DataFrame, by: list[str], targets: list[str], replicates: int, seed: str, names: tuple[str, ...] = MEASURES, site: str = "site", patient: str = "patient", accepted: str = "accepted") -> tuple[DataFrame, DataFrame]:
     """(points, draws): the measures of each site's items over all its patients and in each replicate."""
-    columns = [f"{a}_{c}" for a in ("a", "all") for c in R.term_columns(targets)]
-    per, _ = kept(R.accepted_sums(terms, [site, patient, *by], targets, accepted), "items")
+    columns = _needed(targets, names)
+    per, _ = kept(R.accepted_sums(terms, [site, patient, *by], targets, accepted).select(site, patient, *by, *columns), "items")
     points = per.groupBy(site, *by).agg(*(F.sum(c).alias(c) for c in columns))
     draws = B.replicate_sums(per, patients, site, patient, by, columns, replicates, seed)
     return measures(points, [site, *by], targets, names), kept(measures(draws, ["rep", site, *by], targets, names), "draws")[0]
@@ -72,6 +81,24 @@ def worst_group(points: DataFrame, group: str) -> DataFrame:
     return rows.groupBy(*keys, F.concat(F.lit("worst_"), F.col("measure")).alias("measure")).agg(F.min_by(group, F.struct(-F.col("value"), F.col(group))).alias(group))
 
 
+def policy_terms(rows: DataFrame, keys: list[str], model: str, target: str, fits: tuple[DataFrame, DataFrame], targets: list[str], y: str = "y") -> DataFrame:
+    """(keys, policy, accepted, score, terms): the study terms of K.apply_policies(rows).
+
+    keys name a study and all that goes with it. Its cells are aggregated once, under both
+    kinds of decision, and only the study is copied for each policy.
+    """
+    known, cuts = fits
+    cells, scores = K.judged(rows, model, target, known)
+    wrong = F.coalesce(F.col("h1").cast("double") != F.col(y), F.lit(False))
+    one = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("double")
+    other = {"h_n_wrong": one(wrong)} | {f"h_wrong_{t}": one((F.col(target) == t) & wrong) for t in targets}
+    studies = R.study_terms(cells, keys, targets, target, "d", y, scores | other).withColumns(K.study_scores()).join(F.broadcast(cuts), model)
+    plain = {c: F.col(c) for c in R.term_columns(targets)}
+    conformal = plain | {"n_wrong": F.col("h_n_wrong"), "e_orig": F.col("h_n_wrong") / F.greatest(F.col("n_obs"), F.lit(1.0))} | {f"wrong_{t}": F.col(f"h_wrong_{t}") for t in targets}
+    each = F.array(*(F.struct(F.lit(n).alias("policy"), F.expr(a).alias("accepted"), F.col(s).alias("score"), *(c.alias(k) for k, c in (conformal if d == "h1" else plain).items())) for n, d, a, s in K.KINDS))
+    return studies.select(*keys, F.explode(each).alias("_x")).select(*keys, "_x.*")
+
+
 # weighted orders for all replicates at once -------------------------------------------
 def _stacked(rows: pd.DataFrame) -> np.ndarray:
     return np.stack(rows["weights"].to_numpy()).astype(float) if len(rows) else np.zeros((0, 0))

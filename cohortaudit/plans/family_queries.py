@@ -152,8 +152,7 @@ _COMPARED = ("coverage_all", "evaluable_study", "cell_micro", "original")
 def _policy_terms(spark, sf):
     fits = K.fit_policies(_cal(spark, sf), "model", "study", "target", _ALPHAS)
     cells = _passes(spark, sf).where("split = 'evaluation'").select("site", "patient", "study", "model", "condition", "target", "p", "y")
-    rows = K.apply_policies(cells, ["model", "condition", "study"], "model", "target", fits)
-    return R.study_terms(rows, ["site", "patient", "study", "model", "condition", "policy", "accepted", "score"], T)
+    return G.policy_terms(cells, ["site", "patient", "study", "model", "condition"], "model", "target", fits, T)
 
 
 @query("r22_policy_gaps", f"with {_POLICIES}, {_boot('pt', 'model, condition, policy', _COMPARED)} {_gap('model, condition, policy')}")
