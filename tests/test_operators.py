@@ -21,6 +21,7 @@ from cohortaudit.operators import resample as B
 from cohortaudit.operators import risk as R
 from cohortaudit.operators import sections as S
 from cohortaudit.operators.prefix import quantiles
+from cohortaudit.plans.inputs import predictions
 
 
 def rows(df, *columns):
@@ -256,7 +257,45 @@ def test_groups_side_by_side_or_apart(spark):
         assert {(r.g, r.rep): r.x for r in B.replicate_sums(per, df, "site", "patient", ["g"], ["x"], 4, "seed").collect()} == want
 
 
+def test_cells_stay_with_their_study(spark):
+    """A study's cells are made after the shuffle by study, so grouping them needs no other."""
+    got = predictions(spark, "/root/testdata/sf0.001").groupBy("study", "model").count()
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(study") == 1 and "Exchange hashpartitioning(study" in plan.split("Generate")[-1]
+
+
 # policies ----------------------------------------------------------------------------
+def test_policy_terms_without_copies_of_cells(spark):
+    """They equal the terms of cells copied for each policy, with nulls and probabilities at a quantile."""
+    rng = random.Random(4)
+    data = [("m", i, t, rng.choice([0.0, 0.2, 0.35, 0.5, 0.8, 1.0, None] if i % 9 == 0 else [round(rng.random(), 2)]), rng.choice([0.0, 1.0, None])) for i in range(120) for t in ("a", "b")]
+    cells = spark.createDataFrame(data, "model string, study int, target string, p double, y double")
+    fits = spark.createDataFrame([("m", t, 0.4, 1.2, 0.9, 0.1, q) for t, q in (("a", 0.8), ("b", 0.35))], "model string, target string, threshold double, cold double, a double, b double, q double")
+    cuts = spark.createDataFrame([("m", 0.3, 0.3, -0.4)], "model string, plain double, chill double, loss double")
+    want = R.study_terms(K.apply_policies(cells, ["model", "study"], "model", "target", (fits, cuts)), ["model", "study", "policy", "accepted", "score"], ["a", "b"])
+    got = G.policy_terms(cells, ["model", "study"], "model", "target", (fits, cuts), ["a", "b"])
+    assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect())) and got.count() == 600
+
+
+def test_shares_of_single_labels(spark):
+    """K8: each alpha's share of studies with one label in every target, counted by ranges of alphas, picks the alpha that cells judged one by one do."""
+    rng = random.Random(8)
+    alphas = [round(0.05 * i, 2) for i in range(1, 15)]
+    data = [("m", i, t, None if i == 3 else round(rng.random() ** (2 if i % 2 else 0.5), 2), float(i % 2) if i % 7 else None) for i in range(90) for t in ("a", "b")]
+    got = {r.target: r for r in K.conformal_fit(spark.createDataFrame(data, "model string, study int, target string, p double, y double"), ["model"], "target", "study", alphas, 0.7).collect()}
+    q = {}
+    for t in ("a", "b"):
+        s = sorted(1 - p if y == 1 else p for _, _, u, p, y in data if u == t and y is not None and p is not None)
+        n = sum(1 for _, _, u, p, y in data if u == t and y is not None)
+        for a in alphas:
+            q[t, a] = ([None] * (n - len(s)) + s + [None])[min(math.ceil((n + 1) * (1 - a)), n + 1) - 1]
+            q[t, a] = 1.0 if q[t, a] is None else q[t, a]
+    single = lambda p, x: p is not None and ((1 - p) <= x) != (p <= x)
+    share = {a: sum(all(single(p, q[t, a]) for _, i, t, p, _ in data if i == k) for k in range(90)) / 90 for a in alphas}
+    best = min(alphas, key=lambda a: (round(abs(share[a] - 0.7), 9), a))
+    assert got["a"].alpha == best and got["a"].acceptance == round(share[best], 6)
+
+
 def brute_grid(p, y):
     best = None
     for i in range(1, 1000):
