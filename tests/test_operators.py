@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cohortaudit.functions import text as X
 from cohortaudit.operators import audit as A
 from cohortaudit.operators import calibration as L
 from cohortaudit.operators import cohort as C
@@ -610,3 +611,17 @@ def test_a_text_is_cut_once_into_plain_sections(spark):
     assert {(r.k, r.section): r.body for r in got.collect()} == want
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("[A-Z /_-]") == 2 and plan.count("LogicalRDD") == 1
+
+
+def test_a_context_is_normalised_once(spark):
+    texts = [None, " _ ", "of the that", "a__b c", "x" * 3 + " \t\n" + "that y-z", "é_ç  1"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
+    got = rows.withColumn("f", X.context_features("t", 3, ["of the", "that"])).select("k", "f.*")
+    assert [tuple(r)[1:] for r in got.orderBy("k").collect()] == [(False, 0, False, False, "absent"), (False, 0, False, False, "absent"), (True, 3, True, False, "low_information"), (True, 3, False, True, "usable"), (True, 3, False, True, "usable"), (True, 1, True, False, "low_information")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+    assert [r[0] for r in rows.orderBy("k").select(X.normalize("t")).collect()] == ["", "", "of the that", "a b c", "xxx that y-z", "é ç 1"]
+    effective = rows.select(X.effective_tokens(F.lit("a__b ___ c_d -- é _1 (x)__")))
+    assert effective.first()[0] == 6
+    long = spark.createDataFrame([("q", 1.0, True), ("q", 0.0, False), ("q", None, False), ("t", 0.0, True)], "label string, v double, any boolean").select("label", "v", F.struct("any").alias("direct"))
+    gate = A.gate(got, long, least_pos=1).first()
+    assert (gate.viable, gate.leak, gate.verdict) == (1, 1.0, "FAIL")
