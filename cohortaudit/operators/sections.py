@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cohortaudit.functions import text as X
 from cohortaudit.operators.audit import DIGITS, count_if
-from cohortaudit.operators.prefix import values_at
+from cohortaudit.operators.prefix import counted_at, value_counts
 
 # The first dialect's header and its section names.
 PLAIN_HEADER = r"(?m)^\s*([A-Z][A-Z /_-]{2,40})\s*:\s*"
@@ -56,10 +56,9 @@ def section_map(spark: SparkSession) -> DataFrame:
 
 def _pieces(text: Column, pattern: str) -> Column:
     """array of (pos, header, body) by one pass for headers and one for bodies; pos from 0."""
-    headers = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    bodies = F.slice(F.split(text, pattern, -1), 2, F.greatest(F.size(headers), F.lit(1)))
-    zipped = F.arrays_zip(headers.alias("h"), bodies.alias("b"))
-    return F.when(F.size(headers) > 0, F.transform(zipped, lambda z, i: F.struct(i.alias("pos"), z["h"].alias("header"), z["b"].alias("body")))).otherwise(F.array().cast("array<struct<pos:int,header:string,body:string>>"))
+    # one element, so that each pass is made once
+    cut = F.array(F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("h"), F.split(text, pattern, -1).alias("b")))
+    return F.transform(cut, lambda x: F.transform(x["h"], lambda h, i: F.struct(i.alias("pos"), h.alias("header"), F.get(x["b"], i + 1).alias("body"))))[0]
 
 
 def parse_plain(df: DataFrame, text: str, keep: list[str]) -> DataFrame:
@@ -144,11 +143,12 @@ def unknown_headers(parsed: DataFrame, least: int = 100) -> DataFrame:
 
 
 def index_summary(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """N, mean, whole median, 95th percentile as the value at index 0.95 (n - 1) cut to a whole, and extremes."""
-    rows = df.where(F.col(value).isNotNull()).select(*by, value)
+    """N, mean, whole median, 95th percentile as the value at index 0.95 (n - 1) cut to a whole, and extremes; df is read once, to count its values."""
+    counts = value_counts(df, by, value)
     places = {"_low": lambda n: F.floor((n - 1) / 2), "_high": lambda n: F.ceil((n - 1) / 2), "p95": lambda n: F.floor(0.95 * (n - 1))}
-    at = values_at(rows, by, value, places).select(*by, "n", F.floor((F.col("_low") + F.col("_high")) / 2).alias("median"), "p95")
-    return rows.groupBy(*by).agg(F.round(F.avg(value), DIGITS).alias("mean"), F.min(value).alias("least"), F.max(value).alias("most")).join(at, by)
+    at = counted_at(counts, by, places).select(*by, "n", F.floor((F.col("_low") + F.col("_high")) / 2).alias("median"), "p95")
+    mean = F.sum(F.col("_v").cast("double") * F.col("_c")) / F.sum("_c")
+    return counts.groupBy(*by).agg(F.round(mean, DIGITS).alias("mean"), F.min("_v").alias("least"), F.max("_v").alias("most")).join(at, by)
 
 
 def threshold_sweep(tokens: DataFrame, thresholds: list[int]) -> DataFrame:

@@ -613,6 +613,13 @@ def test_a_text_is_cut_once_into_plain_sections(spark):
     assert plan.count("[A-Z /_-]") == 2 and plan.count("LogicalRDD") == 1
 
 
+def test_index_summary_reads_its_rows_once(spark):
+    rows = spark.createDataFrame([("a", v) for v in (5, 1, 4, 1, None)] + [("b", 7)], "s string, v int")
+    got = S.index_summary(rows, ["s"], "v")
+    assert sorted(map(tuple, got.select("s", "n", "mean", "median", "p95", "least", "most").collect())) == [("a", 4, 2.75, 2, 4, 1, 5), ("b", 1, 7.0, 7, 7, 7, 7)]
+    assert "LogicalRDD" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_context_is_normalised_once(spark):
     texts = [None, " _ ", "of the that", "a__b c", "x" * 3 + " \t\n" + "that y-z", "é_ç  1"]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string")
