@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from functools import reduce
 
 import pyarrow as pa
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortaudit.functions import text as X
+from cohortaudit.sources.scratch import kept
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
@@ -39,10 +41,77 @@ def read_labels(spark: SparkSession, path: str, key: str, labels: list[str]) ->
 
 
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:
-    """(study_id, name, text) of the files s<digits>.txt below folder; of files with one id the first by name."""
-    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
-    named = rows.select(F.input_file_name().alias("name"), F.col("value").alias("text")).withColumn("study_id", X.study_id("name")).where("study_id is not null")
-    return named.withColumn("_n", F.row_number().over(Window.partitionBy("study_id").orderBy("name"))).where("_n = 1").select("study_id", "name", "text")
+    """(study_id, name, text) of the files s<digits>.txt below folder; of files with one id the first by name.
+
+    Tasks list the folders, level by level, and read the files, so the driver holds no
+    list of them; only chosen files are opened, and texts are not shuffled. A store that
+    pyarrow doesn't know is listed and read by Spark.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    id_of = X.study_id("name")
+    try:
+        _system(root)
+    except pa.ArrowInvalid:
+        rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
+        named = rows.select(F.input_file_name().alias("name"), F.col("value").alias("text")).withColumn("study_id", id_of).where("study_id is not null")
+        return named.withColumn("_n", F.row_number().over(Window.partitionBy("study_id").orderBy("name"))).where("_n = 1").select("study_id", "name", "text")
+    parts = 4 * spark.sparkContext.defaultParallelism
+    names = _names(spark, root, parts).withColumn("study_id", id_of).where("study_id is not null")
+    chosen = names.repartition(parts, "study_id").groupBy("study_id").agg(F.min_by(F.struct("name", "path"), "name").alias("f")).select("study_id", "f.name", "f.path")
+    return chosen.mapInArrow(_contents, "study_id long, name string, text binary").withColumn("text", F.col("text").cast("string"))
+
+
+#: Bytes of texts that a reader of reports gathers in a batch.
+GATHERED = 16 << 20
+
+
+def _contents(batches):
+    """(study_id, name, bytes) of the files of (study_id, name, path)."""
+    schema = pa.schema([("study_id", pa.int64()), ("name", pa.string()), ("text", pa.binary())])
+    for batch in batches:
+        held, size = ([], [], []), 0
+        for study, name, path in zip(*(c.to_pylist() for c in batch.columns)):
+            with _input(path) as stream:
+                text = stream.read()
+            for column, x in zip(held, (study, name, text)):
+                column.append(x)
+            size += len(text)
+            if size >= GATHERED:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, schema)], schema=schema)
+                held, size = ([], [], []), 0
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(held, schema)], schema=schema)
+
+
+def _names(spark: SparkSession, root: str, parts: int) -> DataFrame:
+    """(name, path) of the .txt files below root, name as Spark's input_file_name gives it; hidden files and folders are passed over, as Spark does."""
+
+    def listed(batches):
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                system, at, prefix = _system(path)
+                found = [(f.path, f.type == fs.FileType.Directory) for f in system.get_file_info(fs.FileSelector(at)) if not _hidden(f.base_name)]
+                for k in range(0, len(found), 10_000):
+                    some = [(prefix + p, d) for p, d in found[k : k + 10_000] if d or p.endswith(".txt")]
+                    yield pa.RecordBatch.from_pydict({"name": [_encoded(p) for p, _ in some], "path": [p for p, _ in some], "folder": [d for _, d in some]}, schema=schema)
+
+    schema = pa.schema([("name", pa.string()), ("path", pa.string()), ("folder", pa.bool_())])
+    level, files = spark.createDataFrame([(root,)], "path string"), []
+    while not files or not level.isEmpty():
+        found, _ = kept(level.repartition(parts, "path").mapInArrow(listed, "name string, path string, folder boolean"), "listed")
+        files.append(found.where("not folder").select("name", "path"))
+        level = found.where("folder").select("path")
+    return reduce(DataFrame.unionByName, files)
+
+
+def _hidden(name: str) -> bool:
+    """Whether Spark's listing passes a file or folder over."""
+    return (name.startswith("_") and "=" not in name) or name.startswith(".") or name.endswith("._COPYING_")
+
+
+def _encoded(path: str) -> str:
+    """A path as a URI: what java.net.URI quotes is quoted."""
+    return re.sub(r'[\x00-\x20"#%<>?\[\\\]^`{|}\x7f]', lambda m: f"%{ord(m[0]):02X}", path)
 
 
 def write_reports(rows: DataFrame, folder: str, key: str, text: str) -> int:
@@ -55,11 +124,13 @@ def write_reports(rows: DataFrame, folder: str, key: str, text: str) -> int:
     def write(batches):
         from pyarrow import fs
 
+        store, root = fs.FileSystem.from_uri(folder)
+        made = set()
         for batch in batches:
-            store, root = fs.FileSystem.from_uri(folder)
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in sorted({k % 100 for k in keys}):
+            for part in sorted({k % 100 for k in keys} - made):
                 store.create_dir(f"{root}/p{part}", recursive=True)
+                made.add(part)
             for k, t in zip(keys, texts):
                 with store.open_output_stream(f"{root}/p{k % 100}/s{k}.txt") as f:
                     f.write(t.encode())
@@ -128,12 +199,18 @@ def classify(name: Column, patterns: list[tuple[str, str]], default: str = "othe
 WHOLE, CHUNK = 64 << 20, 1 << 20
 
 
-def _input(path: str):
-    """An open stream of a path as Spark writes it."""
+def _system(path: str) -> tuple[fs.FileSystem, str, str]:
+    """The file system of a path as Spark writes it, the path there, and what stands before such paths."""
     scheme, _, rest = path.partition(":")
     if scheme == "file":
-        return fs.LocalFileSystem().open_input_stream("/" + rest.lstrip("/"))
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/"), "file://"
     system, name = fs.FileSystem.from_uri(path.replace("s3a:", "s3:", 1) if scheme == "s3a" else path)
+    return system, name, path.removesuffix("/").removesuffix(name.removesuffix("/"))
+
+
+def _input(path: str):
+    """An open stream of a path as Spark writes it."""
+    system, name, _ = _system(path)
     return system.open_input_stream(name)
 
 

@@ -159,3 +159,18 @@ def test_next_position(spark):
     order = spark.createDataFrame([("r", "a", 1), ("r", "b", 2), ("q", "a", 1)], "reader string, item string, position int")
     done = spark.createDataFrame([("r", "a"), ("q", "a")], "reader string, item string")
     assert {r.reader: r.next for r in T.next_position(order, done, "reader", "item", "position").collect()} == {"r": 2, "q": None}
+
+
+def test_reports_are_listed_and_read_in_tasks(spark, tmp_path):
+    for name in ("s1.txt", "b/s1.txt", "a b%20é#/c/s2.txt", "a b%20é#/s3.txt", "_gone/s4.txt", ".gone/s5.txt", "_k=1/s6.txt", "s99999999999999999999.txt", "b/s7.text", "b/.s8.txt"):
+        (tmp_path / name).parent.mkdir(exist_ok=True, parents=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "b/s9.txt").write_bytes(b"\xff")
+    got = T.read_reports(spark, str(tmp_path))
+    plain = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(str(tmp_path), wholetext=True).select(F.input_file_name().alias("name"), F.col("value").cast("binary").alias("text"))
+    named = {(r.name, bytes(r.text)) for r in plain.collect()}
+    rows = got.withColumn("text", F.col("text").cast("binary")).collect()
+    assert sorted(r.study_id for r in rows) == [1, 2, 3, 6, 9]
+    assert {(r.name, bytes(r.text)) for r in rows} == {x for x in named if not x[0].endswith(("9999.txt", f"{tmp_path.name}/s1.txt"))}
+    # what the plan reads are tables of names: the driver has no list of the reports
+    assert not [f for f in got.inputFiles() if f.endswith(".txt")]
