@@ -200,6 +200,17 @@ def test_hashed_binomials_are_quantiles():
         assert draws.binomials(np.full(300, c), p, u).tolist() == want
 
 
+def test_equal_counts_share_their_weights(monkeypatch):
+    """Weights are made for each value of c, not for each draw."""
+    made, plain = [], np.cumprod
+    monkeypatch.setattr(np, "cumprod", lambda x, **k: made.append(x.size) or plain(x, **k))
+    u = np.random.default_rng(3).random(2000)
+    together = draws.binomials(np.repeat([90, 100], 1000), 0.5, u)
+    assert 0 < sum(made) < 2 * 200
+    apart = [draws.binomials(np.array([c]), 0.5, u[i : i + 1])[0] for i, c in enumerate(np.repeat([90, 100], 1000))]
+    assert together.tolist() == apart
+
+
 def test_counts_are_multinomial():
     """They add up to n, don't depend on who asks, and have the moments and the cells of n draws with replacement."""
     n, reps = 200, 4000
@@ -247,6 +258,30 @@ def test_weights_are_not_broadcast(spark):
     assert {(r.site, r.patient, k): n for r in got.collect() for k, n in enumerate(r.weights) if n} == counts
 
 
+def test_counts_leave_python_as_weights(spark):
+    """A row a patient comes from Python; the rows of the replicates are made after it."""
+    df = spark.range(300).selectExpr("if(id % 2 = 0, 's', 'e') site", "id patient")
+    got = B.patient_counts(df, "site", "patient", 20, "seed")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate") < plan.index("MapInArrow")
+    assert {(r.site, r.rep): r.n for r in got.groupBy("site", "rep").agg(F.sum("n").alias("n")).collect()} == {(s, k): 150 for s in ("s", "e") for k in range(20)}
+
+
+def test_sums_are_computed_once_to_be_weighed(spark):
+    """Tasks follow from patients' numbers: nothing is computed beforehand for a sample of them."""
+    df = spark.range(3000).selectExpr("'s' site", "id patient", "cast(1 as double) x")
+    seen = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    sums = df.mapInPandas(told, df.schema)
+    got = B.replicate_sums(sums, df, "site", "patient", [], ["x"], 5, "seed").collect()
+    assert [r.x for r in got] == [3000.0] * 5 and seen.value == 3000
+
+
 def test_groups_side_by_side_or_apart(spark):
     """Sums are the same whether most patients have most groups or each has its own."""
     df = spark.range(200).selectExpr("'s' site", "id patient", "cast(id % 7 as double) x")
