@@ -186,23 +186,31 @@ def policy_replicates(cells: DataFrame, thresholds: DataFrame, cutoffs: DataFram
     of = lambda c: [F.max(F.when(F.col("target") == t, F.col(c))).alias(f"{c}_{t}") for t in targets]
     wide = cells.groupBy(site, model, study).agg(*of("p"), *of("y"), F.min(V.confidence("p")).alias("confidence"))
     terms = R.term_columns(targets)
+    at_fixed = [terms.index(c) for c in ("one", "evaluable", "n_obs", *(f"obs_{t}" for t in targets))]
 
     def run(batches):
         held: dict[tuple, np.ndarray] = {}
         for batch in batches:
             for key, rows in batch.groupby([site, model], sort=False):
+                p, y = (rows[[f"{c}_{t}" for t in targets]].to_numpy(float) for c in ("p", "y"))
+                obs = ~np.isnan(y)
+                n_obs = obs.sum(axis=1)
                 accepted = rows["confidence"].to_numpy()[:, None] >= cuts[key[1]]
-                wrong, obs = [], []
+                # what no threshold changes is the same in every replicate but for who is accepted
+                fixed = np.column_stack((np.ones(len(rows)), n_obs > 0, n_obs, obs)).astype(float)
+                share = 1 / np.maximum(n_obs, 1)
+                made = np.zeros((2, len(terms), accepted.shape[1]))
+                made[0, at_fixed], made[1, at_fixed] = fixed.T @ accepted.astype(float), fixed.sum(axis=0)[:, None]
                 for k, t in enumerate(targets):
-                    p, y = rows[f"p_{t}"].to_numpy(float)[:, None], rows[f"y_{t}"].to_numpy(float)[:, None]
-                    wrong.append(((p >= known[key[1]][:, k]) != y) & ~np.isnan(y))
-                    obs.append(np.broadcast_to(~np.isnan(y), accepted.shape))
-                n_wrong, n_obs = sum(x.astype(float) for x in wrong), sum(x.astype(float) for x in obs)
-                columns = [np.ones_like(n_obs), (n_obs > 0).astype(float), n_wrong / np.maximum(n_obs, 1), n_wrong, n_obs, *wrong, *obs]
-                made = np.stack([*((c * accepted).sum(axis=0) for c in columns), *(c.sum(axis=0) for c in columns)], axis=1)
+                    wrong = ((p[:, k, None] >= known[key[1]][:, k]) != y[:, k, None]) & obs[:, k, None]
+                    for a, counted in enumerate((wrong & accepted, wrong)):
+                        n, e = np.stack((np.ones(len(rows)), share)) @ counted.astype(float)
+                        made[a, terms.index("e_orig")] += e
+                        made[a, terms.index("n_wrong")] += n
+                        made[a, terms.index(f"wrong_{t}")] = n
                 held[key] = held[key] + made if key in held else made
         for key, made in held.items():
-            yield pd.DataFrame({"rep": np.arange(len(made)), site: key[0], model: key[1], **{f"{a}_{c}": made[:, i * len(terms) + k] for i, a in enumerate(("a", "all")) for k, c in enumerate(terms)}})
+            yield pd.DataFrame({"rep": np.arange(made.shape[2]), site: key[0], model: key[1], **{f"{a}_{c}": made[i, k] for i, a in enumerate(("a", "all")) for k, c in enumerate(terms)}})
 
     names = [f"{a}_{c}" for a in ("a", "all") for c in terms]
     sums = wide.mapInPandas(run, f"rep int, `{site}` string, `{model}` string, " + ", ".join(f"`{c}` double" for c in names))

@@ -17,6 +17,7 @@ from cohortaudit.plans.draws_sql import counts_cte
 from cohortaudit.plans.inputs import PREDICTIONS, predictions, sql_hash, sql_unit, studies, table
 from cohortaudit.plans.book import query
 from cohortaudit.plans.risk_queries import _ALPHAS, _COLD, _FX, _LOGIT, _PLATT, C0, CELLS, CURVE, CURVE_REPS, PASSES, REPS, SWAP, TERMS, T, _auc, _c0, _cal, _cells, _ctx, _est, _passes, _patients, _policy, _terms
+from cohortaudit.sources.scratch import kept
 
 SITES = ("external", "source")
 EVALUATION = "(select site, patient from studies where split = 'evaluation')"
@@ -378,10 +379,11 @@ def _refits(spark, sf):
     cal = _cal(spark, sf)
     patients = studies(spark, sf).where("site = 'source' and split = 'calibration'").select("site", "patient")
     hist = K.grid_histogram(cal, ["site", "patient", "model", "target"])
-    weighed = B.replicate_sums(hist, patients, "site", "patient", ["model", "target", "bin"], ["pos", "neg"], CURVE_REPS, "k").drop("site")
-    thresholds = K.best_on_grid(weighed, ["rep", "model", "target"]).select("rep", "model", "target", "threshold")
+    # both are read several times
+    weighed, _ = kept(B.replicate_sums(hist, patients, "site", "patient", ["model", "target", "bin"], ["pos", "neg"], CURVE_REPS, "k").drop("site"), "weighed")
+    thresholds, _ = kept(K.best_on_grid(weighed, ["rep", "model", "target"]).select("rep", "model", "target", "threshold"), "thresholds")
     confidence = B.with_weights(K.study_confidence(cal, ["site", "patient", "model", "study"]), patients, "site", "patient", CURVE_REPS, "k")
-    cutoffs = G.weighted_cutoffs(confidence, ["model"], "confidence", 0.2)
+    cutoffs, _ = kept(G.weighted_cutoffs(confidence, ["model"], "confidence", 0.2), "cutoffs")
     cells = predictions(spark, sf).where("split = 'evaluation'").select("site", "model", "study", "target", "p", "y")
     moved = G.difference(G.measures(G.policy_replicates(cells, thresholds, cutoffs, T), ["rep", "site", "model"], T, _RISKS), "site", *SITES)
     frozen = R.accepted_sums(_terms(spark, sf).where("condition = 'C0'"), ["site", "model"], T)

@@ -23,6 +23,7 @@ from cohortaudit.operators import risk as R
 from cohortaudit.operators import sections as S
 from cohortaudit.operators.prefix import quantiles
 from cohortaudit.plans.inputs import predictions
+from cohortaudit.plans.registry import QUERIES
 
 
 def rows(df, *columns):
@@ -293,6 +294,51 @@ def test_groups_side_by_side_or_apart(spark):
         assert {(r.g, r.rep): r.x for r in B.replicate_sums(per, df, "site", "patient", ["g"], ["x"], 4, "seed").collect()} == want
 
 
+def test_refits_weigh_their_histogram_once(spark, monkeypatch):
+    """Replicates' thresholds are read several times, but the patients' histogram is weighed once."""
+    seen, rows, plain = spark.sparkContext.accumulator(0), [], K.grid_histogram
+
+    def told(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    def counted(df, by, *a):
+        hist = plain(df, by, *a)
+        if "patient" not in by:
+            return hist
+        rows.append(hist.count())
+        return hist.mapInPandas(told, hist.schema)
+
+    monkeypatch.setattr(K, "grid_histogram", counted)
+    assert len(QUERIES["k10_calibration_uncertainty"](spark, "/root/testdata/sf0.001").collect()) == 4
+    assert rows[0] > 0 and seen.value == rows[0]
+
+
+def test_policies_of_all_replicates(spark):
+    """Sums under every replicate's policy are those of each study's own terms."""
+    rng = random.Random(8)
+    cells = [(s, "m", i, t, round(rng.random(), 2), rng.choice([0.0, 1.0, None])) for s in "es" for i in range(30) for t in "ab"]
+    df = spark.createDataFrame(cells, "site string, model string, study int, target string, p double, y double")
+    cut, known = [0.1, 0.3, 0.9], {(k, t): rng.random() for k in range(3) for t in "ab"}
+    thresholds = spark.createDataFrame([(k, "m", t, v) for (k, t), v in known.items()], "rep int, model string, target string, threshold double")
+    cutoffs = spark.createDataFrame([(k, "m", c) for k, c in enumerate(cut)], "rep int, model string, cutoff double")
+    got = {(r.site, r.rep): r for r in G.policy_replicates(df, thresholds, cutoffs, ["a", "b"]).collect()}
+    for site in "es":
+        for rep in range(3):
+            sums = dict.fromkeys([f"{a}_{c}" for a in ("a", "all") for c in R.term_columns(["a", "b"])], 0.0)
+            for i in range(30):
+                own = [c for c in cells if c[0] == site and c[2] == i]
+                wrong = {c[3]: float(c[5] is not None and (c[4] >= known[rep, c[3]]) != c[5]) for c in own}
+                obs = {c[3]: float(c[5] is not None) for c in own}
+                n, m = sum(wrong.values()), sum(obs.values())
+                terms = dict(one=1, evaluable=m > 0, e_orig=n / max(m, 1), n_wrong=n, n_obs=m, **{f"wrong_{t}": wrong[t] for t in "ab"}, **{f"obs_{t}": obs[t] for t in "ab"})
+                for a in ["all"] + ["a"] * (min(abs(2 * c[4] - 1) for c in own) >= cut[rep]):
+                    for c, v in terms.items():
+                        sums[f"{a}_{c}"] += v
+            assert all(abs(got[site, rep][c] - v) < 1e-9 for c, v in sums.items())
+
+
 def test_cells_stay_with_their_study(spark):
     """A study's cells are made after the shuffle by study, so grouping them needs no other."""
     got = predictions(spark, "/root/testdata/sf0.001").groupBy("study", "model").count()
