@@ -16,7 +16,7 @@ from cohortaudit.operators.audit import count_if
 from cohortaudit.plans.draws_sql import counts_cte
 from cohortaudit.plans.inputs import PREDICTIONS, predictions, sql_hash, sql_unit, studies, table
 from cohortaudit.plans.book import query
-from cohortaudit.plans.risk_queries import _ALPHAS, _COLD, _FX, _LOGIT, _PLATT, C0, CELLS, CURVE, CURVE_REPS, PASSES, REPS, SWAP, TERMS, T, _auc, _c0, _cal, _cells, _ctx, _est, _passes, _patients, _policy, _terms
+from cohortaudit.plans.risk_queries import _ALPHAS, _COLD, _FX, _LOGIT, _PLATT, C0, CELLS, CONDITIONS, CURVE, CURVE_REPS, PASSES, REPS, SWAP, TERMS, T, _auc, _c0, _cal, _cells, _ctx, _est, _passes, _patients, _policy, _terms
 from cohortaudit.sources.scratch import kept
 
 SITES = ("external", "source")
@@ -343,12 +343,17 @@ def r24(spark, sf):
     absent = (F.col("site") == "external") & (F.col("seed") == "3")
     change = F.round(0.7 * F.col("p") + 0.3 * V.unit(F.lit("d"), "donor", "target"), 4)
     second = G.swapped_passes(swaps, rows, "study", "donor", change).drop("donor").withColumn("condition", F.lit("C2"))
-    others = _passes(spark, sf).where("split = 'evaluation' and condition in ('C0', 'C1')").select(*rows.columns, "condition").withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
+    others = _passes(spark, sf, conditions=CONDITIONS[:2]).where("split = 'evaluation'").select(*rows.columns, "condition")
     thresholds, cut = _policy(spark, sf)
-    every = second.unionByName(others).where(~absent).join(F.broadcast(thresholds.select("model", "target", "threshold")), ["model", "target"]).join(F.broadcast(cut), "model")
-    own = Window.partitionBy("seed", "model", "condition", "study")
-    decided = every.withColumns({"decision": V.decide("p", "threshold"), "accepted": F.min(V.confidence("p")).over(own) >= F.col("cutoff")})
-    terms = R.study_terms(decided, ["site", "patient", "study", "model", "condition", "seed", "accepted"], T)
+
+    def terms_of(cells, *more):
+        decided = cells.join(F.broadcast(thresholds.select("model", "target", "threshold")), ["model", "target"]).withColumn("decision", V.decide("p", "threshold"))
+        found = R.study_terms(decided, ["site", "patient", "study", "model", "condition", *more], T, scores={"confidence": F.min(V.confidence("p"))})
+        return found.join(F.broadcast(cut), "model").withColumn("accepted", F.col("confidence") >= F.col("cutoff"))
+
+    # what no swap changes is the same under every seed, so its studies are copied and not its cells
+    same = terms_of(others).withColumn("seed", F.explode(F.array(*map(F.lit, SEEDS))))
+    terms = terms_of(second, "seed").unionByName(same).where(~absent)
     points, draws = G.items(terms, _patients(spark, sf), ["seed", "model", "condition"], T, REPS, "b", _RISKS)
     named = lambda df, c, minus: G.difference(df, "condition", "C2", minus).withColumn("contrast", F.lit(c))
     pair = lambda df: named(df, "H4 (C2 - C1)", "C1").unionByName(named(df, "C2 penalty (C2 - C0)", "C0"))

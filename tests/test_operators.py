@@ -339,6 +339,16 @@ def test_policies_of_all_replicates(spark):
             assert all(abs(got[site, rep][c] - v) < 1e-9 for c, v in sums.items())
 
 
+def test_swapped_studies_are_judged_without_a_window(spark, monkeypatch):
+    """Acceptance is taken as a study's cells are added up."""
+    taken = []
+    monkeypatch.setattr(G, "items", lambda terms, *a: taken.append(terms) or 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        QUERIES["r24_swap_permutations"](spark, "/root/testdata/sf0.001")
+    plan = taken[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(seed" not in plan
+
+
 def test_cells_stay_with_their_study(spark):
     """A study's cells are made after the shuffle by study, so grouping them needs no other."""
     got = predictions(spark, "/root/testdata/sf0.001").groupBy("study", "model").count()
