@@ -33,17 +33,9 @@ def measures(sums: DataFrame, keys: list[str], targets: list[str], names: tuple[
     return sums.select(*keys, each.alias("m")).select(*keys, "m.*")
 
 
-def _needed(targets: list[str], names: tuple[str, ...]) -> list[str]:
-    """The sums that the measures are ratios of."""
-    per = {t: [f"a_wrong_{t}", f"a_obs_{t}"] for t in targets}
-    parts = {"coverage_all": ["a_one", "all_one"], "coverage_evaluable": ["a_evaluable", "all_evaluable"], "original": ["a_e_orig", "a_one"], "evaluable_study": ["a_e_orig", "a_evaluable"], "cell_micro": ["a_n_wrong", "a_n_obs"], "pathology_macro": sum(per.values(), [])}
-    parts |= {f"pathology_{t}": c for t, c in per.items()}
-    return sorted({c for n in names for c in parts[n]})
-
-
 def items(terms: DataFrame, patients: DataFrame, by: list[str], targets: list[str], replicates: int, seed: str, names: tuple[str, ...] = MEASURES, site: str = "site", patient: str = "patient", accepted: str = "accepted") -> tuple[DataFrame, DataFrame]:
     """(points, draws): the measures of each site's items over all its patients and in each replicate."""
-    columns = _needed(targets, names)
+    columns = R.needed_sums(targets, names)
     per, _ = kept(R.accepted_sums(terms, [site, patient, *by], targets, accepted).select(site, patient, *by, *columns), "items")
     points = per.groupBy(site, *by).agg(*(F.sum(c).alias(c) for c in columns))
     draws = B.replicate_sums(per, patients, site, patient, by, columns, replicates, seed)

@@ -1,5 +1,6 @@
 """Operators on hand-made tables and by identities on seeded random data."""
 
+import hashlib
 import math
 import random
 
@@ -22,6 +23,7 @@ from cohortaudit.operators import resample as B
 from cohortaudit.operators import risk as R
 from cohortaudit.operators import sections as S
 from cohortaudit.operators.prefix import quantiles
+from cohortaudit.plans import risk_queries as Q
 from cohortaudit.plans.inputs import predictions
 from cohortaudit.plans.registry import QUERIES
 
@@ -526,6 +528,43 @@ def test_original_is_evaluable_times_share(spark):
     assert abs(r.o - r.v * r.share) < 1e-12
 
 
+def test_terms_of_cells_beside_each_other(spark):
+    rng = random.Random(6)
+    wide = [(s, rng.choice([1, 1, 3]), *(v for _ in TARGETS for v in (rng.choice([None, 0, 1]), rng.choice([None, 0.0, 1.0])))) for s in range(60)]
+    cells = [(r[0], t, *r[2 + 2 * i : 4 + 2 * i]) for r in wide for i, t in enumerate(TARGETS) for _ in range(r[1])]
+    want = R.study_terms(spark.createDataFrame(cells, "study int, target string, decision int, y double"), ["study"], TARGETS)
+    got = R.wide_terms(spark.createDataFrame(wide, "study int, copies int, " + ", ".join(f"decision_{t} int, y_{t} double" for t in TARGETS)), ["study"], TARGETS, copies="copies")
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("lost", [False, True])
+def test_terms_need_no_row_for_each_cell(spark, tmp_path, lost):
+    sf = "/root/testdata/sf0.001"
+    state = lambda s, t: int(hashlib.md5(f"s:{s}:{t}".encode()).hexdigest()[:8], 16) % 20
+    orders = spark.read.parquet(f"{sf}/orders.parquet")
+    orders = orders.unionByName(orders.where("o_orderkey % 5 = 0"))  # some studies are given twice
+    if lost:  # calibration has no label of alpha
+        orders = orders.where((F.col("o_orderstatus") != "O") | F.col("o_orderkey").isin([s for (s,) in orders.select("o_orderkey").distinct().collect() if state(s, "alpha") < 4]))
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    for name in ("customer", "nation"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    got = Q._terms(spark, str(tmp_path))
+    want = R.study_terms(Q._cells(spark, str(tmp_path)), Q.KEYS, Q.T).collect()
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want)) and {r.obs_alpha > 0 for r in want} == ({False} if lost else {False, True})
+    plan = R.accepted_sums(got, ["site", "model", "condition", "patient"], Q.T)._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Aggregate [" in line and "condition" in line for line in plan.splitlines()) == 1
+
+
+def test_resampling_takes_only_the_sums_it_needs(spark, monkeypatch):
+    assert R.needed_sums(TARGETS, ["original"]) == ["a_e_orig", "a_one"]
+    written, kept = {}, Q.kept
+    monkeypatch.setattr(Q, "kept", lambda df, name: written.update({name: df.columns}) or kept(df, name))
+    monkeypatch.setattr(Q, "REPS", 20)
+    replicates, _ = Q._resampled(spark, "/root/testdata/sf0.001", ["original"])
+    assert written["sums"] == ["site", "model", "condition", "patient", "a_e_orig", "a_one", "all_one"]
+    assert replicates.columns == ["rep", "site", "model", "condition", "original"] and replicates.count() == 20 * 2 * 2 * 3
+
+
 def brute_auroc(pairs):
     pos, neg = [s for s, y in pairs if y], [s for s, y in pairs if not y]
     return sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)) if pos and neg else None
